@@ -13,9 +13,11 @@ key into range blocks first:
    those few rows per key gives each block's offset.
 4. Offset + in-block running total = the running total over the whole key.
 
-The range exchange is shared by steps 2 and 3 (Spark reuses the exchange),
-and the block boundaries are fixed once the shuffle is written, so a lost
-executor recomputes the same blocks.
+Steps 2 and 3 must see the *same* blocks.  Two separate range exchanges
+may sample different boundaries (their inputs can arrive in a different
+order), so the block-tagged rows are written once with a reliable
+``checkpoint()`` into ``spark.checkpoint.dir`` and both steps read that copy.
+A lost executor then re-reads the checkpoint instead of re-sampling.
 """
 
 from __future__ import annotations
@@ -30,6 +32,13 @@ def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back."""
+    from tillbook.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _blocks(df: DataFrame, blocks: int | None) -> int:
     if blocks:
         return blocks
@@ -46,9 +55,9 @@ def running_total(df: DataFrame, keys: list[str], order: list, value, out: str,
     n = _blocks(df, blocks)
     order_cols = [_col(o) for o in order]
     val = _col(value)
-    tagged = (df.withColumn(_TOT, val)
-              .repartitionByRange(n, *[F.col(k) for k in keys], *order_cols)
-              .withColumn(_BLK, F.spark_partition_id()))
+    tagged = _materialize(df.withColumn(_TOT, val)
+                          .repartitionByRange(n, *[F.col(k) for k in keys], *order_cols)
+                          .withColumn(_BLK, F.spark_partition_id()))
     upper = Window.currentRow - 1 if exclusive else Window.currentRow
     w_in = (Window.partitionBy(*keys, _BLK).orderBy(*order_cols)
             .rowsBetween(Window.unboundedPreceding, upper))
@@ -80,9 +89,9 @@ def dense_ids(df: DataFrame, order: list, out: str, start: int = 1,
     """
     n = _blocks(df, blocks)
     order_cols = [_col(o) for o in order]
-    tagged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-              .withColumn(_BLK, F.spark_partition_id())
-              .withColumn(_MID, F.monotonically_increasing_id()))
+    tagged = _materialize(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+                          .withColumn(_BLK, F.spark_partition_id())
+                          .withColumn(_MID, F.monotonically_increasing_id()))
     counts = tagged.groupBy(_BLK).agg(F.count(F.lit(1)).alias(_TOT))
     w_prev = Window.orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(_BLK, F.coalesce(F.sum(_TOT).over(w_prev), F.lit(0)).alias(_OFF))
