@@ -1 +1,290 @@
-"""Catalog entries."""
+"""Catalog: invoice posting and the customer ledger (P-5..P-12, W-1, W-2,
+G-15, G-16, G-21, U-1..U-3)."""
+
+from pyspark.sql import functions as F
+
+from tillbook.catalog import register
+from tillbook.catalog.oracle_views import AS_OF as D
+from tillbook.operators import ledger as lg
+from tillbook.operators import posting as ps
+from tillbook.sources.fixtures import AS_OF
+
+# ---- posting ------------------------------------------------------------------
+
+
+@register("post_payment_status", """
+SELECT invoice_no, payment_method, total_paid, payment_status, status FROM r_invoice""")
+def post_payment_status(r):
+    return ps.apply_payment_status(r.invoice_draft).select(
+        "invoice_no", "payment_method", "total_paid", "payment_status", "status")
+
+
+@register("payment_status_simple", """
+SELECT invoice_no, paid0 AS total_paid,
+       CASE WHEN paid0 IS NULL OR paid0 = 0 THEN 'Unpaid' ELSE 'Paid' END AS payment_status,
+       CASE WHEN paid0 IS NULL OR paid0 = 0 THEN 'Pending' ELSE 'Completed' END AS status
+FROM r_invoice1""")
+def payment_status_simple(r):
+    return ps.apply_payment_status(r.invoice_draft, "simple").select(
+        "invoice_no", "total_paid", "payment_status", "status")
+
+
+@register("post_payments", "SELECT * FROM r_payment")
+def post_payments(r):
+    return r.payment
+
+
+@register("settle_invoices", """
+SELECT i.invoice_no, CAST(COALESCE(p.paid, 0) AS DECIMAL(18,2)) AS paid_amount,
+       CASE WHEN COALESCE(p.paid, 0) >= i.total_amount THEN 'Paid'
+            WHEN COALESCE(p.paid, 0) > 0 THEN 'Partially Paid' ELSE 'Unpaid' END AS settlement_status
+FROM r_invoice i
+LEFT JOIN (SELECT invoice_no, SUM(paid0) AS paid FROM r_invoice1 WHERE paid0 > 0 GROUP BY invoice_no) p
+  ON i.invoice_no = p.invoice_no""")
+def settle_invoices(r):
+    # payments as submitted (before the live status rule): the draft's paid amounts
+    pays = (r.invoice_draft.filter(F.col("total_paid") > 0)
+            .select("invoice_no", F.col("total_paid").alias("amount")))
+    return ps.settle_invoices(r.invoice, pays, basis="total")
+
+
+@register("backfill_unpaid", """
+SELECT invoice_no, date AS invoice_date, final_amount AS amount, customer_name,
+       'Pending' AS payment_mode, 'Pending' AS status, customer_id
+FROM r_invoice WHERE payment_status = 'Unpaid'""")
+def backfill_unpaid(r):
+    return ps.backfill_unpaid(r.invoice)
+
+
+@register("backfill_paid", """
+SELECT invoice_no, date AS invoice_date, total_paid AS amount, customer_name,
+       'Cash' AS payment_mode, 'Completed' AS status, customer_id
+FROM r_invoice WHERE total_paid > 0""")
+def backfill_paid(r):
+    return ps.backfill_paid(r.invoice)
+
+
+# existing payments: those of invoices dated before 2000; the batch: every invoice
+@register("upsert_payments", """
+WITH base AS (SELECT * FROM r_payment WHERE invoice_date < DATE '2000-01-01'),
+src AS (SELECT i.invoice_no, i.date, i.final_amount, i.payment_method, c.name AS cname
+        FROM r_invoice i LEFT JOIN r_customer c ON i.customer_id = c.id
+        WHERE i.customer_id IS NOT NULL AND i.payment_status = 'Paid' AND i.final_amount > 0)
+SELECT b.invoice_no, b.invoice_date,
+       CASE WHEN s.invoice_no IS NOT NULL THEN s.final_amount ELSE b.amount END AS amount,
+       b.customer_name,
+       CASE WHEN s.invoice_no IS NOT NULL THEN s.payment_method ELSE b.payment_mode END AS payment_mode,
+       CASE WHEN s.invoice_no IS NOT NULL THEN 'Completed' ELSE b.status END AS status,
+       b.customer_id
+FROM base b LEFT JOIN src s ON b.invoice_no = s.invoice_no
+UNION ALL
+SELECT s.invoice_no, s.date, s.final_amount, s.cname, s.payment_method, 'Completed', CAST(NULL AS BIGINT)
+FROM src s WHERE s.invoice_no NOT IN (SELECT invoice_no FROM base)""")
+def upsert_payments(r):
+    base = r.payment.filter(F.col("invoice_date") < F.lit("2000-01-01").cast("date"))
+    out, _rejects = ps.upsert_payments(r.invoice, base, r.customer)
+    return out
+
+
+# ---- ledger -------------------------------------------------------------------
+
+@register("post_ledger", "SELECT * FROM r_ledger")
+def post_ledger(r):
+    return r.ledger
+
+
+@register("running_balance_account", """
+SELECT transaction_date, customer_mobile, invoice_no, step, amount, transaction_type,
+       CAST(SUM(CASE WHEN transaction_type = 'Credit' THEN amount
+                     WHEN transaction_type = 'Debit' THEN -amount ELSE 0 END)
+            OVER (PARTITION BY customer_mobile ORDER BY transaction_date, invoice_no, step
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(18,2)) AS balance
+FROM r_ledger_e""")
+def running_balance_account(r):
+    entries = r.ledger.drop("balance")
+    return lg.running_balance(entries, "account").select(
+        "transaction_date", "customer_mobile", "invoice_no", "step", "amount",
+        "transaction_type", "balance")
+
+
+# opening balances: the receivable balance each customer had before 2000
+@register("post_ledger_with_opening", """
+WITH opening AS (
+  SELECT customer_mobile, SUM(CASE WHEN transaction_type = 'Debit' THEN amount ELSE -amount END) AS ob
+  FROM r_ledger_e WHERE transaction_date < TIMESTAMP '2000-01-01' GROUP BY customer_mobile)
+SELECT e.invoice_no, e.step,
+       CAST(COALESCE(o.ob, 0) + SUM(CASE WHEN transaction_type = 'Debit' THEN amount ELSE -amount END)
+            OVER (PARTITION BY e.customer_mobile ORDER BY transaction_date, invoice_no, step
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(18,2)) AS balance
+FROM r_ledger_e e LEFT JOIN opening o ON e.customer_mobile = o.customer_mobile
+WHERE e.transaction_date >= TIMESTAMP '2000-01-01'""")
+def post_ledger_with_opening(r):
+    cutoff = F.lit("2000-01-01").cast("date")
+    old = r.ledger.filter(F.col("transaction_date") < cutoff.cast("timestamp_ntz"))
+    opening = lg.ledger_balance(old).withColumnRenamed("balance", "opening_balance")
+    batch = r.invoice.filter(F.col("date") >= cutoff)
+    return lg.post_ledger(batch, opening).select("invoice_no", "step", "balance")
+
+
+@register("latest_balance", """
+SELECT customer_mobile, balance FROM (
+  SELECT customer_mobile, balance, row_number() OVER (PARTITION BY customer_mobile
+         ORDER BY transaction_date DESC, invoice_no DESC, step DESC) AS rn FROM r_ledger)
+WHERE rn = 1""")
+def latest_balance(r):
+    return lg.latest_balance(r.ledger)
+
+
+@register("ledger_balance", """
+SELECT c.mobile AS customer_mobile, CAST(COALESCE(b.bal, 0) AS DECIMAL(18,2)) AS balance
+FROM r_customer c LEFT JOIN (
+  SELECT customer_mobile, SUM(CASE WHEN transaction_type = 'Debit' THEN amount
+                                   WHEN transaction_type = 'Credit' THEN -amount ELSE 0 END) AS bal
+  FROM r_ledger GROUP BY customer_mobile) b ON c.mobile = b.customer_mobile""")
+def ledger_balance(r):
+    return lg.ledger_balance(r.ledger, customers=r.customer.select(
+        F.col("mobile").alias("customer_mobile")))
+
+
+@register("outstanding_unsigned", """
+SELECT customer_id, CAST(SUM(amount) AS DECIMAL(18,2)) AS outstanding FROM r_ledger GROUP BY customer_id""")
+def outstanding_unsigned(r):
+    return lg.outstanding_unsigned(r.ledger)
+
+
+@register("post_ledger_single", """
+WITH e AS (
+  SELECT CAST(date AS TIMESTAMP) AS transaction_date, customer_mobile, customer_id, invoice_no, 0 AS step,
+         CAST(CASE WHEN payment_status = 'Partially Paid' THEN final_amount - total_paid
+                   ELSE final_amount END AS DECIMAL(10,2)) AS amount,
+         CASE WHEN payment_status = 'Paid' THEN 'Credit' ELSE 'Debit' END AS transaction_type,
+         CASE WHEN payment_status = 'Paid' THEN 'Payment Received (Full) - '
+              WHEN payment_status = 'Partially Paid' THEN 'Invoice Creation (Partial Payment) - '
+              ELSE 'Invoice Creation (Unpaid) - ' END
+         || customer_name || ' (Invoice #' || CAST(invoice_no AS VARCHAR) || ')' AS description
+  FROM r_invoice),
+p AS (SELECT *, COALESCE(SUM(CASE WHEN transaction_type = 'Debit' THEN amount ELSE -amount END)
+                OVER (PARTITION BY customer_mobile ORDER BY transaction_date, invoice_no, step
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev FROM e)
+SELECT transaction_date, customer_mobile, customer_id, invoice_no, step, amount, transaction_type,
+       description,
+       CAST(CASE WHEN transaction_type = 'Credit' THEN CASE WHEN prev = 0 THEN 0 ELSE prev - amount END
+                 ELSE prev + amount END AS DECIMAL(18,2)) AS balance
+FROM p""")
+def post_ledger_single(r):
+    return lg.post_ledger_single(r.invoice)
+
+
+@register("post_ledger_flip", """
+WITH led AS (SELECT * FROM r_ledger WHERE transaction_date < TIMESTAMP '2000-01-01'),
+inv AS (SELECT invoice_no, customer_id, date, CAST(COALESCE(final_amount, 0) AS DECIMAL(10,2)) AS amt,
+               lower(trim(payment_status)) AS st FROM r_invoice),
+has_debit AS (SELECT DISTINCT invoice_no FROM led WHERE transaction_type = 'Debit'),
+flip AS (SELECT invoice_no FROM inv WHERE st = 'paid' AND invoice_no IN (SELECT invoice_no FROM has_debit))
+SELECT l.invoice_no, l.transaction_date, l.customer_id, l.amount,
+       CASE WHEN f.invoice_no IS NOT NULL THEN 'Credit' ELSE l.transaction_type END AS transaction_type,
+       CASE WHEN f.invoice_no IS NOT NULL THEN 'Payment received for invoice' ELSE l.description END AS description
+FROM led l LEFT JOIN flip f ON l.invoice_no = f.invoice_no
+UNION ALL
+SELECT invoice_no, CAST(date AS TIMESTAMP), customer_id, amt, 'Debit', 'Unpaid invoice for customer'
+FROM inv WHERE st = 'unpaid' AND invoice_no NOT IN (SELECT invoice_no FROM led)
+UNION ALL
+SELECT invoice_no, CAST(date AS TIMESTAMP), customer_id, amt, 'Credit', 'Paid invoice for customer'
+FROM inv WHERE st = 'paid' AND invoice_no NOT IN (SELECT invoice_no FROM has_debit)""")
+def post_ledger_flip(r):
+    led = r.ledger.filter(F.col("transaction_date") < F.lit("2000-01-01").cast("timestamp_ntz"))
+    out = lg.post_ledger_flip(r.invoice, led)
+    return out.select("invoice_no", "transaction_date", "customer_id", "amount",
+                      "transaction_type", "description")
+
+
+# payments to log: one per unpaid invoice for its full amount, against the ledger
+@register("log_payments", """
+WITH pay AS (SELECT * FROM r_invoice WHERE payment_status = 'Unpaid'),
+p AS (SELECT pay.invoice_no, pay.date AS invoice_date, pay.final_amount AS amount, i.customer_id AS cid
+      FROM pay JOIN r_invoice i ON pay.invoice_no = i.invoice_no
+      WHERE pay.final_amount > 0 AND i.customer_id IS NOT NULL AND lower(trim(i.payment_status)) <> 'paid'),
+bal AS (SELECT customer_id, SUM(CASE WHEN transaction_type = 'Debit' THEN amount
+                                     WHEN transaction_type = 'Credit' THEN -amount ELSE 0 END) AS b
+        FROM r_ledger GROUP BY customer_id),
+run AS (SELECT p.*, CAST(COALESCE(bal.b, 0) - SUM(p.amount) OVER (PARTITION BY p.cid
+              ORDER BY p.invoice_date, p.invoice_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+              AS DECIMAL(18,2)) AS balance
+        FROM p LEFT JOIN bal ON p.cid = bal.customer_id)
+SELECT CAST(invoice_date AS TIMESTAMP) AS transaction_date, invoice_no, cid AS customer_id, amount,
+       'Credit' AS transaction_type, 'Payment received for Invoice ' || CAST(invoice_no AS VARCHAR) AS description,
+       balance
+FROM run WHERE balance >= 0""")
+def log_payments(r):
+    pays = ps.backfill_unpaid(r.invoice).select("invoice_no", "invoice_date", "amount")
+    credits, _rejects, _paid = lg.log_payments(pays, r.invoice, r.ledger)
+    return credits
+
+
+# manual entries: purchase events credited to the customer whose mobile is the user id
+_ENTRIES_SQL = """
+WITH rows AS (
+  SELECT event_id AS entry_id, ts AS transaction_date, CAST(NULL AS BIGINT) AS invoice_no,
+         lpad(CAST(user_id AS VARCHAR), 10, '0') AS customer_mobile, amount,
+         CASE WHEN event_id % 3 = 0 THEN 'Debit' ELSE 'Credit' END AS transaction_type,
+         'Purchase event ' || CAST(event_id AS VARCHAR) AS description
+  FROM r_payment_events),
+ok AS (SELECT r.*, c.id AS customer_id FROM rows r JOIN r_customer c ON r.customer_mobile = c.mobile
+       WHERE r.amount > 0),
+latest AS (SELECT customer_id, balance FROM (
+  SELECT customer_id, balance, row_number() OVER (PARTITION BY customer_id
+         ORDER BY transaction_date DESC, invoice_no DESC, step DESC) AS rn FROM r_ledger) WHERE rn = 1)
+SELECT ok.entry_id, ok.transaction_date, ok.invoice_no, ok.customer_id, ok.amount, ok.transaction_type,
+       ok.description,
+       CAST(COALESCE(latest.balance, 0) + SUM(CASE WHEN transaction_type = 'Credit' THEN amount
+                                                   WHEN transaction_type = 'Debit' THEN -amount ELSE 0 END)
+            OVER (PARTITION BY ok.customer_id ORDER BY ok.transaction_date, ok.entry_id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(18,2)) AS balance
+FROM ok LEFT JOIN latest ON ok.customer_id = latest.customer_id"""
+
+
+def manual_entries(r):
+    e = r.payment_events
+    return e.select(
+        F.col("event_id").alias("entry_id"), F.col("ts").alias("transaction_date"),
+        F.lit(None).cast("long").alias("invoice_no"),
+        F.lpad(F.col("user_id").cast("string"), 10, "0").alias("customer_mobile"), "amount",
+        F.when(F.col("event_id") % 3 == 0, "Debit").otherwise("Credit").alias("transaction_type"),
+        F.concat(F.lit("Purchase event "), F.col("event_id").cast("string")).alias("description"))
+
+
+@register("add_ledger_entries", _ENTRIES_SQL)
+def add_ledger_entries(r):
+    out, _rej = lg.add_ledger_entries(manual_entries(r), r.ledger, r.customer, r.invoice)
+    return out
+
+
+@register("add_ledger_rejects", """
+WITH rows AS (SELECT event_id AS entry_id, lpad(CAST(user_id AS VARCHAR), 10, '0') AS customer_mobile, amount
+              FROM r_payment_events)
+SELECT entry_id, CASE WHEN amount <= 0 THEN 'amount must be > 0'
+                      ELSE 'customer mobile does not exist' END AS reason
+FROM rows r WHERE amount <= 0 OR customer_mobile NOT IN (SELECT mobile FROM r_customer)""")
+def add_ledger_rejects(r):
+    _out, rej = lg.add_ledger_entries(manual_entries(r), r.ledger, r.customer, r.invoice)
+    return rej
+
+
+# guard: the last 30 days' entries checked against everything posted before
+@register("guard_ledger_entries", f"""
+WITH new AS (SELECT * FROM r_ledger WHERE transaction_date >= CAST({D} - INTERVAL 30 DAY AS TIMESTAMP)),
+old AS (SELECT * FROM r_ledger WHERE transaction_date < CAST({D} - INTERVAL 30 DAY AS TIMESTAMP)),
+dup AS (SELECT invoice_no FROM new GROUP BY invoice_no HAVING COUNT(*) > 1)
+SELECT invoice_no, step, transaction_type,
+       CASE WHEN invoice_no IN (SELECT invoice_no FROM old) THEN 'invoice already has a transaction'
+            WHEN invoice_no IN (SELECT invoice_no FROM dup) THEN 'invoice repeated in batch'
+            WHEN transaction_type NOT IN ('Debit', 'Credit') THEN 'invalid transaction type'
+            WHEN amount IS NULL OR amount < 0 THEN 'amount must be >= 0' END AS reason
+FROM new
+WHERE invoice_no IN (SELECT invoice_no FROM old) OR invoice_no IN (SELECT invoice_no FROM dup)
+   OR transaction_type NOT IN ('Debit', 'Credit') OR amount IS NULL OR amount < 0""")
+def guard_ledger_entries(r):
+    cut = F.date_sub(F.lit(AS_OF).cast("date"), 30).cast("timestamp_ntz")
+    new = r.ledger.filter(F.col("transaction_date") >= cut)
+    old = r.ledger.filter(F.col("transaction_date") < cut)
+    return lg.guard_ledger_entries(new, old).select("invoice_no", "step", "transaction_type", "reason")

@@ -19,7 +19,10 @@ _CTES = {
          CAST(CAST(p_retailprice AS DECIMAL(10,2)) * CAST(0.70 AS DECIMAL(3,2)) AS DECIMAL(10,2)) AS cost_price,
          CAST(p_retailprice AS DECIMAL(10,2)) AS selling_price,
          p_type AS category, CAST(p_size AS VARCHAR) AS safety_level,
-         CAST(p_partkey % 120 AS INTEGER) AS supplier_id
+         CAST(p_partkey % 120 AS INTEGER) AS supplier_id,
+         CAST((p_partkey * 7) % 60 AS INTEGER) AS quantity, 'pcs' AS unit,
+         DATE '2001-01-01' + CAST(p_partkey % 400 AS INTEGER) AS expiry_date,
+         'HC' || CAST(p_partkey AS VARCHAR) AS hc_code
   FROM part""",
     "r_inv0": """
   SELECT p_partkey AS product_id, p_name AS product_name,
@@ -112,4 +115,7 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     if extra:
         ctes.update(extra)
     parts = [f"{name} AS ({sql}\n)" for name, sql in ctes.items()]
-    return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+    body = body.strip()
+    if body[:5].upper() == "WITH ":
+        return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
+    return "WITH " + ",\n".join(parts) + "\n" + body

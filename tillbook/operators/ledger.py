@@ -216,8 +216,9 @@ def add_ledger_entries(rows: DataFrame, ledger: DataFrame, customer: DataFrame,
         "entry_id", F.col("_reason").alias("reason"))
     ok = r.filter(F.col("_reason").isNull()).withColumn("customer_id", F.col("_cid"))
     signed = R.signed_amount("transaction_type", "amount", "account")
+    newest_first = [c for c in LEDGER_ORDER if c in ledger.columns]
     latest = latest_balance(ledger.filter(F.col("customer_id").isNotNull()), key="customer_id",
-                            order=["transaction_date"])
+                            order=newest_first)
     with_c = ok.filter(F.col("customer_id").isNotNull())
     with_c = running_total(with_c, ["customer_id"], ["transaction_date", "entry_id"], signed, "_run")
     with_c = (with_c.join(latest.withColumnRenamed("balance", "_open"), "customer_id", "left")

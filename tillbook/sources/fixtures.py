@@ -68,7 +68,12 @@ class Retail:
             cost.alias("cost_price"), sell.alias("selling_price"),
             p.p_type.alias("category"),
             p.p_size.cast("string").alias("safety_level"),
-            (p.p_partkey % 120).cast("int").alias("supplier_id"))
+            (p.p_partkey % 120).cast("int").alias("supplier_id"),
+            ((p.p_partkey * 7) % 60).cast("int").alias("quantity"),
+            F.lit("pcs").alias("unit"),
+            F.date_add(F.lit("2001-01-01").cast("date"), (p.p_partkey % 400).cast("int"))
+             .alias("expiry_date"),
+            F.concat(F.lit("HC"), p.p_partkey.cast("string")).alias("hc_code"))
 
     @cached_property
     def inventory(self) -> DataFrame:
