@@ -1 +1,183 @@
-"""Catalog entries."""
+"""Catalog: stock positions, checks and numbering (H-6, H-7, P-3, P-4, M-5,
+M-10..M-12, B-9, W-5, W-6)."""
+
+from pyspark.sql import functions as F
+
+from tillbook.catalog import register
+from tillbook.catalog.oracle_views import AS_OF as D
+from tillbook.functions import rules as R
+from tillbook.operators import numbering as nb
+from tillbook.operators import reports as rp
+from tillbook.operators import stock as st
+from tillbook.sources.fixtures import AS_OF
+
+# The sales batch: lines of the invoices of the last 30 days.
+_BATCH_SQL = f"""batch AS (
+  SELECT l.* FROM r_lines l JOIN r_invoice i ON l.invoice_no = i.invoice_no
+  WHERE i.date >= {D} - INTERVAL 30 DAY)"""
+LINE_ORDER = ["invoice_no", "line_no", "quantity"]
+
+
+def sales_batch(r):
+    recent = rp.since(r.invoice, "date", AS_OF, "30d").select("invoice_no")
+    return r.lines.join(recent, "invoice_no", "left_semi")
+
+
+_LABELS = """
+CASE WHEN availability IS NULL THEN 'Unknown' WHEN availability >= 3 THEN 'In Stock'
+     WHEN availability >= 1 THEN 'Low Stock' ELSE 'Out of Stock' END AS label_page,
+CASE WHEN availability >= 4 THEN 'In Stock' WHEN availability >= 2 THEN 'Low Stock'
+     ELSE 'Out of Stock' END AS label_trigger"""
+
+
+@register("inventory_availability",
+          "SELECT product_id, quantity, safety_level, availability FROM r_inventory")
+def inventory_availability(r):
+    return r.inventory.select("product_id", "quantity", "safety_level", "availability")
+
+
+@register("availability_labels", f"SELECT product_id, availability, {_LABELS} FROM r_inventory")
+def availability_labels(r):
+    return r.inventory.select("product_id", "availability",
+                              R.availability_label("availability", "page").alias("label_page"),
+                              R.availability_label("availability", "trigger").alias("label_trigger"))
+
+
+@register("check_stock_line", f"""
+WITH {_BATCH_SQL},
+x AS (SELECT b.*, COALESCE(i.quantity >= b.quantity, FALSE) AS line_ok
+      FROM batch b LEFT JOIN r_inventory i ON b.product_id = i.product_id)
+SELECT invoice_no, bool_and(line_ok) AS invoice_ok,
+       CAST(COUNT(CASE WHEN NOT line_ok THEN 1 END) AS BIGINT) AS short_lines
+FROM x GROUP BY invoice_no""")
+def check_stock_line(r):
+    return st.stock_verdicts(sales_batch(r), r.inventory, "line")
+
+
+@register("check_stock_cumulative", f"""
+WITH {_BATCH_SQL},
+x AS (SELECT b.*, i.quantity AS stock,
+             SUM(b.quantity) OVER (PARTITION BY b.product_id ORDER BY b.invoice_no, b.line_no, b.quantity
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS demand
+      FROM batch b LEFT JOIN r_inventory i ON b.product_id = i.product_id),
+y AS (SELECT *, COALESCE(stock >= demand, FALSE) AS line_ok FROM x)
+SELECT invoice_no, bool_and(line_ok) AS invoice_ok,
+       CAST(COUNT(CASE WHEN NOT line_ok THEN 1 END) AS BIGINT) AS short_lines
+FROM y GROUP BY invoice_no""")
+def check_stock_cumulative(r):
+    return st.stock_verdicts(sales_batch(r), r.inventory, "cumulative", LINE_ORDER)
+
+
+_AVAIL = """CAST(CASE WHEN q_ratio >= 1.0 THEN 5 WHEN q_ratio >= 0.85 THEN 4 WHEN q_ratio >= 0.50 THEN 3
+                  WHEN q_ratio >= 0.25 THEN 2 ELSE 1 END AS INTEGER)"""
+_RATIO = """CASE WHEN COALESCE(safety_level, 1) = 0 THEN 1.0
+            ELSE CAST(new_q AS DOUBLE) / CAST(COALESCE(safety_level, 1) AS DOUBLE) END"""
+
+
+@register("apply_sales", f"""
+WITH {_BATCH_SQL},
+sold AS (SELECT product_id, SUM(quantity) AS s FROM batch GROUP BY product_id),
+n AS (SELECT i.product_id, i.safety_level, CAST(i.quantity - COALESCE(s.s, 0) AS INTEGER) AS new_q
+      FROM r_inventory i LEFT JOIN sold s ON i.product_id = s.product_id)
+SELECT product_id, new_q AS quantity, {_AVAIL} AS availability
+FROM (SELECT *, {_RATIO} AS q_ratio FROM n)""")
+def apply_sales(r):
+    return st.apply_sales(r.inventory, sales_batch(r)).select("product_id", "quantity", "availability")
+
+
+_RESTOCK_SQL = f"""
+added AS (SELECT product_id, SUM(quantity_added) AS a FROM r_add_item GROUP BY product_id),
+n AS (SELECT i.product_id, i.safety_level, CAST(i.quantity + COALESCE(a.a, 0) AS INTEGER) AS new_q
+      FROM r_inventory i LEFT JOIN added a ON i.product_id = a.product_id),
+restocked AS (SELECT product_id, new_q AS quantity, {_AVAIL} AS availability
+              FROM (SELECT *, {_RATIO} AS q_ratio FROM n))"""
+
+
+@register("apply_restock", f"WITH {_RESTOCK_SQL} SELECT * FROM restocked")
+def apply_restock(r):
+    inv, _rej = st.apply_restock(r.inventory, r.add_item)
+    return inv.select("product_id", "quantity", "availability")
+
+
+@register("mirror_quantity", f"""
+WITH {_RESTOCK_SQL}
+SELECT p.pro_id, CASE WHEN r.product_id IS NOT NULL THEN r.quantity ELSE p.quantity END AS quantity
+FROM r_product p LEFT JOIN restocked r ON p.pro_id = r.product_id""")
+def mirror_quantity(r):
+    inv, _rej = st.apply_restock(r.inventory, r.add_item)
+    return st.mirror_quantity(inv, r.product).select("pro_id", "quantity")
+
+
+@register("below_safety", f"""
+WITH {_BATCH_SQL},
+sold AS (SELECT product_id, SUM(quantity) AS s FROM batch GROUP BY product_id),
+n AS (SELECT i.product_id, i.product_name, i.quantity AS old_quantity,
+             CAST(i.quantity - COALESCE(s.s, 0) AS INTEGER) AS new_quantity, i.safety_level
+      FROM r_inventory i LEFT JOIN sold s ON i.product_id = s.product_id)
+SELECT * FROM n WHERE new_quantity < old_quantity AND new_quantity < safety_level""")
+def below_safety(r):
+    new = st.apply_sales(r.inventory, sales_batch(r))
+    return rp.below_safety(r.inventory, new)
+
+
+_NEW_PRODUCTS = """
+existing AS (SELECT * EXCLUDE (ratio) FROM r_inventory WHERE availability >= 3),
+p AS (SELECT pro_id AS product_id, pro_name AS product_name, selling_price AS price, quantity, unit,
+             category, TRY_CAST(NULLIF(safety_level, '') AS INTEGER) AS safety_level, expiry_date,
+             hc_code AS hscode FROM r_product),
+fresh AS (SELECT p.*, CAST(CASE WHEN q_ratio >= 1.0 THEN 5 WHEN q_ratio >= 0.85 THEN 4
+                                WHEN q_ratio >= 0.50 THEN 3 WHEN q_ratio >= 0.25 THEN 2 ELSE 1 END AS INTEGER)
+                      AS availability
+          FROM (SELECT *, CASE WHEN COALESCE(safety_level, 1) = 0 THEN 1.0
+                               ELSE CAST(quantity AS DOUBLE) / CAST(COALESCE(safety_level, 1) AS DOUBLE) END
+                          AS q_ratio FROM p) p
+          WHERE product_id NOT IN (SELECT product_id FROM existing))"""
+
+
+@register("product_to_inventory_ignore", f"""
+WITH {_NEW_PRODUCTS}
+SELECT product_id, quantity, availability FROM existing
+UNION ALL SELECT product_id, quantity, availability FROM fresh""")
+def product_to_inventory_ignore(r):
+    existing = r.inventory.filter(F.col("availability") >= 3)
+    return st.product_to_inventory(r.product, existing, "ignore").select(
+        "product_id", "quantity", "availability")
+
+
+@register("product_to_inventory_add", f"""
+WITH {_NEW_PRODUCTS},
+n AS (SELECT e.product_id, e.safety_level, CAST(e.quantity + COALESCE(p.quantity, 0) AS INTEGER) AS new_q
+      FROM existing e LEFT JOIN p ON e.product_id = p.product_id)
+SELECT product_id, new_q AS quantity, {_AVAIL} AS availability FROM (SELECT *, {_RATIO} AS q_ratio FROM n)
+UNION ALL SELECT product_id, quantity, availability FROM fresh""")
+def product_to_inventory_add(r):
+    existing = r.inventory.filter(F.col("availability") >= 3)
+    return st.product_to_inventory(r.product, existing, "add").select(
+        "product_id", "quantity", "availability")
+
+
+_RESTOCK_ORDER = ["added_date", "ref_order", "ref_line", "product_id", "quantity_added"]
+
+
+@register("restock_supplier_invoices", """
+SELECT CAST(year(a.added_date) AS VARCHAR) || lpad(CAST(row_number() OVER (
+         PARTITION BY year(a.added_date)
+         ORDER BY a.added_date, a.ref_order, a.ref_line, a.product_id, a.quantity_added) AS VARCHAR), 5, '0')
+         AS invoice_no,
+       p.supplier_id, a.product_id, a.quantity_added AS quantity,
+       CAST(p.cost_price * a.quantity_added AS DECIMAL(10,2)) AS total_amount,
+       a.added_date AS invoice_date
+FROM r_add_item a JOIN r_inventory i ON a.product_id = i.product_id
+JOIN r_product p ON a.product_id = p.pro_id
+WHERE a.quantity_added > 0""")
+def restock_supplier_invoices(r):
+    _add, sup, _rej = st.restock(r.add_item, r.inventory, r.product, None, _RESTOCK_ORDER)
+    return sup.drop("status", "payment_status")
+
+
+@register("invoice_identity_ids", """
+SELECT invoice_no, CAST(99999 + row_number() OVER (ORDER BY date, invoice_no) AS BIGINT) AS id
+FROM r_invoice""")
+def invoice_identity_ids(r):
+    return nb.assign_ids(r.invoice.select("invoice_no", "date"), ["date", "invoice_no"],
+                         start=100000).select("invoice_no", "id")
