@@ -28,6 +28,12 @@ INVENTORY_DEFAULTS = {
     "expiry_date": "1900-01-01",
     "availability": 1,
 }
+# form option lists (product entry and invoice forms)
+FORM_UNITS = ("Piece", "Kilogram", "Liter", "Dozen", "Box")
+FORM_CATEGORIES = ("Electronics", "Clothing", "Home & Kitchen", "Sports", "Beauty")
+FORM_SAFETY_LEVELS = (1, 5)
+FORM_TERMS_DAYS = ("5", "10", "15", "20", "30")
+FORM_PAYMENT_METHODS = ("cash", "credit_card", "bank_transfer", "upi", "unpaid")
 DESCRIPTION_PREFIX = {
     "invoice": "Invoice Creation - ",
     "full": "Payment Received (Full) - ",
