@@ -228,7 +228,8 @@ def iso_date(c) -> Column:
 
 
 def money_text(c) -> Column:
-    return F.format_string("%.2f", _c(c))
+    """Two-decimal text ('1234.50'), rounded half up, no grouping."""
+    return F.round(_c(c).cast("decimal(38,6)"), 2).cast("decimal(38,2)").cast("string")
 
 
 # H-22
