@@ -26,6 +26,13 @@ PRODUCT_ATTRS = ("pro_name", "cost_price", "selling_price", "unit", "category",
                  "expiry_date", "supplier_id", "supplier_name", "terms_from_invoice", "hc_code")
 
 
+def _conform(df: DataFrame, like: DataFrame) -> DataFrame:
+    """``df`` with ``like``'s columns and types (absent columns NULL)."""
+    have = set(df.columns)
+    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType)
+                       .alias(f.name) for f in like.schema.fields])
+
+
 def _reason_split(df: DataFrame, reason) -> tuple[DataFrame, DataFrame]:
     tagged = df.withColumn("reason", reason)
     return (tagged.filter(F.col("reason").isNull()).drop("reason"),
@@ -124,10 +131,7 @@ def import_products(rows: DataFrame, product: DataFrame, supplier: DataFrame,
            .withColumn("quantity", (F.col("quantity") + F.coalesce(F.col("_q"), F.lit(0))).cast("int"))
            .drop("_q"))
     ins = per_key.join(product.select("pro_id"), "pro_id", "left_anti").withColumnRenamed("_q", "quantity")
-    for c in p_cols:
-        if c not in ins.columns:
-            ins = ins.withColumn(c, F.lit(None).cast(product.schema[c].dataType))
-    ins = ins.select(*[F.col(c).cast(product.schema[c].dataType).alias(c) for c in p_cols])
+    ins = _conform(ins, product)
     product2 = upd.select(*p_cols).unionByName(ins)
 
     inv_cols = inventory.columns
@@ -142,10 +146,7 @@ def import_products(rows: DataFrame, product: DataFrame, supplier: DataFrame,
                .select("product_id", F.col("pro_name").alias("product_name"),
                        F.col("selling_price").alias("price"), F.col("_q").alias("quantity"),
                        "unit", "category", "expiry_date"))
-    for c in inv_cols:
-        if c not in inv_new.columns:
-            inv_new = inv_new.withColumn(c, F.lit(None).cast(inventory.schema[c].dataType))
-    inv_new = inv_new.select(*[F.col(c).cast(inventory.schema[c].dataType).alias(c) for c in inv_cols])
+    inv_new = _conform(inv_new, inventory)
     inventory2 = refresh_availability(inv_upd.select(*inv_cols).unionByName(inv_new), product2)
     inventory2 = inventory2.select(*inv_cols)
     rejects = bad1.select(order, "reason").unionByName(bad2.select(order, "reason"))

@@ -2,8 +2,11 @@
 
 A plain ``sum().over(Window.partitionBy(k).orderBy(o))`` sends every row of a
 key to one task; if one customer (or product, or invoice) holds a third of
-the rows, that task holds a third of the data.  The helpers here split each
-key into range blocks first:
+the rows, that task holds a third of the data.  ``running_total`` first
+counts rows per key (a partial aggregate) and sends only the hot keys --
+more than ``HOT_KEY_ROWS`` rows, so at most rows / HOT_KEY_ROWS of them --
+down the range-block path; the rest use one plain per-key window.  The
+range-block path splits a key into blocks:
 
 1. ``repartitionByRange(n, keys + order)`` cuts the sorted sequence into n
    blocks of about equal size.  A hot key spans several blocks.
@@ -15,13 +18,15 @@ key into range blocks first:
 
 Steps 2 and 3 must see the *same* blocks.  Two separate range exchanges
 may sample different boundaries (their inputs can arrive in a different
-order), so the block-tagged rows are written once with a reliable
-``checkpoint()`` into ``spark.checkpoint.dir`` and both steps read that copy.
-A lost executor then re-reads the checkpoint instead of re-sampling.
+order), so the block-tagged rows are written once as a Parquet table into
+the shared ``spark.checkpoint.dir`` folder and both steps read that copy.
+A lost executor then re-reads the table instead of re-sampling.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +38,13 @@ def _col(x) -> Column:
 
 
 def _materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back."""
-    from tillbook.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as a Parquet table under the shared checkpoint
+    folder and read it back (a lineage cut, like ``checkpoint()``, but with
+    a columnar vectorized write instead of row serialization)."""
+    from tillbook.session import scratch_path
+    path = scratch_path(df.sparkSession, f"blocks-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _blocks(df: DataFrame, blocks: int | None) -> int:
@@ -45,16 +53,14 @@ def _blocks(df: DataFrame, blocks: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def running_total(df: DataFrame, keys: list[str], order: list, value, out: str,
-                  blocks: int | None = None, exclusive: bool = False) -> DataFrame:
-    """Add ``out`` = running sum of ``value`` per ``keys`` in ``order``.
+# A key with more rows than this takes the range-block path; below it a
+# plain per-key window keeps the key in one task.
+HOT_KEY_ROWS = 2_000_000
 
-    ``order`` must make rows unique within a key (else ties are arbitrary).
-    ``exclusive=True`` gives the sum of the rows strictly before each row.
-    """
-    n = _blocks(df, blocks)
-    order_cols = [_col(o) for o in order]
-    val = _col(value)
+
+def _blocked_running_total(df: DataFrame, keys: list[str], order_cols: list, val, out: str,
+                           n: int, exclusive: bool) -> DataFrame:
+    """Range-block prefix sum (see module docstring); any key size."""
     tagged = _materialize(df.withColumn(_TOT, val)
                           .repartitionByRange(n, *[F.col(k) for k in keys], *order_cols)
                           .withColumn(_BLK, F.spark_partition_id()))
@@ -72,10 +78,51 @@ def running_total(df: DataFrame, keys: list[str], order: list, value, out: str,
             .drop(_BLK, _RUN, _OFF, _TOT))
 
 
+def _plain_running_total(df: DataFrame, keys: list[str], order_cols: list, val, out: str,
+                         exclusive: bool) -> DataFrame:
+    upper = Window.currentRow - 1 if exclusive else Window.currentRow
+    w = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, upper)
+    run = F.sum(val).over(w)
+    if exclusive:
+        run = F.coalesce(run, F.lit(0))
+    return df.withColumn(out, run)
+
+
+def running_total(df: DataFrame, keys: list[str], order: list, value, out: str,
+                  blocks: int | None = None, exclusive: bool = False,
+                  hot_rows: int | None = None) -> DataFrame:
+    """Add ``out`` = running sum of ``value`` per ``keys`` in ``order``.
+
+    ``order`` must make rows unique within a key (else ties are arbitrary).
+    ``exclusive=True`` gives the sum of the rows strictly before each row.
+
+    Keys are split by size first: a partial-aggregate count per key finds
+    the hot keys (more than ``hot_rows`` rows; there are at most
+    rows / hot_rows of them).  Cold keys use one per-key window, whose
+    largest task is bounded by ``hot_rows``; hot keys go through the
+    range-block path, which spreads one key over many tasks.
+    """
+    n = _blocks(df, blocks)
+    limit = HOT_KEY_ROWS if hot_rows is None else hot_rows
+    order_cols = [_col(o) for o in order]
+    val = _col(value)
+    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tb_n"))
+           .filter(F.col("_tb_n") > limit).select(*keys))
+    if not hot.take(1):
+        return _plain_running_total(df, keys, order_cols, val, out, exclusive)
+    hot = _materialize(hot)
+    cold_part = _plain_running_total(df.join(hot, keys, "left_anti"), keys, order_cols, val, out,
+                                     exclusive)
+    hot_part = _blocked_running_total(df.join(hot, keys, "left_semi"), keys, order_cols, val, out,
+                                      n, exclusive)
+    return cold_part.unionByName(hot_part)
+
+
 def row_number_in_group(df: DataFrame, keys: list[str], order: list, out: str,
-                        blocks: int | None = None) -> DataFrame:
+                        blocks: int | None = None, hot_rows: int | None = None) -> DataFrame:
     """1-based position of each row within its key, skew-safe."""
-    return running_total(df, keys, order, F.lit(1).cast("long"), out, blocks)
+    return running_total(df, keys, order, F.lit(1).cast("long"), out, blocks,
+                         hot_rows=hot_rows)
 
 
 def dense_ids(df: DataFrame, order: list, out: str, start: int = 1,
@@ -102,12 +149,19 @@ def dense_ids(df: DataFrame, order: list, out: str, start: int = 1,
 
 
 def first_by_order(df: DataFrame, keys: list[str], order: list[str], cols: list[str]) -> DataFrame:
-    """First row per key in ``order`` (ascending), as one aggregate.
+    """First row per key in ``order`` (ascending), as an aggregate.
 
-    ``min(struct(order..., cols...))`` is a partial aggregate: each task keeps
-    one candidate per key before the shuffle, so a hot key costs one row per
-    task, not all its rows in one task.
+    One order column: a hash ``min(order)`` per key, then the rows are
+    matched back on (key, order); the match is partitioned by both columns,
+    so a hot key spreads over tasks.  Several order columns:
+    ``min(struct(order..., cols...))``, also a partial aggregate (each task
+    keeps one candidate per key before the shuffle).
     """
+    if len(order) == 1:
+        o = order[0]
+        firsts = df.groupBy(*keys).agg(F.min(o).alias(o))
+        picked = df.join(firsts, [*keys, o], "inner")
+        return picked.select(*keys, *[c for c in cols if c not in keys])
     packed = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
                       *[F.col(c) for c in cols])
     best = df.groupBy(*keys).agg(F.min(packed).alias("_tb_first"))
