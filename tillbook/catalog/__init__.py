@@ -35,7 +35,7 @@ def _load():
     global _LOADED
     if not _LOADED:
         from tillbook.catalog import (documents, ledger, loads, quality, reports,  # noqa: F401
-                                      rules, stock, streams)
+                                      rules, sources, stock, streams)
         _LOADED = True
 
 

@@ -5,9 +5,9 @@ row.  Each load here is one plan: coerce and validate every row with
 column expressions (bad rows go to a reject frame with a reason), resolve
 keys with joins (anti/semi joins for EXISTS / NOT EXISTS), collapse repeated
 keys with partial aggregates, and emit the new table version.  "First row
-wins" uses the row's file position (``ord``) inside a ``min(struct)``
-aggregate, never a per-key window, so a key repeated a million times in a
-file costs one candidate row per task.
+wins" takes ``min(ord)`` of the row's file position per key (a partial
+aggregate) and matches rows back on (key, ord), never a per-key window, so
+a key repeated a million times in a file does not land in one task.
 """
 
 from __future__ import annotations
