@@ -288,3 +288,119 @@ def guard_ledger_entries(r):
     new = r.ledger.filter(F.col("transaction_date") >= cut)
     old = r.ledger.filter(F.col("transaction_date") < cut)
     return lg.guard_ledger_entries(new, old).select("invoice_no", "step", "transaction_type", "reason")
+
+
+# ---- lines and the whole posting job ------------------------------------------
+
+@register("sale_to_lines", """
+SELECT l_orderkey AS invoice_no, l_partkey AS product_id, CAST(l_quantity AS INTEGER) AS quantity,
+       COALESCE(i.unit, 'pcs') AS unit, i.price,
+       CAST(CASE WHEN l_discount = 0 THEN 0 ELSE i.price * CAST(l_quantity AS INTEGER) * CAST(l_discount AS DECIMAL(3,2)) END
+            AS DECIMAL(10,2)) AS discount,
+       CAST(i.price * CAST(l_quantity AS INTEGER)
+            - CAST(CASE WHEN l_discount = 0 THEN 0 ELSE i.price * CAST(l_quantity AS INTEGER) * CAST(l_discount AS DECIMAL(3,2)) END
+                   AS DECIMAL(10,2)) AS DECIMAL(10,2)) AS total
+FROM lineitem JOIN r_inventory i ON l_partkey = i.product_id""")
+def sale_to_lines(r):
+    li = r.raw("lineitem")
+    inv = r.inventory.select(F.col("product_id").alias("l_partkey"), "price")
+    qty = F.col("l_quantity").cast("int")
+    disc = F.when(F.col("l_discount") == 0, F.lit(None)).otherwise(
+        (F.col("price") * qty * F.col("l_discount").cast("decimal(3,2)")).cast("decimal(10,2)"))
+    sale = li.join(inv, "l_partkey").select(
+        F.col("l_orderkey").alias("invoice_no"), F.col("l_partkey").alias("product_id"),
+        qty.alias("quantity"), "price", disc.alias("discount"))
+    units = r.inventory.select(F.col("product_id").alias("pro_id"), "unit")
+    return ps.sale_to_lines(sale, units)
+
+
+@register("recompute_invoice_total", """
+SELECT i.invoice_no, CAST(COALESCE(s.t, 0) AS DECIMAL(10,2)) AS total_amount,
+       CAST(CAST(COALESCE(s.t, 0) AS DECIMAL(10,2)) - i.discount AS DECIMAL(10,2)) AS final_amount
+FROM r_invoice i LEFT JOIN (SELECT invoice_no, SUM(total) AS t FROM r_lines GROUP BY 1) s
+  ON i.invoice_no = s.invoice_no""")
+def recompute_invoice_total(r):
+    return ps.recompute_invoice_total(r.invoice, r.lines).select(
+        "invoice_no", "total_amount", "final_amount")
+
+
+@register("build_lines", f"""
+SELECT l.invoice_no, l.line_no, l.product_id, l.quantity, l.price, l.discount, i.unit,
+       CAST(l.price * l.quantity - l.discount AS DECIMAL(10,2)) AS total
+FROM r_lines l JOIN r_invoice v ON l.invoice_no = v.invoice_no
+LEFT JOIN r_inventory i ON l.product_id = i.product_id
+WHERE v.date >= {D} - INTERVAL 30 DAY""")
+def build_lines(r):
+    recent = r.invoice.filter(F.col("date") >= F.date_sub(F.lit(AS_OF).cast("date"), 30))
+    items = r.lines.join(recent.select("invoice_no"), "invoice_no", "left_semi").drop("total")
+    return ps.build_lines(items, r.inventory).select(
+        "invoice_no", "line_no", "product_id", "quantity", "price", "discount", "unit", "total")
+
+
+def _posting_job(r):
+    from tillbook.catalog.loads import existing_customers
+    from tillbook.plans.invoice_posting import post_invoices
+    recent = r.invoice_draft.filter(F.col("date") >= F.date_sub(F.lit(AS_OF).cast("date"), 30))
+    items = r.lines.join(recent.select("invoice_no"), "invoice_no", "left_semi").drop("total")
+    return post_invoices(recent, items, existing_customers(r), r.inventory)
+
+
+_POSTING_SQL = f"""
+WITH h AS (SELECT i.*, i.invoice_no IN (SELECT invoice_no FROM r_lines) AS has_lines FROM r_invoice1 i
+           WHERE i.date >= {D} - INTERVAL 30 DAY),
+t AS (SELECT *, CASE
+   WHEN NOT has_lines THEN 'required field missing or no product'
+   WHEN abs(total_amount * discount_percent / 100 - discount) > 0.01 THEN 'discount does not match percentage'
+   WHEN abs(total_amount - discount - final_amount) > 0.01 THEN 'final amount does not match total minus discount'
+   WHEN payment_method IN ('cash', 'credit_card', 'bank_transfer', 'upi') AND final_amount > 0 AND paid0 <= 0
+        THEN 'paid method needs total_paid > 0' END AS reason FROM h),
+ok AS (SELECT * FROM t WHERE reason IS NULL),
+items AS (SELECT l.* FROM r_lines l WHERE l.invoice_no IN (SELECT invoice_no FROM ok)),
+x AS (SELECT it.invoice_no, COALESCE(inv.quantity >= SUM(it.quantity) OVER (PARTITION BY it.product_id
+             ORDER BY it.invoice_no, it.line_no, it.quantity ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+             FALSE) AS line_ok
+      FROM items it LEFT JOIN r_inventory inv ON it.product_id = inv.product_id),
+verdict AS (SELECT invoice_no, bool_and(line_ok) AS invoice_ok FROM x GROUP BY 1),
+existing AS (SELECT c_custkey AS id, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS mobile
+             FROM customer WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING')),
+fresh AS (SELECT customer_mobile, min(invoice_no) AS first FROM ok
+          WHERE customer_mobile NOT IN (SELECT mobile FROM existing) GROUP BY 1),
+ids AS (SELECT mobile AS customer_mobile, id FROM existing
+        UNION ALL SELECT customer_mobile, (SELECT max(id) FROM existing) + row_number() OVER (ORDER BY first) FROM fresh),
+acc AS (SELECT ok.*, ids.id AS cid,
+               CASE WHEN payment_method = 'unpaid' THEN CAST(0 AS DECIMAL(10,2)) ELSE paid0 END AS paid1
+        FROM ok JOIN verdict v ON ok.invoice_no = v.invoice_no AND v.invoice_ok
+        LEFT JOIN ids ON ok.customer_mobile = ids.customer_mobile)"""
+
+
+@register("post_invoice_batch", _POSTING_SQL + """
+SELECT invoice_no, CAST(cid AS BIGINT) AS customer_id,
+       CASE WHEN payment_method IN ('cash', 'credit_card', 'bank_transfer', 'upi') AND paid1 > 0 THEN 'Paid' ELSE 'Unpaid' END
+         AS payment_status,
+       CASE WHEN payment_method IN ('cash', 'credit_card', 'bank_transfer', 'upi') AND paid1 > 0 THEN paid1
+            ELSE CAST(0 AS DECIMAL(10,2)) END AS total_paid
+FROM acc""")
+def post_invoice_batch(r):
+    return _posting_job(r)["invoice"].select("invoice_no", "customer_id", "payment_status", "total_paid")
+
+
+@register("post_invoice_batch_stock", _POSTING_SQL + """,
+sold AS (SELECT product_id, SUM(quantity) AS s FROM r_lines WHERE invoice_no IN (SELECT invoice_no FROM acc) GROUP BY 1),
+n AS (SELECT i.product_id, i.safety_level, CAST(i.quantity - COALESCE(s.s, 0) AS INTEGER) AS q
+      FROM r_inventory i LEFT JOIN sold s ON i.product_id = s.product_id),
+y AS (SELECT *, CASE WHEN COALESCE(safety_level, 1) = 0 THEN 1.0
+                     ELSE CAST(q AS DOUBLE) / CAST(COALESCE(safety_level, 1) AS DOUBLE) END AS ratio FROM n)
+SELECT product_id, q AS quantity,
+       CAST(CASE WHEN ratio >= 1.0 THEN 5 WHEN ratio >= 0.85 THEN 4 WHEN ratio >= 0.50 THEN 3
+                 WHEN ratio >= 0.25 THEN 2 ELSE 1 END AS INTEGER) AS availability FROM y""")
+def post_invoice_batch_stock(r):
+    return _posting_job(r)["inventory"].select("product_id", "quantity", "availability")
+
+
+@register("post_invoice_batch_rejects", _POSTING_SQL + """
+SELECT invoice_no, reason FROM t WHERE reason IS NOT NULL
+UNION ALL
+SELECT ok.invoice_no, 'insufficient stock' FROM ok JOIN verdict v ON ok.invoice_no = v.invoice_no
+WHERE NOT v.invoice_ok""")
+def post_invoice_batch_rejects(r):
+    return _posting_job(r)["rejects"]

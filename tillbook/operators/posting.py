@@ -124,3 +124,25 @@ def upsert_payments(invoice: DataFrame, payment: DataFrame, customer: DataFrame)
                         F.col("_mode").alias("payment_mode"), F.lit("Completed").alias("status"),
                         F.lit(None).cast("long").alias("customer_id")))
     return updated.unionByName(inserted), rejects
+
+
+# J-13
+def sale_to_lines(sale: DataFrame, product: DataFrame) -> DataFrame:
+    """Sale rows -> invoice lines: unit from the product ('pcs' if none),
+    discount NULL -> 0, H-4 total."""
+    units = product.select(F.col("pro_id").alias("product_id"), F.col("unit").alias("_unit"))
+    return (sale.join(units, "product_id", "left")
+            .select("invoice_no", "product_id", "quantity",
+                    F.coalesce(F.col("_unit"), F.lit("pcs")).alias("unit"), "price",
+                    F.coalesce(F.col("discount"), F.lit(0)).cast(R.MONEY).alias("discount"))
+            .withColumn("total", R.line_total("price", "quantity", "discount")))
+
+
+# G-17
+def recompute_invoice_total(invoice: DataFrame, lines: DataFrame) -> DataFrame:
+    """total_amount := SUM(line totals) (0 without lines); final_amount follows (H-3)."""
+    sums = lines.groupBy("invoice_no").agg(F.sum("total").alias("_t"))
+    total = F.coalesce(F.col("_t"), F.lit(0)).cast(R.MONEY)
+    return (invoice.join(sums, "invoice_no", "left").withColumn("total_amount", total)
+            .withColumn("final_amount", R.final_amount("total_amount", "discount"))
+            .drop("_t"))

@@ -37,7 +37,7 @@ def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a Parquet table under the shared checkpoint
     folder and read it back (a lineage cut, like ``checkpoint()``, but with
     a columnar vectorized write instead of row serialization)."""
@@ -61,7 +61,7 @@ HOT_KEY_ROWS = 2_000_000
 def _blocked_running_total(df: DataFrame, keys: list[str], order_cols: list, val, out: str,
                            n: int, exclusive: bool) -> DataFrame:
     """Range-block prefix sum (see module docstring); any key size."""
-    tagged = _materialize(df.withColumn(_TOT, val)
+    tagged = materialize(df.withColumn(_TOT, val)
                           .repartitionByRange(n, *[F.col(k) for k in keys], *order_cols)
                           .withColumn(_BLK, F.spark_partition_id()))
     upper = Window.currentRow - 1 if exclusive else Window.currentRow
@@ -110,7 +110,7 @@ def running_total(df: DataFrame, keys: list[str], order: list, value, out: str,
            .filter(F.col("_tb_n") > limit).select(*keys))
     if not hot.take(1):
         return _plain_running_total(df, keys, order_cols, val, out, exclusive)
-    hot = _materialize(hot)
+    hot = materialize(hot)
     cold_part = _plain_running_total(df.join(hot, keys, "left_anti"), keys, order_cols, val, out,
                                      exclusive)
     hot_part = _blocked_running_total(df.join(hot, keys, "left_semi"), keys, order_cols, val, out,
@@ -136,7 +136,7 @@ def dense_ids(df: DataFrame, order: list, out: str, start: int = 1,
     """
     n = _blocks(df, blocks)
     order_cols = [_col(o) for o in order]
-    tagged = _materialize(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    tagged = materialize(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
                           .withColumn(_BLK, F.spark_partition_id())
                           .withColumn(_MID, F.monotonically_increasing_id()))
     counts = tagged.groupBy(_BLK).agg(F.count(F.lit(1)).alias(_TOT))
