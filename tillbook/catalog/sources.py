@@ -76,3 +76,39 @@ def replace_table_versions(r):
     cur = files.load_table(r.spark, root, "product")
     files.replace_table(cur.withColumn("quantity", (F.col("quantity") + 1).cast("int")), root, "product")
     return files.load_table(r.spark, root, "product").select("pro_id", "quantity")
+
+
+@register("csv_suppliers_import", """
+SELECT CAST((SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY s_suppkey) AS BIGINT) AS id,
+       s_name AS name, 'Net ' || CAST((s_suppkey % 4 + 1) * 15 AS VARCHAR) || ' days, "quoted", a' AS terms,
+       lpad(CAST(s_suppkey AS VARCHAR), 10, '9') AS mobile,
+       's' || CAST(s_suppkey AS VARCHAR) || '@example.com' AS mail, s_name || ' Pvt Ltd' AS company
+FROM supplier""")
+def csv_suppliers_import(r):
+    from tillbook.catalog.loads import supplier_file
+    path = _scratch(r, "suppliers-csv")
+    f = supplier_file(r).withColumn("terms", F.concat("terms", F.lit(', "quoted", a')))
+    # the file's own id / timestamp columns are present and ignored by the load
+    (f.withColumn("id", F.col("ord").cast("int"))
+     .withColumn("timestamp", F.lit("2024-02-23 10:00:00").cast("timestamp_ntz"))
+     .write.option("header", True).option("escape", '"').csv(path))
+    rows = files.read_suppliers_csv(r.spark, path, ord_col=None, extra=SEQ)
+    return ld.import_suppliers(rows, r.supplier)
+
+
+@register("csv_ledger_import", """
+SELECT transaction_date, invoice_no, CAST(NULL AS INTEGER) AS supplier_id, amount, transaction_type,
+       description, balance, customer_id FROM r_ledger
+UNION ALL
+SELECT transaction_date, invoice_no, CAST(NULL AS INTEGER), amount, transaction_type, description, balance,
+       customer_id FROM r_ledger WHERE transaction_type = 'Credit'""")
+def csv_ledger_import(r):
+    path = _scratch(r, "ledger-import-csv")
+    cols = [f.name for f in files.LEDGER_CSV.fields]
+    src = r.ledger.withColumn("supplier_id", F.lit(None).cast("int"))
+    src.filter("transaction_type = 'Credit'").select(*cols).write.option("header", True).csv(path)
+    incoming = files.read_ledger_csv(r.spark, path)
+    root = _scratch(r, "ledger-table")
+    files.append_table(src.select(*cols), root, "ledger")
+    files.append_table(incoming.select(*cols), root, "ledger")
+    return files.load_table(r.spark, root, "ledger")

@@ -65,6 +65,7 @@ def _read_csv(spark: SparkSession, path: str, schema: T.StructType, ord_col: str
     file_schema = T.StructType([schema[c] if c in schema.fieldNames() else T.StructField(c, S)
                                 for c in header])
     df = (spark.read.schema(file_schema).option("header", True).option("mode", "PERMISSIVE")
+          .option("escape", "\"")
           .option("multiLine", False).csv(path))
     keep = [c for c in schema.fieldNames() if c in header]
     out = df.select(*keep)
