@@ -5,7 +5,8 @@ The retail tables are first derived from the driver tables and stored as
 Parquet (``build_tables``, the one-time load, reported but not part of the
 headline total); every headline query then reads the stored tables, as a
 deployment would.  Each query runs to completion on the ``noop`` sink (no
-collect), after one warm-up, on a fresh plan.
+collect), on a fresh plan; the whole suite runs once untimed (JVM/JIT and
+codegen warm-up) and the second pass is reported.
 """
 
 from __future__ import annotations
@@ -49,36 +50,40 @@ def main() -> None:
     def fresh():
         return StoredRetail(spark, sf_dir, table_dir)
 
-    run(reports.total_orders(fresh().invoice))  # warm-up on the stored tables
-    q = {}
-    q["dashboard_all"] = timed(lambda: run_all(dashboard_for(fresh(), AS_OF)))
-    q["kpis_fused"] = timed(lambda: run(reports.dashboard_kpis(fresh().invoice, AS_OF)))
-
-    def separate():
-        r = fresh()
-        for f in (reports.total_sales_today, reports.total_sales_month, reports.total_sales_week,
-                  reports.active_customers):
-            run(f(r.invoice, AS_OF))
-        run(reports.total_orders(r.invoice))
-        run(reports.average_order_value(r.invoice))
-    q["kpis_separate"] = timed(separate)
-    q["best_selling_products"] = timed(
-        lambda: run(reports.best_selling_products(fresh().lines, fresh().product, 5)))
-    q["post_ledger"] = timed(lambda: run(ledger.post_ledger(fresh().invoice)))
-
-    def product_upsert():
-        r = fresh()
-        p2, inv2, rej = loads.import_products(product_file(r), existing_products(r), r.supplier,
-                                              r.inventory)
-        run(p2)
-        run(inv2)
-        run(rej)
-    q["import_products"] = timed(product_upsert)
-
-    def cumulative():
-        r = fresh()
-        run(stock.stock_verdicts(sales_batch(r), r.inventory, "cumulative", LINE_ORDER))
-    q["check_stock_cumulative"] = timed(cumulative)
+    def suite() -> dict:
+        q = {}
+        q["dashboard_all"] = timed(lambda: run_all(dashboard_for(fresh(), AS_OF)))
+        q["kpis_fused"] = timed(lambda: run(reports.dashboard_kpis(fresh().invoice, AS_OF)))
+
+        def separate():
+            r = fresh()
+            for f in (reports.total_sales_today, reports.total_sales_month,
+                      reports.total_sales_week, reports.active_customers):
+                run(f(r.invoice, AS_OF))
+            run(reports.total_orders(r.invoice))
+            run(reports.average_order_value(r.invoice))
+        q["kpis_separate"] = timed(separate)
+        q["best_selling_products"] = timed(
+            lambda: run(reports.best_selling_products(fresh().lines, fresh().product, 5)))
+        q["post_ledger"] = timed(lambda: run(ledger.post_ledger(fresh().invoice)))
+
+        def product_upsert():
+            r = fresh()
+            p2, inv2, rej = loads.import_products(product_file(r), existing_products(r),
+                                                  r.supplier, r.inventory)
+            run(p2)
+            run(inv2)
+            run(rej)
+        q["import_products"] = timed(product_upsert)
+
+        def cumulative():
+            r = fresh()
+            run(stock.stock_verdicts(sales_batch(r), r.inventory, "cumulative", LINE_ORDER))
+        q["check_stock_cumulative"] = timed(cumulative)
+        return q
+
+    suite()          # warm-up pass: JIT, codegen and file-listing caches
+    q = suite()      # timed pass
     total = sum(v for k, v in q.items() if k != "kpis_separate")
     q["build_tables"] = build
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")

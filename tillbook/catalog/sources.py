@@ -112,3 +112,31 @@ def csv_ledger_import(r):
     files.append_table(src.select(*cols), root, "ledger")
     files.append_table(incoming.select(*cols), root, "ledger")
     return files.load_table(r.spark, root, "ledger")
+
+
+@register("product_import_job", """
+WITH base AS (SELECT p_partkey AS pro_id, p_size, CAST(p_partkey % 120 AS INTEGER) AS supplier_id FROM part),
+rows AS (SELECT pro_id, p_size AS quantity, supplier_id, p_size FROM base
+         UNION ALL SELECT pro_id, p_size % 7, supplier_id, p_size FROM base),
+ok AS (SELECT * FROM rows WHERE p_size <> 50 AND supplier_id IN (SELECT s_suppkey FROM supplier)),
+sums AS (SELECT pro_id, SUM(quantity) AS q FROM ok GROUP BY pro_id),
+n AS (SELECT i.product_id,
+             CAST(CASE WHEN s.q IS NOT NULL THEN COALESCE(i.quantity, 0) + s.q ELSE i.quantity END AS INTEGER) AS quantity,
+             CASE WHEN p.p_size <= 25 OR s.q IS NOT NULL THEN p.p_size ELSE 1 END AS sl
+      FROM r_inventory i LEFT JOIN sums s ON i.product_id = s.pro_id
+      JOIN part p ON i.product_id = p.p_partkey),
+x AS (SELECT *, CASE WHEN sl = 0 THEN 1.0 ELSE CAST(quantity AS DOUBLE) / CAST(sl AS DOUBLE) END AS q_ratio FROM n)
+SELECT product_id, quantity,
+       CAST(CASE WHEN q_ratio >= 1.0 THEN 5 WHEN q_ratio >= 0.85 THEN 4 WHEN q_ratio >= 0.50 THEN 3
+                 WHEN q_ratio >= 0.25 THEN 2 ELSE 1 END AS INTEGER) AS availability
+FROM x""")
+def product_import_job(r):
+    from tillbook.plans.product_import import import_products_file
+    root = _scratch(r, "retail-tables")
+    files.replace_table(existing_products(r), root, "product")
+    files.replace_table(r.inventory, root, "inventory")
+    files.replace_table(r.supplier, root, "supplier")
+    path = _scratch(r, "products-file")
+    product_file(r).write.option("header", True).csv(path)
+    import_products_file(r.spark, path, root, extra=SEQ)
+    return files.load_table(r.spark, root, "inventory").select("product_id", "quantity", "availability")

@@ -28,10 +28,10 @@ def assign_doc_numbers(rows: DataFrame, existing: DataFrame | None, year_col: st
     pos = row_number_in_group(rows, [year_col], order, "_pos")
     year_txt = F.col(year_col).cast("string")
     if existing is not None:
+        # per year: the highest number text LIKE 'YYYY%' (B-12), its last five digits
         prior = (existing.select(F.col("invoice_no").cast("string").alias("_no"))
-                 .filter(F.length("_no") == 9)
-                 .select(F.substring("_no", 1, 4).alias("_y"), R.doc_serial(F.col("_no")).alias("_s"))
-                 .groupBy("_y").agg(F.max("_s").alias("_last")))
+                 .groupBy(F.substring("_no", 1, 4).alias("_y")).agg(F.max("_no").alias("_top"))
+                 .select("_y", R.doc_serial(F.col("_top")).alias("_last")))
         pos = pos.join(prior, year_txt == F.col("_y"), "left").drop("_y")
         serial = F.coalesce(F.col("_last"), F.lit(0)) + F.col("_pos")
     else:

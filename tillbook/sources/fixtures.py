@@ -181,8 +181,16 @@ class StoredRetail(Retail):
     def __init__(self, spark: SparkSession, sf_dir: str, table_dir: str):
         super().__init__(spark, sf_dir)
         self.table_dir = table_dir.rstrip("/")
-        for name in RETAIL_TABLES:
-            self.__dict__[name] = spark.read.parquet(f"{self.table_dir}/{name}")
+
+    def __getattribute__(self, name):
+        # stored tables open on first use (file listing and footers cost a
+        # round trip each; a report touches two or three of ten tables)
+        if name in RETAIL_TABLES:
+            d = object.__getattribute__(self, "__dict__")
+            if name not in d:
+                d[name] = self.spark.read.parquet(f"{self.table_dir}/{name}")
+            return d[name]
+        return object.__getattribute__(self, name)
 
     @classmethod
     def build(cls, spark: SparkSession, sf_dir: str, table_dir: str) -> "StoredRetail":
