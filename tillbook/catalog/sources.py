@@ -109,8 +109,8 @@ def csv_ledger_import(r):
     src.filter("transaction_type = 'Credit'").select(*cols).write.option("header", True).csv(path)
     incoming = files.read_ledger_csv(r.spark, path)
     root = _scratch(r, "ledger-table")
-    files.append_table(src.select(*cols), root, "ledger")
-    files.append_table(incoming.select(*cols), root, "ledger")
+    files.append_table(src, root, "ledger", files.LEDGER_CSV)
+    files.append_table(incoming, root, "ledger", files.LEDGER_CSV)
     return files.load_table(r.spark, root, "ledger")
 
 

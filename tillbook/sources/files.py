@@ -31,7 +31,8 @@ PRODUCT_CSV = T.StructType([T.StructField(c, S) for c in (
 LEDGER_CSV = T.StructType([T.StructField("transaction_date", T.TimestampNTZType()),
                            T.StructField("invoice_no", L), T.StructField("supplier_id", I),
                            T.StructField("amount", D), T.StructField("transaction_type", S),
-                           T.StructField("description", S), T.StructField("balance", D),
+                           T.StructField("description", S),
+                           T.StructField("balance", T.DecimalType(18, 2)),
                            T.StructField("customer_id", L)])
 
 ALLOWED_EXTENSIONS = ("csv", "xlsx")
@@ -123,8 +124,14 @@ def load_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 # A-8
-def append_table(df: DataFrame, root: str, name: str) -> None:
-    """INSERT of a whole batch: one append write (no per-row statements)."""
+def append_table(df: DataFrame, root: str, name: str,
+                 schema: T.StructType | None = None) -> None:
+    """INSERT of a whole batch: one append write (no per-row statements).
+
+    With ``schema`` the batch is cast to it first, so every file of the
+    table carries the same column types."""
+    if schema is not None:
+        df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
     df.write.mode("append").parquet(f"{root.rstrip('/')}/{name}")
 
 
