@@ -36,3 +36,27 @@ def test_stream_ledger_equals_batch(spark):
     out = sm.stream_ledger(spark, path, r.invoice, max_files=2)
     cols = ("invoice_no", "step", "balance")
     assert rows(out, *cols) == rows(lg.post_ledger(r.invoice), *cols)
+
+
+def test_stream_ledger_out_of_order(spark):
+    from decimal import Decimal as Dec
+    d = dt.date
+    schema = ("invoice_no long, customer_id long, customer_name string, customer_mobile string, "
+              "date date, final_amount decimal(10,2), total_paid decimal(10,2), payment_status string")
+    batches = [
+        [(10, 1, "A", "01", d(2024, 1, 10), Dec("100.00"), Dec("0.00"), "Unpaid"),
+         (11, 2, "B", "02", d(2024, 1, 11), Dec("50.00"), Dec("50.00"), "Paid")],
+        [(12, 1, "A", "01", d(2024, 1, 5), Dec("30.00"), Dec("10.00"), "Paid"),    # older than posted
+         (13, 2, "B", "02", d(2024, 1, 20), Dec("5.00"), Dec("0.00"), "Unpaid")],  # in order
+    ]
+    path = sm.new_root(spark, "feed-ooo")
+    for b in batches:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(path)
+    like = spark.createDataFrame([], schema)
+    out = sm.stream_ledger(spark, path, like, max_files=1)
+    allrows = spark.createDataFrame(batches[0] + batches[1], schema)
+    cols = ("invoice_no", "step", "transaction_type", "balance")
+    assert rows(out, *cols) == rows(lg.post_ledger(allrows), *cols)
+    # A: Jan 5 debit 30, credit 10, then Jan 10 debit 100 -> 120
+    assert rows(out.filter("customer_mobile = '01'"), "invoice_no", "step", "balance") == [
+        (10, 0, Dec("120.00")), (12, 0, Dec("30.00")), (12, 1, Dec("20.00"))]

@@ -5,13 +5,16 @@ Structured Streaming query over a file feed:
 
 * R-1 daily sales: event-time tumbling windows with a watermark (late rows
   are dropped), update mode, merged into a sales-by-day table.
-* R-2 stock, R-3 ledger, R-5 customers: ``foreachBatch`` with the state kept
-  as a versioned Parquet table in the shared checkpoint folder.  Micro-batch
+* R-2 stock, R-5 customers: ``foreachBatch`` with the state kept as a
+  versioned Parquet table in the shared checkpoint folder.  Micro-batch
   ``b`` reads version ``b-1`` and writes version ``b`` with overwrite, so a
   replayed batch (after a failure) rewrites the same version: idempotent by
-  batch id.  The merges are order-robust: a batch holding rows older than
-  rows already posted still gives the batch result (the ledger re-posts the
-  history of the customers a batch touches; first-wins keeps the smaller
+  batch id.
+* R-3 ledger: a per-customer balances state (versioned as above) and an
+  append-mostly ledger partitioned by batch id (see ``stream_ledger``).
+* The merges are order-robust: a batch holding rows older than rows
+  already posted still gives the batch result (the ledger re-posts the
+  history of the customers concerned; first-wins keeps the smaller
   ``ord``), so the result does not depend on how files split into batches.
 * R-4 payment modes: a streaming aggregate in complete mode (its result is
   bounded by the number of modes).
@@ -30,6 +33,7 @@ from pyspark.sql.utils import AnalysisException
 
 from tillbook.operators.ledger import LEDGER_ORDER, _entries_from_invoices, running_balance
 from tillbook.operators.stock import refresh_availability
+from tillbook.operators.windows import materialize
 from tillbook.session import scratch_path
 
 
@@ -144,27 +148,70 @@ def stream_ledger(spark: SparkSession, feed: str, like: DataFrame,
                   max_files: int | None = 8) -> DataFrame:
     """Ledger posting (P-7) from a stream of invoices with carried balances.
 
-    Batch b: entries of its invoices; the customers it touches have their
-    whole ledger re-posted (old entries + new ones, in date order), the
-    rest is kept.  Invoices arriving out of date order therefore still get
-    the batch result.
+    State: a balances table (customer_mobile, last posted key, balance), one
+    row per customer, versioned per batch.  The ledger itself is a Parquet
+    folder partitioned by ``batch_id``.  Batch ``b``:
+
+    * customers whose new entries all come after their last posted entry
+      (the normal, in-order case) are posted from their carried balance with
+      the skew-safe running total and written to partition ``b`` only;
+    * customers receiving an entry older than one already posted get their
+      history re-posted in date order; only the partitions holding their
+      rows are rewritten.
+
+    Writes use dynamic partition overwrite, so replaying batch ``b`` after a
+    failure rewrites the same partitions with the same rows.
     """
     root = new_root(spark, "ledger")
-    empty_entries = _entries_from_invoices(like.limit(0))
-    initial = running_balance(empty_entries)
-    state = VersionedState(spark, f"{root}/table", initial)
+    ledger_dir = f"{root}/entries"
+    empty_bal = spark.createDataFrame(
+        [], "customer_mobile string, _last struct<transaction_date: timestamp_ntz, "
+            "invoice_no: long, step: int>, opening_balance decimal(18,2)")
+    balances = VersionedState(spark, f"{root}/balances", empty_bal)
     src = _read_feed(spark, feed, like, max_files)
+    key = F.struct(*[F.col(c) for c in LEDGER_ORDER])
+
+    def write_partitions(df: DataFrame) -> None:
+        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(ledger_dir))
 
     def post(batch: DataFrame, batch_id: int) -> None:
-        new = _entries_from_invoices(batch)
-        prev = state.before(batch_id)
-        touched = new.select("customer_mobile").distinct()
-        keep = prev.join(touched, "customer_mobile", "left_anti")
-        redo = prev.join(touched, "customer_mobile", "left_semi").drop("balance").unionByName(new)
-        state.write(keep.unionByName(running_balance(redo)), batch_id)
+        new = _entries_from_invoices(batch).withColumn("batch_id", F.lit(batch_id))
+        bal = balances.before(batch_id)
+        first = new.groupBy("customer_mobile").agg(F.min(key).alias("_first"))
+        late = (first.join(bal, "customer_mobile", "inner")
+                .filter(F.col("_first") <= F.col("_last")).select("customer_mobile"))
+        has_late = bool(late.take(1))
+        fresh = new.join(late, "customer_mobile", "left_anti") if has_late else new
+        posted = running_balance(fresh.drop("balance"),
+                                 opening=bal.select("customer_mobile", "opening_balance"))
+        out = posted
+        if has_late:
+            late = materialize(late)
+            old = spark.read.parquet(ledger_dir).filter(F.col("batch_id") < batch_id)
+            history = old.join(late, "customer_mobile", "left_semi").drop("balance")
+            redo = running_balance(history.unionByName(
+                new.join(late, "customer_mobile", "left_semi")))
+            touched = redo.select("batch_id").distinct()
+            keep = (old.join(touched, "batch_id", "left_semi")
+                    .join(late, "customer_mobile", "left_anti"))
+            # written aside first: the partitions being replaced are also read
+            out = materialize(posted.unionByName(redo).unionByName(keep))
+        write_partitions(out)
+        done = out.filter(F.col("batch_id") == batch_id) if not has_late else \
+            out.join(new.select("customer_mobile").distinct(), "customer_mobile", "left_semi")
+        last = (done.groupBy("customer_mobile")
+                .agg(F.max(F.struct(key.alias("_k"), F.col("balance"))).alias("_m"))
+                .select("customer_mobile", F.col("_m._k").alias("_last"),
+                        F.col("_m.balance").alias("opening_balance")))
+        nxt = bal.join(last.select("customer_mobile"), "customer_mobile", "left_anti").unionByName(last)
+        balances.write(nxt, batch_id)
 
     _run(src.writeStream.foreachBatch(post), f"{root}/checkpoint")
-    return state.latest()
+    try:
+        return spark.read.parquet(ledger_dir).drop("batch_id")
+    except AnalysisException:
+        return running_balance(_entries_from_invoices(like.limit(0)))
 
 
 # R-4
