@@ -60,3 +60,20 @@ def test_stream_ledger_out_of_order(spark):
     # A: Jan 5 debit 30, credit 10, then Jan 10 debit 100 -> 120
     assert rows(out.filter("customer_mobile = '01'"), "invoice_no", "step", "balance") == [
         (10, 0, Dec("120.00")), (12, 0, Dec("30.00")), (12, 1, Dec("20.00"))]
+
+
+def test_customers_within_watermark(spark):
+    t = dt.datetime
+    schema = "ord long, name string, mobile string, ts timestamp"
+    batches = [[(1, "A", " 01 ", t(2024, 1, 1, 9)), (2, "A2", "01", t(2024, 1, 1, 10)),
+                (3, "Old", "99", t(2024, 1, 1, 11))],
+               [(4, "A3", "01", t(2024, 1, 1, 12)), (5, "B", "02", t(2024, 1, 2))]]
+    path = sm.new_root(spark, "feed-cust-wm")
+    for b in batches:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(path)
+    existing = spark.createDataFrame([("99",)], "mobile string")
+    out = sm.stream_customers_within(spark, path, spark.createDataFrame([], schema), existing,
+                                     sm.new_root(spark, "out-cust-wm"), delay="1 day", max_files=1)
+    got = rows(out, "mobile")
+    assert got == [("01",), ("02",)]
+    assert out.filter("mobile = '01'").count() == 1

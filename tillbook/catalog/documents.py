@@ -30,7 +30,19 @@ def invoice_document_pages(r):
         F.get(F.col("items"), 0)["name"].alias("first_item"))
 
 
-@register("invoice_document_json")
+@register("invoice_document_json", f"""
+WITH {_ITEMS_SQL},
+pg AS (SELECT invoice_no, CAST(floor((pos - 1) / 1000) AS INTEGER) AS page,
+              string_agg('{{"name":"' || name || '","quantity":' || CAST(quantity AS VARCHAR)
+                         || ',"price":' || CAST(price AS VARCHAR) || ',"discount":' || CAST(discount AS VARCHAR)
+                         || ',"total":' || CAST(total AS VARCHAR) || '}}', ',' ORDER BY pos) AS items
+       FROM it GROUP BY 1, 2)
+SELECT i.invoice_no, COALESCE(pg.page, 0) AS page,
+       '{{"invoice_no":' || CAST(i.invoice_no AS VARCHAR) || ',"customer_name":"' || i.customer_name
+       || '","customer_mobile":"' || i.customer_mobile || '","date":"' || strftime(i.date, '%Y-%m-%d')
+       || '","final_amount":' || CAST(i.final_amount AS VARCHAR) || ',"status":"' || i.status
+       || '","payment_status":"' || i.payment_status || '","items":[' || COALESCE(pg.items, '') || ']}}' AS json
+FROM r_invoice i LEFT JOIN pg ON i.invoice_no = pg.invoice_no""")
 def invoice_document_json(r):
     return dc.documents_json(dc.invoice_documents(r.invoice, r.lines, r.product))
 

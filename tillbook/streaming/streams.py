@@ -254,3 +254,24 @@ def stream_customers(spark: SparkSession, feed: str, like: DataFrame, existing:
 
     _run(src.writeStream.foreachBatch(merge), f"{root}/checkpoint")
     return state.latest()
+
+
+def stream_customers_within(spark: SparkSession, feed: str, like: DataFrame, existing: DataFrame,
+                            out_dir: str, delay: str = "1 day", ts_col: str = "ts",
+                            max_files: int | None = 8) -> DataFrame:
+    """R-5 with Spark's own de-duplication state: a mobile seen again within
+    ``delay`` of its first arrival (event time) is dropped
+    (``dropDuplicatesWithinWatermark``); mobiles already in the static
+    customer table are removed by a stream-static anti join.  Rows go to the
+    Parquet file sink, whose commit log makes the output exactly-once.
+    Unlike :func:`stream_customers`, a duplicate arriving after the delay is
+    emitted again; use that one when first-ever-wins is required."""
+    src = _read_feed(spark, feed, like, max_files)
+    deduped = (src.withColumn("mobile", F.trim("mobile"))
+               .withWatermark(ts_col, delay)
+               .dropDuplicatesWithinWatermark(["mobile"])
+               .join(existing.select("mobile"), "mobile", "left_anti"))
+    root = new_root(spark, "customers-within")
+    _run(deduped.writeStream.format("parquet").option("path", out_dir).outputMode("append"),
+         f"{root}/checkpoint")
+    return spark.read.parquet(out_dir)
