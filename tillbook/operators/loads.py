@@ -122,9 +122,13 @@ def import_products(rows: DataFrame, product: DataFrame, supplier: DataFrame,
     ok, bad1 = coerce_products(rows)
     ok, bad2 = enrich_supplier(ok, supplier)
     attrs = [c for c in PRODUCT_ATTRS if c in ok.columns]
-    firsts = first_by_order(ok, ["pro_id"], [order], attrs)
-    sums = ok.groupBy("pro_id").agg(F.sum("quantity").cast("int").alias("_q"))
-    per_key = firsts.join(sums, "pro_id")
+    # one partial aggregate per product id: total quantity and the first
+    # valid row's attributes (min over (ord, attrs...))
+    per_key = (ok.groupBy("pro_id")
+               .agg(F.sum("quantity").cast("int").alias("_q"),
+                    F.min(F.struct(F.col(order).alias("_o"), *[F.col(c) for c in attrs])).alias("_f"))
+               .select("pro_id", "_q", *[F.col(f"_f.{c}").alias(c) for c in attrs]))
+    sums = per_key.select("pro_id", "_q")
 
     p_cols = product.columns
     upd = (product.join(sums, "pro_id", "left")
