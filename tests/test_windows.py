@@ -64,3 +64,11 @@ def test_first_and_last_by_order(spark, skewed):
     want = {r["k"]: r["v"] for r in skewed.withColumn("rn", F.row_number().over(w))
             .filter("rn = 1").collect()}
     assert first == want == first2
+
+
+def test_sampled_hot_key_detection(spark):
+    # 600k rows: key 0 holds 200k (a third), keys 1..40 hold 10k each
+    df = spark.range(600_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 40 + 1).alias("k"))
+    hot = [r["k"] for r in W.hot_keys(df, ["k"], 100_000).collect()]
+    assert hot == [0]

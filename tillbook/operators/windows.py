@@ -88,6 +88,26 @@ def _plain_running_total(df: DataFrame, keys: list[str], order_cols: list, val,
     return df.withColumn(out, run)
 
 
+def hot_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """Keys with more than about ``limit`` rows, found from a sample.
+
+    The threshold only chooses between two *correct* paths, so detection
+    may be approximate: the sample rate gives a key at the threshold ~1000
+    expected sampled rows, and keys are flagged from half of that, so a hot
+    key is found with certainty for practical purposes while the detection
+    shuffle carries a fraction of the rows.  Small limits (tests, small
+    tables) count exactly.
+    """
+    counted = df
+    bound = limit
+    if limit >= 100_000:
+        frac = 1000.0 / limit
+        counted = df.sample(fraction=frac, seed=17)
+        bound = 500
+    return (counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tb_n"))
+            .filter(F.col("_tb_n") > bound).select(*keys))
+
+
 def running_total(df: DataFrame, keys: list[str], order: list, value, out: str,
                   blocks: int | None = None, exclusive: bool = False,
                   hot_rows: int | None = None) -> DataFrame:
@@ -96,8 +116,8 @@ def running_total(df: DataFrame, keys: list[str], order: list, value, out: str,
     ``order`` must make rows unique within a key (else ties are arbitrary).
     ``exclusive=True`` gives the sum of the rows strictly before each row.
 
-    Keys are split by size first: a partial-aggregate count per key finds
-    the hot keys (more than ``hot_rows`` rows; there are at most
+    Keys are split by size first: a (sampled) partial-aggregate count per
+    key finds the hot keys (more than ``hot_rows`` rows; there are at most
     rows / hot_rows of them).  Cold keys use one per-key window, whose
     largest task is bounded by ``hot_rows``; hot keys go through the
     range-block path, which spreads one key over many tasks.
@@ -106,8 +126,7 @@ def running_total(df: DataFrame, keys: list[str], order: list, value, out: str,
     limit = HOT_KEY_ROWS if hot_rows is None else hot_rows
     order_cols = [_col(o) for o in order]
     val = _col(value)
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tb_n"))
-           .filter(F.col("_tb_n") > limit).select(*keys))
+    hot = hot_keys(df, keys, limit)
     if not hot.take(1):
         return _plain_running_total(df, keys, order_cols, val, out, exclusive)
     hot = materialize(hot)
