@@ -77,3 +77,15 @@ def test_customers_within_watermark(spark):
     got = rows(out, "mobile")
     assert got == [("01",), ("02",)]
     assert out.filter("mobile = '01'").count() == 1
+
+
+def test_stream_customers_late_smaller_ord(spark):
+    schema = "ord long, name string, mobile string, address string, mail string"
+    batches = [[(5, "A5", "01", "x", "y"), (6, "B6", "02", "x", "y")],
+               [(3, "A3", " 01", "x", "y"), (7, "C7", "03", "x", "y"), (9, "B9", "02", "x", "y")]]
+    path = sm.new_root(spark, "feed-cust-late")
+    for b in batches:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(path)
+    existing = spark.createDataFrame([("03",)], "mobile string")
+    out = sm.stream_customers(spark, path, spark.createDataFrame([], schema), existing, max_files=1)
+    assert rows(out, "mobile", "ord", "name") == [("01", 3, "A3"), ("02", 6, "B6")]

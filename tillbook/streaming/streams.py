@@ -5,13 +5,14 @@ Structured Streaming query over a file feed:
 
 * R-1 daily sales: event-time tumbling windows with a watermark (late rows
   are dropped), update mode, merged into a sales-by-day table.
-* R-2 stock, R-5 customers: ``foreachBatch`` with the state kept as a
+* R-2 stock: ``foreachBatch`` with the state kept as a
   versioned Parquet table in the shared checkpoint folder.  Micro-batch
   ``b`` reads version ``b-1`` and writes version ``b`` with overwrite, so a
   replayed batch (after a failure) rewrites the same version: idempotent by
   batch id.
 * R-3 ledger: a per-customer balances state (versioned as above) and an
-  append-mostly ledger partitioned by batch id (see ``stream_ledger``).
+  append-mostly ledger partitioned by batch id (see ``stream_ledger``);
+  R-5 customers: an append-mostly table partitioned by batch id.
 * The merges are order-robust: a batch holding rows older than rows
   already posted still gives the batch result (the ledger re-posts the
   history of the customers concerned; first-wins keeps the smaller
@@ -237,23 +238,57 @@ def stream_customers(spark: SparkSession, feed: str, like: DataFrame, existing:
                      max_files: int | None = 8) -> DataFrame:
     """De-duplicated customer feed (M-1 incrementally): trimmed mobile, not
     in the existing table, first row by ``ord`` per mobile across the whole
-    stream.  State: (mobile, ord, name, address, mail), one row per mobile."""
+    stream.
+
+    Output: a Parquet folder partitioned by ``batch_id``.  Batch ``b`` reads
+    the customers posted so far (an anti join, no rewrite) and writes its new
+    mobiles to partition ``b``; only when a batch brings an earlier ``ord``
+    for a mobile already posted are the partitions holding those mobiles
+    rewritten.  Dynamic partition overwrite makes a replayed batch idempotent.
+    """
     root = new_root(spark, "customers")
-    empty = spark.createDataFrame([], "mobile string, ord long, name string, address string, "
-                                      "mail string")
-    state = VersionedState(spark, f"{root}/table", empty)
+    out_dir = f"{root}/customers"
+    cols = ["mobile", "ord", "name", "address", "mail"]
     known = existing.select("mobile")
     src = _read_feed(spark, feed, like, max_files)
 
+    def posted_before(batch_id: int) -> DataFrame | None:
+        try:
+            return spark.read.parquet(out_dir).filter(F.col("batch_id") < batch_id)
+        except AnalysisException:
+            return None
+
     def merge(batch: DataFrame, batch_id: int) -> None:
         rows = (batch.withColumn("mobile", F.trim("mobile")).join(known, "mobile", "left_anti")
                 .select("mobile", F.col("ord").cast("long").alias("ord"), "name", "address", "mail"))
-        both = state.before(batch_id).unionByName(rows)
-        firsts = both.groupBy("mobile").agg(F.min("ord").alias("ord"))
-        state.write(both.join(firsts, ["mobile", "ord"], "inner"), batch_id)
+        mins = rows.groupBy("mobile").agg(F.min("ord").alias("ord"))
+        firsts = rows.join(mins, ["mobile", "ord"]).withColumn("batch_id", F.lit(batch_id))
+        prev = posted_before(batch_id)
+        if prev is None:
+            out = firsts
+        else:
+            seen = prev.select("mobile", F.col("ord").alias("_prev_ord"))
+            fresh = firsts.join(seen, "mobile", "left_anti")
+            earlier = (firsts.join(seen, "mobile").filter(F.col("ord") < F.col("_prev_ord"))
+                       .drop("_prev_ord"))
+            if earlier.take(1):
+                earlier = materialize(earlier)
+                gone = earlier.select("mobile")
+                touched = prev.join(gone, "mobile", "left_semi").select("batch_id").distinct()
+                keep = (prev.join(touched, "batch_id", "left_semi")
+                        .join(gone, "mobile", "left_anti"))
+                out = materialize(fresh.unionByName(earlier).unionByName(keep.select(*cols, "batch_id")))
+            else:
+                out = fresh
+        (out.select(*cols, "batch_id").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out_dir))
 
     _run(src.writeStream.foreachBatch(merge), f"{root}/checkpoint")
-    return state.latest()
+    try:
+        return spark.read.parquet(out_dir).select(*cols)
+    except AnalysisException:
+        return spark.createDataFrame([], "mobile string, ord long, name string, address string, "
+                                         "mail string")
 
 
 def stream_customers_within(spark: SparkSession, feed: str, like: DataFrame, existing: DataFrame,
