@@ -107,13 +107,16 @@ def stream_daily_sales(spark: SparkSession, feed: str, like: DataFrame, delay: s
     empty = spark.createDataFrame([], "date date, sales decimal(18,2)")
     state = VersionedState(spark, f"{root}/table", empty)
     src = _read_feed(spark, feed, like, max_files)
-    agg = (src.withColumn("ts", F.col("date").cast("timestamp"))
+    # the date's UTC midnight as an instant, so day windows do not depend
+    # on the session time zone
+    agg = (src.withColumn("ts", F.timestamp_seconds(F.unix_date(F.col("date")) * 86400))
            .withWatermark("ts", delay)
            .groupBy(F.window("ts", "1 day"))
            .agg(F.sum("final_amount").cast("decimal(18,2)").alias("sales")))
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        upd = batch.select(F.to_date(F.col("window.start")).alias("date"), "sales")
+        day = F.date_from_unix_date(F.floor(F.unix_seconds(F.col("window.start")) / 86400).cast("int"))
+        upd = batch.select(day.alias("date"), "sales")
         prev = state.before(batch_id)
         state.write(prev.join(upd.select("date"), "date", "left_anti").unionByName(upd), batch_id)
 
