@@ -168,7 +168,8 @@ def dense_ids(df: DataFrame, order: list, out: str, start: int = 1,
 
 
 def first_by_order(df: DataFrame, keys: list[str], order: list[str], cols: list[str]) -> DataFrame:
-    """First row per key in ``order`` (ascending), as an aggregate.
+    """First row per key in ``order`` (ascending), as an aggregate; ``order``
+    must be unique within a key (a file position, a line key).
 
     One order column: a hash ``min(order)`` per key, then the rows are
     matched back on (key, order); the match is partitioned by both columns,
