@@ -151,7 +151,10 @@ def import_products(rows: DataFrame, product: DataFrame, supplier: DataFrame,
                        F.col("selling_price").alias("price"), F.col("_q").alias("quantity"),
                        "unit", "category", "expiry_date"))
     inv_new = _conform(inv_new, inventory)
-    inventory2 = refresh_availability(inv_upd.select(*inv_cols).unionByName(inv_new), product2)
+    # safety levels of the new product version: existing rows keep theirs,
+    # inserted ids bring the file's (quantities do not matter here)
+    safety = product.select("pro_id", "safety_level").unionByName(ins.select("pro_id", "safety_level"))
+    inventory2 = refresh_availability(inv_upd.select(*inv_cols).unionByName(inv_new), safety)
     inventory2 = inventory2.select(*inv_cols)
     rejects = bad1.select(order, "reason").unionByName(bad2.select(order, "reason"))
     return product2, inventory2, rejects
