@@ -22,3 +22,21 @@ def test_dashboard_has_all_fifteen_results(spark):
     assert kpis["total_sales_today"] == 0                              # no orders on as_of at sf0.001
     timings = run_all(fused)
     assert set(timings) == set(fused)
+
+
+def test_stored_tables_match_derived(spark):
+    from tests.conftest import rows
+    from tillbook.operators import ledger as lg
+    from tillbook.plans.invoice_posting import post_invoices
+    from tillbook.session import scratch_path
+    from tillbook.sources.fixtures import StoredRetail
+    r = Retail(spark, SF001)
+    st = StoredRetail.build(spark, SF001, scratch_path(spark, "test-stored"))
+    assert rows(st.invoice) == rows(r.invoice)
+    cols = ("invoice_no", "step", "balance")
+    assert rows(lg.post_ledger(st.invoice), *cols) == rows(r.ledger, *cols)
+    items = st.lines.drop("total")
+    out = post_invoices(st.invoice_draft, items, st.customer, st.inventory, batch_id="b1")
+    assert out["ledger"].select("batch_id").distinct().collect()[0][0] == "b1"
+    assert out["invoice"].count() + out["rejects"].select("invoice_no").distinct().count() \
+        == st.invoice_draft.count()

@@ -21,11 +21,14 @@ LINE_ORDER = ["invoice_no", "line_no", "quantity"]
 
 def post_invoices(headers: DataFrame, items: DataFrame, customer: DataFrame,
                   inventory: DataFrame, opening: DataFrame | None = None,
-                  stock_mode: str = "cumulative") -> dict[str, DataFrame]:
+                  stock_mode: str = "cumulative",
+                  batch_id: str | None = None) -> dict[str, DataFrame]:
     """``headers``: invoice drafts (invoice_no, date, terms, sale_by,
     customer_mobile, customer_name, total_amount, discount_percent, discount,
     final_amount, payment_method, total_paid).  ``items``: invoice_no,
-    line_no, product_id, quantity, price, discount."""
+    line_no, product_id, quantity, price, discount.  With ``batch_id`` every
+    row produced for the batch carries it, so a rerun can replace exactly
+    the rows of an earlier attempt."""
     ok, rejects = quality.validate_invoices(headers, items)                      # P-1
     rows = ok.select(F.col("customer_mobile").alias("mobile"),
                      F.col("customer_name").alias("name"), F.col("invoice_no").alias("ord"))
@@ -42,7 +45,7 @@ def post_invoices(headers: DataFrame, items: DataFrame, customer: DataFrame,
         accepted.filter(F.coalesce(F.col("invoice_ok"), F.lit(False))).drop("invoice_ok")))
     lines = posting.build_lines(                                                  # P-2
         items.join(batch.select("invoice_no"), "invoice_no", "left_semi"), inventory)
-    return {
+    out = {
         "invoice": batch,
         "lines": lines,
         "payment": posting.post_payments(batch),                                 # P-6
@@ -51,3 +54,7 @@ def post_invoices(headers: DataFrame, items: DataFrame, customer: DataFrame,
         "customer": customer2,
         "rejects": rejects.select("invoice_no", "reason").unionByName(short),
     }
+    if batch_id is not None:
+        stamped = ("invoice", "lines", "payment", "ledger", "rejects")
+        out.update({k: out[k].withColumn("batch_id", F.lit(batch_id)) for k in stamped})
+    return out
