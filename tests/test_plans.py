@@ -40,3 +40,11 @@ def test_stored_tables_match_derived(spark):
     assert out["ledger"].select("batch_id").distinct().collect()[0][0] == "b1"
     assert out["invoice"].count() + out["rejects"].select("invoice_no").distinct().count() \
         == st.invoice_draft.count()
+
+
+def test_kpis_approx_distinct_close(spark):
+    from tillbook.operators import reports as rp
+    r = Retail(spark, "/root/testdata/sf0.01")
+    exact = rp.dashboard_kpis(r.invoice, AS_OF).first()["active_customers"]
+    approx = rp.dashboard_kpis(r.invoice, AS_OF, exact=False).first()["active_customers"]
+    assert abs(approx - exact) <= max(2, 0.06 * exact)
