@@ -47,10 +47,10 @@ def line_amounts(r):
 
 @register("signed_amounts", """
 SELECT invoice_no, step,
-       CASE WHEN transaction_type = 'Debit' THEN amount WHEN transaction_type = 'Credit' THEN -amount
-            ELSE 0 END AS receivable,
-       CASE WHEN transaction_type = 'Credit' THEN amount WHEN transaction_type = 'Debit' THEN -amount
-            ELSE 0 END AS account
+       CAST(CASE WHEN transaction_type = 'Debit' THEN amount WHEN transaction_type = 'Credit' THEN -amount
+                 ELSE 0 END AS DECIMAL(10,2)) AS receivable,
+       CAST(CASE WHEN transaction_type = 'Credit' THEN amount WHEN transaction_type = 'Debit' THEN -amount
+                 ELSE 0 END AS DECIMAL(10,2)) AS account
 FROM r_ledger_e""")
 def signed_amounts(r):
     e = r.ledger
