@@ -1,5 +1,5 @@
-"""Catalog: invoice posting and the customer ledger (P-5..P-12, W-1, W-2,
-G-15, G-16, G-21, U-1..U-3)."""
+"""Catalog: invoice posting and the customer ledger (P-2, P-5..P-12, W-1,
+W-2, G-15..G-17, G-21, J-13, U-1..U-3, and the whole posting job)."""
 
 from pyspark.sql import functions as F
 

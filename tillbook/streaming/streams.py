@@ -5,11 +5,12 @@ Structured Streaming query over a file feed:
 
 * R-1 daily sales: event-time tumbling windows with a watermark (late rows
   are dropped), update mode, merged into a sales-by-day table.
-* R-2 stock: ``foreachBatch`` with the state kept as a
-  versioned Parquet table in the shared checkpoint folder.  Micro-batch
-  ``b`` reads version ``b-1`` and writes version ``b`` with overwrite, so a
-  replayed batch (after a failure) rewrites the same version: idempotent by
-  batch id.
+* R-2 stock: each micro-batch appends its per-product movement totals to
+  a delta table partitioned by batch id (dynamic overwrite: a replayed batch
+  rewrites the same partition); the position is inventory + all deltas.
+* State tables are versioned Parquet in the shared checkpoint folder:
+  micro-batch ``b`` reads version ``b-1`` and writes version ``b`` with
+  overwrite, so a replayed batch is idempotent.
 * R-3 ledger: a per-customer balances state (versioned as above) and an
   append-mostly ledger partitioned by batch id (see ``stream_ledger``);
   R-5 customers: an append-mostly table partitioned by batch id.
@@ -127,24 +128,40 @@ def stream_daily_sales(spark: SparkSession, feed: str, like: DataFrame, delay: s
 # R-2
 def stream_stock(spark: SparkSession, feed: str, like: DataFrame, inventory: DataFrame,
                  max_files: int | None = 8) -> DataFrame:
-    """Stock position from a stream of movements (product_id, delta): each
-    batch is summed per product (partial aggregate) and merged into the
-    previous inventory version; availability recomputed (H-6)."""
+    """Stock position from a stream of movements (product_id, delta).
+
+    Each micro-batch writes only its per-product movement totals (a partial
+    aggregate, one row per product it touches) to partition ``batch_id`` of
+    a delta table, with dynamic partition overwrite so a replay is
+    idempotent; no batch rewrites the inventory.  The position is the base
+    inventory plus the sum of all deltas, with availability recomputed
+    (H-6), computed when read (:func:`stock_position`).
+    """
     root = new_root(spark, "stock")
-    state = VersionedState(spark, f"{root}/table", inventory)
+    deltas = f"{root}/deltas"
     src = _read_feed(spark, feed, like, max_files)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        delta = batch.groupBy("product_id").agg(F.sum("delta").alias("_delta"))
-        prev = state.before(batch_id)
-        new = (prev.join(delta, "product_id", "left")
-               .withColumn("quantity", (F.col("quantity") + F.coalesce(F.col("_delta"), F.lit(0)))
-                           .cast("int"))
-               .drop("_delta"))
-        state.write(refresh_availability(new).select(*inventory.columns), batch_id)
+        (batch.groupBy("product_id").agg(F.sum("delta").alias("delta"))
+         .withColumn("batch_id", F.lit(batch_id))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(deltas))
 
     _run(src.writeStream.foreachBatch(apply), f"{root}/checkpoint")
-    return state.latest()
+    return stock_position(spark, inventory, deltas)
+
+
+def stock_position(spark: SparkSession, inventory: DataFrame, deltas: str) -> DataFrame:
+    """Inventory + SUM(deltas) per product (NULL quantity stays NULL), H-6."""
+    try:
+        d = spark.read.parquet(deltas).groupBy("product_id").agg(F.sum("delta").alias("_delta"))
+    except AnalysisException:
+        return inventory
+    new = (inventory.join(d, "product_id", "left")
+           .withColumn("quantity", (F.col("quantity") + F.coalesce(F.col("_delta"), F.lit(0)))
+                       .cast("int"))
+           .drop("_delta"))
+    return refresh_availability(new).select(*inventory.columns)
 
 
 # R-3
