@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 S, I, L, D = T.StringType(), T.IntegerType(), T.LongType(), T.DecimalType(10, 2)
 
@@ -43,7 +44,7 @@ class MissingColumns(ValueError):
 
 
 # A-5
-def require_columns(path: str, spark: SparkSession, cols) -> list[str]:
+def require_columns(spark: SparkSession, path: str, cols) -> list[str]:
     """Reject the whole file when a required header is missing.
 
     Reads only the header line (a one-row read), never the data.
@@ -80,7 +81,7 @@ def _read_csv(spark: SparkSession, path: str, schema: T.StructType, ord_col: str
 # A-1
 def read_customers_csv(spark: SparkSession, path: str, ord_col: str | None = "ord",
                        extra: T.StructType | None = None) -> DataFrame:
-    require_columns(path, spark, CUSTOMER_CSV.fieldNames())
+    require_columns(spark, path, CUSTOMER_CSV.fieldNames())
     return _read_csv(spark, path, CUSTOMER_CSV, ord_col, extra)
 
 
@@ -152,7 +153,7 @@ def replace_table(df: DataFrame, root: str, name: str) -> str:
 def _current_version(spark: SparkSession, base: str) -> str | None:
     try:
         row = spark.read.text(f"{base}/_current").first()
-    except Exception:  # noqa: BLE001 - no pointer yet: plain directory
+    except AnalysisException:  # no pointer yet: a plain directory
         return None
     return row[0] if row else None
 
