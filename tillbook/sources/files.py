@@ -72,8 +72,10 @@ def _read_csv(spark: SparkSession, path: str, schema: T.StructType, ord_col: str
     keep = [c for c in schema.fieldNames() if c in header]
     out = df.select(*keep)
     if ord_col:
-        # file position: (file, offset within the split) is stable per file;
-        # monotonically_increasing_id is ordered within each input split
+        # Row position for one uploaded file: its splits are read in offset
+        # order, and monotonically_increasing_id grows with (partition, row).
+        # Spark packs several files by size, not name, so a directory of
+        # files should carry its own sequence column (pass it via ``extra``).
         out = out.withColumn(ord_col, F.monotonically_increasing_id())
     return out
 
