@@ -157,8 +157,11 @@ def log_payments(payment: DataFrame, invoice: DataFrame, ledger: DataFrame):
     """
     inv = invoice.select("invoice_no", F.col("customer_id").alias("_cid"),
                          F.col("payment_status").alias("_ist"))
-    p = (payment.withColumn("_pord", F.monotonically_increasing_id())
-         .join(inv, "invoice_no", "left"))
+    # order of payments: date, invoice, then the payment id when the batch has
+    # one (else the row position as the last tie-breaker)
+    tie = "payment_id" if "payment_id" in payment.columns else "_pord"
+    p = payment if tie == "payment_id" else payment.withColumn("_pord", F.monotonically_increasing_id())
+    p = p.join(inv, "invoice_no", "left")
     reason = (F.when(F.col("invoice_no").isNull(), "invoice number missing")
               .when(F.col("amount").isNull() | (F.col("amount") <= 0), "amount must be > 0")
               .when(F.col("_cid").isNull(), "customer not found for invoice")
@@ -167,7 +170,7 @@ def log_payments(payment: DataFrame, invoice: DataFrame, ledger: DataFrame):
     pre = p.filter(F.col("_reason").isNotNull())
     ok = p.filter(F.col("_reason").isNull())
     bal = ledger_balance(ledger.withColumnRenamed("customer_id", "_cid"), key="_cid")
-    ok = running_total(ok, ["_cid"], ["invoice_date", "invoice_no", "_pord"],
+    ok = running_total(ok, ["_cid"], ["invoice_date", "invoice_no", tie],
                        F.col("amount"), "_paid_so_far")
     ok = ok.join(bal.withColumnRenamed("balance", "_bal"), "_cid", "left")
     new_bal = (F.coalesce(F.col("_bal"), F.lit(0)) - F.col("_paid_so_far")).cast(BALANCE)
