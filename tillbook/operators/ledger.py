@@ -41,7 +41,7 @@ def _entries_from_invoices(invoice: DataFrame) -> DataFrame:
 # W-1
 def running_balance(entries: DataFrame, sign: str = "receivable", key: str = "customer_mobile",
                     order: list | None = None, opening: DataFrame | None = None,
-                    out: str = "balance") -> DataFrame:
+                    out: str = "balance", hot_rows: int | None = None) -> DataFrame:
     """Running balance per ``key`` in ``order``.
 
     ``sign='receivable'``: Debit +, Credit - (live trigger); ``'account'``:
@@ -50,7 +50,7 @@ def running_balance(entries: DataFrame, sign: str = "receivable", key: str = "cu
     """
     order = order or LEDGER_ORDER
     signed = R.signed_amount("transaction_type", "amount", sign)
-    out_df = running_total(entries, [key], order, signed, "_run")
+    out_df = running_total(entries, [key], order, signed, "_run", hot_rows=hot_rows)
     bal = F.col("_run")
     if opening is not None:
         out_df = out_df.join(opening.select(key, F.col("opening_balance").alias("_open")), key, "left")
@@ -60,7 +60,8 @@ def running_balance(entries: DataFrame, sign: str = "receivable", key: str = "cu
 
 
 # P-7
-def post_ledger(invoice: DataFrame, opening: DataFrame | None = None) -> DataFrame:
+def post_ledger(invoice: DataFrame, opening: DataFrame | None = None,
+                hot_rows: int | None = None) -> DataFrame:
     """Ledger rows for a batch of invoices with balances per mobile.
 
     Debit final_amount always (step 0); Credit total_paid when 'Paid' (Full)
@@ -68,7 +69,7 @@ def post_ledger(invoice: DataFrame, opening: DataFrame | None = None) -> DataFra
     The balance continues from ``opening`` (customer_mobile, opening_balance).
     """
     return running_balance(_entries_from_invoices(invoice), "receivable",
-                           "customer_mobile", LEDGER_ORDER, opening)
+                           "customer_mobile", LEDGER_ORDER, opening, hot_rows=hot_rows)
 
 
 # P-8
