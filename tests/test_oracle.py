@@ -25,6 +25,17 @@ def con():
     return c
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "date": "DATE",
+                 "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN", "double": "DOUBLE"}
+
+
+def duck_type(spark_type) -> str:
+    name = spark_type.simpleString()
+    if name.startswith("decimal"):
+        return name.upper().replace(" ", "")
+    return SPARK_TO_DUCK.get(name, name)
+
+
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.columns == ["pro_name", "total_sold"]
@@ -40,5 +51,7 @@ def test_query_matches_oracle(spark, con, name):
     res = con.sql(ORACLE[name])
     drows = res.fetchall()
     assert sorted(df.columns) == sorted(res.columns)
+    dtypes = dict(zip(res.columns, (str(t) for t in res.types)))
+    assert {f.name: duck_type(f.dataType) for f in df.schema.fields} == dtypes
     assert len(srows) == len(drows)
     assert rows_key(srows, df.columns) == rows_key(drows, res.columns)
