@@ -1,8 +1,5 @@
 """Document numbers YYYY + 5 digits (W-5)."""
 
-import pytest
-from pyspark.sql import functions as F
-
 from tillbook.operators.numbering import assign_doc_numbers
 
 
@@ -25,6 +22,7 @@ def test_other_year_only(spark):
     assert numbers(spark, ["202400099"]) == ["202500001", "202500002"]
 
 
-def test_past_99999_raises(spark):
-    with pytest.raises(Exception, match="99999"):
-        numbers(spark, ["202599999"], n=1)
+def test_past_99999_goes_on(spark):
+    assert numbers(spark, ["202599998"], n=3) == ["202599999", "2025100000", "2025100001"]
+    assert numbers(spark, ["2025100000", "202599999"], n=1) == ["2025100001"]
+    assert numbers(spark, ["2025abc", None], n=1) == ["202500001"]

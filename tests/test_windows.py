@@ -27,17 +27,26 @@ def brute(df, exclusive=False):
         "run", F.coalesce(s, F.lit(0)) if exclusive else s).collect()}
 
 
-@pytest.mark.parametrize("hot_rows", [None, 100, 0])
+@pytest.mark.parametrize("blocks", [1, 5, 40])
 @pytest.mark.parametrize("exclusive", [False, True])
-def test_running_total_matches_window(spark, skewed, hot_rows, exclusive):
-    out = W.running_total(skewed, ["k"], ["o"], F.col("v"), "run", blocks=5,
-                          exclusive=exclusive, hot_rows=hot_rows)
+def test_running_total_matches_window(spark, skewed, blocks, exclusive):
+    out = W.running_total(skewed, ["k"], ["o"], F.col("v"), "run", blocks=blocks, exclusive=exclusive)
     got = {(r["k"], r["o"]): r["run"] for r in out.collect()}
     assert got == brute(skewed, exclusive)
 
 
+@pytest.mark.parametrize("blocks", [1, 3, 7])
+@pytest.mark.parametrize("exclusive", [False, True])
+def test_running_total_null_values_and_keys(spark, blocks, exclusive):
+    data = [(None if i % 3 == 0 else f"k{i % 2}", i, None if i < 9 or i % 4 == 0 else i) for i in range(60)]
+    df = spark.createDataFrame(data, "k string, o int, v int")
+    out = W.running_total(df, ["k"], ["o"], F.col("v"), "run", blocks=blocks, exclusive=exclusive)
+    got = {(r["k"], r["o"]): r["run"] for r in out.collect()}
+    assert len(got) == 60 and got == brute(df, exclusive)
+
+
 def test_running_total_invariant_last_equals_sum(spark, skewed):
-    out = W.running_total(skewed, ["k"], ["o"], F.col("v"), "run", hot_rows=10)
+    out = W.running_total(skewed, ["k"], ["o"], F.col("v"), "run", blocks=9)
     last = {r["k"]: r["run"] for r in W.last_by_order(out, ["k"], ["o"], ["run"]).collect()}
     sums = {r["k"]: r["s"] for r in skewed.groupBy("k").agg(F.sum("v").alias("s")).collect()}
     assert last == sums
@@ -50,7 +59,7 @@ def test_dense_ids_consecutive(spark, skewed):
 
 
 def test_row_number_in_group(spark, skewed):
-    out = W.row_number_in_group(skewed, ["k"], ["o"], "pos", hot_rows=50)
+    out = W.row_number_in_group(skewed, ["k"], ["o"], "pos", blocks=6)
     w = Window.partitionBy("k").orderBy("o")
     want = {(r["k"], r["o"]): r["p"] for r in skewed.withColumn("p", F.row_number().over(w)).collect()}
     assert {(r["k"], r["o"]): r["pos"] for r in out.collect()} == want
@@ -66,9 +75,6 @@ def test_first_and_last_by_order(spark, skewed):
     assert first == want == first2
 
 
-def test_sampled_hot_key_detection(spark):
-    # 600k rows: key 0 holds 200k (a third), keys 1..40 hold 10k each
-    df = spark.range(600_000).select(
-        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 40 + 1).alias("k"))
-    hot = [r["k"] for r in W.hot_keys(df, ["k"], 100_000).collect()]
-    assert hot == [0]
+def test_first_by_order_keeps_null_keys(spark):
+    df = spark.createDataFrame([(None, 2, "b"), (None, 1, "a"), ("k", 3, "c")], "k string, o int, v string")
+    assert {(r["k"], r["v"]) for r in W.first_by_order(df, ["k"], ["o"], ["v"]).collect()} == {(None, "a"), ("k", "c")}

@@ -68,12 +68,14 @@ def profit_pct(sell, cost, cap: float | None = 999.99) -> Column:
 
 # H-3
 def final_amount(total, discount) -> Column:
-    return (_c(total) - F.coalesce(_c(discount), F.lit(0))).cast(MONEY)
+    """NULL discount gives NULL, as the generated column does."""
+    return (_c(total) - _c(discount)).cast(MONEY)
 
 
 # H-4
 def line_total(price, qty, discount) -> Column:
-    return (_c(price) * _c(qty) - F.coalesce(_c(discount), F.lit(0))).cast(MONEY)
+    """NULL discount gives NULL, as the generated column does."""
+    return (_c(price) * _c(qty) - _c(discount)).cast(MONEY)
 
 
 # H-5
@@ -188,7 +190,7 @@ def lower_text(c) -> Column:
 
 
 def is_digits(c) -> Column:
-    return F.coalesce(_c(c).rlike("^[0-9]+$"), F.lit(False))
+    return F.coalesce(_c(c).rlike(r"\A[0-9]+\z"), F.lit(False))
 
 
 # H-17
@@ -215,11 +217,15 @@ def period_start(as_of: str, kind: str) -> Column:
 
 # H-19
 def doc_number(year, n) -> Column:
-    return F.concat(_c(year).cast("string"), F.lpad(_c(n).cast("string"), 5, "0"))
+    """Year and serial; the serial has at least five digits and is never cut."""
+    serial = _c(n).cast("string")
+    return F.concat(_c(year).cast("string"),
+                    F.when(F.length(serial) < 5, F.lpad(serial, 5, "0")).otherwise(serial))
 
 
 def doc_serial(number) -> Column:
-    return F.right(_c(number).cast("string"), F.lit(5)).cast("int")
+    """The number after the four-digit year; NULL if it is not one."""
+    return F.substr(_c(number).cast("string"), F.lit(5)).try_cast("long")
 
 
 # H-20

@@ -13,34 +13,28 @@ from pyspark.sql import functions as F
 from tillbook.functions import rules as R
 from tillbook.operators.windows import dense_ids, row_number_in_group
 
-MAX_SERIAL = 99999
-
-
 # W-5
 def assign_doc_numbers(rows: DataFrame, existing: DataFrame | None, year_col: str,
                        order: list[str], out: str = "invoice_no") -> DataFrame:
-    """``YYYY`` + 5-digit serial per year, continuing after the highest
-    existing number with that year prefix (else from 1).
+    """``YYYY`` + serial per year, at least five digits, continuing after the
+    highest existing serial of that year (else from 1).
 
-    ``existing`` has one string column ``invoice_no``.  A serial past 99999
-    fails the job (the reference silently wraps its format).
+    ``existing`` has one string column ``invoice_no``.  The serial is
+    everything after the year and compared as a number, so a year may have
+    any number of documents; numbers whose rest is not a number are ignored.
     """
     pos = row_number_in_group(rows, [year_col], order, "_pos")
     year_txt = F.col(year_col).cast("string")
     if existing is not None:
-        # per year: the highest number text LIKE 'YYYY%' (B-12), its last five digits
-        prior = (existing.select(F.col("invoice_no").cast("string").alias("_no"))
-                 .groupBy(F.substring("_no", 1, 4).alias("_y")).agg(F.max("_no").alias("_top"))
-                 .select("_y", R.doc_serial(F.col("_top")).alias("_last")))
+        # per year: the highest serial of the numbers LIKE 'YYYY%' (B-12)
+        no = F.col("invoice_no").cast("string")
+        prior = (existing.groupBy(F.substring(no, 1, 4).alias("_y"))
+                 .agg(F.max(R.doc_serial(no)).alias("_last")))
         pos = pos.join(prior, year_txt == F.col("_y"), "left").drop("_y")
         serial = F.coalesce(F.col("_last"), F.lit(0)) + F.col("_pos")
     else:
         serial = F.col("_pos")
-    checked = F.when(serial > MAX_SERIAL,
-                     F.raise_error(F.lit("document number past 99999 for one year"))
-                     ).otherwise(serial)
-    return (pos.withColumn(out, R.doc_number(F.col(year_col), checked))
-            .drop("_pos", "_last"))
+    return pos.withColumn(out, R.doc_number(F.col(year_col), serial)).drop("_pos", "_last")
 
 
 # W-6

@@ -2,14 +2,11 @@
 
 A plain ``sum().over(Window.partitionBy(k).orderBy(o))`` sends every row of a
 key to one task; if one customer (or product, or invoice) holds a third of
-the rows, that task holds a third of the data.  ``running_total`` first
-counts rows per key (a partial aggregate) and sends only the hot keys --
-more than ``HOT_KEY_ROWS`` rows, so at most rows / HOT_KEY_ROWS of them --
-down the range-block path; the rest use one plain per-key window.  The
-range-block path splits a key into blocks:
+the rows, that task holds a third of the data.  ``running_total`` treats
+every key alike, whatever its size:
 
 1. ``repartitionByRange(n, keys + order)`` cuts the sorted sequence into n
-   blocks of about equal size.  A hot key spans several blocks.
+   blocks of about equal size.  A large key spans several blocks.
 2. A window over (key, block) gives the running total inside each block;
    no (key, block) group is larger than one block.
 3. Block totals per (key, block) are pre-aggregated map-side; a window over
@@ -20,7 +17,8 @@ Steps 2 and 3 must see the *same* blocks.  Two separate range exchanges
 may sample different boundaries (their inputs can arrive in a different
 order), so the block-tagged rows are written once as a Parquet table into
 the shared ``spark.checkpoint.dir`` folder and both steps read that copy.
-A lost executor then re-reads the table instead of re-sampling.
+A lost executor then re-reads the table instead of re-sampling, and
+whatever produced the rows is evaluated once.
 """
 
 from __future__ import annotations
@@ -53,17 +51,20 @@ def _blocks(df: DataFrame, blocks: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-# A key with more rows than this takes the range-block path; below it a
-# plain per-key window keeps the key in one task.
-HOT_KEY_ROWS = 2_000_000
-
+def running_total(df: DataFrame, keys: list[str], order: list, value, out: str,
+                  blocks: int | None = None, exclusive: bool = False) -> DataFrame:
+    """Add ``out`` = running sum of ``value`` per ``keys`` in ``order``.
 
-def _blocked_running_total(df: DataFrame, keys: list[str], order_cols: list, val, out: str,
-                           n: int, exclusive: bool) -> DataFrame:
-    """Range-block prefix sum (see module docstring); any key size."""
-    tagged = materialize(df.withColumn(_TOT, val)
-                          .repartitionByRange(n, *[F.col(k) for k in keys], *order_cols)
-                          .withColumn(_BLK, F.spark_partition_id()))
+    ``order`` must make rows unique within a key (else ties are arbitrary).
+    ``exclusive=True`` gives the sum of the rows strictly before each row, 0
+    at the first.  NULL values count as nothing: the (inclusive) sum is NULL
+    until the key's first value, as SQL's windowed SUM is.  A NULL key is a
+    key like any other.
+    """
+    order_cols = [_col(o) for o in order]
+    tagged = materialize(df.withColumn(_TOT, _col(value))
+                         .repartitionByRange(_blocks(df, blocks), *[F.col(k) for k in keys], *order_cols)
+                         .withColumn(_BLK, F.spark_partition_id()))
     upper = Window.currentRow - 1 if exclusive else Window.currentRow
     w_in = (Window.partitionBy(*keys, _BLK).orderBy(*order_cols)
             .rowsBetween(Window.unboundedPreceding, upper))
@@ -71,77 +72,23 @@ def _blocked_running_total(df: DataFrame, keys: list[str], order_cols: list, val
     block_sum = tagged.groupBy(*keys, _BLK).agg(F.sum(_TOT).alias(_TOT))
     w_prev = (Window.partitionBy(*keys).orderBy(_BLK)
               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = block_sum.select(*keys, _BLK, F.sum(_TOT).over(w_prev).alias(_OFF))
-    total = F.coalesce(F.col(_OFF), F.lit(0)) + F.coalesce(F.col(_RUN), F.lit(0))
-    return (local.join(offsets, [*keys, _BLK])
-            .withColumn(out, total)
-            .drop(_BLK, _RUN, _OFF, _TOT))
-
-
-def _plain_running_total(df: DataFrame, keys: list[str], order_cols: list, val, out: str,
-                         exclusive: bool) -> DataFrame:
-    upper = Window.currentRow - 1 if exclusive else Window.currentRow
-    w = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, upper)
-    run = F.sum(val).over(w)
+    # renamed keys: the match is null-safe, so rows of a NULL key stay
+    offsets = block_sum.select(*[F.col(k).alias(f"_tb_k{i}") for i, k in enumerate(keys)],
+                               F.col(_BLK).alias(_MID), F.sum(_TOT).over(w_prev).alias(_OFF))
+    same = F.col(_BLK) == F.col(_MID)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_tb_k{i}"))
+    total = F.when(F.col(_OFF).isNull(), F.col(_RUN)).otherwise(
+        F.col(_OFF) + F.coalesce(F.col(_RUN), F.lit(0)))
     if exclusive:
-        run = F.coalesce(run, F.lit(0))
-    return df.withColumn(out, run)
-
-
-def hot_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """Keys with more than about ``limit`` rows, found from a sample.
-
-    The threshold only chooses between two *correct* paths, so detection
-    may be approximate: the sample rate gives a key at the threshold ~1000
-    expected sampled rows, and keys are flagged from half of that, so a hot
-    key is found with certainty for practical purposes while the detection
-    shuffle carries a fraction of the rows.  Small limits (tests, small
-    tables) count exactly.
-    """
-    counted = df
-    bound = limit
-    if limit >= 100_000:
-        frac = 1000.0 / limit
-        counted = df.sample(fraction=frac, seed=17)
-        bound = 500
-    return (counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tb_n"))
-            .filter(F.col("_tb_n") > bound).select(*keys))
-
-
-def running_total(df: DataFrame, keys: list[str], order: list, value, out: str,
-                  blocks: int | None = None, exclusive: bool = False,
-                  hot_rows: int | None = None) -> DataFrame:
-    """Add ``out`` = running sum of ``value`` per ``keys`` in ``order``.
-
-    ``order`` must make rows unique within a key (else ties are arbitrary).
-    ``exclusive=True`` gives the sum of the rows strictly before each row.
-
-    Keys are split by size first: a (sampled) partial-aggregate count per
-    key finds the hot keys (more than ``hot_rows`` rows; there are at most
-    rows / hot_rows of them).  Cold keys use one per-key window, whose
-    largest task is bounded by ``hot_rows``; hot keys go through the
-    range-block path, which spreads one key over many tasks.
-    """
-    n = _blocks(df, blocks)
-    limit = HOT_KEY_ROWS if hot_rows is None else hot_rows
-    order_cols = [_col(o) for o in order]
-    val = _col(value)
-    hot = hot_keys(df, keys, limit)
-    if not hot.take(1):
-        return _plain_running_total(df, keys, order_cols, val, out, exclusive)
-    hot = materialize(hot)
-    cold_part = _plain_running_total(df.join(hot, keys, "left_anti"), keys, order_cols, val, out,
-                                     exclusive)
-    hot_part = _blocked_running_total(df.join(hot, keys, "left_semi"), keys, order_cols, val, out,
-                                      n, exclusive)
-    return cold_part.unionByName(hot_part)
+        total = F.coalesce(total, F.lit(0))
+    return local.join(offsets, same).select(*df.columns, total.alias(out))
 
 
 def row_number_in_group(df: DataFrame, keys: list[str], order: list, out: str,
-                        blocks: int | None = None, hot_rows: int | None = None) -> DataFrame:
+                        blocks: int | None = None) -> DataFrame:
     """1-based position of each row within its key, skew-safe."""
-    return running_total(df, keys, order, F.lit(1).cast("long"), out, blocks,
-                         hot_rows=hot_rows)
+    return running_total(df, keys, order, F.lit(1).cast("long"), out, blocks)
 
 
 def dense_ids(df: DataFrame, order: list, out: str, start: int = 1,
@@ -173,15 +120,19 @@ def first_by_order(df: DataFrame, keys: list[str], order: list[str], cols: list[
 
     One order column: a hash ``min(order)`` per key, then the rows are
     matched back on (key, order); the match is partitioned by both columns,
-    so a hot key spreads over tasks.  Several order columns:
+    so a hot key spreads over tasks, and is null-safe: NULL is a key like
+    any other.  Several order columns:
     ``min(struct(order..., cols...))``, also a partial aggregate (each task
     keeps one candidate per key before the shuffle).
     """
     if len(order) == 1:
         o = order[0]
-        firsts = df.groupBy(*keys).agg(F.min(o).alias(o))
-        picked = df.join(firsts, [*keys, o], "inner")
-        return picked.select(*keys, *[c for c in cols if c not in keys])
+        firsts = (df.groupBy(*keys).agg(F.min(o).alias(_TOT))
+                  .select(_TOT, *[F.col(k).alias(f"_tb_k{i}") for i, k in enumerate(keys)]))
+        same = F.col(o) == F.col(_TOT)
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_tb_k{i}"))
+        return df.join(firsts, same).select(*keys, *[c for c in cols if c not in keys])
     packed = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
                       *[F.col(c) for c in cols])
     best = df.groupBy(*keys).agg(F.min(packed).alias("_tb_first"))
