@@ -1,5 +1,7 @@
 """File sources and sinks (A-1..A-12)."""
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,13 +14,54 @@ def test_customer_csv_keeps_text_and_requires_columns(spark, tmp_path):
     p = tmp_path / "customers.csv"
     p.write_text("name,mobile,address,mail,extra\nJohn Doe,0012345,1 Main St,j@x.com,zz\n"
                  "Alice,  987 ,2 Park,a@x.com,yy\n")
-    df = files.read_customers_csv(spark, str(p))
+    df, bad = files.read_customers_csv(spark, str(p))
+    assert bad.count() == 0
     assert df.columns == ["name", "mobile", "address", "mail", "ord"]
     assert rows(df, "name", "mobile") == [("Alice", "  987 "), ("John Doe", "0012345")]
-    bad = tmp_path / "bad.csv"
-    bad.write_text("name,mobile\nx,1\n")
+    short = tmp_path / "bad.csv"
+    short.write_text("name,mobile\nx,1\n")
     with pytest.raises(files.MissingColumns):
-        files.read_customers_csv(spark, str(bad))
+        files.read_customers_csv(spark, str(short))
+    with pytest.raises(files.MissingColumns):                 # one bad file of a folder
+        files.read_customers_csv(spark, str(tmp_path))
+
+
+def test_csv_files_bind_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("name,mobile,address,mail\nAnn,0001,x,a@x\n")
+    (tmp_path / "b.csv").write_text("mobile,mail,name,address\n0002,b@x,Bob,y\n")
+    df, _ = files.read_customers_csv(spark, str(tmp_path))
+    assert rows(df, "name", "mobile", "address", "mail") == [("Ann", "0001", "x", "a@x"), ("Bob", "0002", "y", "b@x")]
+
+
+def test_csv_line_breaks_and_broken_rows(spark, tmp_path):
+    p = tmp_path / "c.csv"
+    p.write_text('name,mobile,address,mail\nAnn,0001,"1 Road\nTown",a@x\nBob,0002\nCid,0003,z,c@x,more\n')
+    df, bad = files.read_customers_csv(spark, str(p))
+    assert rows(df, "name", "address") == [("Ann", "1 Road\nTown")]
+    assert sorted(r["reason"] for r in bad.collect()) == ["malformed record"] * 2
+
+
+def test_ledger_csv_rejects_bad_cells(spark, tmp_path):
+    p = tmp_path / "l.csv"
+    p.write_text("transaction_date,invoice_no,supplier_id,amount,transaction_type,description,balance,customer_id\n"
+                 "2024-01-01 00:00:00,1,,abc,Debit,d,5.00,1\n2024-01-01 00:00:00,2,,3.00,Debit,d,5.00,1\n"
+                 "not a date,3,,3.00,Debit,d,,x\n")
+    df, bad = files.read_ledger_csv(spark, str(p))
+    assert rows(df, "invoice_no") == [(2,)]
+    assert sorted(r["reason"] for r in bad.collect()) == [
+        "amount is not a decimal(10,2)", "transaction_date is not a timestamp_ntz"]
+
+
+def test_tables_replaced_together(spark):
+    root = scratch_path(spark, f"test-manifest-{uuid.uuid4().hex}")
+    one = spark.createDataFrame([(1,)], "a int")
+    files.replace_tables({"x": one, "y": one}, spark, root, "b1")
+    assert set(files.batch_versions(spark, root, "b1")) == {"x", "y"}
+    two = one.withColumn("a", F.raise_error(F.lit("broken")).cast("int"))
+    with pytest.raises(Exception, match="broken"):
+        files.replace_tables({"x": files.load_table(spark, root, "x").withColumn("a", F.lit(9)), "y": two}, spark, root, "b2")
+    assert rows(files.load_table(spark, root, "x")) == [(1,)]      # nothing of b2 is current
+    assert files.batch_versions(spark, root, "b2") == {}
 
 
 def test_list_inputs_and_extensions(spark, tmp_path):
@@ -31,7 +74,7 @@ def test_list_inputs_and_extensions(spark, tmp_path):
 
 
 def test_replace_table_versions(spark):
-    root = scratch_path(spark, "test-versions")
+    root = scratch_path(spark, f"test-versions-{uuid.uuid4().hex}")
     df = spark.createDataFrame([(1, 10), (2, 20)], "id long, q int")
     files.replace_table(df, root, "t")
     cur = files.load_table(spark, root, "t")

@@ -2,9 +2,11 @@
 supplier enrichment -> per-key aggregate -> merge into product and
 inventory -> availability -> new versions of both tables.
 
-Tables live under ``root`` as versioned Parquet (``sources.files``): the
-merge reads the current versions and writes new ones, so readers never see
-a half-applied import and a failed run leaves the old versions current.
+Tables live under ``root`` as versioned Parquet (``sources.files``).  The new
+versions of product, inventory and the rejects become current together, in
+one manifest row set that also names the import's batch id: a run that
+fails before that leaves everything as it was, and a batch id found in the
+manifest is not imported again.
 """
 
 from __future__ import annotations
@@ -15,13 +17,16 @@ from tillbook.operators.loads import import_products
 from tillbook.sources import files
 
 
-def import_products_file(spark: SparkSession, csv_path: str, root: str, extra=None) -> dict:
-    rows = files.read_products_csv(spark, csv_path, ord_col=None if extra else "ord", extra=extra)
+def import_products_file(spark: SparkSession, csv_path: str, root: str, batch_id: str, extra=None) -> dict:
+    """Versions written by the import (or by the earlier run of the batch)."""
+    done = files.batch_versions(spark, root, batch_id)
+    if done:
+        return done
+    rows, malformed = files.read_products_csv(spark, csv_path, ord_col=None if extra else "ord", extra=extra)
     product = files.load_table(spark, root, "product")
     inventory = files.load_table(spark, root, "inventory")
     supplier = files.load_table(spark, root, "supplier")
     p2, inv2, rejects = import_products(rows, product, supplier, inventory)
-    versions = {"product": files.replace_table(p2, root, "product"),
-                "inventory": files.replace_table(inv2, root, "inventory")}
-    files.append_table(rejects, root, "product_rejects")
-    return versions
+    rejects = rejects.unionByName(malformed.select("reason"), allowMissingColumns=True)
+    return files.replace_tables({"product": p2, "inventory": inv2, f"product_rejects/{batch_id}": rejects},
+                                spark, root, batch_id)

@@ -2,20 +2,24 @@
 
 CSV inputs are read with explicit schemas (never inferred: a numeric-looking
 mobile must stay text, leading zeros included).  Tables are Parquet; an
-update writes a new version directory and moves a small pointer file, so a
-reader never sees a half-written table and a path is never overwritten
-while it is being read.
+update writes new version directories and appends one file to a manifest,
+so a reader never sees a half-written table and no path is ever overwritten.
 """
 
 from __future__ import annotations
 
+import csv
 import uuid
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from tillbook.operators.windows import materialize
+
 S, I, L, D = T.StringType(), T.IntegerType(), T.LongType(), T.DecimalType(10, 2)
 
 CUSTOMER_CSV = T.StructType([T.StructField("name", S), T.StructField("mobile", S),
@@ -36,6 +40,8 @@ LEDGER_CSV = T.StructType([T.StructField("transaction_date", T.TimestampNTZType(
                            T.StructField("balance", T.DecimalType(18, 2)),
                            T.StructField("customer_id", L)])
 
+# computed columns that a product file may leave out
+OPTIONAL = ("net_profit", "profit_percentage")
 ALLOWED_EXTENSIONS = ("csv", "xlsx")
 
 
@@ -44,64 +50,115 @@ class MissingColumns(ValueError):
 
 
 # A-5
-def require_columns(spark: SparkSession, path: str, cols) -> list[str]:
-    """Reject the whole file when a required header is missing.
+def headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Header line -> the files under ``path`` that start with it.
 
-    Reads only the header line (a one-row read), never the data.
+    The first line of every file, found in one distributed pass over the
+    file starts (a split starting at 0 exists once per file); the driver
+    gets file names and header lines, which it lists anyway to read them.
     """
-    header = spark.read.option("header", True).csv(path).columns
-    missing = sorted(set(cols) - set(header))
-    if missing:
-        raise MissingColumns(f"{path}: missing columns {missing}")
-    return header
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    first = lines.filter("start = 0").groupBy("file").agg(F.first("value").alias("header"))
+    out: dict[str, list[str]] = {}
+    for r in sorted(first.collect()):
+        out.setdefault(r["header"].lstrip("\ufeff"), []).append(r["file"])
+    return out
+
+
+def require_columns(spark: SparkSession, path: str, cols) -> list[list[str]]:
+    """Reject the whole input when any file misses a required header.
+    Returns the different header rows."""
+    found = []
+    for line, names in headers(spark, path).items():
+        header = next(csv.reader([line]))
+        missing = sorted(set(cols) - set(header))
+        if missing:
+            raise MissingColumns(f"{names[0]}: missing columns {missing}")
+        found.append(header)
+    return found
 
 
 def _read_csv(spark: SparkSession, path: str, schema: T.StructType, ord_col: str | None,
-              extra: T.StructType | None = None) -> DataFrame:
-    """Header CSV by column *name* (other file columns ignored, except the
-    typed ``extra`` ones, e.g. a sequence column), plus the row's position
-    in the file as ``ord_col`` for first-wins rules when the file has none."""
-    header = spark.read.option("header", True).csv(path).columns
-    if extra:
-        schema = T.StructType(schema.fields + [f for f in extra.fields if f.name not in schema.fieldNames()])
-    file_schema = T.StructType([schema[c] if c in schema.fieldNames() else T.StructField(c, S)
-                                for c in header])
-    df = (spark.read.schema(file_schema).option("header", True).option("mode", "PERMISSIVE")
-          .option("escape", "\"")
-          .option("multiLine", False).csv(path))
-    keep = [c for c in schema.fieldNames() if c in header]
-    out = df.select(*keep)
-    if ord_col:
-        # Row position for one uploaded file: its splits are read in offset
-        # order, and monotonically_increasing_id grows with (partition, row).
-        # Spark packs several files by size, not name, so a directory of
-        # files should carry its own sequence column (pass it via ``extra``).
-        out = out.withColumn(ord_col, F.monotonically_increasing_id())
-    return out
+              extra: T.StructType | None = None, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Header CSV by column *name*, plus the row's position in the file as
+    ``ord_col`` for first-wins rules when the file has none.
+
+    Every file must have all columns of ``schema`` but the ``OPTIONAL`` ones
+    (and the typed ``extra`` ones, e.g. a sequence column); files may order them differently, other
+    columns are ignored.  Returns ``(rows, rejects)``; ``rejects`` has
+    ``file``, ``reason`` and ``record``: lines whose number of cells is not the
+    header's, and rows with a cell that its type cannot hold.
+    ``multi_line`` lets quoted cells hold line breaks, at the price of one
+    task per file; switch it off for large files without such cells (a
+    broken row is then rejected by its cell count).
+    """
+    wanted = T.StructType(schema.fields + [f for f in (extra.fields if extra else [])
+                                           if f.name not in schema.fieldNames()])
+    require_columns(spark, path, [c for c in wanted.fieldNames() if c not in OPTIONAL])
+    parts, rejected = [], []
+    for line, names in headers(spark, path).items():
+        header = next(csv.reader([line]))
+        text = T.StructType([T.StructField(c, S) for c in header] + [T.StructField("_record", S)])
+        raw = (spark.read.schema(text).option("header", True).option("mode", "PERMISSIVE")
+               .option("columnNameOfCorruptRecord", "_record").option("escape", "\"")
+               .option("enforceSchema", False).option("multiLine", multi_line).option("columnPruning", False)
+               .csv([unquote(n) for n in names]))
+        for c in set(wanted.fieldNames()) - set(header):
+            raw = raw.withColumn(c, F.lit(None).cast(S))
+        if ord_col:
+            # Row position for one uploaded file: its splits are read in offset
+            # order, and monotonically_increasing_id grows with (partition, row).
+            # Spark packs several files by size, not name, so a directory of
+            # files should carry its own sequence column (pass it via ``extra``).
+            raw = raw.withColumn(ord_col, F.monotonically_increasing_id())
+        bad = None
+        for f in wanted.fields:
+            if f.dataType != S:
+                given = F.nullif(F.trim(f.name), F.lit(""))
+                fails = given.isNotNull() & given.try_cast(f.dataType).isNull()
+                bad = F.when(fails, f"{f.name} is not a {f.dataType.simpleString()}") if bad is None else \
+                    bad.when(fails, f"{f.name} is not a {f.dataType.simpleString()}")
+        reason = F.when(F.col("_record").isNotNull(), "malformed record")
+        if bad is not None:
+            reason = F.coalesce(reason, bad)
+        # parsed once, with all cells: what counts as a broken record must not
+        # depend on which columns are read later
+        tagged = materialize(raw.select(
+            *[F.nullif(F.trim(f.name), F.lit("")).try_cast(f.dataType).alias(f.name) if f.dataType != S
+              else F.col(f.name) for f in wanted.fields],
+            *([ord_col] if ord_col else []), reason.alias("reason"),
+            F.col("_metadata.file_path").alias("file"),
+            F.coalesce("_record", F.to_json(F.struct(*[F.col(f.name) for f in wanted.fields]))).alias("record")))
+        keep = [*wanted.fieldNames(), *([ord_col] if ord_col else [])]
+        parts.append(tagged.filter("reason is null").select(*keep))
+        rejected.append(tagged.filter("reason is not null").select("file", "reason", "record"))
+    if not parts:
+        raise MissingColumns(f"{path}: no file with a header")
+    return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, rejected)
 
 
 # A-1
 def read_customers_csv(spark: SparkSession, path: str, ord_col: str | None = "ord",
-                       extra: T.StructType | None = None) -> DataFrame:
-    require_columns(spark, path, CUSTOMER_CSV.fieldNames())
-    return _read_csv(spark, path, CUSTOMER_CSV, ord_col, extra)
+                       extra: T.StructType | None = None, multi_line: bool = True):
+    return _read_csv(spark, path, CUSTOMER_CSV, ord_col, extra, multi_line)
 
 
 # A-2
 def read_suppliers_csv(spark: SparkSession, path: str, ord_col: str | None = "ord",
-                       extra: T.StructType | None = None) -> DataFrame:
-    return _read_csv(spark, path, SUPPLIER_CSV, ord_col, extra)
+                       extra: T.StructType | None = None, multi_line: bool = True):
+    return _read_csv(spark, path, SUPPLIER_CSV, ord_col, extra, multi_line)
 
 
 # A-3
 def read_products_csv(spark: SparkSession, path: str, ord_col: str | None = "ord",
-                      extra: T.StructType | None = None) -> DataFrame:
-    return _read_csv(spark, path, PRODUCT_CSV, ord_col, extra)
+                      extra: T.StructType | None = None, multi_line: bool = True):
+    return _read_csv(spark, path, PRODUCT_CSV, ord_col, extra, multi_line)
 
 
 # A-4
-def read_ledger_csv(spark: SparkSession, path: str) -> DataFrame:
-    return _read_csv(spark, path, LEDGER_CSV, None)
+def read_ledger_csv(spark: SparkSession, path: str, multi_line: bool = True):
+    return _read_csv(spark, path, LEDGER_CSV, None, None, multi_line)
 
 
 # A-6
@@ -119,11 +176,12 @@ def list_inputs(spark: SparkSession, path: str, ext: str = "csv") -> DataFrame:
 
 # A-7
 def load_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Current version of a table written by :func:`replace_table`, or a
+    """Current version of a table written by :func:`replace_tables`, or a
     plain Parquet directory."""
-    base = f"{root.rstrip('/')}/{name}"
-    current = _current_version(spark, base)
-    return spark.read.parquet(current or base)
+    versions = _manifest(spark, root)
+    current = versions.filter(F.col("name") == name).agg(F.max_by("version", "seq")).first()[0] \
+        if versions is not None else None
+    return spark.read.parquet(current or f"{root.rstrip('/')}/{name}")
 
 
 # A-8
@@ -139,25 +197,52 @@ def append_table(df: DataFrame, root: str, name: str,
 
 
 # A-12
+def replace_tables(tables: dict[str, DataFrame], spark: SparkSession, root: str,
+                   batch_id: str | None = None) -> dict[str, str]:
+    """Copy-on-write replace of several tables at once.
+
+    Each frame is written to a new version directory; then one file appended
+    to the manifest makes all of them current.  The frames may read the
+    current versions themselves (upsert, update, delete): old files stay.
+    Nothing is overwritten, so a reader sees either all old or all new
+    versions, and a failed run changes nothing.
+    """
+    versions = {}
+    for name, df in tables.items():
+        versions[name] = f"{root.rstrip('/')}/{name}/v-{uuid.uuid4().hex}"
+        df.write.parquet(versions[name])
+    before = _manifest(spark, root)
+    seq = 0 if before is None else before.agg(F.max("seq")).first()[0] + 1
+    rows = [(seq, batch_id, name, version) for name, version in versions.items()]
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(_manifest_path(root))
+    return versions
+
+
 def replace_table(df: DataFrame, root: str, name: str) -> str:
-    """Copy-on-write replace: write ``df`` to a new version directory, then
-    point ``_current`` at it.  ``df`` may read the current version itself
-    (upsert, update, delete): the old files stay until the new ones exist."""
-    spark = df.sparkSession
-    base = f"{root.rstrip('/')}/{name}"
-    version = f"{base}/v-{uuid.uuid4().hex}"
-    df.write.parquet(version)
-    spark.createDataFrame([(version,)], "path string").coalesce(1) \
-        .write.mode("overwrite").text(f"{base}/_current")
-    return version
-
-
-def _current_version(spark: SparkSession, base: str) -> str | None:
+    """:func:`replace_tables` for one table."""
+    return replace_tables({name: df}, df.sparkSession, root)[name]
+
+
+def batch_versions(spark: SparkSession, root: str, batch_id: str) -> dict[str, str]:
+    """Table versions made current by a batch; empty if it has not run."""
+    rows = _manifest(spark, root)
+    return {} if rows is None else {r["name"]: r["version"] for r in
+                                    rows.filter(F.col("batch_id") == batch_id).collect()}
+
+
+MANIFEST = T.StructType([T.StructField("seq", L), T.StructField("batch_id", S), T.StructField("name", S),
+                         T.StructField("version", S)])
+
+
+def _manifest_path(root: str) -> str:
+    return f"{root.rstrip('/')}/manifest"
+
+
+def _manifest(spark: SparkSession, root: str) -> DataFrame | None:
     try:
-        row = spark.read.text(f"{base}/_current").first()
-    except AnalysisException:  # no pointer yet: a plain directory
+        return spark.read.schema(MANIFEST).parquet(_manifest_path(root))
+    except AnalysisException:  # no manifest yet: plain directories
         return None
-    return row[0] if row else None
 
 
 # A-10

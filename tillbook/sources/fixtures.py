@@ -149,6 +149,12 @@ class Retail:
         from tillbook.operators.ledger import post_ledger
         return post_ledger(self.invoice)
 
+    @cached_property
+    def ledger_entries(self) -> DataFrame:
+        """The ledger without balances, for whoever does not read them."""
+        from tillbook.operators.ledger import entries_from_invoices
+        return entries_from_invoices(self.invoice)
+
     @cached_property
     def add_item(self) -> DataFrame:
         """Restock rows: returned line items put back on the shelf."""
