@@ -1,4 +1,4 @@
-"""Streams: late rows dropped by the watermark; stream == batch twin."""
+"""Streams: late rows counted; stream == batch twin; what a late row rewrites."""
 
 import datetime as dt
 from decimal import Decimal as Dec
@@ -11,22 +11,21 @@ from tillbook.sources.fixtures import Retail
 from tillbook.streaming import streams as sm
 
 
-def test_daily_sales_drops_late_rows(spark):
+def test_daily_sales_counts_late_rows(spark):
     d = dt.date
     batches = [
         [(1, d(2024, 1, 10), Dec("5.00")), (2, d(2024, 1, 11), Dec("7.00"))],
-        [(3, d(2024, 1, 20), Dec("1.00"))],          # watermark moves to Jan 19
+        [(3, d(2024, 1, 20), Dec("1.00"))],
         [(5, d(2024, 1, 20), Dec("2.00"))],
-        # late by 10 days against the previous batch's watermark: dropped
-        [(4, d(2024, 1, 10), Dec("100.00"))],
+        [(4, d(2024, 1, 10), Dec("100.00"))],        # ten days late
     ]
     schema = "invoice_no long, date date, final_amount decimal(10,2)"
     path = sm.new_root(spark, "feed-late")
     for b in batches:
         spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(path)
     like = spark.createDataFrame([], schema)
-    out = sm.stream_daily_sales(spark, path, like, delay="1 day", max_files=1)
-    assert rows(out) == [(d(2024, 1, 10), Dec("5.00")), (d(2024, 1, 11), Dec("7.00")),
+    out = sm.stream_daily_sales(spark, path, like, max_files=1)
+    assert rows(out) == [(d(2024, 1, 10), Dec("105.00")), (d(2024, 1, 11), Dec("7.00")),
                          (d(2024, 1, 20), Dec("3.00"))]
 
 
@@ -112,5 +111,25 @@ def test_stock_position_sums_deltas(spark):
         (spark.createDataFrame(data, "product_id long, delta long").withColumn("batch_id", F.lit(b))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(root))
-    out = sm.stock_position(spark, inv.withColumn("availability", F.lit(0)), root)
-    assert rows(out, "product_id", "quantity", "availability") == [(1, 5, 5), (2, None, 1), (3, 5, 5)]
+    product = spark.createDataFrame([(1, "20"), (2, "5"), (3, "0")], "pro_id long, safety_level string")
+    out = sm.stock_position(spark, inv.withColumn("availability", F.lit(0)), product, root)
+    assert rows(out, "product_id", "quantity", "safety_level", "availability") == [
+        (1, 5, 20, 2), (2, None, 5, 1), (3, 5, 0, 5)]
+
+
+def test_late_ledger_entry_rewrites_its_buckets_partitions_only(spark, tmp_path, monkeypatch):
+    d = dt.date
+    schema = ("invoice_no long, customer_id long, customer_name string, customer_mobile string, "
+              "date date, final_amount decimal(10,2), total_paid decimal(10,2), payment_status string")
+    first = [(100 + i, i, f"C{i}", f"{i:04d}", d(2024, 2, 1), Dec("10.00"), Dec("0.00"), "Unpaid") for i in range(40)]
+    late = [(900, 7, "C7", "0007", d(2024, 1, 1), Dec("1.00"), Dec("0.00"), "Unpaid")]
+    path = sm.new_root(spark, "feed-buckets")
+    for b in (first, late):
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(path)
+    monkeypatch.setattr(sm, "new_root", lambda _spark, name: str(tmp_path / name))
+    sm.stream_ledger(spark, path, spark.createDataFrame([], schema), max_files=1)
+    entries = tmp_path / "ledger" / "entries"
+    stamps = {p: p.stat().st_mtime for p in entries.glob("bucket=*/batch_id=0/*.parquet")}
+    newest = max(p.stat().st_mtime for p in entries.glob("bucket=*/batch_id=1/*.parquet"))
+    written = [p for p, t in stamps.items() if abs(t - newest) < 0.5]
+    assert len({p.parent for p in stamps}) > 10 and len({p.parent for p in written}) <= 1

@@ -3,17 +3,15 @@
 The reference maintains derived tables with row triggers.  Here each is a
 Structured Streaming query over a file feed:
 
-* R-1 daily sales: event-time tumbling windows with a watermark (late rows
-  are dropped), update mode, merged into a sales-by-day table.
+* R-1 daily sales: each micro-batch writes its per-day partial sums to its
+  own partition; the table is their sum when read.  No watermark, so no row
+  is too late and nothing is dropped.
 * R-2 stock: each micro-batch appends its per-product movement totals to
   a delta table partitioned by batch id (dynamic overwrite: a replayed batch
   rewrites the same partition); the position is inventory + all deltas.
-* State tables are versioned Parquet in the shared checkpoint folder:
-  micro-batch ``b`` reads version ``b-1`` and writes version ``b`` with
-  overwrite, so a replayed batch is idempotent.
-* R-3 ledger: a per-customer balances state (versioned as above) and an
-  append-mostly ledger partitioned by batch id (see ``stream_ledger``);
-  R-5 customers: an append-mostly table partitioned by batch id.
+* R-3 ledger: entries partitioned by (customer bucket, batch id) and
+  balance changes per batch (see ``stream_ledger``); R-5 customers: an
+  append-mostly table partitioned by batch id.
 * The merges are order-robust: a batch holding rows older than rows
   already posted still gives the batch result (the ledger re-posts the
   history of the customers concerned; first-wins keeps the smaller
@@ -33,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from tillbook.operators.ledger import LEDGER_ORDER, _entries_from_invoices, running_balance
+from tillbook.operators.ledger import LEDGER_ORDER, entries_from_invoices, running_balance
 from tillbook.operators.stock import refresh_availability
 from tillbook.operators.windows import materialize
 from tillbook.session import scratch_path
@@ -58,16 +56,18 @@ class VersionedState:
         return self.initial
 
     def write(self, df: DataFrame, batch_id: int) -> None:
+        """Write version ``batch_id``, then append its id to the log: the
+        version counts only from then on, and nothing current is replaced."""
         df.write.mode("overwrite").parquet(self.path(batch_id))
         self.spark.createDataFrame([(batch_id,)], "b long").coalesce(1) \
-            .write.mode("overwrite").json(f"{self.root}/_latest")
+            .write.mode("append").parquet(f"{self.root}/log")
 
     def latest(self) -> DataFrame:
         try:
-            row = self.spark.read.json(f"{self.root}/_latest").first()
+            b = self.spark.read.schema("b long").parquet(f"{self.root}/log").agg(F.max("b")).first()[0]
         except AnalysisException:
             return self.initial
-        return self.spark.read.parquet(self.path(row["b"])) if row else self.initial
+        return self.initial if b is None else self.spark.read.parquet(self.path(b))
 
 
 def new_root(spark: SparkSession, name: str) -> str:
@@ -99,35 +99,38 @@ def _read_feed(spark: SparkSession, path: str, like: DataFrame, max_files: int |
     return r.parquet(path)
 
 
+def _write_batch(df: DataFrame, batch_id: int, path: str) -> None:
+    """Write ``df`` as partition ``batch_id`` of a table; a replay of the batch
+    replaces just that partition."""
+    (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
+
+
 # R-1
-def stream_daily_sales(spark: SparkSession, feed: str, like: DataFrame, delay: str = "1 day",
+def stream_daily_sales(spark: SparkSession, feed: str, like: DataFrame,
                        max_files: int | None = 8) -> DataFrame:
-    """Daily sales by event time: 1-day tumbling windows, watermark ``delay``
-    (rows later than that are dropped), merged into (date, sales)."""
+    """Daily sales (date, sales) of a stream of invoices.
+
+    Each micro-batch writes one row per day it touches, whatever its age;
+    reading sums them per day.  A late invoice costs one row, not a rewrite.
+    """
     root = new_root(spark, "daily-sales")
-    empty = spark.createDataFrame([], "date date, sales decimal(18,2)")
-    state = VersionedState(spark, f"{root}/table", empty)
-    src = _read_feed(spark, feed, like, max_files)
-    # the date's UTC midnight as an instant, so day windows do not depend
-    # on the session time zone
-    agg = (src.withColumn("ts", F.timestamp_seconds(F.unix_date(F.col("date")) * 86400))
-           .withWatermark("ts", delay)
-           .groupBy(F.window("ts", "1 day"))
-           .agg(F.sum("final_amount").cast("decimal(18,2)").alias("sales")))
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        day = F.date_from_unix_date(F.floor(F.unix_seconds(F.col("window.start")) / 86400).cast("int"))
-        upd = batch.select(day.alias("date"), "sales")
-        prev = state.before(batch_id)
-        state.write(prev.join(upd.select("date"), "date", "left_anti").unionByName(upd), batch_id)
-
-    _run(agg.writeStream.outputMode("update").foreachBatch(upsert), f"{root}/checkpoint")
-    return state.latest()
+    sums = f"{root}/sums"
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        _write_batch(batch.groupBy("date").agg(F.sum("final_amount").alias("sales")), batch_id, sums)
+
+    _run(_read_feed(spark, feed, like, max_files).writeStream.foreachBatch(add), f"{root}/checkpoint")
+    try:
+        parts = spark.read.parquet(sums)
+    except AnalysisException:
+        return spark.createDataFrame([], "date date, sales decimal(18,2)")
+    return parts.groupBy("date").agg(F.sum("sales").cast("decimal(18,2)").alias("sales"))
 
 
 # R-2
 def stream_stock(spark: SparkSession, feed: str, like: DataFrame, inventory: DataFrame,
-                 max_files: int | None = 8) -> DataFrame:
+                 product: DataFrame, max_files: int | None = 8) -> DataFrame:
     """Stock position from a stream of movements (product_id, delta).
 
     Each micro-batch writes only its per-product movement totals (a partial
@@ -142,97 +145,98 @@ def stream_stock(spark: SparkSession, feed: str, like: DataFrame, inventory: Dat
     src = _read_feed(spark, feed, like, max_files)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        (batch.groupBy("product_id").agg(F.sum("delta").alias("delta"))
-         .withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(deltas))
+        _write_batch(batch.groupBy("product_id").agg(F.sum("delta").alias("delta")), batch_id, deltas)
 
     _run(src.writeStream.foreachBatch(apply), f"{root}/checkpoint")
-    return stock_position(spark, inventory, deltas)
+    return stock_position(spark, inventory, product, deltas)
 
 
-def stock_position(spark: SparkSession, inventory: DataFrame, deltas: str) -> DataFrame:
-    """Inventory + SUM(deltas) per product (NULL quantity stays NULL), H-6."""
+def stock_position(spark: SparkSession, inventory: DataFrame, product: DataFrame, deltas: str) -> DataFrame:
+    """Inventory + SUM(deltas) per product (NULL quantity stays NULL);
+    availability (H-6) of the moved products from their safety level."""
     try:
         d = spark.read.parquet(deltas).groupBy("product_id").agg(F.sum("delta").alias("_delta"))
     except AnalysisException:
         return inventory
-    new = (inventory.join(d, "product_id", "left")
+    new = (inventory.join(d.withColumn("_hit", F.lit(True)), "product_id", "left")
            .withColumn("quantity", (F.col("quantity") + F.coalesce(F.col("_delta"), F.lit(0)))
-                       .cast("int"))
-           .drop("_delta"))
-    return refresh_availability(new).select(*inventory.columns)
+                       .cast("int")))
+    return refresh_availability(new, product, F.col("_hit")).select(*inventory.columns)
 
 
 # R-3
 def stream_ledger(spark: SparkSession, feed: str, like: DataFrame,
-                  max_files: int | None = 8) -> DataFrame:
+                  max_files: int | None = 8, buckets: int = 64) -> DataFrame:
     """Ledger posting (P-7) from a stream of invoices with carried balances.
 
-    State: a balances table (customer_mobile, last posted key, balance), one
-    row per customer, versioned per batch.  The ledger itself is a Parquet
-    folder partitioned by ``batch_id``.  Batch ``b``:
+    The ledger is a Parquet folder partitioned by (``bucket``, ``batch_id``),
+    the bucket being a hash of the customer; balance changes (customer_mobile,
+    last posted key, balance) are appended per batch, and the newest change
+    of a customer is its balance.  Batch ``b``:
 
     * customers whose new entries all come after their last posted entry
       (the normal, in-order case) are posted from their carried balance with
-      the skew-safe running total and written to partition ``b`` only;
+      the skew-safe running total and written to their buckets' partition
+      ``b`` only;
     * customers receiving an entry older than one already posted get their
-      history re-posted in date order; only the partitions holding their
-      rows are rewritten.
+      history re-posted in date order; only the partitions of their own
+      buckets that hold their rows are rewritten.
 
     Writes use dynamic partition overwrite, so replaying batch ``b`` after a
     failure rewrites the same partitions with the same rows.
     """
     root = new_root(spark, "ledger")
-    ledger_dir = f"{root}/entries"
+    ledger_dir, changes_dir = f"{root}/entries", f"{root}/balances"
+    src = _read_feed(spark, feed, like, max_files)
+    key = F.struct(*[F.col(c) for c in LEDGER_ORDER])
+    part = ["bucket", "batch_id"]
     empty_bal = spark.createDataFrame(
         [], "customer_mobile string, _last struct<transaction_date: timestamp_ntz, "
             "invoice_no: long, step: int>, opening_balance decimal(18,2)")
-    balances = VersionedState(spark, f"{root}/balances", empty_bal)
-    src = _read_feed(spark, feed, like, max_files)
-    key = F.struct(*[F.col(c) for c in LEDGER_ORDER])
 
-    def write_partitions(df: DataFrame) -> None:
-        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(ledger_dir))
+    def balances(batch_id: int) -> DataFrame:
+        try:
+            rows = spark.read.parquet(changes_dir).filter(F.col("batch_id") < batch_id)
+        except AnalysisException:
+            return empty_bal
+        newest = rows.groupBy("customer_mobile").agg(F.max_by(F.struct("_last", "opening_balance"), "batch_id").alias("m"))
+        return newest.select("customer_mobile", "m._last", "m.opening_balance")
 
     def post(batch: DataFrame, batch_id: int) -> None:
-        new = _entries_from_invoices(batch).withColumn("batch_id", F.lit(batch_id))
-        bal = balances.before(batch_id)
-        first = new.groupBy("customer_mobile").agg(F.min(key).alias("_first"))
-        late = (first.join(bal, "customer_mobile", "inner")
-                .filter(F.col("_first") <= F.col("_last")).select("customer_mobile"))
+        new = materialize(entries_from_invoices(batch).withColumns({
+            "bucket": F.pmod(F.xxhash64("customer_mobile"), F.lit(buckets)).cast("int"),
+            "batch_id": F.lit(batch_id)}))
+        mine = new.groupBy("customer_mobile").agg(F.min(key).alias("_first"))
+        bal = materialize(balances(batch_id).join(mine, "customer_mobile"))     # this batch's customers
+        late = bal.filter(F.col("_first") <= F.col("_last")).select("customer_mobile")
         has_late = bool(late.take(1))
         fresh = new.join(late, "customer_mobile", "left_anti") if has_late else new
-        posted = running_balance(fresh.drop("balance"),
-                                 opening=bal.select("customer_mobile", "opening_balance"))
-        out = posted
+        out = running_balance(fresh, opening=bal.select("customer_mobile", "opening_balance"))
+        done = out
         if has_late:
-            late = materialize(late)
+            hit = new.join(late, "customer_mobile", "left_semi").select("bucket")
             old = spark.read.parquet(ledger_dir).filter(F.col("batch_id") < batch_id)
+            old = old.join(hit, "bucket", "left_semi")        # pruned to the late customers' buckets
             history = old.join(late, "customer_mobile", "left_semi").drop("balance")
-            redo = running_balance(history.unionByName(
-                new.join(late, "customer_mobile", "left_semi")))
-            touched = redo.select("batch_id").distinct()
-            keep = (old.join(touched, "batch_id", "left_semi")
-                    .join(late, "customer_mobile", "left_anti"))
+            redo = running_balance(history.unionByName(new.join(late, "customer_mobile", "left_semi")))
+            done = materialize(out.unionByName(redo))
+            touched = redo.select(*part)
+            keep = old.join(touched, part, "left_semi").join(late, "customer_mobile", "left_anti")
             # written aside first: the partitions being replaced are also read
-            out = materialize(posted.unionByName(redo).unionByName(keep))
-        write_partitions(out)
-        done = out.filter(F.col("batch_id") == batch_id) if not has_late else \
-            out.join(new.select("customer_mobile").distinct(), "customer_mobile", "left_semi")
+            out = materialize(done.unionByName(keep))
+        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*part).parquet(ledger_dir))
         last = (done.groupBy("customer_mobile")
                 .agg(F.max(F.struct(key.alias("_k"), F.col("balance"))).alias("_m"))
                 .select("customer_mobile", F.col("_m._k").alias("_last"),
                         F.col("_m.balance").alias("opening_balance")))
-        nxt = bal.join(last.select("customer_mobile"), "customer_mobile", "left_anti").unionByName(last)
-        balances.write(nxt, batch_id)
+        _write_batch(last, batch_id, changes_dir)
 
     _run(src.writeStream.foreachBatch(post), f"{root}/checkpoint")
     try:
-        return spark.read.parquet(ledger_dir).drop("batch_id")
+        return spark.read.parquet(ledger_dir).drop(*part)
     except AnalysisException:
-        return running_balance(_entries_from_invoices(like.limit(0)))
+        return running_balance(entries_from_invoices(like.limit(0)))
 
 
 # R-4
