@@ -30,10 +30,13 @@ def test_documents_pages_and_empty(spark):
                                   "price decimal(10,2), discount decimal(10,2), total decimal(10,2)")
     product = spark.createDataFrame([(10 + i, f"P{i}") for i in range(5)], "pro_id long, pro_name string")
     docs = dc.invoice_documents(inv, lines, product, page_size=2)
-    got = sorted((r["invoice_no"], r["page"], [i["name"] for i in r["items"]]) for r in docs.collect())
+    got = sorted((r["invoice_no"], r["page"], r["page_count"], r["item_count"], [i["name"] for i in r["items"]])
+                 for r in docs.collect())
     # line of the unknown product 99 drops out; pages of at most 2 items
-    assert got == [(1, 0, ["P0", "P1"]), (1, 1, ["P2", "P3"]), (1, 2, ["P4"]), (2, 0, [])]
-    assert dc.documents_json(docs).filter("invoice_no = 2").first()["json"].endswith('"items":[]}')
+    assert got == [(1, 0, 3, 5, ["P0", "P1"]), (1, 1, 3, 5, ["P2", "P3"]), (1, 2, 3, 5, ["P4"]), (2, 0, 1, 0, [])]
+    texts = {(r["invoice_no"], r["page"]): r["json"] for r in dc.documents_json(docs).collect()}
+    assert texts[2, 0].endswith('"page":0,"page_count":1,"item_count":0,"items":[]}')
+    assert '"unit":null' in texts[1, 2]                       # every document has every key
 
 
 def test_print_totals(spark):

@@ -60,6 +60,32 @@ def test_import_products(spark):
                                           (3, "cost_price is not a number")]
 
 
+def test_coerce_products_rejects_single_rows(spark):
+    base = product_rows(spark).filter("ord in (0, 4)")
+    bad = {"pro_id": ["abc", "1.5", None], "quantity": ["NaN", "1e12", "x"], "safety_level": ["1e12", "NaN"],
+           "selling_price": ["1000000000", "NaN"], "cost_price": ["", "inf"], "expiry_date": ["soon"]}
+    text = base.withColumn("pro_id", F.concat(F.lit("0"), F.col("pro_id").cast("string")))
+    parts, n = [text], 100
+    for c, values in bad.items():
+        for v in values:
+            parts.append(text.filter("ord = 0").withColumns({"ord": F.lit(n).cast("long"), c: F.lit(v).cast("string")}))
+            n += 1
+    from functools import reduce
+    ok, rej = ld.coerce_products(reduce(lambda a, b: a.unionByName(b), parts))
+    # a NaN safety level counts as 0, every other bad cell costs its own row only
+    assert rows(ok, "ord", "pro_id", "safety_level") == [(0, 1, "1"), (4, 5, "3"), (107, 1, "0")]
+    assert rej.count() == n - 100 - 1
+
+
+def test_rows_without_a_name_or_mobile(spark):
+    rows_ = spark.createDataFrame([(1, None, "A"), (2, "01", "B")], "ord long, mobile string, name string")
+    cust, ids = ld.ensure_customers(rows_, customers(spark))
+    assert cust.filter("mobile is null").count() == 0
+    assert {(r["ord"], r["customer_id"]) for r in ids.collect()} == {(1, None), (2, 3)}
+    new, skipped = ld.import_customers(rows_.withColumns({"address": F.lit("x"), "mail": F.lit("y")}), customers(spark))
+    assert rows(new, "mobile") == [("01",)] and rows(skipped, "ord") == [(1,)]
+
+
 def test_apply_updates_last_wins(spark):
     base = customers(spark)
     changes = spark.createDataFrame([(1, "A", 1), (1, "B", 2)], "id long, name string, ord int")

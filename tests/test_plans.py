@@ -36,7 +36,7 @@ def test_stored_tables_match_derived(spark):
     cols = ("invoice_no", "step", "balance")
     assert rows(lg.post_ledger(st.invoice), *cols) == rows(r.ledger, *cols)
     items = st.lines.drop("total")
-    out = post_invoices(st.invoice_draft, items, st.customer, st.inventory, batch_id="b1")
+    out = post_invoices(st.invoice_draft, items, st.customer, st.inventory, st.product, batch_id="b1")
     assert out["ledger"].select("batch_id").distinct().collect()[0][0] == "b1"
     assert out["invoice"].count() + out["rejects"].select("invoice_no").distinct().count() \
         == st.invoice_draft.count()

@@ -1,11 +1,12 @@
 """Invoice documents and print/draft totals (A-11, G-18, G-19, G-22, W-4).
 
-An invoice document is the header plus its line items as an array.  A group
-collect is only safe when the group is bounded, so items are cut into pages
-of at most ``page_size`` lines (the position inside the invoice is the
-skew-safe prefix count); an ordinary invoice is one page, and an invoice
-with a million lines becomes many bounded rows instead of one huge one.
-Nothing is dropped: every line appears in exactly one page.
+The unbounded form of an invoice's items is rows (``document_items`` with
+``number_lines``).  A document is the header plus items as an array; a group
+collect is only safe when the group is bounded, so a document holds a page
+of ``page_size`` lines (the position inside the invoice is the skew-safe
+prefix count).  Every document says which page of how many it is and how
+many items the invoice has, whatever the invoice's size.  Nothing is
+dropped: every line appears in exactly one page.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.functions import rules as R
-from tillbook.operators.windows import row_number_in_group
+from tillbook.operators.windows import materialize, row_number_in_group
 
 HEADER = ["invoice_no", "customer_name", "customer_mobile", "date", "final_amount", "status",
           "payment_status"]
@@ -42,26 +43,33 @@ def number_lines(lines: DataFrame, order: list[str] | None = None, out: str = "s
 
 # A-11
 def invoice_documents(invoice: DataFrame, lines: DataFrame, product: DataFrame,
-                      page_size: int = 1000) -> DataFrame:
-    """One row per (invoice, page): header columns, ``page`` and ``items``
-    (array of name, quantity, unit, price, discount, total in line order).
-    Invoices without lines get page 0 with an empty array."""
+                      page_size: int) -> DataFrame:
+    """One row per (invoice, page): header columns, ``page`` (from 0),
+    ``page_count``, ``item_count`` (items of the invoice) and ``items`` (array
+    of name, quantity, unit, price, discount, total in line order).
+    An invoice without lines has one page with an empty array."""
     items = number_lines(document_items(lines, product), out="_pos")
     items = items.withColumn("page", F.floor((F.col("_pos") - 1) / page_size).cast("int"))
     packed = F.struct(F.col("_pos"), *[F.col(c) for c in ITEM])
     pages = (items.groupBy("invoice_no", "page")
              .agg(F.sort_array(F.collect_list(packed)).alias("_items")))
-    pages = pages.withColumn("items", F.transform("_items", lambda s: F.struct(*[s[c].alias(c) for c in ITEM])))
+    pages = materialize(pages.select(
+        "invoice_no", "page", F.transform("_items", lambda s: F.struct(*[s[c].alias(c) for c in ITEM])).alias("items")))
+    counts = pages.groupBy("invoice_no").agg(F.count(F.lit(1)).cast("int").alias("page_count"),
+                                             F.sum(F.size("items")).alias("item_count"))
     item_type = pages.schema["items"].dataType
-    docs = invoice.select(*HEADER).join(pages.drop("_items"), "invoice_no", "left")
+    docs = invoice.select(*HEADER).join(pages.join(counts, "invoice_no"), "invoice_no", "left")
     return docs.select(*HEADER, F.coalesce(F.col("page"), F.lit(0)).alias("page"),
+                       F.coalesce(F.col("page_count"), F.lit(1)).alias("page_count"),
+                       F.coalesce(F.col("item_count"), F.lit(0).cast("long")).alias("item_count"),
                        F.coalesce(F.col("items"), F.array().cast(item_type)).alias("items"))
 
 
 def documents_json(docs: DataFrame) -> DataFrame:
-    """The JSON text of each document page (``to_json``, JVM-side)."""
-    return docs.select("invoice_no", "page",
-                       F.to_json(F.struct(*[F.col(c) for c in HEADER], F.col("items"))).alias("json"))
+    """The JSON text of each document page (``to_json``, JVM-side); every
+    document has the same keys, NULLs included."""
+    body = F.struct(*[F.col(c) for c in (*HEADER, "page", "page_count", "item_count", "items")])
+    return docs.select("invoice_no", "page", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
 
 
 # G-18

@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.functions import rules as R
-from tillbook.operators.windows import last_by_order, running_total
+from tillbook.operators.greedy import accept_in_order
+from tillbook.operators.windows import last_by_order, materialize, running_total
 
 LEDGER_ORDER = ["transaction_date", "invoice_no", "step"]
 BALANCE = R.WIDE_MONEY
 
 
-def _entries_from_invoices(invoice: DataFrame) -> DataFrame:
+def entries_from_invoices(invoice: DataFrame) -> DataFrame:
     """One Debit per invoice, plus a Credit when it is (partially) paid."""
     debit = F.struct(F.lit(0).alias("step"), F.lit("Debit").alias("transaction_type"),
                      F.col("final_amount").alias("amount"),
@@ -41,7 +42,7 @@ def _entries_from_invoices(invoice: DataFrame) -> DataFrame:
 # W-1
 def running_balance(entries: DataFrame, sign: str = "receivable", key: str = "customer_mobile",
                     order: list | None = None, opening: DataFrame | None = None,
-                    out: str = "balance", hot_rows: int | None = None) -> DataFrame:
+                    out: str = "balance") -> DataFrame:
     """Running balance per ``key`` in ``order``.
 
     ``sign='receivable'``: Debit +, Credit - (live trigger); ``'account'``:
@@ -50,7 +51,7 @@ def running_balance(entries: DataFrame, sign: str = "receivable", key: str = "cu
     """
     order = order or LEDGER_ORDER
     signed = R.signed_amount("transaction_type", "amount", sign)
-    out_df = running_total(entries, [key], order, signed, "_run", hot_rows=hot_rows)
+    out_df = running_total(entries, [key], order, signed, "_run")
     bal = F.col("_run")
     if opening is not None:
         out_df = out_df.join(opening.select(key, F.col("opening_balance").alias("_open")), key, "left")
@@ -60,16 +61,15 @@ def running_balance(entries: DataFrame, sign: str = "receivable", key: str = "cu
 
 
 # P-7
-def post_ledger(invoice: DataFrame, opening: DataFrame | None = None,
-                hot_rows: int | None = None) -> DataFrame:
+def post_ledger(invoice: DataFrame, opening: DataFrame | None = None) -> DataFrame:
     """Ledger rows for a batch of invoices with balances per mobile.
 
     Debit final_amount always (step 0); Credit total_paid when 'Paid' (Full)
     or 'Partially Paid' (Partial) and paid > 0, one second later (step 1).
     The balance continues from ``opening`` (customer_mobile, opening_balance).
     """
-    return running_balance(_entries_from_invoices(invoice), "receivable",
-                           "customer_mobile", LEDGER_ORDER, opening, hot_rows=hot_rows)
+    return running_balance(entries_from_invoices(invoice), "receivable",
+                           "customer_mobile", LEDGER_ORDER, opening)
 
 
 # P-8
@@ -120,8 +120,8 @@ def post_ledger_flip(invoice: DataFrame, ledger: DataFrame) -> DataFrame:
     inv = invoice.select("invoice_no", "customer_id", "date",
                          F.coalesce(F.col("final_amount"), F.lit(0)).cast(R.MONEY).alias("_amt"),
                          status.alias("_st"))
-    has_row = ledger.select("invoice_no").distinct()
-    has_debit = ledger.filter(F.col("transaction_type") == "Debit").select("invoice_no").distinct()
+    has_row = ledger.select("invoice_no")
+    has_debit = ledger.filter(F.col("transaction_type") == "Debit").select("invoice_no")
     paid = inv.filter(F.col("_st") == "paid")
     flip_keys = paid.select("invoice_no").join(has_debit, "invoice_no", "left_semi")
     flipped = (ledger.join(flip_keys.withColumn("_flip", F.lit(True)), "invoice_no", "left")
@@ -151,33 +151,32 @@ def log_payments(payment: DataFrame, invoice: DataFrame, ledger: DataFrame):
     Reasons: no invoice number, amount <= 0 or NULL, no customer for the
     invoice, invoice already 'paid', payment exceeds the customer's
     outstanding balance.  Outstanding = receivable ledger sum (G-15 rather
-    than the variant's unsigned sum) minus earlier payments of the batch,
-    in (invoice_date, invoice_no, payment order) order.  Returns
-    ``(credits, rejects, paid_invoices)``; ``paid_invoices`` are invoices
-    whose customer balance reaches 0.
+    than the variant's unsigned sum) minus the payments *accepted* earlier,
+    in (invoice_date, invoice_no, payment_id) order; a rejected payment
+    changes nothing.  ``payment_id`` must be unique.  Returns ``(credits,
+    rejects, paid_invoices)``; ``paid_invoices`` are invoices whose payment
+    brings the customer's balance to 0.
     """
+    if "payment_id" not in payment.columns:
+        raise ValueError("payments need a payment_id: it is the order of payments of one invoice")
     inv = invoice.select("invoice_no", F.col("customer_id").alias("_cid"),
                          F.col("payment_status").alias("_ist"))
-    # order of payments: date, invoice, then the payment id when the batch has
-    # one (else the row position as the last tie-breaker)
-    tie = "payment_id" if "payment_id" in payment.columns else "_pord"
-    p = payment if tie == "payment_id" else payment.withColumn("_pord", F.monotonically_increasing_id())
-    p = p.join(inv, "invoice_no", "left")
+    p = payment.join(inv, "invoice_no", "left")
     reason = (F.when(F.col("invoice_no").isNull(), "invoice number missing")
               .when(F.col("amount").isNull() | (F.col("amount") <= 0), "amount must be > 0")
               .when(F.col("_cid").isNull(), "customer not found for invoice")
               .when(F.lower(F.trim(F.col("_ist"))) == "paid", "invoice already paid"))
     p = p.withColumn("_reason", reason)
     pre = p.filter(F.col("_reason").isNotNull())
-    ok = p.filter(F.col("_reason").isNull())
     bal = ledger_balance(ledger.withColumnRenamed("customer_id", "_cid"), key="_cid")
-    ok = running_total(ok, ["_cid"], ["invoice_date", "invoice_no", tie],
-                       F.col("amount"), "_paid_so_far")
-    ok = ok.join(bal.withColumnRenamed("balance", "_bal"), "_cid", "left")
-    new_bal = (F.coalesce(F.col("_bal"), F.lit(0)) - F.col("_paid_so_far")).cast(BALANCE)
-    ok = ok.withColumn("balance", new_bal)
-    exceeds = ok.filter(F.col("balance") < 0).withColumn("_reason", F.lit("payment exceeds balance"))
-    good = ok.filter(F.col("balance") >= 0)
+    ok = materialize(p.filter(F.col("_reason").isNull()).drop("_reason")
+                     .join(bal.withColumnRenamed("balance", "_bal"), "_cid", "left")
+                     .withColumn("_bal", F.coalesce("_bal", F.lit(0).cast(BALANCE))))
+    order = ["invoice_date", "invoice_no", "payment_id"]
+    ok = ok.join(accept_in_order(ok, order, "_cid", "amount", "_bal"), order)
+    exceeds = ok.filter(~F.col("accepted")).withColumn("_reason", F.lit("payment exceeds balance"))
+    good = running_total(ok.filter("accepted"), ["_cid"], order, F.col("amount"), "_paid_so_far")
+    good = good.withColumn("balance", (F.col("_bal") - F.col("_paid_so_far")).cast(BALANCE))
     credits = good.select(
         F.col("invoice_date").cast("timestamp_ntz").alias("transaction_date"),
         "invoice_no", F.col("_cid").alias("customer_id"), "amount",
@@ -197,7 +196,7 @@ def add_ledger_entries(rows: DataFrame, ledger: DataFrame, customer: DataFrame,
 
     ``rows``: entry_id, transaction_date, invoice_no, customer_mobile, amount,
     transaction_type, description.  Rejected: missing date / type / amount,
-    amount <= 0, neither invoice nor mobile, unknown mobile, unknown invoice.
+    a type other than Debit or Credit, amount <= 0, neither invoice nor mobile, unknown mobile, unknown invoice.
     Accepted rows get customer_id by mobile and balance = latest balance of
     the customer (newest transaction_date in ``ledger``) +/- amount, Credit +
     (the page's sign), carried through the batch in (date, entry_id) order.
@@ -208,6 +207,7 @@ def add_ledger_entries(rows: DataFrame, ledger: DataFrame, customer: DataFrame,
     r = (rows.join(cust, "customer_mobile", "left").join(known_inv, "invoice_no", "left"))
     reason = (F.when(F.col("transaction_date").isNull() | F.col("transaction_type").isNull()
                      | F.col("amount").isNull(), "date, type and amount are required")
+              .when(~F.col("transaction_type").isin(*R.TRANSACTION_TYPES), "invalid transaction type")
               .when(F.col("invoice_no").isNull() & F.col("customer_mobile").isNull(),
                     "invoice or mobile required")
               .when(F.col("amount") <= 0, "amount must be > 0")
@@ -324,5 +324,7 @@ def filter_ledger(ledger: DataFrame, text: str = "", ttype: str = "", customer:
     if customer:
         cond = cond & (F.col("customer_mobile") == customer)
     if date:
-        cond = cond & (F.to_date(F.col("transaction_date")) == F.to_date(F.lit(date)))
+        day = F.to_date(F.lit(date)).cast("timestamp_ntz")
+        cond = cond & (F.col("transaction_date") >= day) \
+            & (F.col("transaction_date") < F.timestamp_add("DAY", F.lit(1), day))
     return ledger.filter(cond)

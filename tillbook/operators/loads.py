@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from tillbook.functions import rules as R
 from tillbook.operators.numbering import assign_ids, next_id_start
-from tillbook.operators.stock import refresh_availability
-from tillbook.operators.windows import first_by_order, last_by_order
+from tillbook.operators.stock import mirror_quantity, refresh_availability
+from tillbook.operators.windows import first_by_order, last_by_order, materialize
 
 CUSTOMER_COLUMNS = ("name", "mobile", "address", "mail")
 SUPPLIER_COLUMNS = ("name", "terms", "mobile", "mail", "company")
@@ -44,12 +44,12 @@ def import_customers(rows: DataFrame, existing: DataFrame, order: str = "ord"):
     """Import a customer file: trim mobile, skip mobiles already in the table
     or earlier in the file (first row wins), give new rows ids.
 
-    Returns ``(new_customers, skipped)``; ``new_customers`` has id, name,
-    mobile, address, mail with ids after the table's maximum.
+    Rows without a mobile are skipped too.  Returns ``(new_customers,
+    skipped)``; ``new_customers`` has id, name, mobile, address, mail with ids after the table's maximum.
     """
     r = rows.withColumn("mobile", R.clean_text(F.col("mobile").cast("string")))
     known = existing.select("mobile")
-    fresh = r.join(known, "mobile", "left_anti")
+    fresh = r.filter("mobile is not null").join(known, "mobile", "left_anti")
     first = first_by_order(fresh, ["mobile"], [order], [order, "name", "address", "mail"])
     start = next_id_start(existing, "id")
     new = assign_ids(first, [order], start=start, out="id").select(
@@ -72,30 +72,55 @@ def import_suppliers(rows: DataFrame, existing: DataFrame, order: str = "ord") -
 def coerce_products(rows: DataFrame):
     """Type coercion of a product file read as text.
 
-    Prices via float then NUMERIC(10,2); quantity int (a fraction is
-    truncated, like ``int(float)``); safety level int with blank -> 0;
-    supplier id int or NULL; blank expiry / hc_code -> NULL.  Rows whose
-    price or quantity do not parse are rejected.  Returns ``(ok, rejects)``.
+    pro_id to a whole number (so ``5`` and ``05`` are one product); prices
+    via float to NUMERIC(10,2); quantity int (a fraction is truncated, like
+    ``int(float)``); safety level int with blank or not-a-number -> 0;
+    supplier id int or NULL; blank expiry / hc_code -> NULL.  A cell that
+    does not parse, or a value its column cannot hold, rejects its row and
+    no other.  Returns ``(ok, rejects)``.
     """
     def blank(c):
         return F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
-    num = {c: blank(c).try_cast("double") for c in ("cost_price", "selling_price", "quantity",
-                                                      "safety_level", "supplier_id")}
+
+    def number(c):
+        n = blank(c).try_cast("double")
+        return F.when(~F.isnan(n), n)
+
+    def whole(c, kind="int"):
+        return number(c).try_cast(kind)
+
+    replaced = ("pro_id", "cost_price", "selling_price", "quantity", "safety_level", "supplier_id",
+                "expiry_date", "hc_code")
+    has_id = "pro_id" in rows.columns
+    exact_id = F.coalesce(blank("pro_id").try_cast("bigint"),
+                          F.when(number("pro_id") == F.floor(number("pro_id")), whole("pro_id", "bigint"))) \
+        if has_id else None
     typed = rows.select(
-        *[c for c in rows.columns if c not in ("cost_price", "selling_price", "quantity",
-                                               "safety_level", "supplier_id", "expiry_date",
-                                               "hc_code")],
-        num["cost_price"].cast(R.MONEY).alias("cost_price"),
-        num["selling_price"].cast(R.MONEY).alias("selling_price"),
-        num["quantity"].cast("int").alias("quantity"),
-        F.coalesce(num["safety_level"].cast("int"), F.lit(0)).cast("string").alias("safety_level"),
-        num["supplier_id"].cast("int").alias("supplier_id"),
+        *[c for c in rows.columns if c not in replaced],
+        *([exact_id.alias("pro_id")] if has_id else []),
+        number("cost_price").try_cast(R.MONEY).alias("cost_price"),
+        number("selling_price").try_cast(R.MONEY).alias("selling_price"),
+        whole("quantity").alias("quantity"),
+        F.when(number("safety_level").isNull(), F.lit(0)).otherwise(whole("safety_level")).cast("string")
+        .alias("safety_level"),
+        whole("supplier_id").alias("supplier_id"),
         blank("expiry_date").try_cast("date").alias("expiry_date"),
-        blank("hc_code").alias("hc_code"))
-    bad = (F.when(F.col("cost_price").isNull(), "cost_price is not a number")
-           .when(F.col("selling_price").isNull(), "selling_price is not a number")
-           .when(F.col("quantity").isNull(), "quantity is not a number"))
-    return _reason_split(typed, bad)
+        blank("hc_code").alias("hc_code"),
+        number("cost_price").isNotNull().alias("_cost"), number("selling_price").isNotNull().alias("_sell"),
+        number("quantity").isNotNull().alias("_qty"),
+        (blank("expiry_date").isNotNull() & blank("expiry_date").try_cast("date").isNull()).alias("_expiry"))
+    bad = (F.when(F.col("pro_id").isNull() if has_id else F.lit(False), "pro_id is not a whole number")
+           .when(~F.col("_cost"), "cost_price is not a number")
+           .when(F.col("cost_price").isNull(), "cost_price is out of range")
+           .when(~F.col("_sell"), "selling_price is not a number")
+           .when(F.col("selling_price").isNull(), "selling_price is out of range")
+           .when(~F.col("_qty"), "quantity is not a number")
+           .when(F.col("quantity").isNull(), "quantity is out of range")
+           .when(F.col("safety_level").isNull(), "safety_level is out of range")
+           .when(F.col("_expiry"), "expiry_date is not a date"))
+    ok, rejects = _reason_split(typed, bad)
+    flags = ("_cost", "_sell", "_qty", "_expiry")
+    return ok.drop(*flags), rejects.drop(*flags)
 
 
 # J-8
@@ -116,31 +141,39 @@ def import_products(rows: DataFrame, product: DataFrame, supplier: DataFrame,
 
     coerce (H-21) -> supplier enrichment (J-8) -> per pro_id: SUM(quantity)
     and the first valid row's attributes -> upsert into product (new ids
-    inserted; existing ids get only quantity += file quantity) -> post the
-    same quantity to inventory once (insert or +=) -> availability (H-6).
+    inserted; existing ids get quantity += file quantity) -> post the same
+    quantity to inventory once (insert or +=) -> availability (H-6) -> the
+    updated inventory quantities mirrored back to their products (M-12).
+
+    The per-product rows are written once; both tables and a rerun of one
+    of them read that copy instead of coercing the file again.
     """
-    ok, bad1 = coerce_products(rows)
-    ok, bad2 = enrich_supplier(ok, supplier)
+    tagged = materialize(_tagged_products(rows, supplier, order))
+    rejects = tagged.filter("reason is not null").select(order, "reason")
+    ok = tagged.filter("reason is null")
     attrs = [c for c in PRODUCT_ATTRS if c in ok.columns]
     # one partial aggregate per product id: total quantity and the first
     # valid row's attributes (min over (ord, attrs...))
-    per_key = (ok.groupBy("pro_id")
-               .agg(F.sum("quantity").cast("int").alias("_q"),
-                    F.min(F.struct(F.col(order).alias("_o"), *[F.col(c) for c in attrs])).alias("_f"))
-               .select("pro_id", "_q", *[F.col(f"_f.{c}").alias(c) for c in attrs]))
+    per_key = materialize(
+        ok.groupBy("pro_id")
+        .agg(F.sum("quantity").alias("_q"),
+             F.min(F.struct(F.col(order).alias("_o"), *[F.col(c) for c in attrs])).alias("_f"))
+        .select("pro_id", "_q", *[F.col(f"_f.{c}").alias(c) for c in attrs]))
     sums = per_key.select("pro_id", "_q")
 
     p_cols = product.columns
     upd = (product.join(sums, "pro_id", "left")
            .withColumn("quantity", (F.col("quantity") + F.coalesce(F.col("_q"), F.lit(0))).cast("int"))
            .drop("_q"))
-    ins = per_key.join(product.select("pro_id"), "pro_id", "left_anti").withColumnRenamed("_q", "quantity")
+    ins = per_key.join(product.select("pro_id"), "pro_id", "left_anti") \
+        .withColumn("quantity", F.col("_q").cast("int"))
     ins = _conform(ins, product)
     product2 = upd.select(*p_cols).unionByName(ins)
 
     inv_cols = inventory.columns
     q_add = F.col("_q")
-    inv_upd = (inventory.join(sums.withColumnRenamed("pro_id", "product_id"), "product_id", "left")
+    known = sums.withColumnRenamed("pro_id", "product_id")
+    inv_upd = (inventory.join(known, "product_id", "left")
                .withColumn("quantity", F.when(q_add.isNotNull(),
                                               F.coalesce(F.col("quantity"), F.lit(0)) + q_add)
                            .otherwise(F.col("quantity")).cast("int"))
@@ -154,10 +187,22 @@ def import_products(rows: DataFrame, product: DataFrame, supplier: DataFrame,
     # safety levels of the new product version: existing rows keep theirs,
     # inserted ids bring the file's (quantities do not matter here)
     safety = product.select("pro_id", "safety_level").unionByName(ins.select("pro_id", "safety_level"))
-    inventory2 = refresh_availability(inv_upd.select(*inv_cols).unionByName(inv_new), safety)
-    inventory2 = inventory2.select(*inv_cols)
-    rejects = bad1.select(order, "reason").unionByName(bad2.select(order, "reason"))
-    return product2, inventory2, rejects
+    hit = known.select("product_id", F.lit(True).alias("_hit"))
+    inventory2 = materialize(refresh_availability(
+        inv_upd.select(*inv_cols).unionByName(inv_new).join(hit, "product_id", "left"),
+        safety, F.col("_hit")).select(*inv_cols))
+    # only updates are mirrored; a new inventory row has its product's quantity
+    updated = known.join(inventory.select("product_id"), "product_id", "left_semi")
+    return mirror_quantity(inventory2, product2, updated), inventory2, rejects
+
+
+def _tagged_products(rows: DataFrame, supplier: DataFrame, order: str) -> DataFrame:
+    """The typed, supplier-enriched rows of a product file with ``reason``
+    (NULL: valid)."""
+    ok, bad1 = coerce_products(rows)
+    ok, bad2 = enrich_supplier(ok, supplier)
+    reasons = bad1.select(order, "reason").unionByName(bad2.select(order, "reason"))
+    return ok.withColumn("reason", F.lit(None).cast("string")).unionByName(reasons, allowMissingColumns=True)
 
 
 # M-4
@@ -173,13 +218,15 @@ def upsert_by_name(rows: DataFrame, product: DataFrame, inventory: DataFrame,
 
     A row whose name equals an existing product's name adds its quantity to
     that product and its inventory; otherwise it is inserted with trimmed
-    text, a new id, and an inventory row.  Unknown supplier ids are rejected.
+    text, a new id, and an inventory row.  Unknown supplier ids and rows
+    without a name are rejected.
     Repeated new names in one file: the first row inserts, later ones add.
     Returns ``(product', inventory', rejects)``.
     """
     sup = supplier.select(F.col("id").alias("supplier_id"), F.lit(True).alias("_sup"))
     r = rows.join(sup, "supplier_id", "left")
-    ok, rejects = _reason_split(r, F.when(F.col("_sup").isNull(), "invalid supplier_id"))
+    ok, rejects = _reason_split(r, F.when(F.col("_sup").isNull(), "invalid supplier_id")
+                                .when(F.col("pro_name").isNull(), "missing product name"))
     ok = ok.drop("_sup")
     name_ids = product.groupBy("pro_name").agg(F.min("pro_id").alias("_pid"))
     matched = ok.join(name_ids, "pro_name", "inner")
@@ -234,7 +281,7 @@ def delete_cascade(keys: DataFrame, key: str, children: dict[str, tuple[DataFram
 
     ``children``: name -> (frame, fk column).  Returns name -> new frame.
     """
-    k = keys.select(F.col(key).alias("_k")).distinct()
+    k = keys.select(F.col(key).alias("_k"))
     return {name: df.join(k, df[fk] == k["_k"], "left_anti") for name, (df, fk) in children.items()}
 
 
@@ -264,10 +311,11 @@ def ensure_customers(rows: DataFrame, customer: DataFrame, order: str = "ord"):
     """Find-or-create customers by mobile for a batch of (mobile, name) rows.
 
     Mobiles not in the table are created once (first row's name) with ids
-    after the maximum; every row gets its customer_id.  Returns
-    ``(customer', rows_with_ids)``.
+    after the maximum; every row gets its customer_id.  A row without a
+    mobile names no customer: it creates none and its customer_id is NULL.
+    Returns ``(customer', rows_with_ids)``.
     """
-    fresh = rows.join(customer.select("mobile"), "mobile", "left_anti")
+    fresh = rows.filter("mobile is not null").join(customer.select("mobile"), "mobile", "left_anti")
     first = first_by_order(fresh, ["mobile"], [order], [order, "name"])
     start = next_id_start(customer, "id")
     created = assign_ids(first, [order], start=start, out="id").select("id", "name", "mobile")

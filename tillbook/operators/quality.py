@@ -41,7 +41,7 @@ def check_positive(df: DataFrame, cols: list[str], allow_zero: bool = False) ->
 # Q-3
 def check_fk(child: DataFrame, col: str, parent: DataFrame, key: str) -> DataFrame:
     """Child rows whose non-NULL ``col`` has no parent ``key`` (anti join)."""
-    p = parent.select(F.col(key).alias("_fk")).distinct()
+    p = parent.select(F.col(key).alias("_fk"))
     return (child.filter(F.col(col).isNotNull())
             .join(p, F.col(col) == F.col("_fk"), "left_anti")
             .withColumn("reason", F.lit(f"{col} has no parent")))

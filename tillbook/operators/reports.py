@@ -179,7 +179,7 @@ def lookup(df: DataFrame, keys, col: str) -> DataFrame:
     DataFrame of keys becomes a semi join (broadcast by AQE when small).
     """
     if isinstance(keys, DataFrame):
-        k = keys.select(F.col(keys.columns[0]).alias(col)).distinct()
+        k = keys.select(F.col(keys.columns[0]).alias(col))
         return df.join(k, col, "left_semi")
     return df.filter(F.col(col).isin(list(keys)))
 
@@ -231,12 +231,20 @@ def search_inventory(inventory: DataFrame, text: str, scheme: str = "page") -> D
 def page(df: DataFrame, n: int, order: list, size: int = 5) -> DataFrame:
     """B-17: page ``n`` (1-based) of ``size`` rows in ``order``.
 
-    ORDER BY + OFFSET + LIMIT plans as a bounded top-(offset+size), so a
-    page never sorts more than it needs into one task.
+    ORDER BY + OFFSET + LIMIT plans as a bounded top-(offset+size).  Far
+    pages are better reached with ``page_after``.
     """
     return df.orderBy(*order).offset((n - 1) * size).limit(size)
 
 
+def page_after(df: DataFrame, key: str, last=None, size: int = 5) -> DataFrame:
+    """B-17 by key: the ``size`` rows after ``last`` in ``key`` order (the
+    first page without it).  ``key`` is unique, so any page costs the same:
+    a pushed filter and a top-``size``."""
+    rows = df if last is None else df.filter(F.col(key) > last)
+    return rows.orderBy(key).limit(size)
+
+
 def list_suppliers(supplier: DataFrame) -> DataFrame:
     """S-1: supplier directory by name (id breaks ties)."""
     return supplier.orderBy(F.col("name").asc(), F.col("id").asc())
@@ -269,9 +277,12 @@ def invoice_customers(invoice: DataFrame, customer: DataFrame) -> DataFrame:
 
 
 def pricing_report(product: DataFrame, inventory: DataFrame) -> DataFrame:
-    """H-22: margin, profit %, stock value at cost and at selling price."""
+    """H-22: the pricing page: margin, net profit, profit %, stock value at
+    cost and at selling price, with quantity, unit and category."""
     q = inventory.select(F.col("product_id").alias("pro_id"), F.col("quantity").alias("_qty"))
     p = product.join(q, "pro_id", "left")
     qty = F.coalesce(F.col("_qty"), F.lit(0))
     return p.select("pro_id", "pro_name", "cost_price", "selling_price",
-                    *R.pricing_columns(F.col("selling_price"), F.col("cost_price"), qty))
+                    *R.pricing_columns(F.col("selling_price"), F.col("cost_price"), qty),
+                    R.net_profit("selling_price", "cost_price").alias("net_profit"),
+                    qty.cast("int").alias("quantity"), "unit", "category")

@@ -5,7 +5,8 @@ statements and triggers.  Here a whole batch is validated once, the
 accepted batch is written once (a lineage cut under the shared checkpoint
 folder) and every output -- invoices, lines, payments, ledger, the new
 inventory, customers and rejects -- is derived from that one copy, so the
-outputs agree with each other and a rerun gives the same result.
+outputs agree with each other and a rerun gives the same result.  The new
+inventory quantities are mirrored to the products, as the trigger does.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ LINE_ORDER = ["invoice_no", "line_no", "quantity"]
 
 
 def post_invoices(headers: DataFrame, items: DataFrame, customer: DataFrame,
-                  inventory: DataFrame, opening: DataFrame | None = None,
-                  stock_mode: str = "cumulative",
+                  inventory: DataFrame, product: DataFrame, opening: DataFrame | None = None,
+                  stock_mode: str = "sequential",
                   batch_id: str | None = None) -> dict[str, DataFrame]:
     """``headers``: invoice drafts (invoice_no, date, terms, sale_by,
     customer_mobile, customer_name, total_amount, discount_percent, discount,
@@ -35,7 +36,7 @@ def post_invoices(headers: DataFrame, items: DataFrame, customer: DataFrame,
     customer2, with_ids = loads.ensure_customers(rows, customer)                 # M-14
     ids = with_ids.select(F.col("ord").alias("invoice_no"), "customer_id")
     ok_items = items.join(ok.select("invoice_no"), "invoice_no", "left_semi")
-    verdict = stock.stock_verdicts(ok_items, inventory, stock_mode, LINE_ORDER)  # P-3
+    verdict = materialize(stock.stock_verdicts(ok_items, inventory, stock_mode, LINE_ORDER))  # P-3
     accepted = (ok.drop("customer_id") if "customer_id" in ok.columns else ok) \
         .join(ids, "invoice_no", "left") \
         .join(verdict.select("invoice_no", "invoice_ok"), "invoice_no", "left")
@@ -45,12 +46,14 @@ def post_invoices(headers: DataFrame, items: DataFrame, customer: DataFrame,
         accepted.filter(F.coalesce(F.col("invoice_ok"), F.lit(False))).drop("invoice_ok")))
     lines = posting.build_lines(                                                  # P-2
         items.join(batch.select("invoice_no"), "invoice_no", "left_semi"), inventory)
+    inventory2 = materialize(stock.apply_sales(inventory, lines, product))       # P-4
     out = {
         "invoice": batch,
         "lines": lines,
         "payment": posting.post_payments(batch),                                 # P-6
         "ledger": ledger.post_ledger(batch, opening),                            # P-7
-        "inventory": stock.apply_sales(inventory, lines),                        # P-4
+        "inventory": inventory2,
+        "product": stock.mirror_quantity(inventory2, product, lines),            # M-12
         "customer": customer2,
         "rejects": rejects.select("invoice_no", "reason").unionByName(short),
     }
