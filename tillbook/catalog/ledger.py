@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tillbook.catalog import register
 from tillbook.catalog.oracle_views import AS_OF as D
+from tillbook.catalog.stock import moved_sql, raised_safety
 from tillbook.operators import ledger as lg
 from tillbook.operators import posting as ps
 from tillbook.sources.fixtures import AS_OF
@@ -101,7 +102,7 @@ SELECT transaction_date, customer_mobile, invoice_no, step, amount, transaction_
                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(18,2)) AS balance
 FROM r_ledger_e""")
 def running_balance_account(r):
-    entries = r.ledger.drop("balance")
+    entries = r.ledger_entries
     return lg.running_balance(entries, "account").select(
         "transaction_date", "customer_mobile", "invoice_no", "step", "amount",
         "transaction_type", "balance")
@@ -142,14 +143,14 @@ FROM r_customer c LEFT JOIN (
                                    WHEN transaction_type = 'Credit' THEN -amount ELSE 0 END) AS bal
   FROM r_ledger GROUP BY customer_mobile) b ON c.mobile = b.customer_mobile""")
 def ledger_balance(r):
-    return lg.ledger_balance(r.ledger, customers=r.customer.select(
+    return lg.ledger_balance(r.ledger_entries, customers=r.customer.select(
         F.col("mobile").alias("customer_mobile")))
 
 
 @register("outstanding_unsigned", """
 SELECT customer_id, CAST(SUM(amount) AS DECIMAL(18,2)) AS outstanding FROM r_ledger GROUP BY customer_id""")
 def outstanding_unsigned(r):
-    return lg.outstanding_unsigned(r.ledger)
+    return lg.outstanding_unsigned(r.ledger_entries)
 
 
 @register("post_ledger_single", """
@@ -198,39 +199,67 @@ def post_ledger_flip(r):
                       "transaction_type", "description")
 
 
-# payments to log: one per unpaid invoice for its full amount, against the ledger
-@register("log_payments", """
-WITH pay AS (SELECT * FROM r_invoice WHERE payment_status = 'Unpaid'),
-p AS (SELECT pay.invoice_no, pay.date AS invoice_date, pay.final_amount AS amount, i.customer_id AS cid
-      FROM pay JOIN r_invoice i ON pay.invoice_no = i.invoice_no
-      WHERE pay.final_amount > 0 AND i.customer_id IS NOT NULL AND lower(trim(i.payment_status)) <> 'paid'),
+# payments to log, two per unpaid invoice: first far too much (rejected, and
+# changing nothing), then the invoice's full amount; and one without an amount
+def _payments(r):
+    unpaid = ps.backfill_unpaid(r.invoice).select("invoice_no", "invoice_date", "amount")
+    big = unpaid.select((F.col("invoice_no") * 3).alias("payment_id"), "invoice_no", "invoice_date",
+                        (F.col("amount") + 50000000).cast("decimal(10,2)").alias("amount"))
+    full = unpaid.select((F.col("invoice_no") * 3 + 1).alias("payment_id"), "invoice_no", "invoice_date", "amount")
+    none = unpaid.select((F.col("invoice_no") * 3 + 2).alias("payment_id"), "invoice_no", "invoice_date",
+                         F.lit(None).cast("decimal(10,2)").alias("amount"))
+    return big.unionByName(full).unionByName(none)
+
+
+_PAY_SQL = """
+WITH p AS (SELECT invoice_no, date AS invoice_date, final_amount AS amount, customer_id AS cid
+      FROM r_invoice WHERE payment_status = 'Unpaid' AND final_amount > 0 AND customer_id IS NOT NULL),
 bal AS (SELECT customer_id, SUM(CASE WHEN transaction_type = 'Debit' THEN amount
                                      WHEN transaction_type = 'Credit' THEN -amount ELSE 0 END) AS b
-        FROM r_ledger GROUP BY customer_id),
+        FROM r_ledger_e GROUP BY customer_id),
 run AS (SELECT p.*, CAST(COALESCE(bal.b, 0) - SUM(p.amount) OVER (PARTITION BY p.cid
               ORDER BY p.invoice_date, p.invoice_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
               AS DECIMAL(18,2)) AS balance
-        FROM p LEFT JOIN bal ON p.cid = bal.customer_id)
+        FROM p LEFT JOIN bal ON p.cid = bal.customer_id)"""
+
+
+# the full amounts of a customer's unpaid invoices never exceed the balance
+@register("log_payments", _PAY_SQL + """
 SELECT CAST(invoice_date AS TIMESTAMP) AS transaction_date, invoice_no, cid AS customer_id, amount,
        'Credit' AS transaction_type, 'Payment received for Invoice ' || CAST(invoice_no AS VARCHAR) AS description,
        balance
 FROM run WHERE balance >= 0""")
 def log_payments(r):
-    pays = ps.backfill_unpaid(r.invoice).select("invoice_no", "invoice_date", "amount")
-    credits, _rejects, _paid = lg.log_payments(pays, r.invoice, r.ledger)
+    credits, _rejects, _paid = lg.log_payments(_payments(r), r.invoice, r.ledger_entries)
     return credits
 
 
+@register("log_payments_rejects", _PAY_SQL + """
+SELECT invoice_no, CAST(amount + 50000000 AS DECIMAL(10,2)) AS amount, 'payment exceeds balance' AS reason FROM p
+UNION ALL
+SELECT invoice_no, NULL, 'amount must be > 0' FROM r_invoice WHERE payment_status = 'Unpaid'""")
+def log_payments_rejects(r):
+    _credits, rejects, _paid = lg.log_payments(_payments(r), r.invoice, r.ledger_entries)
+    return rejects
+
+
+@register("log_payments_paid", _PAY_SQL + "SELECT DISTINCT invoice_no FROM run WHERE balance = 0")
+def log_payments_paid(r):
+    _credits, _rejects, paid = lg.log_payments(_payments(r), r.invoice, r.ledger_entries)
+    return paid
+
+
 # manual entries: purchase events credited to the customer whose mobile is the user id
 _ENTRIES_SQL = """
 WITH rows AS (
   SELECT event_id AS entry_id, ts AS transaction_date, CAST(NULL AS BIGINT) AS invoice_no,
-         lpad(CAST(user_id AS VARCHAR), 10, '0') AS customer_mobile, amount,
-         CASE WHEN event_id % 3 = 0 THEN 'Debit' ELSE 'Credit' END AS transaction_type,
+         CASE WHEN event_id % 11 = 0 THEN 'x' || CAST(user_id AS VARCHAR) ELSE lpad(CAST(user_id AS VARCHAR), 10, '0') END
+           AS customer_mobile, amount,
+         CASE WHEN event_id % 13 = 0 THEN 'Refund' WHEN event_id % 3 = 0 THEN 'Debit' ELSE 'Credit' END AS transaction_type,
          'Purchase event ' || CAST(event_id AS VARCHAR) AS description
   FROM r_payment_events),
 ok AS (SELECT r.*, c.id AS customer_id FROM rows r JOIN r_customer c ON r.customer_mobile = c.mobile
-       WHERE r.amount > 0),
+       WHERE r.amount > 0 AND r.transaction_type <> 'Refund'),
 latest AS (SELECT customer_id, balance FROM (
   SELECT customer_id, balance, row_number() OVER (PARTITION BY customer_id
          ORDER BY transaction_date DESC, invoice_no DESC, step DESC) AS rn FROM r_ledger) WHERE rn = 1)
@@ -248,8 +277,9 @@ def manual_entries(r):
     return e.select(
         F.col("event_id").alias("entry_id"), F.col("ts").alias("transaction_date"),
         F.lit(None).cast("long").alias("invoice_no"),
-        F.lpad(F.col("user_id").cast("string"), 10, "0").alias("customer_mobile"), "amount",
-        F.when(F.col("event_id") % 3 == 0, "Debit").otherwise("Credit").alias("transaction_type"),
+        F.when(F.col("event_id") % 11 == 0, F.concat(F.lit("x"), F.col("user_id").cast("string")))
+         .otherwise(F.lpad(F.col("user_id").cast("string"), 10, "0")).alias("customer_mobile"), "amount",
+        F.when(F.col("event_id") % 13 == 0, "Refund").when(F.col("event_id") % 3 == 0, "Debit").otherwise("Credit").alias("transaction_type"),
         F.concat(F.lit("Purchase event "), F.col("event_id").cast("string")).alias("description"))
 
 
@@ -260,16 +290,68 @@ def add_ledger_entries(r):
 
 
 @register("add_ledger_rejects", """
-WITH rows AS (SELECT event_id AS entry_id, lpad(CAST(user_id AS VARCHAR), 10, '0') AS customer_mobile, amount
+WITH rows AS (SELECT event_id AS entry_id, amount,
+                     CASE WHEN event_id % 11 = 0 THEN 'x' || CAST(user_id AS VARCHAR)
+                          ELSE lpad(CAST(user_id AS VARCHAR), 10, '0') END AS customer_mobile
               FROM r_payment_events)
-SELECT entry_id, CASE WHEN amount <= 0 THEN 'amount must be > 0'
+SELECT entry_id, CASE WHEN entry_id % 13 = 0 THEN 'invalid transaction type'
+                      WHEN amount <= 0 THEN 'amount must be > 0'
                       ELSE 'customer mobile does not exist' END AS reason
-FROM rows r WHERE amount <= 0 OR customer_mobile NOT IN (SELECT mobile FROM r_customer)""")
+FROM rows r WHERE entry_id % 13 = 0 OR amount <= 0 OR customer_mobile NOT IN (SELECT mobile FROM r_customer)""")
 def add_ledger_rejects(r):
     _out, rej = lg.add_ledger_entries(manual_entries(r), r.ledger, r.customer, r.invoice)
     return rej
 
 
+# entries by invoice number alone; every fifth names an invoice that does not exist
+@register("add_ledger_invoice_entries", """
+SELECT invoice_no AS entry_id, invoice_no, CAST(NULL AS BIGINT) AS customer_id,
+       CAST(-final_amount AS DECIMAL(18,2)) AS balance
+FROM r_invoice WHERE invoice_no % 5 <> 0 AND final_amount > 0""")
+def add_ledger_invoice_entries(r):
+    rows = r.invoice.select(
+        F.col("invoice_no").alias("entry_id"), F.col("date").cast("timestamp_ntz").alias("transaction_date"),
+        F.when(F.col("invoice_no") % 5 == 0, F.col("invoice_no") + 1000000000).otherwise(F.col("invoice_no")).alias("invoice_no"),
+        F.lit(None).cast("string").alias("customer_mobile"), F.col("final_amount").alias("amount"),
+        F.lit("Debit").alias("transaction_type"), F.lit("By invoice").alias("description"))
+    out, _rej = lg.add_ledger_entries(rows, r.ledger, r.customer, r.invoice)
+    return out.select("entry_id", "invoice_no", "customer_id", "balance")
+
+
+# invoices of which half is paid: every second unpaid one
+def _partly_paid(r):
+    hit = (F.col("payment_status") == "Unpaid") & (F.col("invoice_no") % 2 == 0)
+    return r.invoice.withColumns({
+        "total_paid": F.when(hit, (F.col("final_amount") / 2).cast("decimal(10,2)")).otherwise(F.col("total_paid")),
+        "payment_status": F.when(hit, "Partially Paid").otherwise(F.col("payment_status"))})
+
+
+_PARTLY_SQL = """
+WITH i AS (SELECT * REPLACE (
+    CASE WHEN payment_status = 'Unpaid' AND invoice_no % 2 = 0
+         THEN CAST((CAST(final_amount * 100 AS BIGINT) + 1) // 2 / CAST(100 AS DECIMAL(5,2)) AS DECIMAL(10,2))
+         ELSE total_paid END AS total_paid,
+    CASE WHEN payment_status = 'Unpaid' AND invoice_no % 2 = 0 THEN 'Partially Paid' ELSE payment_status END AS payment_status)
+  FROM r_invoice)"""
+
+
+@register("post_ledger_partial", _PARTLY_SQL + """
+SELECT invoice_no, 0 AS step, final_amount AS amount, 'Debit' AS transaction_type FROM i
+UNION ALL
+SELECT invoice_no, 1, total_paid, 'Credit' FROM i
+WHERE payment_status IN ('Paid', 'Partially Paid') AND total_paid > 0""")
+def post_ledger_partial(r):
+    return lg.post_ledger(_partly_paid(r)).select("invoice_no", "step", "amount", "transaction_type")
+
+
+@register("post_ledger_single_partial", _PARTLY_SQL + """
+SELECT invoice_no, CAST(CASE WHEN payment_status = 'Partially Paid' THEN final_amount - total_paid ELSE final_amount END
+                        AS DECIMAL(10,2)) AS amount,
+       CASE WHEN payment_status = 'Paid' THEN 'Credit' ELSE 'Debit' END AS transaction_type FROM i""")
+def post_ledger_single_partial(r):
+    return lg.post_ledger_single(_partly_paid(r)).select("invoice_no", "amount", "transaction_type")
+
+
 # guard: the last 30 days' entries checked against everything posted before
 @register("guard_ledger_entries", f"""
 WITH new AS (SELECT * FROM r_ledger WHERE transaction_date >= CAST({D} - INTERVAL 30 DAY AS TIMESTAMP)),
@@ -324,30 +406,26 @@ def recompute_invoice_total(r):
         "invoice_no", "total_amount", "final_amount")
 
 
-@register("build_lines", f"""
+@register("build_lines", """
 SELECT l.invoice_no, l.line_no, l.product_id, l.quantity, l.price, l.discount, i.unit,
        CAST(l.price * l.quantity - l.discount AS DECIMAL(10,2)) AS total
 FROM r_lines l JOIN r_invoice v ON l.invoice_no = v.invoice_no
-LEFT JOIN r_inventory i ON l.product_id = i.product_id
-WHERE v.date >= {D} - INTERVAL 30 DAY""")
+LEFT JOIN r_inventory i ON l.product_id = i.product_id""")
 def build_lines(r):
-    recent = r.invoice.filter(F.col("date") >= F.date_sub(F.lit(AS_OF).cast("date"), 30))
-    items = r.lines.join(recent.select("invoice_no"), "invoice_no", "left_semi").drop("total")
-    return ps.build_lines(items, r.inventory).select(
+    return ps.build_lines(r.lines.drop("total"), r.inventory).select(
         "invoice_no", "line_no", "product_id", "quantity", "price", "discount", "unit", "total")
 
 
 def _posting_job(r):
     from tillbook.catalog.loads import existing_customers
     from tillbook.plans.invoice_posting import post_invoices
-    recent = r.invoice_draft.filter(F.col("date") >= F.date_sub(F.lit(AS_OF).cast("date"), 30))
-    items = r.lines.join(recent.select("invoice_no"), "invoice_no", "left_semi").drop("total")
-    return post_invoices(recent, items, existing_customers(r), r.inventory)
+    # the one-pass check: its twin is SQL; the default serves invoices in turn
+    return post_invoices(r.invoice_draft, r.lines.drop("total"), existing_customers(r), r.inventory,
+                         raised_safety(r), stock_mode="cumulative")
 
 
-_POSTING_SQL = f"""
-WITH h AS (SELECT i.*, i.invoice_no IN (SELECT invoice_no FROM r_lines) AS has_lines FROM r_invoice1 i
-           WHERE i.date >= {D} - INTERVAL 30 DAY),
+_POSTING_SQL = """
+WITH h AS (SELECT i.*, i.invoice_no IN (SELECT invoice_no FROM r_lines) AS has_lines FROM r_invoice1 i),
 t AS (SELECT *, CASE
    WHEN NOT has_lines THEN 'required field missing or no product'
    WHEN abs(total_amount * discount_percent / 100 - discount) > 0.01 THEN 'discount does not match percentage'
@@ -384,19 +462,29 @@ def post_invoice_batch(r):
     return _posting_job(r)["invoice"].select("invoice_no", "customer_id", "payment_status", "total_paid")
 
 
-@register("post_invoice_batch_stock", _POSTING_SQL + """,
-sold AS (SELECT product_id, SUM(quantity) AS s FROM r_lines WHERE invoice_no IN (SELECT invoice_no FROM acc) GROUP BY 1),
-n AS (SELECT i.product_id, i.safety_level, CAST(i.quantity - COALESCE(s.s, 0) AS INTEGER) AS q
-      FROM r_inventory i LEFT JOIN sold s ON i.product_id = s.product_id),
-y AS (SELECT *, CASE WHEN COALESCE(safety_level, 1) = 0 THEN 1.0
-                     ELSE CAST(q AS DOUBLE) / CAST(COALESCE(safety_level, 1) AS DOUBLE) END AS ratio FROM n)
-SELECT product_id, q AS quantity,
-       CAST(CASE WHEN ratio >= 1.0 THEN 5 WHEN ratio >= 0.85 THEN 4 WHEN ratio >= 0.50 THEN 3
-                 WHEN ratio >= 0.25 THEN 2 ELSE 1 END AS INTEGER) AS availability FROM y""")
+_POSTED_SQL = _POSTING_SQL + ",\n" + moved_sql(
+    "SELECT product_id, quantity AS q FROM r_lines WHERE invoice_no IN (SELECT invoice_no FROM acc)", "-")
+
+
+@register("post_invoice_batch_stock", _POSTED_SQL + "SELECT product_id, quantity, availability FROM inv2")
 def post_invoice_batch_stock(r):
     return _posting_job(r)["inventory"].select("product_id", "quantity", "availability")
 
 
+@register("post_invoice_batch_product", _POSTED_SQL + """
+SELECT p.pro_id, CASE WHEN m.product_id IS NOT NULL THEN i.quantity ELSE p.quantity END AS quantity
+FROM r_product p LEFT JOIN moved m ON p.pro_id = m.product_id LEFT JOIN inv2 i ON p.pro_id = i.product_id""")
+def post_invoice_batch_product(r):
+    return _posting_job(r)["product"].select("pro_id", "quantity")
+
+
+@register("post_invoice_batch_lines", _POSTING_SQL + """
+SELECT l.invoice_no, l.line_no, l.product_id, i.unit, l.total FROM r_lines l
+LEFT JOIN r_inventory i ON l.product_id = i.product_id WHERE l.invoice_no IN (SELECT invoice_no FROM acc)""")
+def post_invoice_batch_lines(r):
+    return _posting_job(r)["lines"].select("invoice_no", "line_no", "product_id", "unit", "total")
+
+
 @register("post_invoice_batch_rejects", _POSTING_SQL + """
 SELECT invoice_no, reason FROM t WHERE reason IS NOT NULL
 UNION ALL

@@ -13,10 +13,9 @@ Existing tables are split by a business attribute (market segment, size).
 from pyspark.sql import functions as F
 
 from tillbook.catalog import register
-from tillbook.catalog.oracle_views import AS_OF as D
 from tillbook.functions import rules as R
 from tillbook.operators import loads as ld
-from tillbook.sources.fixtures import AS_OF, mobile_of
+from tillbook.sources.fixtures import mobile_of
 
 EXISTING_SEGMENTS = ("AUTOMOBILE", "BUILDING")
 
@@ -158,7 +157,13 @@ product2 AS (
   FROM firsts f JOIN sums s ON f.pro_id = s.pro_id WHERE f.pro_id NOT IN (SELECT pro_id FROM existing))"""
 
 
-@register("import_products_product", f"WITH {_PRODUCT_FILE_SQL} SELECT pro_id, pro_name, quantity FROM product2")
+# the updated inventory quantities are mirrored back to the products
+@register("import_products_product", f"""
+WITH {_PRODUCT_FILE_SQL}
+SELECT p.pro_id, p.pro_name,
+       CASE WHEN s.q IS NOT NULL AND i.product_id IS NOT NULL THEN CAST(COALESCE(i.quantity, 0) + s.q AS INTEGER)
+            ELSE p.quantity END AS quantity
+FROM product2 p LEFT JOIN sums s ON p.pro_id = s.pro_id LEFT JOIN r_inventory i ON p.pro_id = i.product_id""")
 def import_products_product(r):
     p2, _inv2, _rej = ld.import_products(product_file(r), existing_products(r), r.supplier, r.inventory)
     return p2.select("pro_id", "pro_name", "quantity")
@@ -168,13 +173,14 @@ def import_products_product(r):
 WITH {_PRODUCT_FILE_SQL},
 n AS (SELECT i.product_id,
              CAST(CASE WHEN s.q IS NOT NULL THEN COALESCE(i.quantity, 0) + s.q ELSE i.quantity END AS INTEGER) AS quantity,
+             s.q IS NOT NULL AS hit, i.availability AS old_availability,
              COALESCE(TRY_CAST(p.safety_level AS INTEGER), 1) AS sl
       FROM r_inventory i LEFT JOIN sums s ON i.product_id = s.pro_id
       LEFT JOIN product2 p ON i.product_id = p.pro_id),
 x AS (SELECT *, CASE WHEN sl = 0 THEN 1.0 ELSE CAST(quantity AS DOUBLE) / CAST(sl AS DOUBLE) END AS q_ratio FROM n)
-SELECT product_id, quantity,
+SELECT product_id, quantity, CASE WHEN NOT hit THEN old_availability ELSE
        CAST(CASE WHEN q_ratio >= 1.0 THEN 5 WHEN q_ratio >= 0.85 THEN 4 WHEN q_ratio >= 0.50 THEN 3
-                 WHEN q_ratio >= 0.25 THEN 2 ELSE 1 END AS INTEGER) AS availability
+                 WHEN q_ratio >= 0.25 THEN 2 ELSE 1 END AS INTEGER) END AS availability
 FROM x""")
 def import_products_inventory(r):
     _p2, inv2, _rej = ld.import_products(product_file(r), existing_products(r), r.supplier, r.inventory)
@@ -190,6 +196,57 @@ def import_products_rejects(r):
     return rej
 
 
+# the same file with broken cells: ids as "007", prices too large, NaN and
+# huge quantities, unreadable ids, NaN safety levels
+def messy_product_file(r):
+    k = F.col("pro_id").cast("long")
+    f = product_file(r).filter("cost_price <> 'n/a'")
+    return f.withColumns({
+        "pro_id": F.when(k % 23 == 0, F.lit("abc")).when(k % 2 == 0, F.concat(F.lit("00"), k.cast("string")))
+        .when(k % 3 == 0, F.concat(k.cast("string"), F.lit(".0"))).otherwise(k.cast("string")),
+        "selling_price": F.when(k % 29 == 0, F.lit("1000000000")).otherwise(F.col("selling_price")),
+        "quantity": F.when(k % 31 == 0, F.lit("NaN")).when(k % 37 == 0, F.lit("1e12")).otherwise(F.col("quantity")),
+        "safety_level": F.when(k % 41 == 0, F.lit("NaN")).otherwise(F.col("safety_level"))})
+
+
+_MESSY_SQL = """
+base AS (SELECT p_partkey AS k, p_size, p_name, CAST(p_partkey % 120 AS INTEGER) AS supplier_id FROM part
+         WHERE p_size <> 50),
+rows AS (SELECT k * 2 AS ord, k, p_name AS pro_name, p_size AS q, p_size, supplier_id FROM base
+         UNION ALL SELECT k * 2 + 1, k, upper(p_name), p_size % 7, p_size, supplier_id FROM base),
+tagged AS (SELECT *, CASE WHEN k % 23 = 0 THEN 'pro_id is not a whole number'
+                          WHEN k % 29 = 0 THEN 'selling_price is out of range'
+                          WHEN k % 31 = 0 THEN 'quantity is not a number'
+                          WHEN k % 37 = 0 THEN 'quantity is out of range'
+                          WHEN supplier_id NOT IN (SELECT id FROM r_supplier) THEN 'missing supplier' END AS reason
+           FROM rows)"""
+
+
+@register("import_products_messy", f"""
+WITH {_MESSY_SQL},
+sums AS (SELECT k, SUM(q) AS q, arg_min(pro_name, ord) AS pro_name,
+                CASE WHEN k % 41 = 0 THEN '0' ELSE CAST(min(p_size) AS VARCHAR) END AS safety_level
+         FROM tagged WHERE reason IS NULL GROUP BY k),
+existing AS (SELECT * FROM r_product WHERE pro_id IN (SELECT p_partkey FROM part WHERE p_size <= 25))
+SELECT e.pro_id, e.pro_name, e.safety_level,
+       CASE WHEN s.k IS NOT NULL AND i.product_id IS NOT NULL THEN CAST(COALESCE(i.quantity, 0) + s.q AS INTEGER)
+            ELSE e.quantity END AS quantity
+FROM existing e LEFT JOIN sums s ON e.pro_id = s.k LEFT JOIN r_inventory i ON e.pro_id = i.product_id
+UNION ALL
+SELECT s.k, s.pro_name, s.safety_level, CAST(COALESCE(i.quantity, 0) + s.q AS INTEGER)
+FROM sums s JOIN r_inventory i ON s.k = i.product_id WHERE s.k NOT IN (SELECT pro_id FROM existing)""")
+def import_products_messy(r):
+    p2, _inv2, _rej = ld.import_products(messy_product_file(r), existing_products(r), r.supplier, r.inventory)
+    return p2.select("pro_id", "pro_name", "safety_level", "quantity")
+
+
+@register("import_products_messy_rejects", f"""
+WITH {_MESSY_SQL} SELECT ord, reason FROM tagged WHERE reason IS NOT NULL""")
+def import_products_messy_rejects(r):
+    _p2, _inv2, rej = ld.import_products(messy_product_file(r), existing_products(r), r.supplier, r.inventory)
+    return rej
+
+
 @register("upsert_by_name", f"""
 WITH {_PRODUCT_FILE_SQL},
 v AS (SELECT * FROM rows WHERE supplier_id IN (SELECT s_suppkey FROM supplier)),
@@ -210,6 +267,35 @@ def upsert_by_name(r):
     return p2.select("pro_id", "pro_name", "quantity")
 
 
+@register("upsert_by_name_inventory", f"""
+WITH {_PRODUCT_FILE_SQL},
+v AS (SELECT * FROM rows WHERE supplier_id IN (SELECT s_suppkey FROM supplier)),
+names AS (SELECT pro_name, min(pro_id) AS pid FROM existing GROUP BY pro_name),
+added AS (SELECT n.pid, SUM(v.quantity) AS q FROM v JOIN names n ON v.pro_name = n.pro_name GROUP BY n.pid),
+fresh AS (SELECT * FROM v WHERE pro_name NOT IN (SELECT pro_name FROM names)),
+ff AS (SELECT pro_name, min(ord) AS ord, SUM(quantity) AS q FROM fresh GROUP BY pro_name)
+SELECT i.product_id, CAST(i.quantity + COALESCE(a.q, 0) AS INTEGER) AS quantity
+FROM r_inventory i LEFT JOIN added a ON i.product_id = a.pid
+UNION ALL
+SELECT CAST((SELECT max(pro_id) FROM existing) + row_number() OVER (ORDER BY ord) AS BIGINT), CAST(q AS INTEGER) FROM ff""")
+def upsert_by_name_inventory(r):
+    ok, _bad = ld.coerce_products(product_file(r).withColumn(
+        "cost_price", F.coalesce(F.col("cost_price").try_cast("double").cast("string"), F.lit("0"))))
+    _p2, inv2, _rej = ld.upsert_by_name(ok, existing_products(r), r.inventory, r.supplier)
+    return inv2.select("product_id", "quantity")
+
+
+@register("ensure_customers_table", f"""
+WITH {_CUSTOMER_FILE_SQL}
+SELECT CAST(id AS BIGINT) AS id, name, mobile FROM existing
+UNION ALL
+SELECT CAST((SELECT max(id) FROM existing) + row_number() OVER (ORDER BY ord) AS BIGINT), name, mobile FROM firsts""")
+def ensure_customers_table(r):
+    rows = customer_file(r).withColumn("mobile", F.trim("mobile")).select("ord", "mobile", "name")
+    customers, _ids = ld.ensure_customers(rows, existing_customers(r))
+    return customers.select("id", "name", "mobile")
+
+
 @register("import_ledger", """
 SELECT transaction_date, invoice_no, customer_id, amount, transaction_type, description FROM r_ledger
 UNION ALL
@@ -221,18 +307,17 @@ def import_ledger(r):
                                 F.col("user_id").alias("customer_id"), "amount",
                                 F.lit("Credit").alias("transaction_type"),
                                 F.lit("Imported payment").alias("description"))
-    return ld.import_ledger(e, r.ledger.select(*cols)).select(*cols)
+    return ld.import_ledger(e, r.ledger_entries.select(*cols)).select(*cols)
 
 
-@register("apply_customer_updates", f"""
+@register("apply_customer_updates", """
 WITH ch AS (SELECT customer_id AS id, upper(customer_name) AS name, invoice_no AS ord
-            FROM r_invoice WHERE date >= {D} - INTERVAL 30 DAY),
+            FROM r_invoice),
 last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord DESC) AS rn FROM ch) WHERE rn = 1)
 SELECT c.id, CASE WHEN l.id IS NOT NULL THEN l.name ELSE c.name END AS name, c.mobile
 FROM r_customer c LEFT JOIN last l ON c.id = l.id""")
 def apply_customer_updates(r):
-    recent = r.invoice.filter(F.col("date") >= F.date_sub(F.lit(AS_OF).cast("date"), 30))
-    changes = recent.select(F.col("customer_id").alias("id"), F.upper("customer_name").alias("name"),
+    changes = r.invoice.select(F.col("customer_id").alias("id"), F.upper("customer_name").alias("name"),
                             F.col("invoice_no").alias("ord"))
     return ld.apply_updates(r.customer, changes, "id", order="ord")
 
@@ -247,6 +332,47 @@ def delete_products_cascade(r):
     return out["lines"].select("invoice_no", "line_no", "product_id", "quantity")
 
 
+@register("delete_products_cascade_inventory", """
+SELECT product_id, quantity FROM r_inventory
+WHERE product_id NOT IN (SELECT product_id FROM r_inventory WHERE availability = 1)""")
+def delete_products_cascade_inventory(r):
+    gone = r.inventory.filter(F.col("availability") == 1).select("product_id")
+    return ld.delete_cascade(gone, "product_id", {"inventory": (r.inventory, "product_id")})["inventory"].select(
+        "product_id", "quantity")
+
+
+_GONE_SQL = "gone AS (SELECT invoice_no FROM r_invoice WHERE payment_status = 'Unpaid')"
+
+
+def _deleted_invoices(r):
+    gone = r.invoice.filter(F.col("payment_status") == "Unpaid").select("invoice_no")
+    return ld.delete_cascade(gone, "invoice_no", {"lines": (r.lines, "invoice_no"), "payment": (r.payment, "invoice_no"),
+                                                  "invoice": (r.invoice, "invoice_no")})
+
+
+@register("delete_invoices_cascade_lines", f"""
+WITH {_GONE_SQL}
+SELECT invoice_no, line_no, total FROM r_lines WHERE invoice_no NOT IN (SELECT invoice_no FROM gone)""")
+def delete_invoices_cascade_lines(r):
+    return _deleted_invoices(r)["lines"].select("invoice_no", "line_no", "total")
+
+
+@register("delete_invoices_cascade_payments", f"""
+WITH {_GONE_SQL}
+SELECT invoice_no, amount FROM r_payment WHERE invoice_no NOT IN (SELECT invoice_no FROM gone)""")
+def delete_invoices_cascade_payments(r):
+    return _deleted_invoices(r)["payment"].select("invoice_no", "amount")
+
+
+@register("delete_customers_cascade_ledger", """
+SELECT invoice_no, step, customer_id, amount FROM r_ledger
+WHERE customer_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'HOUSEHOLD')""")
+def delete_customers_cascade_ledger(r):
+    gone = r.raw("customer").filter(F.col("c_mktsegment") == "HOUSEHOLD").select(F.col("c_custkey").alias("id"))
+    return ld.delete_cascade(gone, "id", {"ledger": (r.ledger_entries, "customer_id")})["ledger"].select(
+        "invoice_no", "step", "customer_id", "amount")
+
+
 @register("delete_customers_set_null", """
 SELECT invoice_no, CASE WHEN customer_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'HOUSEHOLD')
                         THEN NULL ELSE customer_id END AS customer_id

@@ -32,10 +32,12 @@ def fk_violations(r):
 
 @register("line_fk_violations", """
 SELECT invoice_no, line_no, product_id, 'invoice_no has no parent' AS reason FROM r_lines
-WHERE invoice_no NOT IN (SELECT invoice_no FROM r_invoice WHERE customer_id IN (SELECT id FROM r_customer))""")
+WHERE invoice_no NOT IN (SELECT invoice_no FROM r_invoice WHERE customer_id IN
+  (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'MACHINERY'))""")
 def line_fk_violations(r):
-    parents = r.invoice.join(r.customer.select(F.col("id").alias("customer_id")), "customer_id",
-                             "left_semi")
+    # invoices of the MACHINERY customers are missing: their lines have no parent
+    there = r.raw("customer").filter("c_mktsegment <> 'MACHINERY'").select(F.col("c_custkey").alias("customer_id"))
+    parents = r.invoice.join(there, "customer_id", "left_semi")
     return q.check_fk(r.lines, "invoice_no", parents, "invoice_no").select(
         "invoice_no", "line_no", "product_id", "reason")
 
@@ -74,25 +76,31 @@ def unique_violations(r):
             .agg(F.count(F.lit(1)).alias("rows_with_name")))
 
 
+# mobiles cut to eight digits repeat; names, mobiles and amounts made too large for their columns
 @register("unique_mobile_violations", """
-SELECT mobile FROM r_customer WHERE mobile IN (SELECT mobile FROM r_customer GROUP BY mobile HAVING COUNT(*) > 1)""")
+SELECT right(m, 2) AS mobile FROM (SELECT mobile AS m FROM r_customer)
+WHERE right(m, 2) IN (SELECT right(mobile, 2) FROM r_customer GROUP BY 1 HAVING COUNT(*) > 1)""")
 def unique_mobile_violations(r):
-    return q.check_unique(r.customer, "mobile").select("mobile")
+    return q.check_unique(r.customer.withColumn("mobile", F.right("mobile", F.lit(2))), "mobile").select("mobile")
 
 
 @register("length_violations", """
-SELECT id, 'name longer than 18' AS reason FROM r_customer WHERE length(name) > 18
+SELECT id, 'name longer than 18' AS reason FROM r_customer WHERE length(name || CASE WHEN id % 3 = 0 THEN ' & Sons' ELSE '' END) > 18
 UNION ALL
-SELECT id, 'mobile longer than 15' FROM r_customer WHERE length(mobile) > 15""")
+SELECT id, 'mobile longer than 15' FROM r_customer WHERE id % 4 = 0""")
 def length_violations(r):
-    return q.check_length(r.customer, {"name": 18, "mobile": 15}).select("id", "reason")
+    c = r.customer.withColumns({
+        "name": F.concat("name", F.when(F.col("id") % 3 == 0, " & Sons").otherwise("")),
+        "mobile": F.when(F.col("id") % 4 == 0, F.concat(F.lit("+00000"), "mobile")).otherwise(F.col("mobile"))})
+    return q.check_length(c, {"name": 18, "mobile": 15}).select("id", "reason")
 
 
 @register("money_range_violations", """
 SELECT invoice_no, 'final_amount out of NUMERIC(10,2) range' AS reason FROM r_invoice
-WHERE abs(final_amount) >= 100000000""")
+WHERE abs(CAST(final_amount AS DECIMAL(18,2)) * 1000) >= 100000000""")
 def money_range_violations(r):
-    return q.check_length(r.invoice, {}, money=["final_amount"]).select("invoice_no", "reason")
+    big = r.invoice.withColumn("final_amount", (F.col("final_amount") * 1000).cast("decimal(18,2)"))
+    return q.check_length(big, {}, money=["final_amount"]).select("invoice_no", "reason")
 
 
 @register("required_violations", """

@@ -241,6 +241,12 @@ def inventory_page(r):
     return rp.page(r.inventory.select("product_id", "product_name", "quantity"), 3, ["product_id"], 5)
 
 
+@register("inventory_page_after", """
+SELECT product_id, product_name, quantity FROM r_inventory WHERE product_id > 10 ORDER BY product_id LIMIT 5""")
+def inventory_page_after(r):
+    return rp.page_after(r.inventory.select("product_id", "product_name", "quantity"), "product_id", 10, 5)
+
+
 @register("list_suppliers", "SELECT id, name FROM r_supplier ORDER BY name, id")
 def list_suppliers(r):
     return rp.list_suppliers(r.supplier)
@@ -280,23 +286,37 @@ def list_ledger(r):
     return lg.list_ledger(r.ledger, r.customer)
 
 
-@register("filter_ledger", f"""
+@register("filter_ledger", """
 SELECT * FROM (
   SELECT t.*, COALESCE(c.name, 'Unknown') AS customer_name
   FROM r_ledger t LEFT JOIN r_customer c ON t.customer_mobile = c.mobile)
 WHERE (contains(lower(customer_mobile), '00001') OR contains(lower(customer_name), '00001'))
-  AND transaction_type = 'Credit' AND CAST(transaction_date AS DATE) >= {D} - INTERVAL 365 DAY""")
+  AND transaction_type = 'Credit'""")
 def filter_ledger(r):
+    return lg.filter_ledger(_named_ledger(r), text="00001", ttype="Credit")
+
+
+@register("filter_ledger_customer_date", """
+SELECT t.*, COALESCE(c.name, 'Unknown') AS customer_name
+FROM r_ledger t LEFT JOIN r_customer c ON t.customer_mobile = c.mobile
+WHERE customer_mobile = (SELECT min(customer_mobile) FROM r_ledger_e)
+  AND CAST(transaction_date AS DATE) = (SELECT CAST(min(transaction_date) AS DATE) FROM r_ledger_e
+      WHERE customer_mobile = (SELECT min(customer_mobile) FROM r_ledger_e))""")
+def filter_ledger_customer_date(r):
+    first = r.ledger_entries.agg(F.min(F.struct("customer_mobile", "transaction_date")).alias("m")).first()["m"]
+    return lg.filter_ledger(_named_ledger(r), customer=first["customer_mobile"],
+                            date=first["transaction_date"].date().isoformat())
+
+
+def _named_ledger(r):
     names = r.customer.select(F.col("mobile").alias("customer_mobile"), F.col("name").alias("_n"))
-    led = (r.ledger.join(names, "customer_mobile", "left")
-           .withColumn("customer_name", F.coalesce(F.col("_n"), F.lit("Unknown"))).drop("_n"))
-    out = lg.filter_ledger(led, text="00001", ttype="Credit")
-    return out.filter(F.to_date("transaction_date") >= F.date_sub(F.lit(AS_OF).cast("date"), 365))
+    return (r.ledger.join(names, "customer_mobile", "left")
+            .withColumn("customer_name", F.coalesce(F.col("_n"), F.lit("Unknown"))).drop("_n"))
 
 
 @register("ledger_customers", "SELECT DISTINCT customer_mobile FROM r_ledger")
 def ledger_customers(r):
-    return lg.ledger_customers(r.ledger)
+    return lg.ledger_customers(r.ledger_entries)
 
 
 @register("pricing_report", f"""
@@ -305,7 +325,9 @@ SELECT p.pro_id, p.pro_name, p.cost_price, p.selling_price,
        CAST(CASE WHEN p.cost_price > 0 THEN LEAST({pct_sql('p.selling_price', 'p.cost_price')},
            CAST(999.99 AS DECIMAL(5,2))) ELSE 0 END AS DECIMAL(5,2)) AS profit_percentage,
        CAST(p.cost_price * COALESCE(i.quantity, 0) AS DECIMAL(18,2)) AS stock_value,
-       CAST(p.selling_price * COALESCE(i.quantity, 0) AS DECIMAL(18,2)) AS stock_selling_value
+       CAST(p.selling_price * COALESCE(i.quantity, 0) AS DECIMAL(18,2)) AS stock_selling_value,
+       CAST(p.selling_price - p.cost_price AS DECIMAL(10,2)) AS net_profit,
+       COALESCE(i.quantity, 0) AS quantity, p.unit, p.category
 FROM r_product p LEFT JOIN r_inventory i ON i.product_id = p.pro_id""")
 def pricing_report(r):
     return rp.pricing_report(r.product, r.inventory)

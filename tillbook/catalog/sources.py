@@ -32,7 +32,7 @@ def csv_customers_roundtrip(r):
     path = _scratch(r, "customers-csv")
     customer_file(r).write.option("header", True).option("ignoreLeadingWhiteSpace", False) \
         .option("ignoreTrailingWhiteSpace", False).csv(path)
-    df = files.read_customers_csv(r.spark, path, ord_col=None, extra=SEQ)
+    df, _bad = files.read_customers_csv(r.spark, path, ord_col=None, extra=SEQ)
     return df.select("ord", "name", "mobile", "address", "mail")
 
 
@@ -46,7 +46,7 @@ SELECT pro_id, CAST(SUM(quantity) AS INTEGER) AS quantity_added FROM ok GROUP BY
 def csv_products_import(r):
     path = _scratch(r, "products-csv")
     product_file(r).write.option("header", True).csv(path)
-    rows = files.read_products_csv(r.spark, path, ord_col=None, extra=SEQ)
+    rows, _malformed = files.read_products_csv(r.spark, path, ord_col=None, extra=SEQ)
     ok, _bad = ld.coerce_products(rows)
     ok, _bad2 = ld.enrich_supplier(ok, r.supplier)
     return ok.groupBy("pro_id").agg(F.sum("quantity").cast("int").alias("quantity_added")) \
@@ -67,11 +67,10 @@ def ledger_csv_export(r):
 
 
 @register("replace_table_versions", """
-SELECT pro_id, CAST(quantity + 1 AS INTEGER) AS quantity
-FROM r_product WHERE pro_id IN (SELECT p_partkey FROM part WHERE p_size <= 25)""")
+SELECT pro_id, CAST(quantity + 1 AS INTEGER) AS quantity FROM r_product""")
 def replace_table_versions(r):
     root = _scratch(r, "tables")
-    files.replace_table(existing_products(r), root, "product")
+    files.replace_table(r.product, root, "product")
     # an update that reads the current version and writes the next one
     cur = files.load_table(r.spark, root, "product")
     files.replace_table(cur.withColumn("quantity", (F.col("quantity") + 1).cast("int")), root, "product")
@@ -92,7 +91,7 @@ def csv_suppliers_import(r):
     (f.withColumn("id", F.col("ord").cast("int"))
      .withColumn("timestamp", F.lit("2024-02-23 10:00:00").cast("timestamp_ntz"))
      .write.option("header", True).option("escape", '"').csv(path))
-    rows = files.read_suppliers_csv(r.spark, path, ord_col=None, extra=SEQ)
+    rows, _bad = files.read_suppliers_csv(r.spark, path, ord_col=None, extra=SEQ)
     return ld.import_suppliers(rows, r.supplier)
 
 
@@ -101,13 +100,13 @@ SELECT transaction_date, invoice_no, CAST(NULL AS INTEGER) AS supplier_id, amoun
        description, balance, customer_id FROM r_ledger
 UNION ALL
 SELECT transaction_date, invoice_no, CAST(NULL AS INTEGER), amount, transaction_type, description, balance,
-       customer_id FROM r_ledger WHERE transaction_type = 'Credit'""")
+       customer_id FROM r_ledger""")
 def csv_ledger_import(r):
     path = _scratch(r, "ledger-import-csv")
     cols = [f.name for f in files.LEDGER_CSV.fields]
     src = r.ledger.withColumn("supplier_id", F.lit(None).cast("int"))
-    src.filter("transaction_type = 'Credit'").select(*cols).write.option("header", True).csv(path)
-    incoming = files.read_ledger_csv(r.spark, path)
+    src.select(*cols).write.option("header", True).csv(path)
+    incoming, _bad = files.read_ledger_csv(r.spark, path)
     root = _scratch(r, "ledger-table")
     files.append_table(src, root, "ledger", files.LEDGER_CSV)
     files.append_table(incoming, root, "ledger", files.LEDGER_CSV)
@@ -122,13 +121,14 @@ ok AS (SELECT * FROM rows WHERE p_size <> 50 AND supplier_id IN (SELECT s_suppke
 sums AS (SELECT pro_id, SUM(quantity) AS q FROM ok GROUP BY pro_id),
 n AS (SELECT i.product_id,
              CAST(CASE WHEN s.q IS NOT NULL THEN COALESCE(i.quantity, 0) + s.q ELSE i.quantity END AS INTEGER) AS quantity,
-             CASE WHEN p.p_size <= 25 OR s.q IS NOT NULL THEN p.p_size ELSE 1 END AS sl
+             CASE WHEN p.p_size <= 25 OR s.q IS NOT NULL THEN p.p_size ELSE 1 END AS sl,
+             s.q IS NOT NULL AS hit, i.availability AS old_availability
       FROM r_inventory i LEFT JOIN sums s ON i.product_id = s.pro_id
       JOIN part p ON i.product_id = p.p_partkey),
 x AS (SELECT *, CASE WHEN sl = 0 THEN 1.0 ELSE CAST(quantity AS DOUBLE) / CAST(sl AS DOUBLE) END AS q_ratio FROM n)
-SELECT product_id, quantity,
+SELECT product_id, quantity, CASE WHEN NOT hit THEN old_availability ELSE
        CAST(CASE WHEN q_ratio >= 1.0 THEN 5 WHEN q_ratio >= 0.85 THEN 4 WHEN q_ratio >= 0.50 THEN 3
-                 WHEN q_ratio >= 0.25 THEN 2 ELSE 1 END AS INTEGER) AS availability
+                 WHEN q_ratio >= 0.25 THEN 2 ELSE 1 END AS INTEGER) END AS availability
 FROM x""")
 def product_import_job(r):
     from tillbook.plans.product_import import import_products_file
@@ -138,5 +138,43 @@ def product_import_job(r):
     files.replace_table(r.supplier, root, "supplier")
     path = _scratch(r, "products-file")
     product_file(r).write.option("header", True).csv(path)
-    import_products_file(r.spark, path, root, extra=SEQ)
+    import_products_file(r.spark, path, root, "file-1", extra=SEQ)
+    import_products_file(r.spark, path, root, "file-1", extra=SEQ)      # a rerun adds nothing
     return files.load_table(r.spark, root, "inventory").select("product_id", "quantity", "availability")
+
+
+# two files of one folder with different column orders, and cells that are not numbers
+def _mixed_ledger_folder(r):
+    path = _scratch(r, "ledger-mixed-csv")
+    cols = [f.name for f in files.LEDGER_CSV.fields]
+    src = r.ledger.withColumn("supplier_id", F.lit(None).cast("int")).select(*cols)
+    src.filter("transaction_type = 'Credit'").write.option("header", True).csv(path)
+    (src.filter("transaction_type = 'Debit'").withColumn("amount", F.when(
+        F.col("invoice_no") % 7 == 0, F.lit("abc")).otherwise(F.col("amount").cast("string")))
+     .select(*reversed(cols)).write.mode("append").option("header", True).csv(path))
+    return path
+
+
+@register("csv_ledger_mixed_files", """
+SELECT transaction_date, invoice_no, amount, transaction_type, balance, customer_id FROM r_ledger
+WHERE transaction_type = 'Credit' OR invoice_no % 7 <> 0""")
+def csv_ledger_mixed_files(r):
+    rows, _bad = files.read_ledger_csv(r.spark, _mixed_ledger_folder(r))
+    return rows.select("transaction_date", "invoice_no", "amount", "transaction_type", "balance", "customer_id")
+
+
+@register("csv_ledger_mixed_rejects", """
+SELECT 'amount is not a decimal(10,2)' AS reason, CAST(COUNT(*) AS BIGINT) AS rejected FROM r_ledger
+WHERE transaction_type = 'Debit' AND invoice_no % 7 = 0""")
+def csv_ledger_mixed_rejects(r):
+    _rows, bad = files.read_ledger_csv(r.spark, _mixed_ledger_folder(r))
+    return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("rejected"))
+
+
+@register("list_input_files", "SELECT o_orderstatus AS name FROM orders GROUP BY o_orderstatus")
+def list_input_files(r):
+    path = _scratch(r, "uploads")
+    (r.raw("orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+     .write.partitionBy("status").option("header", True).csv(path))
+    return files.list_inputs(r.spark, path).select(
+        F.regexp_extract("path", "status=([^/]*)/", 1).alias("name")).distinct()

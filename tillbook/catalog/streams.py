@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillbook.catalog import register
 from tillbook.catalog.loads import _CUSTOMER_FILE_SQL, customer_file, existing_customers
+from tillbook.catalog.stock import moved_sql, raised_safety
 from tillbook.functions import rules as R
 from tillbook.streaming import streams as sm
 
@@ -22,22 +23,14 @@ SELECT date, CAST(SUM(final_amount) AS DECIMAL(18,2)) AS sales FROM r_invoice GR
 def stream_daily_sales(r):
     inv = r.invoice.select("invoice_no", "date", "final_amount")
     path, like = _feed(r, inv, F.year("date"), "invoices")
-    # the feed is ordered by year, so rows are at most one year out of order
-    return sm.stream_daily_sales(r.spark, path, like, delay="400 days")
-
-
-@register("stream_stock", """
-WITH moves AS (SELECT product_id, -quantity AS delta FROM r_lines
-               UNION ALL SELECT product_id, quantity_added FROM r_add_item),
-d AS (SELECT product_id, SUM(delta) AS d FROM moves GROUP BY product_id),
-n AS (SELECT i.product_id, i.safety_level, CAST(i.quantity + COALESCE(d.d, 0) AS INTEGER) AS q
-      FROM r_inventory i LEFT JOIN d ON i.product_id = d.product_id),
-x AS (SELECT *, CASE WHEN COALESCE(safety_level, 1) = 0 THEN 1.0
-                     ELSE CAST(q AS DOUBLE) / CAST(COALESCE(safety_level, 1) AS DOUBLE) END AS ratio FROM n)
-SELECT product_id, q AS quantity,
-       CAST(CASE WHEN ratio >= 1.0 THEN 5 WHEN ratio >= 0.85 THEN 4 WHEN ratio >= 0.50 THEN 3
-                 WHEN ratio >= 0.25 THEN 2 ELSE 1 END AS INTEGER) AS availability
-FROM x""")
+    return sm.stream_daily_sales(r.spark, path, like)
+
+
+_MOVES_SQL = moved_sql("SELECT product_id, -quantity AS q FROM r_lines UNION ALL "
+                       "SELECT product_id, quantity_added FROM r_add_item", "+")
+
+
+@register("stream_stock", f"WITH {_MOVES_SQL} SELECT product_id, quantity, availability FROM inv2")
 def stream_stock(r):
     inv_dates = r.invoice.select("invoice_no", "date")
     sales = (r.lines.join(inv_dates, "invoice_no")
@@ -47,7 +40,7 @@ def stream_stock(r):
                                 F.col("added_date").alias("ts"))
     moves = sales.unionByName(restock)
     path, like = _feed(r, moves, F.year("ts"), "moves")
-    out = sm.stream_stock(r.spark, path, like, r.inventory)
+    out = sm.stream_stock(r.spark, path, like, r.inventory, raised_safety(r))
     return out.select("product_id", "quantity", "availability")
 
 
