@@ -1,29 +1,32 @@
 """Distinct white-space-marked words of a corpus, joined back by place.
 
-SentencePiece turns a space into the marker U+2581 and (for a vocabulary
-whose pieces hold the marker at their start only, as ``check_vocabulary``
-asserts) no piece reaches over a word's end into the next marker.  No piece
-holds a line feed either.  So a text can be cut before every marker run and
-around every line feed, each distinct chunk segmented once, and the parts
-put together again.
+SentencePiece turns a space into the marker U+2581.  For a vocabulary whose
+pieces hold the marker at their start only, hold no line feed and never mix
+letters with other characters (``check_vocabulary`` makes sure), no merge
+reaches over a word's end into the next marker, over a line feed, or between
+a word and its punctuation.  So a text can be cut there, each
+distinct chunk segmented once, and the parts put together again.
 
 1. ``blocks``: each task reads its documents in blocks of a bounded number
    of characters and writes one row per block: the block's distinct chunks
    (its dictionary) and, per document, the places in that dictionary.
-2. ``segmented``: dictionary rows are shuffled and sorted by chunk; a run of
-   equal chunks is segmented once and answered for every block that asked.
-   A chunk occurs once per block at most, however frequent it is in the
-   texts, so no chunk is hot.
+2. ``segmented``: dictionaries are dealt by a hash of the chunk into
+   ``BUCKETS``; one row carries a block's chunks of one bucket.  In a bucket
+   each distinct chunk is segmented once, for every block that asked.  A
+   chunk occurs once per block at most, however frequent it is in the texts,
+   so no chunk is hot.
 3. The answers go back to their block (one block's dictionary is bounded by
    the block size) and are put in place there.
 
 The blocks are written to the shared checkpoint folder, since steps 2 and 3
-must see the same dictionaries.
+must see the same dictionaries.  Arrays and word lists are compressed: the
+shuffles carry about two bytes per chunk of text.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +34,14 @@ from pyspark.sql import types as T
 
 from tillbook.llm.common import id_text, stored
 
-BLOCK_CHARS = 4 << 20      # a block is closed at this many characters
+BLOCK_CHARS = 32 << 20     # a block is closed at this many characters
+BLOCK_DOCS = 1 << 16       # ... or documents
+BUCKETS = 4096
 MARK = "▁"
-CHUNK = re.compile(r" *[^ \n]+| +|\n")
+# letters are word characters but digits, underscores and raised or broken numbers
+_OTHER = r"\W\d_²³¹¼½¾⁰-₟"
+CHUNK = re.compile(rf" *[^{_OTHER}]+| *(?:(?![ \n])[{_OTHER}])+| +|\n")
+_MIXED = re.compile(rf"[{_OTHER}][^{_OTHER}]|[^{_OTHER}][{_OTHER}]")
 
 
 def processors(path: str):
@@ -54,13 +62,14 @@ def processors(path: str):
 
 
 def check_vocabulary(model) -> None:
-    """Raise unless cutting at markers and line feeds is exact for the model."""
+    """Raise unless cutting a text into chunks is exact for the model."""
     n = model.normalizer_spec
     if n.precompiled_charsmap or n.remove_extra_whitespaces or not n.add_dummy_prefix \
             or not n.escape_whitespaces or not model.trainer_spec.byte_fallback:
         raise ValueError("the model normalises text; chunks would differ")
     for p in model.pieces:
-        if MARK in p.piece.lstrip(MARK) or "\n" in p.piece or p.type == p.USER_DEFINED:
+        body = p.piece.lstrip(MARK)
+        if p.type == p.USER_DEFINED or p.type == p.NORMAL and (MARK in body or "\n" in body or _MIXED.search(body)):
             raise ValueError(f"piece {p.piece!r} can cross a chunk's end")
 
 
@@ -69,18 +78,47 @@ def chunks(text: str | None) -> list[str]:
     return CHUNK.findall(" " + text.replace(MARK, " ")) if text else []
 
 
+def packed(array) -> bytes:
+    """A numpy array byte plane by byte plane, compressed."""
+    import numpy as np
+    import zstandard
+    planes = np.ascontiguousarray(array.view(np.uint8).reshape(-1, array.itemsize).T)
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def unpacked(data: bytes, kind: str):
+    import numpy as np
+    import zstandard
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
+def packed_words(words: list[str]) -> bytes:
+    """A line feed occurs in no chunk but the one that is a line feed, which
+    is stored as an empty line."""
+    import zstandard
+    return zstandard.ZstdCompressor(level=3).compress(
+        "\n".join(["" if w == "\n" else w for w in words]).encode("utf-8"))
+
+
+def unpacked_words(data: bytes) -> list[str]:
+    import zstandard
+    return [w or "\n" for w in zstandard.ZstdDecompressor().decompress(data).decode("utf-8").split("\n")]
+
+
 def blocks(docs: DataFrame, id_col: str, text_col: str, frequencies: bool) -> DataFrame:
-    """One row per block: ``block_id``, ``words``, and per document
-    ``doc_id``, ``n_bytes``, ``n_places`` with the places in ``words`` one
-    after the other in ``places`` (int32); with ``frequencies`` each place
-    occurs once per document and ``times`` (int32) says how often."""
+    """One row per block: ``block_id``, ``words``, ``word_buckets``, and per
+    document ``doc_ids``, ``n_bytes``, ``n_places`` with the places in
+    ``words`` one after the other in ``places``; with ``frequencies`` each
+    place occurs once per document and ``times`` says how often."""
     rows = id_text(docs, id_col, text_col)
     id_type = rows.schema["doc_id"].dataType
     schema = T.StructType([
-        T.StructField("block_id", T.LongType()), T.StructField("words", T.ArrayType(T.StringType())),
-        T.StructField("doc_ids", T.ArrayType(id_type)), T.StructField("n_bytes", T.ArrayType(T.LongType())),
-        T.StructField("n_places", T.ArrayType(T.LongType())), T.StructField("places", T.BinaryType()),
-        T.StructField("times", T.BinaryType())])
+        T.StructField("block_id", T.LongType()), T.StructField("words", T.BinaryType()),
+        T.StructField("word_buckets", T.BinaryType()), T.StructField("doc_ids", T.ArrayType(id_type)),
+        T.StructField("n_bytes", T.ArrayType(T.LongType())), T.StructField("n_places", T.ArrayType(T.LongType())),
+        T.StructField("places", T.BinaryType()), T.StructField("times", T.BinaryType())])
 
     def run(batches):
         import numpy as np
@@ -94,9 +132,10 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, frequencies: bool) -> Da
         doc_ids, n_bytes, n_places, places, times, size = [], [], [], [], [], 0
 
         def close():
-            row = (block, list(words), doc_ids, n_bytes, n_places, b"".join(places), b"".join(times))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([v], t.type) for v, t in zip(row, arrow)], schema=arrow)
+            by = np.array([zlib.crc32(w.encode("utf-8")) % BUCKETS for w in words], dtype="<u2")
+            row = (block, packed_words(list(words)), packed(by), doc_ids, n_bytes, n_places,
+                   packed(np.concatenate(places)), packed(np.concatenate(times)) if frequencies else None)
+            return pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(row, arrow)], schema=arrow)
 
         for batch in batches:
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -104,16 +143,16 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, frequencies: bool) -> Da
                 parts = chunks(text)
                 for w in set(parts).difference(words):
                     words[w] = len(words)
-                at = np.array([words[w] for w in parts], dtype="<i4")
+                at = np.array([words[w] for w in parts], dtype="<u4")
                 if frequencies:
                     at, n = np.unique(at, return_counts=True)
-                    times.append(n.astype("<i4").tobytes())
-                places.append(at.tobytes())
+                    times.append(n.astype("<u4"))
+                places.append(at)
                 doc_ids.append(doc_id)
                 n_bytes.append(len(text.encode("utf-8")))
                 n_places.append(len(at))
                 size += len(text)
-                if size >= BLOCK_CHARS or len(doc_ids) >= 1 << 16:
+                if size >= BLOCK_CHARS or len(doc_ids) >= BLOCK_DOCS:
                     yield close()
                     block += 1
                     words = {}
@@ -125,49 +164,70 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, frequencies: bool) -> Da
 
 
 def segmented(block_rows: DataFrame, model: str, ids: bool) -> DataFrame:
-    """``block_id``, ``place``, ``n`` (pieces) for every dictionary entry; with
-    ``ids`` also ``ids`` (binary, little-endian unsigned 32-bit) and
-    ``decoded`` (what the library's decode gives for the ids, where it is
-    not the chunk itself)."""
-    asked = block_rows.select("block_id", F.posexplode("words").alias("place", "word"))
-    fields = [T.StructField("block_id", T.LongType()), T.StructField("place", T.IntegerType())]
-    fields += [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())] if ids \
-        else [T.StructField("n", T.IntegerType())]
+    """``block_id``, ``bucket``, ``sizes`` (pieces per chunk, packed) for every
+    block and bucket, in the block's order of words; with ``ids`` also the
+    ``ids`` of the chunks one after the other (packed)."""
+    fields = [T.StructField("block_id", T.LongType()), T.StructField("bucket", T.IntegerType()),
+              T.StructField("sizes", T.BinaryType())] + [T.StructField("ids", T.BinaryType())] * ids
     schema = T.StructType(fields)
 
-    def run(batches):
+    def ask(batches):
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            for block, words, by in zip(*(c.to_pylist() for c in batch.columns)):
+                by, words = unpacked(by, "<u2"), unpacked_words(words) if len(by) else []
+                order = np.argsort(by, kind="stable")
+                buckets, starts = np.unique(by[order], return_index=True)
+                parts = [packed_words([words[i] for i in at.tolist()]) for at in np.split(order, starts[1:])] \
+                    if len(by) else []
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(buckets.tolist(), pa.int32()), pa.array([block] * len(parts), pa.int64()),
+                     pa.array(parts, pa.binary())], names=["bucket", "block_id", "words"])
+
+    def answer(batches):
         import numpy as np
         import pyarrow as pa
-
         _, bare = processors(model)
-        last, answer = None, None
+        now, known = None, {}
         for batch in batches:
-            words = batch.column(2).to_pylist()
-            new = [w for a, w in zip([last, *words], words) if a != w]
-            found = bare.encode(new, num_threads=1) if new else []
-            if ids:
-                text = bare.decode(found, num_threads=1) if new else []
-                fresh = iter([(np.array(e, dtype="<u4").tobytes(), None if d == w else d)
-                              for w, e, d in zip(new, found, text)])
-            else:
-                fresh = iter([(len(e),) for e in found])
             out = []
-            for w in words:
-                if w != last:
-                    last, answer = w, next(fresh)
-                out.append(answer)
-            columns = [pa.array(c, pa.int32() if not ids else t)
-                       for c, t in zip(zip(*out), (pa.binary(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns],
-                                             names=schema.names)
-
-    return (asked.repartition("word").sortWithinPartitions("word")
-            .mapInArrow(run, schema))
+            for bucket, block, words in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != now:
+                    now, known = bucket, {}       # the rows are sorted by bucket
+                words = unpacked_words(words)
+                new = [w for w in words if w not in known]
+                for w, e in zip(new, bare.encode(new, num_threads=1) if new else []):
+                    known[w] = np.array(e, dtype="<u4") if ids else len(e)
+                found = [known[w] for w in words]
+                if ids:
+                    out.append((block, bucket, packed(np.array([len(e) for e in found], dtype="<u4")),
+                                packed(np.concatenate(found))))
+                else:
+                    out.append((block, bucket, packed(np.array(found, dtype="<u4"))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
+                names=schema.names)
+
+    asked = block_rows.select("block_id", "words", "word_buckets").mapInArrow(
+        ask, "bucket int, block_id long, words binary")
+    return asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, schema)
 
 
 def answered(block_rows: DataFrame, answers: DataFrame) -> DataFrame:
-    """Each block with the answers for its dictionary (``answers``: an array
-    of structs with ``place`` first)."""
-    values = F.struct("place", *[c for c in answers.columns if c not in ("block_id", "place")])
-    per_block = answers.groupBy("block_id").agg(F.collect_list(values).alias("answers"))
-    return block_rows.join(per_block, "block_id", "left")
+    """Each block with the ``answers`` for its dictionary: an array of structs
+    of ``bucket`` and the packed columns, at most one per bucket."""
+    values = F.struct(*[c for c in answers.columns if c != "block_id"])
+    per_block = answers.groupBy("block_id").agg(F.sort_array(F.collect_list(values)).alias("answers"))
+    return block_rows.drop("words").join(per_block, "block_id", "left")
+
+
+def by_place(word_buckets: bytes, parts: list[bytes]):
+    """Packed per-chunk numbers of each bucket, in bucket order -> one array
+    in the block's order of words, and that order."""
+    import numpy as np
+    order = np.argsort(unpacked(word_buckets, "<u2"), kind="stable")
+    out = np.zeros(len(order), dtype=np.int64)
+    if len(order):
+        out[order] = np.concatenate([unpacked(p, "<u4") for p in parts])
+    return out, order

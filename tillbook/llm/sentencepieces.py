@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tillbook.llm import chunk_table
-from tillbook.llm.chunk_table import processors
+from tillbook.llm.chunk_table import by_place, processors, unpacked
 
 OUT_BYTES = 8 << 20
+DECODE_CHUNKS = 1 << 15
 
 
 def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id",
@@ -27,7 +28,7 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id",
     block_rows = chunk_table.blocks(docs, id_col, text_col, frequencies=False)
     answers = chunk_table.segmented(block_rows, model, ids=True)
     joined = chunk_table.answered(block_rows, answers).select(
-        "doc_ids", "n_places", "places", "answers", "words")
+        "doc_ids", "n_places", "places", "word_buckets", "answers")
     schema = T.StructType([
         T.StructField("doc_id", block_rows.schema["doc_ids"].dataType.elementType),
         T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
@@ -38,27 +39,38 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id",
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        full, _ = processors(model)
+        full, bare = processors(model)
         begin, end = (struct.pack("<I", i) for i in (full.bos_id(), full.eos_id()))
 
         def batch_of(out):
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, t.type) for c, t in zip(zip(*out), arrow)], schema=arrow)
 
+        def table(word_buckets, answers):
+            """Ids (binary) and decoded text by place."""
+            sizes, order = by_place(word_buckets, [a["sizes"] for a in answers])
+            ids, text = [b""] * len(order), [""] * len(order)
+            if not len(order):
+                return ids, text
+            flat = np.concatenate([unpacked(a["ids"], "<u4") for a in answers])
+            ends = np.cumsum(sizes[order])
+            for lo in range(0, len(order), DECODE_CHUNKS):
+                at, stops = order[lo:lo + DECODE_CHUNKS].tolist(), ends[lo:lo + DECODE_CHUNKS].tolist()
+                start = int(ends[lo - 1]) if lo else 0
+                part = flat[start:stops[-1]]
+                data, numbers = part.tobytes(), part.tolist()
+                cuts = [0, *[s - start for s in stops]]
+                decoded = bare.decode([numbers[a:b] for a, b in zip(cuts, cuts[1:])], num_threads=1)
+                for p, a, b, d in zip(at, cuts, cuts[1:], decoded):
+                    ids[p], text[p] = data[4 * a:4 * b], d
+            return ids, text
+
         for batch in batches:
             for i in range(batch.num_rows):
                 doc_ids = batch.column(0)[i].as_py()
                 ends = np.cumsum(batch.column(1)[i].values.to_numpy()).tolist()
-                places = np.frombuffer(batch.column(2)[i].as_py(), dtype="<i4")
-                text = batch.column(4)[i].as_py()
-                ids = [b""] * len(text)
-                if text:
-                    known = batch.column(3)[i].values
-                    for at, value, decoded in zip(*(known.field(c).to_pylist()
-                                                    for c in ("place", "ids", "decoded"))):
-                        ids[at] = value
-                        if decoded is not None:
-                            text[at] = decoded
+                places = unpacked(batch.column(2)[i].as_py(), "<u4")
+                ids, text = table(batch.column(3)[i].as_py(), batch.column(4)[i].as_py() or [])
                 out, size, start = [], 0, 0
                 for doc_id, stop in zip(doc_ids, ends):
                     at = places[start:stop].tolist()

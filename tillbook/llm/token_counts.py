@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tillbook.llm import chunk_table
+from tillbook.llm.chunk_table import by_place, unpacked
 
 
 def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id",
@@ -23,8 +24,8 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id",
     """
     block_rows = chunk_table.blocks(docs, id_col, text_col, frequencies=True)
     answers = chunk_table.segmented(block_rows, model, ids=False)
-    joined = chunk_table.answered(block_rows.drop("words"), answers).select(
-        "doc_ids", "n_bytes", "n_places", "places", "times", "answers")
+    joined = chunk_table.answered(block_rows, answers).select(
+        "doc_ids", "n_bytes", "n_places", "places", "times", "word_buckets", "answers")
     schema = T.StructType([
         T.StructField("doc_id", block_rows.schema["doc_ids"].dataType.elementType),
         T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
@@ -36,15 +37,11 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id",
         for batch in batches:
             for i in range(batch.num_rows):
                 doc_ids, n_bytes, n_places = (batch.column(c)[i].values for c in range(3))
-                places, times = (np.frombuffer(batch.column(c)[i].as_py(), dtype="<i4") for c in (3, 4))
-                total = np.zeros(len(doc_ids), dtype=np.int64)
-                if len(places):
-                    known = batch.column(5)[i].values
-                    n = np.zeros(len(known), dtype=np.int64)
-                    n[known.field("place").to_numpy()] = known.field("n").to_numpy()
-                    ends = np.cumsum(n_places.to_numpy())
-                    sums = np.concatenate([[0], np.cumsum(n[places] * times)])
-                    total = sums[ends] - sums[ends - n_places.to_numpy()]
-                yield pa.RecordBatch.from_arrays([doc_ids, n_bytes, pa.array(total)], names=schema.names)
+                places, times = (unpacked(batch.column(c)[i].as_py(), "<u4") for c in (3, 4))
+                n, _ = by_place(batch.column(5)[i].as_py(), [a["sizes"] for a in batch.column(6)[i].as_py() or []])
+                ends = np.cumsum(n_places.to_numpy())
+                sums = np.concatenate([[0], np.cumsum(n[places] * times)])
+                total = sums[ends] - sums[ends - n_places.to_numpy()]
+                yield pa.RecordBatch.from_arrays([doc_ids, n_bytes, pa.array(total, pa.int64())], names=schema.names)
 
     return joined.mapInArrow(run, schema)
