@@ -1,3 +1,63 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+from tillbook.llm.license_scan import TEMPLATES, bigrams
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_TEMPLATES = ",\n".join(f"({_text(name)}, [{', '.join(map(_text, bigrams(t)))}])" for name, t in TEMPLATES)
+
+SQL: dict[str, str] = {
+    "op4_exact_dedup": f"""
+WITH d AS (SELECT doc_id, translate(COALESCE(text, ''), '{_UPPER}', '{_UPPER.lower()}') AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, COUNT(*) AS group_size FROM d GROUP BY t)
+SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
+FROM d JOIN g ON d.t = g.t""",
+
+    "op5_license_scan": f"""
+WITH templates(license, grams) AS (VALUES
+{_TEMPLATES}),
+units AS (
+  SELECT doc_id, 'line' AS unit, unnest(range(len(l))) AS number, unnest(l) AS body
+  FROM (SELECT doc_id, string_split(lower(text), chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+  UNION ALL
+  SELECT * FROM (
+    SELECT doc_id, 'paragraph' AS unit, unnest(range(len(l))) AS number, unnest(l) AS body
+    FROM (SELECT doc_id, string_split_regex(lower(text), '\\n[ \\t\\r]*\\n') AS l FROM documents WHERE text IS NOT NULL))
+  WHERE contains(body, chr(10))),
+words AS (SELECT doc_id, unit, number, list_filter(string_split_regex(body, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM units),
+grams AS (SELECT doc_id, unit, number, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
+          FROM words WHERE len(w) BETWEEN 2 AND 1000),
+hits AS (SELECT doc_id, unit, number, license, len(list_intersect(g, t.grams)) AS shared, len(g) AS unit_size,
+                len(t.grams) AS template_size
+         FROM grams JOIN templates t ON len(g) * 80 <= len(t.grams) * 120 AND len(t.grams) * 80 <= len(g) * 120),
+found AS (SELECT * FROM hits WHERE shared * 200 >= (unit_size + template_size) * 80),
+per_doc AS (SELECT doc_id, COUNT(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses,
+                   string_agg(h, ',' ORDER BY h) AS hits
+            FROM (SELECT *, concat_ws(':', unit, number, license, shared, unit_size, template_size) AS h FROM found)
+            GROUP BY doc_id)
+SELECT d.doc_id, COALESCE(n, 0) AS n_hits, COALESCE(licenses, '') AS licenses, COALESCE(hits, '') AS hits
+FROM documents d LEFT JOIN per_doc p ON d.doc_id = p.doc_id""",
+
+    "op7_ngram_join": """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+sets AS (SELECT DISTINCT doc_id, gram FROM (
+  SELECT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3),
+         lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4]) END) AS gram
+  FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, COUNT(*) AS n FROM sets GROUP BY doc_id),
+shared_grams AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS n FROM sets a JOIN sets b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+         GROUP BY 1, 2),
+links AS (SELECT s.a, s.b FROM shared_grams s JOIN sizes x ON s.a = x.doc_id JOIN sizes y ON s.b = y.doc_id
+          WHERE s.n * 10 >= 8 * (x.n + y.n - s.n)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, c.class_id, COALESCE(l.n, 0) AS n_links, c.class_size
+FROM documents d
+JOIN (SELECT a, min(b) AS class_id, COUNT(*) AS class_size FROM reach GROUP BY a) c ON d.doc_id = c.a
+LEFT JOIN (SELECT a, COUNT(*) AS n FROM links GROUP BY a) l ON d.doc_id = l.a""",
+}
