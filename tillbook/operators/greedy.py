@@ -11,8 +11,8 @@ it runs in rounds of prefix sums over everything not yet refused:
 
 The first undecided claim is decided in every round (both sums are equal for
 it), so the rounds end with exactly the loop's answer; claims that do not
-compete are decided at once.  Each round is two skew-safe running totals and
-one aggregate, written to the shared checkpoint folder.
+compete are decided at once.  Each round is one pass of skew-safe running
+totals and one aggregate, written to the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.operators.windows import materialize, running_total
+from tillbook.operators.windows import materialize, running_totals
 
 
 def accept_in_order(claims: DataFrame, claim: list[str], resource: str, amount: str,
@@ -37,9 +37,8 @@ def accept_in_order(claims: DataFrame, claim: list[str], resource: str, amount:
     refused = first.filter(~F.col("_fits")).select(*claim)
     rows = rows.join(refused, claim, "left_anti")
     while True:
-        rows = running_total(rows, ["_res"], claim, F.col("_need"), "_may", exclusive=True)
-        rows = running_total(rows, ["_res"], claim, F.when(F.col("_in"), F.col("_need")), "_has",
-                             exclusive=True)
+        rows = running_totals(rows, ["_res"], claim, {
+            "_may": F.col("_need"), "_has": F.when(F.col("_in"), F.col("_need"))}, exclusive=True)
         state = materialize(rows.groupBy(*claim).agg(
             F.bool_or("_in").alias("_in"),
             F.bool_and(F.col("_may") + F.col("_need") <= F.col("_cap")).alias("_sure"),

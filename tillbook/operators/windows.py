@@ -51,9 +51,10 @@ def _blocks(df: DataFrame, blocks: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def running_total(df: DataFrame, keys: list[str], order: list, value, out: str,
-                  blocks: int | None = None, exclusive: bool = False) -> DataFrame:
-    """Add ``out`` = running sum of ``value`` per ``keys`` in ``order``.
+def running_totals(df: DataFrame, keys: list[str], order: list, values: dict,
+                   blocks: int | None = None, exclusive: bool = False) -> DataFrame:
+    """Add a running sum per ``keys`` in ``order`` for each of ``values``
+    (output name -> column), all in one pass.
 
     ``order`` must make rows unique within a key (else ties are arbitrary).
     ``exclusive=True`` gives the sum of the rows strictly before each row, 0
@@ -62,27 +63,36 @@ def running_total(df: DataFrame, keys: list[str], order: list, value, out: str,
     key like any other.
     """
     order_cols = [_col(o) for o in order]
-    tagged = materialize(df.withColumn(_TOT, _col(value))
+    tot, run, off = ({out: f"{p}{i}" for i, out in enumerate(values)} for p in (_TOT, _RUN, _OFF))
+    tagged = materialize(df.withColumns({tot[out]: _col(v) for out, v in values.items()})
                          .repartitionByRange(_blocks(df, blocks), *[F.col(k) for k in keys], *order_cols)
                          .withColumn(_BLK, F.spark_partition_id()))
     upper = Window.currentRow - 1 if exclusive else Window.currentRow
     w_in = (Window.partitionBy(*keys, _BLK).orderBy(*order_cols)
             .rowsBetween(Window.unboundedPreceding, upper))
-    local = tagged.withColumn(_RUN, F.sum(_TOT).over(w_in))
-    block_sum = tagged.groupBy(*keys, _BLK).agg(F.sum(_TOT).alias(_TOT))
+    local = tagged.withColumns({run[out]: F.sum(tot[out]).over(w_in) for out in values})
+    block_sum = tagged.groupBy(*keys, _BLK).agg(*[F.sum(tot[out]).alias(tot[out]) for out in values])
     w_prev = (Window.partitionBy(*keys).orderBy(_BLK)
               .rowsBetween(Window.unboundedPreceding, -1))
     # renamed keys: the match is null-safe, so rows of a NULL key stay
-    offsets = block_sum.select(*[F.col(k).alias(f"_tb_k{i}") for i, k in enumerate(keys)],
-                               F.col(_BLK).alias(_MID), F.sum(_TOT).over(w_prev).alias(_OFF))
+    offsets = block_sum.select(*[F.col(k).alias(f"_tb_k{i}") for i, k in enumerate(keys)], F.col(_BLK).alias(_MID),
+                               *[F.sum(tot[out]).over(w_prev).alias(off[out]) for out in values])
     same = F.col(_BLK) == F.col(_MID)
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_tb_k{i}"))
-    total = F.when(F.col(_OFF).isNull(), F.col(_RUN)).otherwise(
-        F.col(_OFF) + F.coalesce(F.col(_RUN), F.lit(0)))
-    if exclusive:
-        total = F.coalesce(total, F.lit(0))
-    return local.join(offsets, same).select(*df.columns, total.alias(out))
+
+    def total(out: str) -> Column:
+        before, here = F.col(off[out]), F.col(run[out])
+        sums = F.when(before.isNull(), here).otherwise(before + F.coalesce(here, F.lit(0)))
+        return F.coalesce(sums, F.lit(0)) if exclusive else sums
+
+    return local.join(offsets, same).select(*df.columns, *[total(out).alias(out) for out in values])
+
+
+def running_total(df: DataFrame, keys: list[str], order: list, value, out: str,
+                  blocks: int | None = None, exclusive: bool = False) -> DataFrame:
+    """:func:`running_totals` of one value."""
+    return running_totals(df, keys, order, {out: value}, blocks, exclusive)
 
 
 def row_number_in_group(df: DataFrame, keys: list[str], order: list, out: str,
