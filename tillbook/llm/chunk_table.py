@@ -36,7 +36,8 @@ from tillbook.llm.common import id_text, stored
 
 BLOCK_CHARS = 32 << 20     # a block is closed at this many characters
 BLOCK_DOCS = 1 << 16       # ... or documents
-BUCKETS = 4096
+BUCKETS = 1024
+KNOWN_CHUNKS = 2_000_000  # of a bucket, remembered at once
 MARK = "▁"
 # letters are word characters but digits, underscores and raised or broken numbers
 _OTHER = r"\W\d_²³¹¼½¾⁰-₟"
@@ -83,7 +84,7 @@ def packed(array) -> bytes:
     import numpy as np
     import zstandard
     planes = np.ascontiguousarray(array.view(np.uint8).reshape(-1, array.itemsize).T)
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=9).compress(planes.tobytes())
 
 
 def unpacked(data: bytes, kind: str):
@@ -94,11 +95,29 @@ def unpacked(data: bytes, kind: str):
     return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
+def packed_places(array) -> bytes:
+    """Places, the frequent ones small: one byte each, 255 for what follows
+    in full after them."""
+    import numpy as np
+    import zstandard
+    low = zstandard.ZstdCompressor(level=9).compress(np.minimum(array, 255).astype(np.uint8).tobytes())
+    return len(low).to_bytes(8, "little") + low + packed(array[array >= 255])
+
+
+def unpacked_places(data: bytes):
+    import numpy as np
+    import zstandard
+    n = int.from_bytes(data[:8], "little")
+    out = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[8:8 + n]), np.uint8).astype("<u4")
+    out[out == 255] = unpacked(data[8 + n:], "<u4")
+    return out
+
+
 def packed_words(words: list[str]) -> bytes:
     """A line feed occurs in no chunk but the one that is a line feed, which
     is stored as an empty line."""
     import zstandard
-    return zstandard.ZstdCompressor(level=3).compress(
+    return zstandard.ZstdCompressor(level=9).compress(
         "\n".join(["" if w == "\n" else w for w in words]).encode("utf-8"))
 
 
@@ -132,9 +151,15 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, frequencies: bool) -> Da
         doc_ids, n_bytes, n_places, places, times, size = [], [], [], [], [], 0
 
         def close():
-            by = np.array([zlib.crc32(w.encode("utf-8")) % BUCKETS for w in words], dtype="<u2")
-            row = (block, packed_words(list(words)), packed(by), doc_ids, n_bytes, n_places,
-                   packed(np.concatenate(places)), packed(np.concatenate(times)) if frequencies else None)
+            at, names = np.concatenate(places), list(words)
+            # the most frequent chunks get the smallest numbers
+            order = np.argsort(-np.bincount(at, minlength=len(names)), kind="stable")
+            rank = np.empty(len(names), dtype="<u4")
+            rank[order] = np.arange(len(names))
+            names = [names[i] for i in order.tolist()]
+            by = np.array([zlib.crc32(w.encode("utf-8")) % BUCKETS for w in names], dtype="<u2")
+            row = (block, packed_words(names), packed(by), doc_ids, n_bytes, n_places,
+                   packed_places(rank[at]), packed(np.concatenate(times)) if frequencies else None)
             return pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(row, arrow)], schema=arrow)
 
         for batch in batches:
@@ -193,7 +218,7 @@ def segmented(block_rows: DataFrame, model: str, ids: bool) -> DataFrame:
         for batch in batches:
             out = []
             for bucket, block, words in zip(*(c.to_pylist() for c in batch.columns)):
-                if bucket != now:
+                if bucket != now or len(known) > KNOWN_CHUNKS:
                     now, known = bucket, {}       # the rows are sorted by bucket
                 words = unpacked_words(words)
                 new = [w for w in words if w not in known]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tillbook.llm import chunk_table
-from tillbook.llm.chunk_table import by_place, processors, unpacked
+from tillbook.llm.chunk_table import by_place, processors, unpacked, unpacked_places
 
 OUT_BYTES = 8 << 20
 DECODE_CHUNKS = 1 << 15
@@ -69,7 +69,7 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id",
             for i in range(batch.num_rows):
                 doc_ids = batch.column(0)[i].as_py()
                 ends = np.cumsum(batch.column(1)[i].values.to_numpy()).tolist()
-                places = unpacked(batch.column(2)[i].as_py(), "<u4")
+                places = unpacked_places(batch.column(2)[i].as_py())
                 ids, text = table(batch.column(3)[i].as_py(), batch.column(4)[i].as_py() or [])
                 out, size, start = [], 0, 0
                 for doc_id, stop in zip(doc_ids, ends):

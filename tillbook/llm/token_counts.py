@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tillbook.llm import chunk_table
-from tillbook.llm.chunk_table import by_place, unpacked
+from tillbook.llm.chunk_table import by_place, unpacked, unpacked_places
 
 
 def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id",
@@ -37,7 +37,7 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id",
         for batch in batches:
             for i in range(batch.num_rows):
                 doc_ids, n_bytes, n_places = (batch.column(c)[i].values for c in range(3))
-                places, times = (unpacked(batch.column(c)[i].as_py(), "<u4") for c in (3, 4))
+                places, times = unpacked_places(batch.column(3)[i].as_py()), unpacked(batch.column(4)[i].as_py(), "<u4")
                 n, _ = by_place(batch.column(5)[i].as_py(), [a["sizes"] for a in batch.column(6)[i].as_py() or []])
                 ends = np.cumsum(n_places.to_numpy())
                 sums = np.concatenate([[0], np.cumsum(n[places] * times)])
