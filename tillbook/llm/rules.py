@@ -11,7 +11,9 @@ Multiple testing: the strata share the error probability ``delta`` equally
 and testing stops at the first failure, which needs no further correction
 (fixed-sequence testing).  So with probability ``1 - delta`` at least, in no
 stratum more than a share ``risk`` of good documents is falsely rejected by
-the selected cutoffs.  A stratum with too few labels gets no cutoffs.
+any level that passes.  Of these the most lenient is used that rejects as
+many labelled bad documents as the strictest.  A stratum with too few
+labels gets no cutoffs.
 """
 
 from __future__ import annotations
@@ -28,12 +30,10 @@ SPACE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 RULES = ("symbols", "dup_lines", "repeats", "shouting", "long_words")
-# Cutoffs per level, in the order of RULES (share above: rejected)
-LEVELS = ((0.50, 0.90, 0.45, 0.90, 0.50), (0.40, 0.80, 0.40, 0.80, 0.40),
-          (0.30, 0.70, 0.35, 0.70, 0.35), (0.25, 0.60, 0.30, 0.60, 0.30),
-          (0.20, 0.50, 0.25, 0.50, 0.25), (0.15, 0.45, 0.20, 0.40, 0.20),
-          (0.12, 0.40, 0.15, 0.35, 0.15), (0.10, 0.35, 0.12, 0.30, 0.12),
-          (0.08, 0.30, 0.10, 0.25, 0.10), (0.06, 0.25, 0.08, 0.20, 0.08))
+# Cutoffs per level, in the order of RULES (share above: rejected)
+STEPS = 10
+_FROM, _TO = (0.50, 0.95, 0.48, 0.95, 0.50), (0.06, 0.50, 0.30, 0.50, 0.10)
+LEVELS = tuple(tuple(round(a + (b - a) * k / (STEPS - 1), 4) for a, b in zip(_FROM, _TO)) for k in range(STEPS))
 LONG_WORD = 40             # bytes
 
 _STATS = T.StructType([T.StructField(c, T.LongType()) for c in (
@@ -138,25 +138,37 @@ def select_level(n: int, rejected: list[int], risk: float, error: float) -> int:
     return level
 
 
+def useful_level(level: int, bad: list[int]) -> int:
+    """The most lenient level, up to ``level``, that rejects as many labelled
+    bad documents (``bad`` counts per level) as ``level`` does."""
+    most = bad[level - 1] if level else 0
+    return next((k for k, n in enumerate(bad[:level], 1) if n == most and n), 0)
+
+
 def _chosen(measured: DataFrame, labels: DataFrame, risk: float, delta: float) -> DataFrame:
-    """``stratum``, ``level`` for the strata with labelled good documents.
+    """``stratum``, ``level`` for the strata with labelled documents.
 
     ``measured``: ``doc_id``, ``stratum``, ``base_failed``, ``first_level``."""
-    good = labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).filter("quality = 1").select("doc_id")
-    held = (measured.filter("not base_failed").select("doc_id", "stratum", "first_level").join(good, "doc_id")
-            .groupBy("doc_id", "stratum").agg(F.min("first_level").alias("first_level")))
+    labelled = labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).filter("quality in (0, 1)")
+    held = (measured.filter("not base_failed").select("doc_id", "stratum", "first_level").join(labelled, "doc_id")
+            .groupBy("doc_id", "stratum", "quality").agg(F.min("first_level").alias("first_level")))
+
+    def rejected(quality: int):
+        hit = [(F.col("quality") == quality) & (F.col("first_level") <= k) for k in range(1, len(LEVELS) + 1)]
+        return F.array(*[F.count(F.when(h, 1)) for h in hit])
+
     counts = stored(held.groupBy("stratum").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.count(F.when(F.col("first_level") <= k, 1)) for k in range(1, len(LEVELS) + 1)])
-        .alias("rejected")), "rule-counts")
+        F.count(F.when(F.col("quality") == 1, 1)).alias("n"), rejected(1).alias("good"), rejected(0).alias("bad")),
+        "rule-counts")
     error = delta / max(1, counts.count())
 
     @F.arrow_udf(T.IntegerType())
-    def level(n, rejected):
+    def level(n, good, bad):
         import pyarrow as pa
-        return pa.array([select_level(a.as_py(), r.as_py(), risk, error) for a, r in zip(n, rejected)], pa.int32())
+        return pa.array([useful_level(select_level(a.as_py(), g.as_py(), risk, error), b.as_py())
+                         for a, g, b in zip(n, good, bad)], pa.int32())
 
-    return counts.select("stratum", level("n", "rejected").alias("level"))
+    return counts.select("stratum", level("n", "good", "bad").alias("level"))
 
 
 def _measure(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
@@ -167,14 +179,14 @@ def _measure(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> D
                     _first_level().alias("first_level")))
 
 
-def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05,
+def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05,
           id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """Statistics and verdict of every row of ``docs``.
 
     ``doc_id``, the statistics, ``base_failed``, ``stratum``, ``level`` (the
     stratum's cutoffs; 0: none) and ``kept``.  ``labels`` holds ``doc_id`` and
-    ``quality`` (1 good); of several labels the best counts, null labels do
-    not.  A null stratum is the stratum "".  A null text has no words and
+    ``quality`` (1 good, 0 bad); of several labels the best counts, others and
+    nulls do not.  A null stratum is the stratum "".  A null text has no words and
     fails the base rules; a null id is judged like any other; repeated rows
     are all judged, and count once per id and stratum as holdout; empty
     tables give no rows or no cutoffs; other columns are ignored.
@@ -187,7 +199,7 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float =
                     (~F.col("base_failed") & (F.col("first_level") > level)).alias("kept")))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05,
+def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05,
               id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """The rows of ``docs``, all columns, that ``judge`` keeps.
 
