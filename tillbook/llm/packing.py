@@ -18,6 +18,7 @@ last, partial run is cut into power-of-two sequences, which need no padding.
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 
@@ -31,47 +32,112 @@ LONG_WORD = 64             # bytes; longer words are not remembered
 OUT_ROWS = 4096            # pieces per output batch
 
 
+# ASCII punctuation, and lower-case Latin words, which the
+# tokenizer's normalisation leaves as they are
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+LATIN_WORD = re.compile("[a-zß-öø-ÿ]+")
+SPECIAL, MARKS = "<|", "[\u0300-\u036f]"
+SLICE_WORDS = 1 << 20      # words whose ids are put in place at once
+
+
 class WordEncoder:
-    """Ids of whole texts from a per-word memory.
+    """Ids of whole texts from the ids of their distinct words.
 
-    The tokenizer drops white space and no token crosses it, so a text's ids
-    are the ids of its ASCII-space-separated words in order; other white
-    space stays inside a word and is left to the tokenizer.
+    The tokenizer lower-cases, drops white space, and no token crosses white
+    space or the end of a run of letters.  So a text's ids are the ids of its
+    ASCII-space-separated words in order (other white space stays inside a
+    word and is left to the tokenizer), and those of a Latin word that ends in
+    punctuation are the ids of the two parts.  Words count as equal with A-Z
+    lower-cased, unless the text holds a special token's opening or combining
+    marks, whose composition could depend on the case.
+
+    Words are split and numbered by Arrow, each distinct one is encoded once
+    per batch at most, and the ids are put in place by their numbers.  Plain
+    lower-case Latin words go to the tokenizer's model alone; whatever else
+    is new is left to the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def _ids(self, words: list[bytes]) -> Iterator[bytes]:
-        for at in range(0, len(words), 1024):
-            part = [w.decode("utf-8") for w in words[at:at + 1024]]
-            for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False):
-                yield struct.pack(f"<{len(e.ids)}I", *e.ids)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids per text; None counts as empty."""
-        split = [t.encode("utf-8").split() if t else [] for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        fresh: set[bytes] = set()
-        for words in split:
-            fresh.update(words)
-        fresh.difference_update(self.known)
-        new = list(fresh)
-        known, long = self.known, {}
-        for w, ids in zip(new, self._ids(new)):
-            (known if len(w) <= LONG_WORD else long)[w] = ids
-        out = []
-        for words in split:
-            try:
-                out.append(b"".join([known[w] for w in words]))
-            except KeyError:
-                out.append(b"".join([known[w] if w in known else long[w] for w in words]))
+        self.known: dict[str, bytes] = {}
+        self.word_bytes = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
+        # how the byte-level step writes the letters beyond ASCII
+        write = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: write.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, in order."""
+        known, word = self.known, self.word_bytes
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        tokenize, rest, fresh, out = self.tokenizer.model.tokenize, [], {}, []
+
+        def latin(core: str) -> bytes:
+            ids = tokenize(core if core.isascii() else core.translate(self.letters))
+            ids = word[ids[0].id] if len(ids) == 1 else b"".join([word[t.id] for t in ids])
+            fresh[core] = ids
+            return ids
+
+        halves = {}
+        for w in words:
+            ids = known.get(w) or fresh.get(w)
+            if ids is None:
+                if LATIN_WORD.fullmatch(w):
+                    ids = latin(w)
+                else:
+                    core = w.rstrip(PUNCTUATION)
+                    if len(core) < len(w) and LATIN_WORD.fullmatch(core):
+                        halves[len(out)] = w[len(core):]
+                        ids = known.get(core) or fresh.get(core) or latin(core)
+                    else:
+                        rest.append(len(out))
+            out.append(ids)
+        tails = [t for t in dict.fromkeys(halves.values()) if t not in known]
+        whole = [words[i] for i in rest] + tails
+        for at in range(0, len(whole), 1024):
+            for w, e in zip(whole[at:at + 1024], self.tokenizer.encode_batch_fast(
+                    whole[at:at + 1024], add_special_tokens=False)):
+                fresh[w] = b"".join([word[i] for i in e.ids])
+        for i in rest:
+            out[i] = fresh[words[i]]
+        for i, tail in halves.items():
+            out[i] += fresh[tail] if tail in fresh else known[tail]
+        known.update({w: ids for w, ids in fresh.items() if len(w) <= LONG_WORD})
         return out
 
+    def encode(self, texts) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids per text of an Arrow string
+        array; null counts as empty."""
+        import numpy as np
+        import pyarrow.compute as pc
+        texts = pc.fill_null(texts, "")
+        as_is = pc.or_(pc.match_substring(texts, SPECIAL), pc.match_substring_regex(texts, MARKS))
+        words = pc.ascii_split_whitespace(pc.if_else(as_is, texts, pc.ascii_lower(texts)))
+        ends = words.offsets.to_numpy()
+        coded = words.flatten().dictionary_encode()
+        place = coded.indices.to_numpy()
+        ids = self._words(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        first = np.cumsum(size) - size
+        ends = ends - ends[0]
+        doc = 0
+        while doc < len(texts):
+            # as many whole texts as fit a slice, one at least
+            upto = max(doc + 1, int(np.searchsorted(ends, ends[doc] + SLICE_WORDS, side="right")) - 1)
+            at = place[ends[doc]:ends[upto]]
+            n = size[at]
+            stops = np.cumsum(n)
+            total = int(stops[-1]) if len(stops) else 0
+            data = flat[np.repeat(first[at] - (stops - n), n) + np.arange(total)].tobytes()
+            cut = np.concatenate([[0], stops])[ends[doc:upto + 1] - ends[doc]].tolist()
+            for a, b in zip(cut, cut[1:]):
+                yield data[4 * a:4 * b]
+            doc = upto
+
 
 def cuts(n: int, capacity: int, tolerance: float) -> Iterator[int]:
     """Piece lengths of a document of ``n`` ids, in order."""
@@ -175,14 +241,12 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
             return batch
 
         for batch in batches:
-            doc_ids, texts = (batch.column(i).to_pylist() for i in (0, 1))
-            for at in range(0, len(texts), 512):
-                for doc_id, ids in zip(doc_ids[at:at + 512], encoder.encode(texts[at:at + 512])):
-                    ids += end
-                    for seq in packer.add((doc_id, len(ids) // 4), ids):
-                        close(seq)
-                    if len(out) >= OUT_ROWS:
-                        yield flush()
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
+                ids += end
+                for seq in packer.add((doc_id, len(ids) // 4), ids):
+                    close(seq)
+                if len(out) >= OUT_ROWS:
+                    yield flush()
         for seq in packer.finish():
             close(seq)
             if len(out) >= OUT_ROWS:
