@@ -34,3 +34,32 @@ def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sliced(array, size: int):
+    """Slices of an Arrow string array of about ``size`` bytes, one text at
+    least, so that working copies of a batch stay small."""
+    import numpy as np
+    import pyarrow.compute as pc
+    ends = np.cumsum(pc.fill_null(pc.binary_length(array), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(array):
+        base = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, base + size, side="right")))
+        yield array.slice(lo, hi - lo)
+        lo = hi
+
+
+def trim() -> None:
+    """Give freed memory of a Python worker back to the machine: workers
+    are kept for later tasks, beside the executor's heap."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):      # another C library
+        pass

@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillbook.llm.common import column, id_text, stored
+from tillbook.llm.common import column, id_text, sliced, stored, trim
 from tillbook.llm.components import connected_components
 
 BLOCK_NODES = 192         # expected nodes, and n-grams, of a block at most
 BLOCK_GRAMS = 1 << 20
 MAX_HASHES = 512
-SLICE = 1 << 13            # n-grams hashed against all permutations at once
+SLICE_BYTES = 8 << 20      # of text whose words are numbered at once
+SLICE = 512                # n-grams hashed against all permutations at once
 COLUMNS = 4096             # n-grams per dense slice of the matrix product
 
 
@@ -49,29 +50,54 @@ def banding(threshold: float, recall: float, max_hashes: int = MAX_HASHES) -> tu
     return best
 
 
-def ngram_hashes(text: str | None, n: int):
-    """Sorted distinct 64-bit hashes of the text's word n-grams.
+def ngram_hashes(texts, n: int):
+    """Per text of an Arrow string array, the sorted distinct 64-bit hashes of
+    its word n-grams.
 
     Words are runs without white space, compared lower-cased.  A text with
     words but fewer than ``n`` has one n-gram, all its words; a text without
-    words has none.
+    words has none.  Texts are taken some megabytes at a time; words are
+    split and numbered by Arrow and each distinct one hashed once.
     """
     import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
     import xxhash
-    words = text.lower().split() if text else []
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    known: dict[str, int] = {}
-    h = np.array([known[w] if w in known else known.setdefault(w, xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")))
-                  for w in words], dtype=np.uint64)
-    n = min(n, len(h))
-    m = len(h) - n + 1
-    out = np.full(m, n, dtype=np.uint64)
-    for i in range(n):
-        out = (out ^ h[i:i + m]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return np.unique(out ^ (out >> np.uint64(32)))
+
+    def step(h, word):
+        h = (h ^ word) * np.uint64(0x9E3779B97F4A7C15)
+        return h ^ (h >> np.uint64(29))
+
+    def last(h):
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(32))
+
+    digest = xxhash.xxh3_64_intdigest
+    for part in sliced(texts, SLICE_BYTES):
+        split = pc.utf8_split_whitespace(pc.fill_null(part, ""))
+        words, ends = split.flatten(), split.offsets.to_numpy()
+        ends = ends - ends[0]
+        there = pc.binary_length(words).to_numpy() > 0      # a text's ends may split off empty words
+        counts = np.concatenate([[0], np.cumsum(there)])[ends]
+        coded = words.filter(pa.array(there)).dictionary_encode()
+        of = np.fromiter((digest(w.lower().encode("utf-8")) for w in coded.dictionary.to_numpy(zero_copy_only=False)),
+                         dtype=np.uint64, count=len(coded.dictionary))
+        h = of[coded.indices.to_numpy()] if len(of) else np.empty(0, dtype=np.uint64)
+        grams = np.full(max(0, len(h) - n + 1), n, dtype=np.uint64)
+        for i in range(n):                                  # windows over the ends of texts are not used
+            grams = step(grams, h[i:i + len(grams)])
+        grams = last(grams)
+        for a, b in zip(counts.tolist(), counts[1:].tolist()):
+            if b - a >= n:
+                own = np.sort(grams[a:b - n + 1])
+                yield own[np.concatenate([[True], own[1:] != own[:-1]])]
+            elif b == a:
+                yield h[:0]
+            else:
+                one = np.full(1, b - a, dtype=np.uint64)
+                for i in range(a, b):
+                    one = step(one, h[i:i + 1])
+                yield last(one)
 
 
 def set_key(hashes) -> bytes:
@@ -80,34 +106,41 @@ def set_key(hashes) -> bytes:
     return xxhash.xxh3_128_digest(hashes.astype("<u8").tobytes())
 
 
-def band_hashes(hashes, bands: int, rows: int):
-    """One 64-bit hash per band, the band's number mixed in."""
-    import numpy as np
-    rng = np.random.Generator(np.random.PCG64(7))
-    a = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
-    low = np.full(bands * rows, np.iinfo(np.uint64).max, dtype=np.uint64)
-    step = max(1, SLICE // 8)
-    for at in range(0, len(hashes), step):
-        part = hashes[at:at + step]
-        low = np.minimum(low, (a[:, None] * (part ^ (part >> np.uint64(31)))[None, :] + b[:, None]).min(axis=1))
-    low = low.reshape(bands, rows) >> np.uint64(16)      # the high bits are the well mixed ones
-    out = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for i in range(rows):
-        out = (out ^ low[:, i]) * np.uint64(0xD6E8FEB86659FD93)
-        out ^= out >> np.uint64(32)
-    return out.view(np.int64)
+class Signer:
+    """One 64-bit hash per band and n-gram set, the band's number mixed in.
+
+    The permutations multiply 32 bits of the n-gram hash by odd numbers."""
+
+    def __init__(self, bands: int, rows: int):
+        import numpy as np
+        rng = np.random.Generator(np.random.PCG64(7))
+        self.bands, self.rows = bands, rows
+        self.odd = rng.integers(0, 1 << 31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self.space = np.empty((SLICE, bands * rows), dtype=np.uint32)
+
+    def __call__(self, hashes):
+        import numpy as np
+        x = (hashes >> np.uint64(32)).astype(np.uint32) ^ (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        low = np.full(self.bands * self.rows, 0xFFFFFFFF, dtype=np.uint32)
+        for at in range(0, len(x), SLICE):
+            part = x[at:at + SLICE, None]
+            made = np.multiply(part, self.odd, out=self.space[:len(part)])
+            np.minimum(low, made.min(axis=0), out=low)
+        low = low.reshape(self.bands, self.rows).astype(np.uint64)
+        out = np.arange(1, self.bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for i in range(self.rows):
+            out = (out ^ low[:, i]) * np.uint64(0xD6E8FEB86659FD93)
+            out ^= out >> np.uint64(32)
+        return out.view(np.int64)
 
 
 def _key_udf(n: int):
     @F.arrow_udf(T.BinaryType())
     def keys(text):
         import pyarrow as pa
-        out = []
-        for t in text:
-            h = ngram_hashes(t.as_py(), n)
-            out.append(set_key(h) if len(h) else None)
-        return pa.array(out, pa.binary())
+        out = pa.array([set_key(h) if len(h) else None for h in ngram_hashes(text, n)], pa.binary())
+        trim()
+        return out
     return keys
 
 
@@ -124,19 +157,20 @@ def _signed(rows: DataFrame, n: int, bands: int, rows_per_band: int) -> DataFram
         from pyspark.sql.pandas.types import to_arrow_schema
         arrow = to_arrow_schema(schema)
         seen: set[bytes] = set()
+        sign = Signer(bands, rows_per_band)
         for batch in batches:
             out = []
-            for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                h = ngram_hashes(t.as_py(), n)
+            for doc_id, h in zip(batch.column(0).to_pylist(), ngram_hashes(batch.column(1), n)):
                 key = set_key(h) if len(h) else None
                 signed = None
                 if key is not None and key not in seen:
                     seen.add(key)
-                    signed = band_hashes(h, bands, rows_per_band)
+                    signed = sign(h)
                 out.append((doc_id, key, len(h), signed))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+        trim()
 
     return rows.mapInArrow(run, schema)
 
@@ -253,9 +287,10 @@ def _with_grams(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                grams = pa.array([ngram_hashes(t.as_py(), n).astype("<u8").tobytes()
-                                  for t in part.column(len(names))], pa.binary())
+                grams = pa.array([h.astype("<u8").tobytes() for h in ngram_hashes(part.column(len(names)), n)],
+                                 pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[:len(names)], grams], names=schema.names)
+        trim()
 
     return texts.select(*names, "text").mapInArrow(run, schema)
 
