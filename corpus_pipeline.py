@@ -15,7 +15,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tillbook.llm import fingerprints, ngram_join, packing, rules, secret_scan
 from tillbook.llm.queries import WORD_TOKENIZER
@@ -36,10 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masked texts; ``n_chars`` follows the text where it changed."""
-    masked = secret_scan.mask_secrets(docs.withColumn("raw_text_", F.col("text")))
-    changed = ~F.col("raw_text_").eqNullSafe(F.col("text"))
-    return masked.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars"))
-                             .cast(docs.schema["n_chars"].dataType)).drop("raw_text_")
+    return secret_scan.mask_secrets(docs, chars_col="n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillbook.llm.common import id_text, stored
+from tillbook.llm.common import id_text, stored, trim
 
 BLOCK_CHARS = 32 << 20     # a block is closed at this many characters
 BLOCK_DOCS = 1 << 16       # ... or documents
@@ -182,8 +182,11 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, frequencies: bool) -> Da
                     block += 1
                     words = {}
                     doc_ids, n_bytes, n_places, places, times, size = [], [], [], [], [], 0
+                    trim()
         if doc_ids:
             yield close()
+        words, places, times = {}, [], []
+        trim()
 
     return stored(rows.mapInArrow(run, schema), "chunk-blocks")
 
@@ -233,6 +236,8 @@ def segmented(block_rows: DataFrame, model: str, ids: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
                 names=schema.names)
+        known = {}
+        trim()
 
     asked = block_rows.select("block_id", "words", "word_buckets").mapInArrow(
         ask, "bucket int, block_id long, words binary")

@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillbook.llm.common import column, id_text, stored
+from tillbook.llm.common import column, id_text, stored, trim
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_103_515_245 % 2_147_483_647, 741_103_597)
 CHUNK_BYTES = 1 << 16      # 8-bit x 31-bit products, summed 2^16 times: under 2^63
+OUT_BYTES = 8 << 20        # of chunks per output batch
 KEY = ["fp", "n_bytes"]
 
 _POWERS: dict[int, list] = {}
@@ -96,6 +97,7 @@ def _fingerprint_udf(hash_fn=fingerprint):
             fp.append(hash_fn(data))
             size.append(len(data))
             sha.append(hashlib.sha256(data).hexdigest())
+        trim()
         return pa.StructArray.from_arrays(
             [pa.array(fp, pa.int64()), pa.array(size, pa.int64()), pa.array(sha, pa.string())],
             names=["fp", "n_bytes", "sha256"])
@@ -109,22 +111,28 @@ def _collisions(rows: DataFrame, hash_fn=fingerprint) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        out, size = [], 0
+
+        def flush():
+            nonlocal size
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=schema.names)
+            out.clear()
+            size = 0
+            return batch
+
         for batch in batches:
-            out, size = [], 0
             for value in batch.column(0):
                 data = normalised(value.as_py())
                 fp = hash_fn(data)
                 for no, at in enumerate(range(0, len(data), CHUNK_BYTES)):
-                    part = data[at:at + CHUNK_BYTES]
-                    out.append((fp, len(data), no, part))
-                    size += len(part)
-                    if size > 16 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                            zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=schema.names)
-                        out, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                    zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=schema.names)
+                    out.append((fp, len(data), no, data[at:at + CHUNK_BYTES]))
+                    size += len(out[-1][3])
+                    if size > OUT_BYTES:
+                        yield flush()
+        if out:
+            yield flush()
+        trim()
 
     different = (rows.select("text").mapInArrow(run, schema)
                  .groupBy(*KEY, "chunk_no", "chunk").agg(F.lit(1).alias("one"))

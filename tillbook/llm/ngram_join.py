@@ -31,7 +31,7 @@ from tillbook.llm.components import connected_components
 BLOCK_NODES = 192         # expected nodes, and n-grams, of a block at most
 BLOCK_GRAMS = 1 << 20
 MAX_HASHES = 512
-SLICE_BYTES = 8 << 20      # of text whose words are numbered at once
+SLICE_BYTES = 2 << 20      # of text whose words are numbered at once
 SLICE = 512                # n-grams hashed against all permutations at once
 COLUMNS = 4096             # n-grams per dense slice of the matrix product
 

@@ -25,11 +25,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tillbook.llm.common import id_text
+from tillbook.llm.common import id_text, sliced, trim
 
-CACHE_WORDS = 400_000      # words whose ids a worker remembers
+CACHE_WORDS = 200_000      # words whose ids a worker remembers
 LONG_WORD = 64             # bytes; longer words are not remembered
-OUT_ROWS = 4096            # pieces per output batch
+OUT_ROWS, OUT_BYTES = 4096, 4 << 20    # pieces, and bytes of their ids, per output batch
 
 
 # ASCII punctuation, and lower-case Latin words, which the
@@ -37,7 +37,7 @@ OUT_ROWS = 4096            # pieces per output batch
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LATIN_WORD = re.compile("[a-zß-öø-ÿ]+")
 SPECIAL, MARKS = "<|", "[\u0300-\u036f]"
-SLICE_WORDS = 1 << 20      # words whose ids are put in place at once
+SLICE_BYTES = 2 << 20      # of text whose words are numbered at once
 
 
 class WordEncoder:
@@ -113,30 +113,24 @@ class WordEncoder:
         array; null counts as empty."""
         import numpy as np
         import pyarrow.compute as pc
-        texts = pc.fill_null(texts, "")
-        as_is = pc.or_(pc.match_substring(texts, SPECIAL), pc.match_substring_regex(texts, MARKS))
-        words = pc.ascii_split_whitespace(pc.if_else(as_is, texts, pc.ascii_lower(texts)))
-        ends = words.offsets.to_numpy()
-        coded = words.flatten().dictionary_encode()
-        place = coded.indices.to_numpy()
-        ids = self._words(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), dtype="<u4")
-        first = np.cumsum(size) - size
-        ends = ends - ends[0]
-        doc = 0
-        while doc < len(texts):
-            # as many whole texts as fit a slice, one at least
-            upto = max(doc + 1, int(np.searchsorted(ends, ends[doc] + SLICE_WORDS, side="right")) - 1)
-            at = place[ends[doc]:ends[upto]]
-            n = size[at]
+        for part in sliced(texts, SLICE_BYTES):
+            part = pc.fill_null(part, "")
+            as_is = pc.or_(pc.match_substring(part, SPECIAL), pc.match_substring_regex(part, MARKS))
+            words = pc.ascii_split_whitespace(pc.if_else(as_is, part, pc.ascii_lower(part)))
+            ends = words.offsets.to_numpy()
+            coded = words.flatten().dictionary_encode()
+            place = coded.indices.to_numpy()
+            ids = self._words(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+            size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+            flat = np.frombuffer(b"".join(ids), dtype="<u4")
+            first = np.cumsum(size) - size
+            n = size[place]
             stops = np.cumsum(n)
             total = int(stops[-1]) if len(stops) else 0
-            data = flat[np.repeat(first[at] - (stops - n), n) + np.arange(total)].tobytes()
-            cut = np.concatenate([[0], stops])[ends[doc:upto + 1] - ends[doc]].tolist()
+            data = flat[np.repeat(first[place] - (stops - n), n) + np.arange(total)].tobytes()
+            cut = np.concatenate([[0], stops])[ends - ends[0]].tolist()
             for a, b in zip(cut, cut[1:]):
                 yield data[4 * a:4 * b]
-            doc = upto
 
 
 def cuts(n: int, capacity: int, tolerance: float) -> Iterator[int]:
@@ -224,17 +218,21 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
         encoder, packer = WordEncoder(tokenizer), HarmonicPacker(capacity, tolerance)
         sequence = TaskContext.get().partitionId() << 36
         out: list[tuple] = []
+        held = 0
 
         def close(seq):
-            nonlocal sequence
+            nonlocal sequence, held
             total, at = sum(len(ids) for _, _, ids in seq) // 4, 0
             for (doc_id, doc_tokens), start, ids in seq:
                 n = len(ids) // 4
                 out.append((doc_id, start, n, ids, doc_tokens, sequence, at, total))
                 at += n
             sequence += 1
+            held += 4 * total
 
         def flush():
+            nonlocal held
+            held = 0
             batch = pa.RecordBatch.from_arrays(
                 [pa.array(c, t.type) for c, t in zip(zip(*out), arrow)], schema=arrow)
             out.clear()
@@ -245,13 +243,15 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
                 ids += end
                 for seq in packer.add((doc_id, len(ids) // 4), ids):
                     close(seq)
-                if len(out) >= OUT_ROWS:
+                if len(out) >= OUT_ROWS or held >= OUT_BYTES:
                     yield flush()
         for seq in packer.finish():
             close(seq)
-            if len(out) >= OUT_ROWS:
+            if len(out) >= OUT_ROWS or held >= OUT_BYTES:
                 yield flush()
         if out:
             yield flush()
+        del encoder
+        trim()
 
     return rows.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillbook.llm.common import column, stored
+from tillbook.llm.common import column, stored, trim
 
 SPACE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -78,6 +78,7 @@ def text_stats(text: str | None) -> tuple[int, ...]:
 def stats(text):
     import pyarrow as pa
     rows = [text_stats(t.as_py()) for t in text]
+    trim()
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else
                                       [pa.array([], pa.int64())] * len(_STATS), names=_STATS.names)
 

@@ -17,11 +17,11 @@ import json
 import re
 import zlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillbook.llm.common import column, id_text
+from tillbook.llm.common import column, id_text, trim
 
 # Base rules (kind, keywords, pattern at a keyword, shortest)
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -142,6 +142,7 @@ def _masked(text, mark):
                 parts += [t[at:a], m] if a >= at else []
                 at = b
         out.append(t if not parts else "".join([*parts, t[at:]]))
+    trim()
     return pa.array(out, pa.string())
 
 
@@ -156,8 +157,19 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return id_text(docs, id_col, text_col).select("doc_id", _spans("text").alias("spans"))
 
 
-def mask_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret span of ``text_col`` replaced by ``mark``
-    (overlapping spans by one); null texts and other columns stay."""
-    masked = _masked(column(text_col).cast("string"), F.lit(mark))
-    return docs.select(*[masked.alias(c) if c == text_col else column(c) for c in docs.columns])
+def masked(text: Column, mark: str = "[SECRET]") -> Column:
+    """``text`` with every secret span replaced by ``mark`` (overlapping spans
+    by one); null stays null."""
+    return _masked(text.cast("string"), F.lit(mark))
+
+
+def mask_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]",
+                 chars_col: str | None = None) -> DataFrame:
+    """``docs`` with ``text_col`` masked; ``chars_col``, if given, becomes the
+    length of the texts that changed.  Other columns and rows stay."""
+    new = masked(column(text_col), mark)
+    out = {text_col: new}
+    if chars_col:
+        kind = docs.schema[chars_col].dataType
+        out[chars_col] = F.when(new.eqNullSafe(column(text_col)), column(chars_col)).otherwise(F.length(new).cast(kind))
+    return docs.select(*[out[c].alias(c) if c in out else column(c) for c in docs.columns])

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tillbook.llm import chunk_table
 from tillbook.llm.chunk_table import by_place, processors, unpacked, unpacked_places
+from tillbook.llm.common import trim
 
 OUT_BYTES = 8 << 20
 DECODE_CHUNKS = 1 << 15
@@ -84,5 +85,7 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id",
                         out, size = [], 0
                 if out:
                     yield batch_of(out)
+                ids = text = out = None
+                trim()
 
     return joined.mapInArrow(run, schema)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tillbook.llm import chunk_table
 from tillbook.llm.chunk_table import by_place, unpacked, unpacked_places
+from tillbook.llm.common import trim
 
 
 def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id",
@@ -43,5 +44,6 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id",
                 sums = np.concatenate([[0], np.cumsum(n[places] * times)])
                 total = sums[ends] - sums[ends - n_places.to_numpy()]
                 yield pa.RecordBatch.from_arrays([doc_ids, n_bytes, pa.array(total, pa.int64())], names=schema.names)
+        trim()
 
     return joined.mapInArrow(run, schema)
