@@ -101,7 +101,7 @@ def _fingerprint_udf(hash_fn=fingerprint):
         return pa.StructArray.from_arrays(
             [pa.array(fp, pa.int64()), pa.array(size, pa.int64()), pa.array(sha, pa.string())],
             names=["fp", "n_bytes", "sha256"])
-    return fingerprints
+    return fingerprints.asNondeterministic()    # not evaluated again above its projection
 
 
 def _collisions(rows: DataFrame, hash_fn=fingerprint) -> DataFrame:
@@ -176,16 +176,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     F.col("sha256").alias("text_sha256")))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that ``exact_groups`` keeps."""
-    _, groups = _grouped(id_text(docs, id_col, text_col))
-    names = docs.columns
-    f, g = _fingerprint_udf(), groups.select(*[F.col(c).alias(f"g_{c}") for c in groups.columns])
-    rows = (docs.select(*[column(c).alias(f"d_{c}") for c in names],
-                        f(column(text_col).cast("string")).alias("f"))
-            .withColumns({"g_fp": F.col("f.fp"), "g_n_bytes": F.col("f.n_bytes")}))
-    g_keys = ["g_fp", "g_n_bytes"]
-    stays = (column(f"d_{id_col}").eqNullSafe(F.col("g_keep_id"))
-             & ((F.col("g_variant") == "") | (F.col("g_variant") == F.col("f.sha256"))))
-    return (rows.join(g, g_keys).filter(stays).dropDuplicates([*g_keys, "g_variant"])
-            .select(*[column(f"d_{c}").alias(c) for c in names]))
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_fn=fingerprint) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``exact_groups`` keeps.
+
+    Every task first keeps the largest id of each of its groups, so a text
+    with very many copies is shuffled once per task.  Rows are joined to the
+    collided fingerprints only where there are any."""
+    collided = stored(_collisions(id_text(docs, id_col, text_col), hash_fn), "collisions")
+    rows = (docs.select(F.struct(*[column(c).alias(f"d{i}") for i, c in enumerate(docs.columns)]).alias("row"),
+                        column(id_col).alias("doc_id"),
+                        _fingerprint_udf(hash_fn)(column(text_col).cast("string")).alias("f"))
+            .select("row", "doc_id", "f.*"))
+    if collided.isEmpty():
+        rows = rows.withColumn("variant", F.lit(""))
+    else:
+        rows = (rows.join(collided.withColumn("collided", F.lit(True)), KEY, "left")
+                .withColumn("variant", F.when(F.col("collided"), F.col("sha256")).otherwise(F.lit(""))))
+    # an id counts more than none, a larger one more than a smaller one
+    largest = F.max_by("row", F.struct(F.col("doc_id").isNotNull(), F.col("doc_id")))
+    kept = rows.groupBy(*KEY, "variant").agg(largest.alias("row"))
+    return kept.select(*[F.col(f"row.d{i}").alias(c) for i, c in enumerate(docs.columns)])

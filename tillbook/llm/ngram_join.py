@@ -141,7 +141,7 @@ def _key_udf(n: int):
         out = pa.array([set_key(h) if len(h) else None for h in ngram_hashes(text, n)], pa.binary())
         trim()
         return out
-    return keys
+    return keys.asNondeterministic()        # not evaluated again in filters pushed down
 
 
 def _signed(rows: DataFrame, n: int, bands: int, rows_per_band: int) -> DataFrame:
@@ -331,11 +331,12 @@ def keep_one_per_class(docs: DataFrame, threshold: float = 0.8, recall: float =
     best = members.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     stay = (nodes.join(best, "node").groupBy("component")
             .agg(F.min(F.struct(F.col("least").isNull(), F.col("least"), F.col("node"))).alias("m"))
-            .select(F.col("m.node").alias("k_node"), F.col("m.least").alias("k_least")))
-    names = docs.columns
-    rows = docs.select(*[column(c).alias(f"d_{c}") for c in names],
+            .select(F.col("m.node").alias("k_node")))
+    row = F.struct(*[column(c).alias(f"d{i}") for i, c in enumerate(docs.columns)])
+    rows = docs.select(row.alias("row"), column(id_col).alias("doc_id"),
                        _key_udf(n)(column(text_col).cast("string")).alias("k_node"))
-    worded = (rows.filter("k_node is not null").join(stay, "k_node")
-              .filter(column(f"d_{id_col}").eqNullSafe(F.col("k_least"))).dropDuplicates(["k_node"]))
-    out = [column(f"d_{c}").alias(c) for c in names]
+    # one row per node and task before the shuffle, however many copies it has
+    first = F.min_by("row", F.struct(F.col("doc_id").isNull(), F.col("doc_id")))
+    worded = rows.filter("k_node is not null").groupBy("k_node").agg(first.alias("row")).join(stay, "k_node", "left_semi")
+    out = [F.col(f"row.d{i}").alias(c) for i, c in enumerate(docs.columns)]
     return worded.select(*out).union(rows.filter("k_node is null").select(*out))

@@ -83,6 +83,10 @@ def stats(text):
                                       [pa.array([], pa.int64())] * len(_STATS), names=_STATS.names)
 
 
+# never evaluated again in a filter pushed below its projection
+stats = stats.asNondeterministic()
+
+
 def _share(part: str, whole: str) -> Column:
     return F.col(f"s.{part}") / F.greatest(F.col(f"s.{whole}"), F.lit(1))
 
