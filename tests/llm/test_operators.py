@@ -310,6 +310,50 @@ def test_license_scan_runs_without_python(docs):
     assert not re.search("Python|Arrow|Exchange", plan._jdf.queryExecution().executedPlan().toString())
 
 
+GPL2 = ["This program is free software; you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by",
+        "the Free Software Foundation; either version 2 of the License, or", "(at your option) any later version."]
+
+
+def test_license_notices_within_other_words(spark):
+    header = "/*\n * Copyright (C) 2020 Foo\n *\n * " + "\n * ".join(GPL2) + "\n *\n * This program is distributed in the hope\n */\nint x;"
+    prose = "the end of the road is far and nothing there is for you "
+    cases = [("This project is released under the MIT License.", {"mit"}), ("Copyright (c) 2020 Foo Inc. All rights reserved.", {"all-rights-reserved"}),
+             ("Licensed under the MIT License.", {"mit"}), (header, {"gpl-2.0", "gpl-3.0"}),
+             (prose * 50 + " ".join(GPL2) + " " + prose * 50, {"gpl-2.0", "gpl-3.0"}),
+             ("Licensed under the Apache License, Version 2.0. All rights reserved.", {"apache-2.0", "all-rights-reserved"}),
+             ("x " * 9 + "released under the MIT License. " * 3, {"mit"}), ("licensed under the terms of the MIT License", {"mit"}),
+             ("it is licensed under the terms of the contract, under the public license", set()), (prose * 9, set()), ("under the license, all of it", set())]
+    got = license_scan.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()
+    found = {r["doc_id"]: r["hits"] for r in got}
+    for i, (t, want) in enumerate(cases):
+        assert {h["license"] for h in found[i]} >= want and bool(found[i]) == bool(want), t
+    assert ("window", 3, "mit", 4, 4, 4) in [tuple(h) for h in found[0]]
+    assert sorted(h["number"] for h in found[6] if h["shared"] == 4 == h["unit_size"]) == [9, 14, 19]
+
+
+def test_license_windows_random_texts(spark):
+    """A license is reported where, and only where, a run of words matches."""
+    rng = np.random.default_rng(7)
+    known = [(n, license_scan.bigrams(t)) for n, t in (*license_scan.TEMPLATES, *license_scan.WORDINGS)]
+    texts = []
+    for _ in range(60):
+        words = []
+        for _ in range(3):
+            name, grams = known[rng.integers(len(known))]
+            notice = [grams[0].split()[0]] + [g.split()[1] for g in grams]
+            words += ["x"] * rng.integers(0, 4) + [w for w in notice if rng.random() > 0.06]
+        texts.append("".join(w + [" ", "\n", " * "][rng.integers(3)] for w in words))
+    rows = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        w = re.findall(r"[^\W_]+", texts[r["doc_id"]].lower())
+        g, want = [f"{a} {b}" for a, b in zip(w, w[1:])], set()
+        for name, t in known:
+            runs = (set(g[i:j]) for i in range(len(g)) for j in range(i + 1, min(len(g), i + len(t) * 3 // 2) + 1))
+            if any(10 * len(x & set(t)) >= 4 * (len(x) + len(t)) for x in runs):
+                want.add(name)
+        assert {h["license"] for h in r["hits"]} == want, texts[r["doc_id"]]
+
+
 # 6 secret scan
 
 def slow_base(text):
