@@ -394,6 +394,31 @@ def test_secret_checksums(spark):
     assert masked[2]["text"] == "plain"
 
 
+def test_private_keys_are_masked_whole(spark):
+    import base64
+    raw = base64.b64encode(np.random.default_rng(11).bytes(582)).decode()
+    lines = [raw[i:i + 64] for i in range(0, len(raw), 64)]
+    assert len(lines[-1]) < 16
+
+    def pem(sep, kind="RSA ", fields="", end=True, lines=lines):
+        return sep.join([f"-----BEGIN {kind}PRIVATE KEY-----", *fields.split("|"), *lines, *[f"-----END {kind}PRIVATE KEY-----"] * end])
+
+    dek = "Proc-Type: 4,ENCRYPTED|DEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF|"
+    keys = [pem(s, k, f, e) for s in ("\n", "\r\n", " ", "\\n", "\n> ", "\n# ", "\n * ") for k in ("", "RSA ", "EC ") for f in ("", dek) for e in (True, False)]
+    keys += [pem("\n", end=False, lines=lines[:3] + [lines[3][:n]]) for n in (1, 9, 30)]      # cut off
+    keys += [pem("\n", end=False) + "\n\n" + pem("\n", "EC "), "secret: " + pem("\n")]
+    texts = [f"é before {k}\nand after it" for k in keys] + keys
+    out = secret_scan.mask_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for i, t in out:
+        assert not any(raw[k:k + 8] in t for k in range(len(raw) - 7)) and "-----" not in t and "DEK" not in t and "==" not in t, (texts[i], t)
+        assert i >= len(keys) or t.startswith("é before ") and t.endswith("\nand after it"), (texts[i], t)
+    scan = secret_scan.Scanner().spans
+    whole = pem("\n")
+    assert (3, 3 + len(whole), "private_key") in scan("é: " + whole + " and more")
+    bare = "-----BEGIN PRIVATE KEY-----"
+    assert scan(f"a line {bare} marks the start of a key") == [(7, 7 + len(bare), "private_key")]
+
+
 # 7 n-gram join
 
 def grams5(text):

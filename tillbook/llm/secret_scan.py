@@ -6,7 +6,7 @@ Hexadecimal runs have no keyword: the text is mapped to "hex digit or not"
 and searched for the keyword of 32 hex digits in a row.  Rules whose tokens
 carry a checksum (the CRC-32 in base 62 at the end of a token, the JSON
 header of a signed web token, the Luhn digit of a card number) are validated
-before a span is reported.
+before a span is reported.  The span of a private key holds the whole key.
 """
 
 from __future__ import annotations
@@ -37,7 +37,15 @@ NPM = re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
 CARD = re.compile(r"(?:card|visa|mastercard)[\"']?\x20*(?:number|no\.?)?\x20*[:=#]?\x20*((?:\d[\x20-]?){12,18}\d)(?!\d)",
                   re.ASCII | re.IGNORECASE)
-PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----")
+# From BEGIN to the matching END line with no other BEGIN or END between; if
+# there is none, to the end of the base64 after it: lines of a text that may be
+# quoted, commented out, escaped or joined, the last one also a short word
+PRIVATE_KEY = re.compile(
+    r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(?:"
+    r"[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END \1-----|"
+    r"(?:(?:[\s\"'>#*|,]|\\+[nrt]?|\+(?=\s))*+(?:(?:Proc-Type|DEK-Info):[ \t]*[^\s\\]+|[A-Za-z0-9+/=]{16,}+|"
+    r"(?=[A-Za-z]*(?:[0-9+/=]|[a-z][A-Z]))[A-Za-z0-9+/=]++))*+"
+    r"(?:(?:[\s\"'>#*|,]|\\+[nrt]?)*+[A-Za-z0-9+/=]++(?=[ \t\r]*(?:\n|\Z|\\+[nr]|[\"'])))?+)")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _HEX_MAP = bytes(49 if chr(b) in "0123456789abcdef" else 48 for b in range(256))
 KINDS = (*BASE_KINDS, "github", "npm", "jwt", "card", "private_key")
