@@ -524,6 +524,20 @@ def test_language_identification(spark):
     assert len(nothing) == len(blind) and {r["lang"] for r in nothing} == {None}
 
 
+def test_language_with_few_documents_is_fitted(spark):
+    rows = [(i, "the road and the house", "en") for i in range(3000)] + [(5000 + i, "talo ja tie", "fi") for i in range(2)]
+    rows += [(7000, "la casa", "es")] * 500 + [(None, "das Haus", "de"), (None, "no language", None)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, logs = language_id.fit(documents, 5)
+    assert langs == ["de", "en", "es", "fi"]
+    talo = language_id.trigram_bins("talo")
+    assert logs[:, talo].sum(axis=1).argmax() == 3
+    hashes = {h for h, in documents.filter("lang = 'en'").select(F.xxhash64("doc_id")).collect()}
+    assert len(hashes) == 3000                                         # five of them are counted
+    counts = np.bincount(language_id.trigram_bins("the road and the house"), minlength=language_id.BINS) * 5 + 0.5
+    assert np.allclose(logs[1], np.log(counts / counts.sum()))
+
+
 # 9 and 10 tokens
 
 @pytest.fixture(scope="module")

@@ -3,10 +3,10 @@
 ``log P(lang | page) ~ TEMPER * log P(text | lang) + log P(declared | lang)
 + log P(suffix | lang) + log P(lang | host)``
 
-* text: hashed letter trigrams, a naive Bayes model fitted on a bounded
-  sample of documents of known language (``max_train``, the documents with
-  the smallest hash of their id); the temper accounts for neighbouring
-  trigrams not being independent;
+* text: hashed letter trigrams, a naive Bayes model of every language that
+  any document has, fitted on a bounded sample of each one's documents
+  (``max_train`` a language, those with the smallest hash of their id); the
+  temper accounts for neighbouring trigrams not being independent;
 * declared: the primary subtag of the markup's ``lang`` attribute;
 * suffix: the last label of the address's host;
 * host: a prior smoothed up the hierarchy host -> domain (last two labels)
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,10 +60,18 @@ def trigram_bins(text: str):
 
 def fit(documents: DataFrame, max_train: int = 4000):
     """(languages, log probabilities per language and bin) from ``documents``
-    (``doc_id``, ``text``, ``lang``); rows without a language are not used."""
+    (``doc_id``, ``text``, ``lang``), ``max_train`` of each language; rows
+    without a language are not used, rows without an id count by their text."""
     import numpy as np
-    known = documents.select(column("doc_id"), column("lang"), column("text").cast("string")).filter("lang is not null")
-    sample = (known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train))
+    text, key = column("text").cast("string"), column("doc_id")
+    known = documents.select(column("lang"), text.alias("text"), F.when(key.isNull(), F.xxhash64(text))
+                             .otherwise(F.xxhash64(key)).alias("hash")).filter("lang is not null")
+    ids = stored(known.select("lang", "hash").distinct(), "language-ids")
+    # hashes are even: about twice as many as wanted are small enough to be ranked, or all
+    few = (ids.join(F.broadcast(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))), "lang")
+           .filter(F.col("hash") / 2.0 ** 64 + 0.5 <= (2.0 * max_train + 100) / F.col("n")))
+    limits = (few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash")))
+              .filter(F.col("rank") <= max_train).groupBy("lang").agg(F.max("hash").alias("most")))
 
     def run(batches):
         import pyarrow as pa
@@ -77,11 +85,11 @@ def fit(documents: DataFrame, max_train: int = 4000):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()),
                                               pa.array(n[at], pa.int64())], names=["lang", "bin", "n"])
 
-    # the sample is bounded by max_train ids, the counts by languages x BINS
-    counts = (known.join(F.broadcast(sample), "doc_id").select("lang", "text")
+    # the sample is bounded by max_train ids a language, the counts by languages x BINS
+    counts = (known.join(F.broadcast(limits), "lang").filter("hash <= most").select("lang", "text")
               .mapInArrow(run, "lang string, bin long, n long")
               .groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow())
-    langs = sorted(set(counts["lang"].to_pylist()))
+    langs = sorted(r["lang"] for r in ids.select("lang").distinct().collect())
     place = {lang: i for i, lang in enumerate(langs)}
     table = np.full((len(langs), BINS), 0.5)
     if langs:
