@@ -538,6 +538,15 @@ def test_language_with_few_documents_is_fitted(spark):
     assert np.allclose(logs[1], np.log(counts / counts.sum()))
 
 
+def test_language_evidence_is_counted_exactly(spark, monkeypatch):
+    def estimate(*_):
+        raise AssertionError("an estimate enters the scores")
+    monkeypatch.setattr(language_id.F, "approx_count_distinct", estimate)
+    pages = spark.createDataFrame([(1, "http://a.de/x", "<html lang=de>das Haus</html>")], "page_id long, url string, html string")
+    documents = spark.createDataFrame([(1, "das Haus", "de"), (2, "the house", "en")], "doc_id long, text string, lang string")
+    assert [r["lang"] for r in language_id.identify(pages, documents).collect()] == ["de"]
+
+
 # 9 and 10 tokens
 
 @pytest.fixture(scope="module")

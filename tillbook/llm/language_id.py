@@ -153,14 +153,14 @@ def identify(pages: DataFrame, documents: DataFrame, max_train: int = 4000, id_c
     def sums(name: str):
         return F.array(*[F.sum(F.col("q")[i]) for i in range(size)]).alias(name)
 
-    # one row: a number per language and the number of different values
-    whole = rows.agg(sums("all"), F.approx_count_distinct("declared").alias("d"),
-                     F.approx_count_distinct("suffix").alias("s")).first()
-    total = [x or 0.0 for x in whole["all"]]
+    total = [x or 0.0 for x in rows.agg(sums("all")).first()["all"]]
     everything = F.array(*map(F.lit, total))
-    joined = rows
+    joined, kinds = rows, {}
     for key in ("declared", "suffix", "domain", "host"):
-        joined = joined.join(rows.groupBy(key).agg(sums(f"by_{key}")), key)
+        by = rows.groupBy(key).agg(sums(f"by_{key}"))
+        if key in ("declared", "suffix"):
+            kinds[key] = by.count()                # of different values
+        joined = joined.join(by, key)
 
     def likelihood(by: str, kinds: int):
         return lambda x, i: F.log((F.col(by)[i] + 0.5) / (everything[i] + 0.5 * kinds))
@@ -173,7 +173,7 @@ def identify(pages: DataFrame, documents: DataFrame, max_train: int = 4000, id_c
         host_n = F.aggregate("by_host", F.lit(0.0), lambda a, x: a + x) - 1.0
         return F.log(F.greatest((F.col("by_host")[i] - own + STRENGTH * domain_p) / (host_n + STRENGTH), F.lit(1e-12)))
 
-    declared_l, suffix_l = likelihood("by_declared", whole["d"]), likelihood("by_suffix", whole["s"])
+    declared_l, suffix_l = likelihood("by_declared", kinds["declared"]), likelihood("by_suffix", kinds["suffix"])
     fused = F.transform("ll", lambda x, i: x + declared_l(x, i) + suffix_l(x, i) + prior(i))
     best = F.array_max("z")
     at = F.array_position("z", best).cast("int")
