@@ -235,6 +235,10 @@ def test_factorisation_machine_without_labels(docs, labels, empty):
     assert factorisation.score(empty, model).count() == 0
 
 
+def test_word_shape_is_of_the_whole_word():
+    assert factorisation.shape("a" * 64 + "9B-x") == "a9A-a" != factorisation.shape("a" * 64 + "--")
+
+
 # 4 exact dedup
 
 def lower(text):

@@ -33,7 +33,7 @@ CUT = 0.3                  # score from which a document is predicted good
 
 def shape(word: str) -> str:
     """Runs of A (upper), a (lower), 9 (digit); other characters stay, runs as one."""
-    s = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64])
+    s = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word)
     return re.sub(r"(.)\1+", r"\1", s)
 
 
