@@ -11,7 +11,61 @@ def _text(s: str) -> str:
 
 _TEMPLATES = ",\n".join(f"({_text(name)}, [{', '.join(map(_text, bigrams(t)))}])" for name, t in TEMPLATES)
 
+
+def _fill_middle(seed: int = 42, rate: int = 50, spm_rate: int = 80) -> str:
+    draws = ", ".join(f"CAST('0x' || substr(h, {8 * i + 1}, 8) AS UBIGINT) AS h{i + 1}" for i in range(4))
+    return f"""
+WITH d AS (SELECT doc_id, COALESCE(text, '') AS t, sha256('{seed}:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS w,
+             {draws} FROM d),
+c AS (SELECT *, len(w) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a,
+             greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= {rate}
+                  THEN 'plain' WHEN h4 % 100 < {spm_rate} THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(w[1:a], '') AS prefix, array_to_string(w[a + 1:b], '') AS middle,
+             array_to_string(w[b + 1:n], '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p"""
+
+
+def _clusters(k: int = 40, rounds: int = 5, dims: int = 64, seed: int = 2) -> str:
+    """Each round's centroids and assignment as tables of the WITH clause."""
+    steps = [f"""WITH kept AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS q
+  FROM embeddings WHERE len(embedding) = {dims}
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+c0 AS (SELECT row_number() OVER (ORDER BY h, q) - 1 AS cluster, q FROM (
+  SELECT q, sha256('{seed}:' || CAST(vec_id AS VARCHAR)) AS h FROM kept ORDER BY h, q LIMIT {k}))"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT row, min(struct_pack(distance := CAST(d AS BIGINT), cluster := cluster)) AS best FROM (
+    SELECT row, cluster, list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+    FROM kept v CROSS JOIN c{i} c) GROUP BY row)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c.cluster, COALESCE(m.q, c.q) AS q FROM c{i} c LEFT JOIN (
+    SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS q FROM (
+      SELECT a.best.cluster AS cluster, pos, CAST(sum(x) AS BIGINT) AS s, COUNT(*) AS n
+      FROM (SELECT row, unnest(q) AS x, unnest(range(len(q))) AS pos FROM kept) v JOIN a{i} a ON v.row = a.row
+      GROUP BY 1, 2) GROUP BY cluster) m ON c.cluster = m.cluster)""")
+    return ",\n".join(steps) + f"""
+SELECT v.vec_id, CAST(a.best.cluster AS INTEGER) AS cluster, a.best.distance AS distance,
+       CAST(sum(a.best.distance) OVER (PARTITION BY a.best.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.best.distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN kept v ON a.row = v.row JOIN c{rounds} c ON a.best.cluster = c.cluster"""
+
+
 SQL: dict[str, str] = {
+    "op12_fill_middle": _fill_middle(),
+
+    "op13_centroid_clustering": _clusters(),
+
     "op4_exact_dedup": f"""
 WITH d AS (SELECT doc_id, translate(COALESCE(text, ''), '{_UPPER}', '{_UPPER.lower()}') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, COUNT(*) AS group_size FROM d GROUP BY t)

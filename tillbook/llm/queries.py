@@ -12,11 +12,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillbook.llm import (factorisation, fingerprints, language_id, license_scan, ngram_join, packing, rules,
-                          secret_scan, sentencepieces, token_counts)
+from tillbook.llm import (centroids, configuration_packing, factorisation, fill_middle, fingerprints, language_id,
+                          license_scan, ngram_join, packing, rules, secret_scan, sentencepieces, token_counts)
 from tillbook.llm.common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 TOKEN_LIMIT = 4096
 
@@ -89,10 +90,34 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_configuration_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return configuration_packing.pack(table(spark, sf_dir, "documents"), BYTE_TOKENIZER).select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "doc_tokens")
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(table(spark, sf_dir, "documents"))
+
+    def digest(text: Column) -> Column:
+        return F.sha2(text.cast("binary"), 256)
+
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                       digest(F.col("output")).alias("output_sha256"),
+                       digest(fill_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+        F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256)
+        .alias("centroid_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
     own = (op1_harmonic_packing, op2_quality_rules, op3_factorisation_machine, op4_exact_dedup, op5_license_scan,
-           op6_secret_scan, op7_ngram_join, op8_language_id, op9_token_counts, op10_sentencepiece)
+           op6_secret_scan, op7_ngram_join, op8_language_id, op9_token_counts, op10_sentencepiece, op11_configuration_packing,
+           op12_fill_middle, op13_centroid_clustering)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
