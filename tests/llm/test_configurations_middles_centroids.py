@@ -38,7 +38,9 @@ def plain(docs):
 
 # -- 11 ------------------------------------------------------------------------
 
-def test_configuration_packing(docs, plain):
+@pytest.mark.parametrize("small", [0, configuration_packing.SMALL])
+def test_configuration_packing(docs, plain, small, monkeypatch):
+    monkeypatch.setattr(configuration_packing, "SMALL", small)
     from tokenizers import Tokenizer
     library = Tokenizer.from_file(queries.BYTE_TOKENIZER)
     want = Counter()

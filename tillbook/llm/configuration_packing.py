@@ -15,8 +15,9 @@ however many documents there are:
    ``round_down`` makes whole numbers of them and packs the rest by best fit;
 4. the result says, for the r-th piece of a length, which sequence and which
    offset it takes.  A piece's r is its number within its task plus the
-   pieces of that length in earlier tasks, a small table (tasks x lengths)
-   that Spark joins by its own size check.
+   pieces of that length in earlier tasks: a table of tasks x lengths, whose
+   rows are counted; up to ``SMALL`` of them it is broadcast and no piece is
+   shuffled, beyond that the two are joined by task and length.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ STEP = 0.5                 # of a length that one configuration may cover at onc
 LARGER = 0.002             # how much dearer, a token, a piece as long as a sequence is
 SCALES = (1.0, 0.75, 0.5, 0.25)        # of the program's solution that rounding tries
 WORDLESS = 10_000          # white space in a row that is left to the whole library
+SMALL = 1 << 18            # rows of the table of earlier pieces that are broadcast (three numbers each)
 OUT_ROWS, OUT_BYTES = 4096, 4 << 20    # pieces, and bytes of their ids, per output batch
 SLICE_BYTES = 2 << 20      # of text taken from Arrow at once
 
@@ -350,10 +352,12 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     """
     rows = pieces(docs, tokenizer, capacity, end_id, id_col, text_col)
     per_part = rows.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
-    counts = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    slots = plan(counts, capacity).slots
+    of_length = per_part.groupBy("length").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).collect()
+    slots = plan({r["length"]: r["n"] for r in of_length}, capacity).slots
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = per_part.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    if sum(r["parts"] for r in of_length) <= SMALL:
+        first = F.broadcast(first)      # beyond that the pieces are shuffled by task and length
     place = T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     @F.pandas_udf(place)
