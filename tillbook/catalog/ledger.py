@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tillbook.catalog import register
 from tillbook.catalog.oracle_views import AS_OF as D
-from tillbook.catalog.stock import moved_sql, raised_safety
+from tillbook.catalog.stock import moved_sql, raised_safety, served_sql
 from tillbook.operators import ledger as lg
 from tillbook.operators import posting as ps
 from tillbook.sources.fixtures import AS_OF
@@ -249,6 +249,46 @@ def log_payments_paid(r):
     return paid
 
 
+# one payment per invoice still due, of between half and three times its
+# amount: a customer's earlier payments decide which later ones fit
+def _contested(r):
+    return ps.backfill_unpaid(r.invoice).select(
+        F.col("invoice_no").alias("payment_id"), "invoice_no", "invoice_date",
+        (F.col("amount") * (1 + F.col("invoice_no") % 6) / 2).cast("decimal(10,2)").alias("amount"))
+
+
+_CONTESTED_SQL = """
+WITH RECURSIVE p AS (
+  SELECT invoice_no, date, CAST((CAST(final_amount * 100 AS BIGINT) * (1 + invoice_no % 6) + 1) // 2
+                                / CAST(100 AS DECIMAL(5,2)) AS DECIMAL(10,2)) AS amount, customer_id AS cid,
+         row_number() OVER (PARTITION BY customer_id ORDER BY date, invoice_no) AS i
+  FROM r_invoice WHERE payment_status = 'Unpaid' AND final_amount > 0 AND customer_id IS NOT NULL),
+bal AS (SELECT customer_id AS cid, CAST(SUM(CASE WHEN transaction_type = 'Debit' THEN amount
+                                                 WHEN transaction_type = 'Credit' THEN -amount ELSE 0 END) AS DECIMAL(18,2)) AS b
+        FROM r_ledger_e GROUP BY customer_id),
+turn AS (
+  SELECT cid, CAST(0 AS BIGINT) AS i, b AS balance, CAST(NULL AS BIGINT) AS invoice_no, CAST(NULL AS DECIMAL(10,2)) AS amount,
+         FALSE AS ok FROM bal
+  UNION ALL
+  SELECT t.cid, p.i, CAST(CASE WHEN p.amount <= t.balance THEN t.balance - p.amount ELSE t.balance END AS DECIMAL(18,2)),
+         p.invoice_no, p.amount, p.amount <= t.balance
+  FROM turn t JOIN p ON p.cid = t.cid AND p.i = t.i + 1)"""
+
+
+@register("log_payments_contested", _CONTESTED_SQL + """
+SELECT invoice_no, cid AS customer_id, amount, balance FROM turn WHERE ok""")
+def log_payments_contested(r):
+    credits, _rejects, _paid = lg.log_payments(_contested(r), r.invoice, r.ledger_entries)
+    return credits.select("invoice_no", "customer_id", "amount", "balance")
+
+
+@register("log_payments_contested_rejects", _CONTESTED_SQL + """
+SELECT invoice_no, amount, 'payment exceeds balance' AS reason FROM turn WHERE NOT ok AND invoice_no IS NOT NULL""")
+def log_payments_contested_rejects(r):
+    _credits, rejects, _paid = lg.log_payments(_contested(r), r.invoice, r.ledger_entries)
+    return rejects
+
+
 # manual entries: purchase events credited to the customer whose mobile is the user id
 _ENTRIES_SQL = """
 WITH rows AS (
@@ -416,12 +456,11 @@ def build_lines(r):
         "invoice_no", "line_no", "product_id", "quantity", "price", "discount", "unit", "total")
 
 
-def _posting_job(r):
+def _posting_job(r, **options):
     from tillbook.catalog.loads import existing_customers
     from tillbook.plans.invoice_posting import post_invoices
-    # the one-pass check: its twin is SQL; the default serves invoices in turn
     return post_invoices(r.invoice_draft, r.lines.drop("total"), existing_customers(r), r.inventory,
-                         raised_safety(r), stock_mode="cumulative")
+                         raised_safety(r), **({"stock_mode": "cumulative"} | options))
 
 
 _POSTING_SQL = """
@@ -492,3 +531,29 @@ SELECT ok.invoice_no, 'insufficient stock' FROM ok JOIN verdict v ON ok.invoice_
 WHERE NOT v.invoice_ok""")
 def post_invoice_batch_rejects(r):
     return _posting_job(r)["rejects"]
+
+
+# the job as it runs by default: invoices served in turn
+_IN_TURN_SQL = "WITH RECURSIVE" + _POSTING_SQL.split("WITH", 1)[1].split("\nx AS (")[0] + served_sql("items")
+
+
+@register("post_invoices_in_turn", _IN_TURN_SQL + """
+SELECT l.invoice_no, l.line_no, l.product_id, l.quantity, CAST(NULL AS VARCHAR) AS reason FROM items l
+WHERE l.invoice_no IN (SELECT invoice_no FROM served)
+UNION ALL
+SELECT invoice_no, NULL, NULL, NULL, reason FROM t WHERE reason IS NOT NULL
+UNION ALL
+SELECT invoice_no, NULL, NULL, NULL, 'insufficient stock' FROM ok
+WHERE invoice_no NOT IN (SELECT invoice_no FROM served)""")
+def post_invoices_in_turn(r):
+    """Lines posted and invoices refused by the job's default mode."""
+    out = _posting_job(r, stock_mode="sequential")
+    return (out["lines"].select("invoice_no", "line_no", "product_id", "quantity", F.lit(None).cast("string").alias("reason"))
+            .unionByName(out["rejects"].select("invoice_no", "reason"), allowMissingColumns=True))
+
+
+@register("post_invoices_in_turn_stock", _IN_TURN_SQL + ",\n" + moved_sql(
+    "SELECT product_id, quantity AS q FROM items WHERE invoice_no IN (SELECT invoice_no FROM served)", "-")
+          + "SELECT product_id, quantity, availability FROM inv2")
+def post_invoices_in_turn_stock(r):
+    return _posting_job(r, stock_mode="sequential")["inventory"].select("product_id", "quantity", "availability")

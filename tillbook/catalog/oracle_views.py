@@ -116,6 +116,8 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
         ctes.update(extra)
     parts = [f"{name} AS ({sql}\n)" for name, sql in ctes.items()]
     body = body.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + body[15:]
     if body[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
     return "WITH " + ",\n".join(parts) + "\n" + body

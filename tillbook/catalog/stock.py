@@ -63,9 +63,34 @@ def check_stock_cumulative(r):
     return st.stock_verdicts(sales_batch(r), r.inventory, "cumulative", LINE_ORDER)
 
 
-# no twin: serving invoices one after the other is a loop, not a SQL query;
-# tests compare it with that loop
-@register("check_stock_sequential")
+def served_sql(lines: str) -> str:
+    """``served`` (invoice_no): invoices of ``lines`` accepted one after the
+    other; a recursion step takes the next invoice that could ever fit, and
+    ``turns`` keeps what is used of each product and who was accepted."""
+    return f"""
+need AS MATERIALIZED (SELECT b.invoice_no, b.product_id, SUM(b.quantity) AS need, any_value(i.quantity) AS stock
+  FROM {lines} b LEFT JOIN r_inventory i ON b.product_id = i.product_id GROUP BY 1, 2),
+claims AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY invoice_no) AS k, invoice_no, list(struct_pack(p := product_id, need := need, stock := stock)) AS asks
+  FROM need GROUP BY invoice_no HAVING bool_and(COALESCE(need <= stock, FALSE))),
+turns(kind, id, used, k) USING KEY (kind, id) AS (
+  SELECT 'turn', CAST(0 AS BIGINT), CAST(0 AS HUGEINT), CAST(0 AS BIGINT)
+  UNION
+  (WITH c AS (SELECT claims.* FROM claims, (SELECT max(k) AS k FROM turns) t WHERE claims.k = t.k + 1),
+   a AS (SELECT k, unnest(asks, recursive := true) FROM c),
+   j AS (SELECT a.*, COALESCE(t.used, 0) AS used FROM a LEFT JOIN recurring.turns t ON t.kind = 'product' AND t.id = a.p),
+   v AS (SELECT bool_and(used + need <= stock) AS ok FROM j)
+   SELECT 'product', j.p, j.used + j.need, j.k FROM j, v WHERE v.ok
+   UNION ALL SELECT 'turn', 0, 0, k FROM c
+   UNION ALL SELECT 'invoice', invoice_no, 0, k FROM c, v WHERE v.ok)),
+served AS (SELECT id AS invoice_no FROM turns WHERE kind = 'invoice')"""
+
+
+@register("check_stock_sequential", f"""
+WITH RECURSIVE {served_sql("r_lines")}
+SELECT invoice_no, invoice_no IN (SELECT invoice_no FROM served) AS invoice_ok,
+       CAST(COUNT(CASE WHEN invoice_no NOT IN (SELECT invoice_no FROM served) THEN 1 END) AS BIGINT) AS short_lines
+FROM r_lines GROUP BY invoice_no""")
 def check_stock_sequential(r):
     return st.stock_verdicts(sales_batch(r), r.inventory, "sequential")
 

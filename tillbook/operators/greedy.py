@@ -1,54 +1,129 @@
 """First come, first served: which claims fit their resources (P-3, P-10).
 
 Claims are accepted in order; an accepted claim uses up its resources, a
-refused one uses nothing.  Row by row that is a loop over all claims.  Here
-it runs in rounds of prefix sums over everything not yet refused:
-
-* a claim fits for certain if it fits after *all* earlier claims that may
-  still be accepted;
-* it fails for certain if it does not fit after the earlier claims that are
-  already accepted.
-
-The first undecided claim is decided in every round (both sums are equal for
-it), so the rounds end with exactly the loop's answer; claims that do not
-compete are decided at once.  Each round is one pass of skew-safe running
-totals and one aggregate, written to the shared checkpoint folder.
+refused one uses nothing.  Row by row that is a loop over all claims.  Claims
+that cannot get in each other's way are decided apart from it:
+
+1. A claim that asks for more than its resource ever had is refused.
+2. Where every claim asks one resource, the resources are independent: each
+   is one ordered loop in a task, unless it has more than ``fold_rows`` rows.
+3. What is left is decided in rounds.  If it is at most ``fold_rows`` rows,
+   one task runs the loop over it and all is done.  Otherwise that task
+   takes the earliest ``fold_rows`` rows, which nothing undecided precedes; of
+   the rest a prefix sum decides every claim that fits even if all undecided
+   claims before it are accepted, and refuses every one that does not fit
+   what is accepted already.
+
+A chain of claims that wait for each other is thus undone by the loop,
+``fold_rows`` at a time, and claims that do not compete by the sums at once;
+the rounds are at most rows / ``fold_rows``.  Each round's rows are written to
+the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tillbook.operators.skew import join_per_key
 from tillbook.operators.windows import materialize, running_totals
 
+FOLD_ROWS = 200_000        # rows (claim, resource) that one task decides in order
+
+
+def _in_order(rows: DataFrame, claim: list[str], group: str | None) -> DataFrame:
+    """``claim`` and ``accepted`` by the loop itself, for each ``group`` (or
+    all rows), which holds every row of its resources."""
+    schema = T.StructType([*[rows.schema[c] for c in claim], T.StructField("accepted", T.BooleanType())])
+
+    def verdicts(pdf: pd.DataFrame) -> Iterator[tuple]:
+        columns = [pdf[c].tolist() for c in claim]
+        # NULL comes first, as in Spark's order
+        keys = [tuple((not pd.isna(v), None if pd.isna(v) else v) for v in k) for k in zip(*columns)]
+        parts: dict[tuple, list] = {}
+        for key, part in zip(keys, zip(pdf["_res"].tolist(), pdf["_need"].tolist(), pdf["_room"].tolist())):
+            parts.setdefault(key, []).append(part)
+        used: dict = {}
+        for key in sorted(parts):
+            fits = all(used.get(res, 0) + need <= room for res, need, room in parts[key])
+            if fits:
+                for res, need, _ in parts[key]:
+                    used[res] = used.get(res, 0) + need
+            yield (*[v for _, v in key], fits)
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(list(verdicts(pdf)), columns=schema.names)
+
+    grouped = rows.withColumn("_group", F.col(group) if group else F.lit(0)).groupBy("_group")
+    return grouped.applyInPandas(fold, schema)
+
 
 def accept_in_order(claims: DataFrame, claim: list[str], resource: str, amount: str,
-                    capacity: str) -> DataFrame:
+                    capacity: str, fold_rows: int | None = None) -> DataFrame:
     """``claim`` columns and ``accepted`` for every claim of ``claims``.
 
     ``claims`` has one row per (claim, resource); ``claim`` columns, in this
-    order, are the order of service.  NULL amounts or capacities refuse.
+    order, are the order of service.  NULL amounts or capacities refuse; an
+    empty table gives no rows.
     """
+    fold_rows = fold_rows or FOLD_ROWS
     rows = materialize(claims.select(*claim, F.col(resource).alias("_res"), F.col(amount).alias("_need"),
-                                     F.col(capacity).alias("_cap"), F.lit(False).alias("_in")))
-    first = rows.groupBy(*claim).agg(F.bool_and(F.coalesce(F.col("_need") <= F.col("_cap"), F.lit(False)))
-                                     .alias("_fits"))
-    refused = first.filter(~F.col("_fits")).select(*claim)
-    rows = rows.join(refused, claim, "left_anti")
-    while True:
-        rows = running_totals(rows, ["_res"], claim, {
-            "_may": F.col("_need"), "_has": F.when(F.col("_in"), F.col("_need"))}, exclusive=True)
-        state = materialize(rows.groupBy(*claim).agg(
-            F.bool_or("_in").alias("_in"),
-            F.bool_and(F.col("_may") + F.col("_need") <= F.col("_cap")).alias("_sure"),
-            F.bool_and(F.col("_has") + F.col("_need") <= F.col("_cap")).alias("_open")))
-        left = state.filter("not _in and not _sure and _open").limit(1).count()
-        live = state.filter("_in or _sure or _open").select(*claim, (F.col("_in") | F.col("_sure")).alias("_now"))
-        if not left:
+                                     F.col(capacity).alias("_room")))
+    never = rows.filter(~F.coalesce(F.col("_need") <= F.col("_room"), F.lit(False))).select(*claim).distinct()
+    names = [f"_c{i}" for i in range(len(claim))]
+    left = _without(rows, never, claim)
+    won: list[DataFrame] = []
+    per_claim = left.groupBy(*claim).count().agg(F.max("count")).first()[0]
+    if per_claim == 1:
+        sizes = left.groupBy("_res").agg(F.count(F.lit(1)).alias("_n"))
+        large = sizes.filter(F.col("_n") > fold_rows).select("_res")      # at most rows / fold_rows of them
+        # several small resources share a task: about an eighth of fold_rows
+        total = sizes.agg(F.sum("_n")).first()[0]
+        deals = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * total // fold_rows)
+        small = left.join(large, "_res", "left_anti").withColumn("_deal", F.pmod(F.xxhash64("_res"), F.lit(deals)))
+        won.append(_in_order(small, claim, "_deal"))
+        left = left.join(large, "_res", "left_semi")
+    left, kind = materialize(left), left.schema["_room"].dataType
+    while n := left.count():
+        if n <= fold_rows:
+            won.append(_in_order(left, claim, None))
             break
-        rows = (rows.drop("_may", "_has").join(live, claim)
-                .withColumn("_in", F.col("_now")).drop("_now"))
-    accepted = live.filter("_now").select(*claim, F.lit(True).alias("accepted"))
-    return (claims.select(*claim).distinct().join(accepted, claim, "left")
-            .withColumn("accepted", F.coalesce("accepted", F.lit(False))))
+        # the earliest claims, whole: those before the last one of the first rows
+        last = left.select(F.struct(*claim).alias("k")).orderBy("k").limit(fold_rows).agg(F.max("k")).first()[0]
+        before = F.struct(*claim) < F.struct(*[F.lit(last[c]).cast(left.schema[c].dataType) for c in claim])
+        early = materialize(_in_order(left.filter(before), claim, None))
+        won.append(early)
+        taken = (left.filter(before).join(early.filter("accepted"), claim, "left_semi")
+                 .groupBy("_res").agg(F.sum("_need").alias("_taken")))
+        left = join_per_key(left.filter(~before), taken, ["_res"]).withColumn(
+            "_room", (F.col("_room") - F.coalesce("_taken", F.lit(0))).cast(kind)).drop("_taken")
+        left = materialize(running_totals(left, ["_res"], claim, {"_may": F.col("_need")}, exclusive=True))
+        state = materialize(left.groupBy(*claim).agg(
+            F.bool_and(F.col("_may") + F.col("_need") <= F.col("_room")).alias("_sure"),
+            F.bool_and(F.col("_need") <= F.col("_room")).alias("_open")))
+        won.append(state.filter("_sure").select(*claim, F.lit(True).alias("accepted")))
+        left = join_per_key(left.drop("_may"), state.filter("_open").drop("_open"), claim, "inner")
+        # what the claims accepted now leave to later ones
+        left = running_totals(materialize(left), ["_res"], claim,
+                              {"_taken": F.when(F.col("_sure"), F.col("_need"))}, exclusive=True)
+        left = materialize(left.filter("not _sure").withColumn(
+            "_room", (F.col("_room") - F.col("_taken")).cast(kind)).drop("_taken", "_sure"))
+    every = claims.select(*claim).distinct()
+    if not won:
+        return every.withColumn("accepted", F.lit(False))
+    accepted = reduce(DataFrame.unionByName, won).filter("accepted").select(
+        *[F.col(c).alias(n) for c, n in zip(claim, names)], F.lit(True).alias("accepted"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(claim, names)])
+    return materialize(every.join(accepted, same, "left")
+                       .select(*claim, F.coalesce("accepted", F.lit(False)).alias("accepted")))
+
+
+def _without(rows: DataFrame, gone: DataFrame, claim: list[str]) -> DataFrame:
+    """``rows`` of other claims than ``gone`` (one row per claim)."""
+    marked = join_per_key(rows, gone.withColumn("_gone", F.lit(True)), claim)
+    return marked.filter(F.col("_gone").isNull()).drop("_gone")

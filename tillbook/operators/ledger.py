@@ -2,8 +2,9 @@
 G-15, G-20, G-21, J-5, B-14).
 
 Balances are prefix sums per customer.  They are computed with the
-skew-safe ``running_total`` (range blocks + block offsets), so one customer
-holding a third of the ledger still spreads over many tasks.
+skew-safe ``running_total`` (range blocks + block offsets where a customer is
+too large for a task), so one customer holding a third of the ledger still
+spreads over many tasks; opening balances enter with the block offsets.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tillbook.functions import rules as R
 from tillbook.operators.greedy import accept_in_order
+from tillbook.operators.skew import join_per_key
 from tillbook.operators.windows import last_by_order, materialize, running_total
 
 LEDGER_ORDER = ["transaction_date", "invoice_no", "step"]
@@ -51,12 +53,8 @@ def running_balance(entries: DataFrame, sign: str = "receivable", key: str = "cu
     """
     order = order or LEDGER_ORDER
     signed = R.signed_amount("transaction_type", "amount", sign)
-    out_df = running_total(entries, [key], order, signed, "_run")
-    bal = F.col("_run")
-    if opening is not None:
-        out_df = out_df.join(opening.select(key, F.col("opening_balance").alias("_open")), key, "left")
-        bal = bal + F.coalesce(F.col("_open"), F.lit(0))
-        out_df = out_df.withColumn("_run", bal).drop("_open")
+    base = None if opening is None else opening.select(key, F.col("opening_balance").alias("_run"))
+    out_df = running_total(entries, [key], order, signed, "_run", base=base)
     return out_df.withColumn(out, F.col("_run").cast(BALANCE)).drop("_run")
 
 
@@ -94,17 +92,13 @@ def post_ledger_single(invoice: DataFrame, opening: DataFrame | None = None) ->
         "customer_id", "invoice_no", F.lit(0).alias("step"), amount.alias("amount"),
         ttype.alias("transaction_type"), desc.alias("description"))
     signed = R.signed_amount("transaction_type", "amount", "receivable")
-    prev = running_total(entries, ["customer_mobile"], LEDGER_ORDER, signed, "_prev",
-                         exclusive=True)
+    base = None if opening is None else opening.select("customer_mobile", F.col("opening_balance").alias("_prev"))
+    prev = running_total(entries, ["customer_mobile"], LEDGER_ORDER, signed, "_prev", exclusive=True, base=base)
     p = F.col("_prev")
-    if opening is not None:
-        prev = prev.join(opening.select("customer_mobile", F.col("opening_balance").alias("_open")),
-                         "customer_mobile", "left")
-        p = p + F.coalesce(F.col("_open"), F.lit(0))
     bal = (F.when(F.col("transaction_type") == "Credit",
                   F.when(p == 0, F.lit(0)).otherwise(p - F.col("amount")))
            .otherwise(p + F.col("amount")))
-    return prev.withColumn("balance", bal.cast(BALANCE)).drop("_prev", "_open")
+    return prev.withColumn("balance", bal.cast(BALANCE)).drop("_prev")
 
 
 # P-9
@@ -167,10 +161,11 @@ def log_payments(payment: DataFrame, invoice: DataFrame, ledger: DataFrame):
               .when(F.col("_cid").isNull(), "customer not found for invoice")
               .when(F.lower(F.trim(F.col("_ist"))) == "paid", "invoice already paid"))
     p = p.withColumn("_reason", reason)
-    pre = p.filter(F.col("_reason").isNotNull())
     bal = ledger_balance(ledger.withColumnRenamed("customer_id", "_cid"), key="_cid")
-    ok = materialize(p.filter(F.col("_reason").isNull()).drop("_reason")
-                     .join(bal.withColumnRenamed("balance", "_bal"), "_cid", "left")
+    p = materialize(p)
+    pre = p.filter(F.col("_reason").isNotNull())
+    ok = materialize(join_per_key(p.filter(F.col("_reason").isNull()).drop("_reason"),
+                                  bal.withColumnRenamed("balance", "_bal"), ["_cid"])
                      .withColumn("_bal", F.coalesce("_bal", F.lit(0).cast(BALANCE))))
     order = ["invoice_date", "invoice_no", "payment_id"]
     ok = ok.join(accept_in_order(ok, order, "_cid", "amount", "_bal"), order)
@@ -224,10 +219,9 @@ def add_ledger_entries(rows: DataFrame, ledger: DataFrame, customer: DataFrame,
     latest = latest_balance(ledger.filter(F.col("customer_id").isNotNull()), key="customer_id",
                             order=newest_first)
     with_c = ok.filter(F.col("customer_id").isNotNull())
-    with_c = running_total(with_c, ["customer_id"], ["transaction_date", "entry_id"], signed, "_run")
-    with_c = (with_c.join(latest.withColumnRenamed("balance", "_open"), "customer_id", "left")
-              .withColumn("balance", (F.coalesce(F.col("_open"), F.lit(0)) + F.col("_run"))
-                          .cast(BALANCE)).drop("_open", "_run"))
+    with_c = running_total(with_c, ["customer_id"], ["transaction_date", "entry_id"], signed, "_run",
+                           base=latest.withColumnRenamed("balance", "_run"))
+    with_c = with_c.withColumn("balance", F.col("_run").cast(BALANCE)).drop("_run")
     no_c = ok.filter(F.col("customer_id").isNull()).withColumn("balance", signed.cast(BALANCE))
     cols = ["entry_id", "transaction_date", "invoice_no", "customer_id", "amount",
             "transaction_type", "description", "balance"]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tillbook.functions import rules as R
 from tillbook.operators.greedy import accept_in_order
+from tillbook.operators.skew import join_per_key
 from tillbook.operators.windows import materialize, running_total
 
 
@@ -119,7 +120,7 @@ def _line_checks(items: DataFrame, inventory: DataFrame, mode: str, order: list[
             F.when(F.count("quantity") == F.count(F.lit(1)), F.sum("quantity")).alias("need"),
             F.first("stock").cast("long").alias("stock"))
         fits = accept_in_order(claims, ["invoice_no"], "product_id", "need", "stock")
-        return x.join(fits.withColumnRenamed("accepted", "line_ok"), "invoice_no")
+        return join_per_key(x, fits.withColumnRenamed("accepted", "line_ok"), ["invoice_no"], "inner")
     else:
         raise ValueError(f"unknown mode {mode!r}")
     # a NULL quantity never fits, also where the demand before it is known
@@ -142,9 +143,9 @@ def check_stock(items: DataFrame, inventory: DataFrame, mode: str = "sequential"
     Returns one row per line with ``line_ok`` and ``invoice_ok`` (all lines
     of the invoice ok).
     """
-    x = _line_checks(items, inventory, mode, order or ["invoice_no", "line_no"])
+    x = materialize(_line_checks(items, inventory, mode, order or ["invoice_no", "line_no"]))
     verdict = x.groupBy("invoice_no").agg(F.bool_and("line_ok").alias("invoice_ok"))
-    return x.join(verdict, "invoice_no")
+    return join_per_key(x, verdict, ["invoice_no"], "inner")
 
 
 def stock_verdicts(items: DataFrame, inventory: DataFrame, mode: str = "sequential",
