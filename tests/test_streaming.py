@@ -3,12 +3,15 @@
 import datetime as dt
 from decimal import Decimal as Dec
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF001, rows
 from tillbook.operators import ledger as lg
 from tillbook.sources.fixtures import Retail
+from tillbook.streaming import deltas
 from tillbook.streaming import streams as sm
+from tillbook.streaming.deltas import Deltas
 
 
 def test_daily_sales_counts_late_rows(spark):
@@ -92,31 +95,69 @@ def test_stream_customers_late_smaller_ord(spark):
     assert rows(out, "mobile", "ord", "name") == [("01", 3, "A3"), ("02", 6, "B6")]
 
 
-def test_versioned_state_replay_is_idempotent(spark):
-    empty = spark.createDataFrame([], "k long, v long")
-    st = sm.VersionedState(spark, sm.new_root(spark, "state"), empty)
-    assert st.before(0).count() == 0
-    st.write(spark.createDataFrame([(1, 1)], "k long, v long"), 0)
-    nxt = st.before(1).union(spark.createDataFrame([(2, 2)], "k long, v long"))
-    st.write(nxt, 1)
-    st.write(st.before(1).union(spark.createDataFrame([(2, 2)], "k long, v long")), 1)  # replay
-    assert rows(st.latest()) == [(1, 1), (2, 2)]
-
-
 def test_stock_position_sums_deltas(spark):
     inv = spark.createDataFrame([(1, 10, 5), (2, None, 5), (3, 4, 0)],
                                 "product_id long, quantity int, safety_level int")
-    root = sm.new_root(spark, "deltas")
+    moves = sm.stock_table(spark, sm.new_root(spark, "deltas"))
     for b, data in enumerate([[(1, -3), (2, 4)], [(1, -2), (3, 1)]]):
-        (spark.createDataFrame(data, "product_id long, delta long").withColumn("batch_id", F.lit(b))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(root))
+        moves.add(spark.createDataFrame(data, "product_id long, delta long"), b)
     product = spark.createDataFrame([(1, "20"), (2, "5"), (3, "0")], "pro_id long, safety_level string")
-    out = sm.stock_position(spark, inv.withColumn("availability", F.lit(0)), product, root)
+    out = sm.stock_position(inv.withColumn("availability", F.lit(0)), product, moves)
     assert rows(out, "product_id", "quantity", "safety_level", "availability") == [
         (1, 5, 20, 2), (2, None, 5, 1), (3, 5, 0, 5)]
 
 
+def test_old_batches_are_folded(spark, tmp_path):
+    table = Deltas(spark, str(tmp_path), lambda rows: rows.groupBy("k").agg(F.sum("v").alias("v")), every=8)
+    total = {}
+    for b in range(50):
+        table.add(spark.createDataFrame([(b % 3, b), (7, 1)], "k long, v long").coalesce(1), b)
+        total[b % 3] = total.get(b % 3, 0) + b
+        if b % 9 == 0:
+            got = dict(rows(table.read().groupBy("k").agg(F.sum("v").alias("v"))))
+            assert got == total | {7: b + 1}
+    files = list(tmp_path.glob("**/*.parquet"))
+    assert len(files) <= 2 * 8 + 4                               # of the hundred rows' fifty batches
+    assert len(list(tmp_path.glob("bases/upto=*"))) == 1
+
+
+def test_a_compaction_cut_short_changes_nothing(spark, tmp_path, monkeypatch):
+    table = Deltas(spark, str(tmp_path), lambda rows: rows.groupBy("k").agg(F.sum("v").alias("v")), every=100)
+    for b in range(6):
+        table.add(spark.createDataFrame([(1, 10 ** b)], "k long, v long"), b)
+
+    def total():
+        return table.read().agg(F.sum("v")).first()[0]
+
+    def lost(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(deltas, "delete_folder", lost)
+    with pytest.raises(RuntimeError):
+        table.compact(4)                                          # the base is written, nothing is removed
+    assert total() == 111_111 and len(list(tmp_path.glob("batches/batch_id=*"))) == 6
+    monkeypatch.undo()
+    table.compact(4)
+    assert total() == 111_111 and len(list(tmp_path.glob("batches/batch_id=*"))) == 2
+    table.add(spark.createDataFrame([(1, 10 ** 5)], "k long, v long"), 5)     # a replayed batch
+    table.compact(6)
+    assert total() == 111_111 and not list(tmp_path.glob("batches/batch_id=*"))
+
+
+def test_a_batch_reads_its_own_buckets(spark, tmp_path):
+    table = sm.balance_table(spark, str(tmp_path))
+    last = F.struct(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("transaction_date"),
+                    F.col("id").alias("invoice_no"), F.lit(0).alias("step"))
+    for b in range(2):
+        table.add(spark.range(64).select(F.col("id").cast("string").alias("customer_mobile"), last.alias("_last"),
+                                         F.col("id").cast("decimal(18,2)").alias("opening_balance"))
+                  .withColumn("bucket", sm.bucket_of("customer_mobile", 8)), b)
+    one = table.read(2, F.col("bucket").isin([3]))
+    assert {r["bucket"] for r in one.select("bucket").distinct().collect()} == {3}
+    assert {f.split("/bucket=")[1][0] for f in (r[0] for r in one.select("_metadata.file_path").distinct().collect())} == {"3"}
+    assert "PartitionFilters: [isnotnull(batch_id" in one._jdf.queryExecution().executedPlan().toString()
+
+
 def test_late_ledger_entry_rewrites_its_buckets_partitions_only(spark, tmp_path, monkeypatch):
     d = dt.date
     schema = ("invoice_no long, customer_id long, customer_name string, customer_mobile string, "

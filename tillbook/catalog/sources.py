@@ -9,10 +9,15 @@ from pyspark.sql import types as T
 
 from tillbook.catalog import register
 from tillbook.catalog.loads import customer_file, existing_products, product_file
+from tillbook.catalog.oracle_views import AS_OF as D
+from tillbook.catalog.stock import moved_sql, raised_safety
 from tillbook.operators import ledger as lg
 from tillbook.operators import loads as ld
+from tillbook.operators import stock as st
 from tillbook.session import scratch_path
 from tillbook.sources import files
+from tillbook.sources.fixtures import AS_OF
+from tillbook.sources.tables import Bucketed, merge
 
 SEQ = T.StructType([T.StructField("ord", T.LongType())])
 
@@ -70,11 +75,51 @@ def ledger_csv_export(r):
 SELECT pro_id, CAST(quantity + 1 AS INTEGER) AS quantity FROM r_product""")
 def replace_table_versions(r):
     root = _scratch(r, "tables")
-    files.replace_table(r.product, root, "product")
-    # an update that reads the current version and writes the next one
-    cur = files.load_table(r.spark, root, "product")
-    files.replace_table(cur.withColumn("quantity", (F.col("quantity") + 1).cast("int")), root, "product")
-    return files.load_table(r.spark, root, "product").select("pro_id", "quantity")
+    table = Bucketed(f"{root}/product", "pro_id", 16)
+    table.create(r.product)
+    # an update that reads every bucket and overwrites it; run twice, applied once
+    for _ in range(2):
+        merge(r.spark, f"{root}/staging", "all", table, r.product, "pro_id",
+              lambda rows, _changes: rows.withColumn("quantity", (F.col("quantity") + 1).cast("int")))
+    return table.read(r.spark).select("pro_id", "quantity")
+
+
+# one product of a hundred gets a new price and another supplier, stored in buckets
+@register("update_touched_buckets", """
+SELECT pro_id, pro_name, CASE WHEN pro_id % 100 = 0 THEN CAST(selling_price + 1 AS DECIMAL(10,2)) ELSE selling_price END
+         AS selling_price,
+       CASE WHEN pro_id % 100 = 0 THEN 7 ELSE supplier_id END AS supplier_id
+FROM r_product""")
+def update_touched_buckets(r):
+    root = _scratch(r, "updated")
+    table = Bucketed(f"{root}/product", "pro_id", 16)
+    table.create(r.product)
+    changes = r.product.filter("pro_id % 100 = 0").select(
+        "pro_id", (F.col("selling_price") + 1).cast("decimal(10,2)").alias("selling_price"),
+        F.lit(7).alias("supplier_id"))
+    merge(r.spark, f"{root}/staging", "b1", table, changes, "pro_id",
+          lambda rows, chg: ld.apply_updates(rows, chg, "pro_id"))
+    return table.read(r.spark).select("pro_id", "pro_name", "selling_price", "supplier_id")
+
+
+# sales and restocks of the last thirty days posted to the stored inventory, one batch each
+_RECENT_SQL = moved_sql(f"""SELECT product_id, -quantity AS q FROM r_lines
+  WHERE invoice_no IN (SELECT invoice_no FROM r_invoice WHERE date >= {D} - INTERVAL 30 DAY)
+  UNION ALL SELECT product_id, quantity_added FROM r_add_item WHERE added_date >= CAST({D} - INTERVAL 30 DAY AS TIMESTAMP)""", "+")
+
+
+@register("stored_stock_movements", f"WITH {_RECENT_SQL} SELECT product_id, quantity, availability FROM inv2")
+def stored_stock_movements(r):
+    root, since = _scratch(r, "stock"), F.date_sub(F.lit(AS_OF).cast("date"), 30)
+    table = Bucketed(f"{root}/inventory", "product_id", 16)
+    table.create(r.inventory)
+    sold = r.lines.join(r.invoice.filter(F.col("date") >= since).select("invoice_no"), "invoice_no", "left_semi")
+    added = r.add_item.filter(F.col("added_date") >= since.cast("timestamp_ntz"))
+    merge(r.spark, f"{root}/staging", "sales", table, sold, "product_id",
+          lambda rows, lines: st.apply_sales(rows, lines, raised_safety(r)).select(*r.inventory.columns))
+    merge(r.spark, f"{root}/staging", "restock", table, added, "product_id",
+          lambda rows, items: st.apply_restock(rows, items, raised_safety(r))[0].select(*r.inventory.columns))
+    return table.read(r.spark).select("product_id", "quantity", "availability")
 
 
 @register("csv_suppliers_import", """
@@ -131,16 +176,38 @@ SELECT product_id, quantity, CASE WHEN NOT hit THEN old_availability ELSE
                  WHEN q_ratio >= 0.25 THEN 2 ELSE 1 END AS INTEGER) END AS availability
 FROM x""")
 def product_import_job(r):
-    from tillbook.plans.product_import import import_products_file
+    from tillbook.plans.product_import import import_products_file, inventory_table, product_table
     root = _scratch(r, "retail-tables")
-    files.replace_table(existing_products(r), root, "product")
-    files.replace_table(r.inventory, root, "inventory")
-    files.replace_table(r.supplier, root, "supplier")
+    product_table(root, 16).create(existing_products(r))
+    inventory_table(root, 16).create(r.inventory)
+    files.append_table(r.supplier, root, "supplier")
     path = _scratch(r, "products-file")
     product_file(r).write.option("header", True).csv(path)
-    import_products_file(r.spark, path, root, "file-1", extra=SEQ)
-    import_products_file(r.spark, path, root, "file-1", extra=SEQ)      # a rerun adds nothing
-    return files.load_table(r.spark, root, "inventory").select("product_id", "quantity", "availability")
+    import_products_file(r.spark, path, root, "file-1", SEQ, 16)
+    import_products_file(r.spark, path, root, "file-1", SEQ, 16)      # a rerun adds nothing
+    return inventory_table(root, 16).read(r.spark).select("product_id", "quantity", "availability")
+
+
+# a folder of two files with different column orders that share every mobile:
+# the first row of a mobile, by file name and then position, is imported
+@register("csv_customers_two_orders", """
+SELECT CAST((SELECT max(c_custkey) FROM customer WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING'))
+            + row_number() OVER (ORDER BY c_custkey) AS BIGINT) AS id, c_name AS name,
+       lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS mobile, 'first' AS address
+FROM customer WHERE c_mktsegment NOT IN ('AUTOMOBILE', 'BUILDING')""")
+def csv_customers_two_orders(r):
+    from tillbook.catalog.loads import existing_customers
+    path = _scratch(r, "customers-two-csv")
+    rows = r.customer.select("id", "name", "mobile", F.lit("first").alias("address"), F.lit("x@y").alias("mail"))
+    again = rows.withColumns({"name": F.concat(F.lit("again "), "name"), "address": F.lit("second")})
+    # folders whose names put the first file first
+    for part, df, cols in (("p=1", rows, ["name", "mobile", "address", "mail"]),
+                           ("p=2", again, ["mail", "mobile", "name", "address"])):
+        (df.coalesce(1).sortWithinPartitions("id").select(*cols).write.option("header", True)
+         .csv(f"{path}/{part}"))
+    file, _bad = files.read_customers_csv(r.spark, f"{path}/*")
+    new, _skipped = ld.import_customers(file, existing_customers(r))
+    return new.select("id", "name", "mobile", "address")
 
 
 # two files of one folder with different column orders, and cells that are not numbers

@@ -74,3 +74,18 @@ def stream_customers(r):
     sm.write_feed(rows.withColumnRenamed("_y", "_part"), path, "_part")
     like = rows.drop("_y")
     return sm.stream_customers(r.spark, path, like, existing_customers(r))
+
+
+# customers by Spark's own de-duplication state
+@register("stream_customers_within", f"""
+WITH {_CUSTOMER_FILE_SQL}
+SELECT mobile, CAST(COUNT(*) AS BIGINT) AS rows FROM firsts GROUP BY mobile""")
+def stream_customers_within(r):
+    o = r.raw("orders").select(F.col("o_orderkey").alias("ord"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    rows = customer_file(r).join(o, "ord")
+    path = sm.new_root(r.spark, "feed-customers-within")
+    sm.write_feed(rows.withColumn("_part", F.year("ts")), path, "_part")
+    # the delay covers the whole feed, so every mobile comes once, whichever row it is
+    out = sm.stream_customers_within(r.spark, path, rows, existing_customers(r),
+                                     sm.new_root(r.spark, "customers-within-out"), delay="10000 days")
+    return out.groupBy("mobile").agg(F.count(F.lit(1)).alias("rows"))

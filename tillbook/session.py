@@ -71,3 +71,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder for intermediate tables under the shared checkpoint dir."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}"
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of ours, wherever the session's file system keeps it;
+    nothing happens if it is gone already."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

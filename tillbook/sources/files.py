@@ -1,24 +1,21 @@
-"""File sources and sinks (A-1..A-8, A-10, A-12).
+"""File sources and sinks (A-1..A-8, A-10).
 
 CSV inputs are read with explicit schemas (never inferred: a numeric-looking
-mobile must stay text, leading zeros included).  Tables are Parquet; an
-update writes new version directories and appends one file to a manifest,
-so a reader never sees a half-written table and no path is ever overwritten.
+mobile must stay text, leading zeros included).  Tables are Parquet; those
+that are updated in place are kept in hash buckets (``sources.tables``, A-12).
 """
 
 from __future__ import annotations
 
 import csv
-import uuid
 from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
-from tillbook.operators.windows import materialize
+from tillbook.operators.windows import dense_ids, materialize
 
 S, I, L, D = T.StringType(), T.IntegerType(), T.LongType(), T.DecimalType(10, 2)
 
@@ -42,7 +39,7 @@ LEDGER_CSV = T.StructType([T.StructField("transaction_date", T.TimestampNTZType(
 
 # computed columns that a product file may leave out
 OPTIONAL = ("net_profit", "profit_percentage")
-ALLOWED_EXTENSIONS = ("csv", "xlsx")
+ALLOWED_EXTENSIONS = ("csv",)
 
 
 class MissingColumns(ValueError):
@@ -66,39 +63,42 @@ def headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
     return out
 
 
-def require_columns(spark: SparkSession, path: str, cols) -> list[list[str]]:
-    """Reject the whole input when any file misses a required header.
-    Returns the different header rows."""
-    found = []
-    for line, names in headers(spark, path).items():
+def require_columns(found: dict[str, list[str]], cols) -> dict[tuple[str, ...], list[str]]:
+    """Column names -> files, from :func:`headers`; rejects the whole input
+    when any file misses a required column."""
+    groups = {}
+    for line, names in found.items():
         header = next(csv.reader([line]))
         missing = sorted(set(cols) - set(header))
         if missing:
             raise MissingColumns(f"{names[0]}: missing columns {missing}")
-        found.append(header)
-    return found
+        groups[tuple(header)] = names
+    return groups
 
 
 def _read_csv(spark: SparkSession, path: str, schema: T.StructType, ord_col: str | None,
-              extra: T.StructType | None = None, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Header CSV by column *name*, plus the row's position in the file as
-    ``ord_col`` for first-wins rules when the file has none.
+              extra: T.StructType | None = None, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Header CSV by column *name*, plus each row's position as ``ord_col``
+    for first-wins rules when the file has none: 0, 1, ... over all files of
+    the input, by file path and then by place in the file.
 
     Every file must have all columns of ``schema`` but the ``OPTIONAL`` ones
     (and the typed ``extra`` ones, e.g. a sequence column); files may order them differently, other
     columns are ignored.  Returns ``(rows, rejects)``; ``rejects`` has
     ``file``, ``reason`` and ``record``: lines whose number of cells is not the
     header's, and rows with a cell that its type cannot hold.
-    ``multi_line`` lets quoted cells hold line breaks, at the price of one
-    task per file; switch it off for large files without such cells (a
-    broken row is then rejected by its cell count).
+    Large files are read in splits.  ``multi_line`` lets quoted cells hold
+    line breaks, at the price of one task per file; without it such a row is
+    rejected by its cell count.
     """
     wanted = T.StructType(schema.fields + [f for f in (extra.fields if extra else [])
                                            if f.name not in schema.fieldNames()])
-    require_columns(spark, path, [c for c in wanted.fieldNames() if c not in OPTIONAL])
-    parts, rejected = [], []
-    for line, names in headers(spark, path).items():
-        header = next(csv.reader([line]))
+    groups = require_columns(headers(spark, path), [c for c in wanted.fieldNames() if c not in OPTIONAL])
+    if not groups:
+        raise MissingColumns(f"{path}: no file with a header")
+    place = ["_file", "_start", "_row"]
+    parts = []
+    for header, names in groups.items():
         text = T.StructType([T.StructField(c, S) for c in header] + [T.StructField("_record", S)])
         raw = (spark.read.schema(text).option("header", True).option("mode", "PERMISSIVE")
                .option("columnNameOfCorruptRecord", "_record").option("escape", "\"")
@@ -106,12 +106,6 @@ def _read_csv(spark: SparkSession, path: str, schema: T.StructType, ord_col: str
                .csv([unquote(n) for n in names]))
         for c in set(wanted.fieldNames()) - set(header):
             raw = raw.withColumn(c, F.lit(None).cast(S))
-        if ord_col:
-            # Row position for one uploaded file: its splits are read in offset
-            # order, and monotonically_increasing_id grows with (partition, row).
-            # Spark packs several files by size, not name, so a directory of
-            # files should carry its own sequence column (pass it via ``extra``).
-            raw = raw.withColumn(ord_col, F.monotonically_increasing_id())
         bad = None
         for f in wanted.fields:
             if f.dataType != S:
@@ -122,42 +116,43 @@ def _read_csv(spark: SparkSession, path: str, schema: T.StructType, ord_col: str
         reason = F.when(F.col("_record").isNotNull(), "malformed record")
         if bad is not None:
             reason = F.coalesce(reason, bad)
-        # parsed once, with all cells: what counts as a broken record must not
-        # depend on which columns are read later
-        tagged = materialize(raw.select(
+        # one split of a file is read in order, so the id grows within (file, start)
+        parts.append(raw.select(
             *[F.nullif(F.trim(f.name), F.lit("")).try_cast(f.dataType).alias(f.name) if f.dataType != S
               else F.col(f.name) for f in wanted.fields],
-            *([ord_col] if ord_col else []), reason.alias("reason"),
-            F.col("_metadata.file_path").alias("file"),
+            reason.alias("reason"), F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"),
             F.coalesce("_record", F.to_json(F.struct(*[F.col(f.name) for f in wanted.fields]))).alias("record")))
-        keep = [*wanted.fieldNames(), *([ord_col] if ord_col else [])]
-        parts.append(tagged.filter("reason is null").select(*keep))
-        rejected.append(tagged.filter("reason is not null").select("file", "reason", "record"))
-    if not parts:
-        raise MissingColumns(f"{path}: no file with a header")
-    return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, rejected)
+    # parsed once, with all cells: what counts as a broken record must not
+    # depend on which columns are read later
+    tagged = materialize(reduce(DataFrame.unionByName, parts))
+    if ord_col:
+        tagged = dense_ids(tagged, place, ord_col, start=0)
+    keep = [*wanted.fieldNames(), *([ord_col] if ord_col else [])]
+    return (tagged.filter("reason is null").select(*keep),
+            tagged.filter("reason is not null").select(F.col("_file").alias("file"), "reason", "record"))
 
 
 # A-1
 def read_customers_csv(spark: SparkSession, path: str, ord_col: str | None = "ord",
-                       extra: T.StructType | None = None, multi_line: bool = True):
+                       extra: T.StructType | None = None, multi_line: bool = False):
     return _read_csv(spark, path, CUSTOMER_CSV, ord_col, extra, multi_line)
 
 
 # A-2
 def read_suppliers_csv(spark: SparkSession, path: str, ord_col: str | None = "ord",
-                       extra: T.StructType | None = None, multi_line: bool = True):
+                       extra: T.StructType | None = None, multi_line: bool = False):
     return _read_csv(spark, path, SUPPLIER_CSV, ord_col, extra, multi_line)
 
 
 # A-3
 def read_products_csv(spark: SparkSession, path: str, ord_col: str | None = "ord",
-                      extra: T.StructType | None = None, multi_line: bool = True):
+                      extra: T.StructType | None = None, multi_line: bool = False):
     return _read_csv(spark, path, PRODUCT_CSV, ord_col, extra, multi_line)
 
 
 # A-4
-def read_ledger_csv(spark: SparkSession, path: str, multi_line: bool = True):
+def read_ledger_csv(spark: SparkSession, path: str, multi_line: bool = False):
     return _read_csv(spark, path, LEDGER_CSV, None, None, multi_line)
 
 
@@ -176,12 +171,8 @@ def list_inputs(spark: SparkSession, path: str, ext: str = "csv") -> DataFrame:
 
 # A-7
 def load_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Current version of a table written by :func:`replace_tables`, or a
-    plain Parquet directory."""
-    versions = _manifest(spark, root)
-    current = versions.filter(F.col("name") == name).agg(F.max_by("version", "seq")).first()[0] \
-        if versions is not None else None
-    return spark.read.parquet(current or f"{root.rstrip('/')}/{name}")
+    """A plain Parquet table folder (bucketed ones: ``sources.tables``)."""
+    return spark.read.parquet(f"{root.rstrip('/')}/{name}")
 
 
 # A-8
@@ -196,55 +187,6 @@ def append_table(df: DataFrame, root: str, name: str,
     df.write.mode("append").parquet(f"{root.rstrip('/')}/{name}")
 
 
-# A-12
-def replace_tables(tables: dict[str, DataFrame], spark: SparkSession, root: str,
-                   batch_id: str | None = None) -> dict[str, str]:
-    """Copy-on-write replace of several tables at once.
-
-    Each frame is written to a new version directory; then one file appended
-    to the manifest makes all of them current.  The frames may read the
-    current versions themselves (upsert, update, delete): old files stay.
-    Nothing is overwritten, so a reader sees either all old or all new
-    versions, and a failed run changes nothing.
-    """
-    versions = {}
-    for name, df in tables.items():
-        versions[name] = f"{root.rstrip('/')}/{name}/v-{uuid.uuid4().hex}"
-        df.write.parquet(versions[name])
-    before = _manifest(spark, root)
-    seq = 0 if before is None else before.agg(F.max("seq")).first()[0] + 1
-    rows = [(seq, batch_id, name, version) for name, version in versions.items()]
-    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(_manifest_path(root))
-    return versions
-
-
-def replace_table(df: DataFrame, root: str, name: str) -> str:
-    """:func:`replace_tables` for one table."""
-    return replace_tables({name: df}, df.sparkSession, root)[name]
-
-
-def batch_versions(spark: SparkSession, root: str, batch_id: str) -> dict[str, str]:
-    """Table versions made current by a batch; empty if it has not run."""
-    rows = _manifest(spark, root)
-    return {} if rows is None else {r["name"]: r["version"] for r in
-                                    rows.filter(F.col("batch_id") == batch_id).collect()}
-
-
-MANIFEST = T.StructType([T.StructField("seq", L), T.StructField("batch_id", S), T.StructField("name", S),
-                         T.StructField("version", S)])
-
-
-def _manifest_path(root: str) -> str:
-    return f"{root.rstrip('/')}/manifest"
-
-
-def _manifest(spark: SparkSession, root: str) -> DataFrame | None:
-    try:
-        return spark.read.schema(MANIFEST).parquet(_manifest_path(root))
-    except AnalysisException:  # no manifest yet: plain directories
-        return None
-
-
 # A-10
 def export_ledger_csv(ledger: DataFrame, path: str) -> None:
     """Ledger CSV export: header row, every cell trimmed and quoted."""

@@ -10,8 +10,10 @@ Structured Streaming query over a file feed:
   a delta table partitioned by batch id (dynamic overwrite: a replayed batch
   rewrites the same partition); the position is inventory + all deltas.
 * R-3 ledger: entries partitioned by (customer bucket, batch id) and
-  balance changes per batch (see ``stream_ledger``); R-5 customers: an
-  append-mostly table partitioned by batch id.
+  balance changes per bucket and batch (see ``stream_ledger``); R-5
+  customers: an append-mostly table partitioned alike.  A micro-batch reads
+  the buckets it touches.
+* Old batches of R-1, R-2 and of the balances are folded (``deltas``).
 * The merges are order-robust: a batch holding rows older than rows
   already posted still gives the batch result (the ledger re-posts the
   history of the customers concerned; first-wins keeps the smaller
@@ -27,47 +29,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tillbook.operators.ledger import LEDGER_ORDER, entries_from_invoices, running_balance
 from tillbook.operators.stock import refresh_availability
 from tillbook.operators.windows import materialize
-from tillbook.session import scratch_path
-
-
-class VersionedState:
-    """A table with one Parquet version per micro-batch id."""
-
-    def __init__(self, spark: SparkSession, root: str, initial: DataFrame):
-        self.spark, self.root, self.initial = spark, root.rstrip("/"), initial
-
-    def path(self, batch_id: int) -> str:
-        return f"{self.root}/b={batch_id:012d}"
-
-    def before(self, batch_id: int) -> DataFrame:
-        """The state a batch starts from: the previous version, or the initial table."""
-        for b in range(batch_id - 1, -1, -1):
-            try:
-                return self.spark.read.parquet(self.path(b))
-            except AnalysisException:
-                continue
-        return self.initial
-
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        """Write version ``batch_id``, then append its id to the log: the
-        version counts only from then on, and nothing current is replaced."""
-        df.write.mode("overwrite").parquet(self.path(batch_id))
-        self.spark.createDataFrame([(batch_id,)], "b long").coalesce(1) \
-            .write.mode("append").parquet(f"{self.root}/log")
-
-    def latest(self) -> DataFrame:
-        try:
-            b = self.spark.read.schema("b long").parquet(f"{self.root}/log").agg(F.max("b")).first()[0]
-        except AnalysisException:
-            return self.initial
-        return self.initial if b is None else self.spark.read.parquet(self.path(b))
+from tillbook.session import delete_folder, scratch_path
+from tillbook.streaming.deltas import Deltas, write_partitions
 
 
 def new_root(spark: SparkSession, name: str) -> str:
@@ -99,65 +69,71 @@ def _read_feed(spark: SparkSession, path: str, like: DataFrame, max_files: int |
     return r.parquet(path)
 
 
-def _write_batch(df: DataFrame, batch_id: int, path: str) -> None:
-    """Write ``df`` as partition ``batch_id`` of a table; a replay of the batch
-    replaces just that partition."""
-    (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
+def _summed(key: str, value: str):
+    """Rows per key and batch folded to one row per key."""
+    return lambda rows: rows.groupBy(key).agg(F.sum(value).alias(value))
 
 
 # R-1
+def daily_sales_table(spark: SparkSession, root: str) -> Deltas:
+    return Deltas(spark, f"{root}/sums", _summed("date", "sales"))
+
+
 def stream_daily_sales(spark: SparkSession, feed: str, like: DataFrame,
                        max_files: int | None = 8) -> DataFrame:
     """Daily sales (date, sales) of a stream of invoices.
 
     Each micro-batch writes one row per day it touches, whatever its age;
-    reading sums them per day.  A late invoice costs one row, not a rewrite.
+    reading sums them per day.  A late invoice costs one row, not a rewrite;
+    old batches are folded into one row per day (:class:`Deltas`).
     """
     root = new_root(spark, "daily-sales")
-    sums = f"{root}/sums"
+    sums = daily_sales_table(spark, root)
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch.groupBy("date").agg(F.sum("final_amount").alias("sales")), batch_id, sums)
+        sums.add(batch.groupBy("date").agg(F.sum("final_amount").alias("sales")), batch_id)
 
     _run(_read_feed(spark, feed, like, max_files).writeStream.foreachBatch(add), f"{root}/checkpoint")
-    try:
-        parts = spark.read.parquet(sums)
-    except AnalysisException:
+    parts = sums.read()
+    if parts is None:
         return spark.createDataFrame([], "date date, sales decimal(18,2)")
     return parts.groupBy("date").agg(F.sum("sales").cast("decimal(18,2)").alias("sales"))
 
 
 # R-2
+def stock_table(spark: SparkSession, root: str) -> Deltas:
+    return Deltas(spark, f"{root}/deltas", _summed("product_id", "delta"))
+
+
 def stream_stock(spark: SparkSession, feed: str, like: DataFrame, inventory: DataFrame,
                  product: DataFrame, max_files: int | None = 8) -> DataFrame:
     """Stock position from a stream of movements (product_id, delta).
 
     Each micro-batch writes only its per-product movement totals (a partial
-    aggregate, one row per product it touches) to partition ``batch_id`` of
-    a delta table, with dynamic partition overwrite so a replay is
-    idempotent; no batch rewrites the inventory.  The position is the base
-    inventory plus the sum of all deltas, with availability recomputed
-    (H-6), computed when read (:func:`stock_position`).
+    aggregate, one row per product it touches) to its partition of a delta
+    table, so a replay is idempotent; no batch rewrites the inventory, and
+    old batches are folded into one row per product (:class:`Deltas`).  The
+    position is the base inventory plus the sum of all deltas, with
+    availability recomputed (H-6), computed when read (:func:`stock_position`).
     """
     root = new_root(spark, "stock")
-    deltas = f"{root}/deltas"
+    deltas = stock_table(spark, root)
     src = _read_feed(spark, feed, like, max_files)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch.groupBy("product_id").agg(F.sum("delta").alias("delta")), batch_id, deltas)
+        deltas.add(batch.groupBy("product_id").agg(F.sum("delta").alias("delta")), batch_id)
 
     _run(src.writeStream.foreachBatch(apply), f"{root}/checkpoint")
-    return stock_position(spark, inventory, product, deltas)
+    return stock_position(inventory, product, deltas)
 
 
-def stock_position(spark: SparkSession, inventory: DataFrame, product: DataFrame, deltas: str) -> DataFrame:
+def stock_position(inventory: DataFrame, product: DataFrame, deltas: Deltas) -> DataFrame:
     """Inventory + SUM(deltas) per product (NULL quantity stays NULL);
     availability (H-6) of the moved products from their safety level."""
-    try:
-        d = spark.read.parquet(deltas).groupBy("product_id").agg(F.sum("delta").alias("_delta"))
-    except AnalysisException:
+    rows = deltas.read()
+    if rows is None:
         return inventory
+    d = rows.groupBy("product_id").agg(F.sum("delta").alias("_delta"))
     new = (inventory.join(d.withColumn("_hit", F.lit(True)), "product_id", "left")
            .withColumn("quantity", (F.col("quantity") + F.coalesce(F.col("_delta"), F.lit(0)))
                        .cast("int")))
@@ -165,14 +141,31 @@ def stock_position(spark: SparkSession, inventory: DataFrame, product: DataFrame
 
 
 # R-3
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def _newest_balance(rows: DataFrame) -> DataFrame:
+    """One row per customer: the newest change."""
+    newest = rows.groupBy("customer_mobile", "bucket").agg(
+        F.max_by(F.struct("_last", "opening_balance"), "batch_id").alias("m"))
+    return newest.select("customer_mobile", "m._last", "m.opening_balance", "bucket")
+
+
+def balance_table(spark: SparkSession, root: str) -> Deltas:
+    return Deltas(spark, root, _newest_balance, ("bucket",))
+
+
 def stream_ledger(spark: SparkSession, feed: str, like: DataFrame,
                   max_files: int | None = 8, buckets: int = 64) -> DataFrame:
     """Ledger posting (P-7) from a stream of invoices with carried balances.
 
     The ledger is a Parquet folder partitioned by (``bucket``, ``batch_id``),
     the bucket being a hash of the customer; balance changes (customer_mobile,
-    last posted key, balance) are appended per batch, and the newest change
-    of a customer is its balance.  Batch ``b``:
+    last posted key, balance) are appended per batch and bucket, the newest
+    change of a customer is its balance, and old changes are folded to one per
+    customer (:class:`Deltas`).  A micro-batch looks up the balances of its own
+    buckets only.  Batch ``b``:
 
     * customers whose new entries all come after their last posted entry
       (the normal, in-order case) are posted from their carried balance with
@@ -194,20 +187,20 @@ def stream_ledger(spark: SparkSession, feed: str, like: DataFrame,
         [], "customer_mobile string, _last struct<transaction_date: timestamp_ntz, "
             "invoice_no: long, step: int>, opening_balance decimal(18,2)")
 
-    def balances(batch_id: int) -> DataFrame:
-        try:
-            rows = spark.read.parquet(changes_dir).filter(F.col("batch_id") < batch_id)
-        except AnalysisException:
-            return empty_bal
-        newest = rows.groupBy("customer_mobile").agg(F.max_by(F.struct("_last", "opening_balance"), "batch_id").alias("m"))
-        return newest.select("customer_mobile", "m._last", "m.opening_balance")
+    changes = balance_table(spark, changes_dir)
+
+    def balances(batch_id: int, own: list[int]) -> DataFrame:
+        rows = changes.read(batch_id, F.col("bucket").isin(own))
+        return empty_bal if rows is None else _newest_balance(rows).select(
+            "customer_mobile", "_last", "opening_balance")
 
     def post(batch: DataFrame, batch_id: int) -> None:
         new = materialize(entries_from_invoices(batch).withColumns({
-            "bucket": F.pmod(F.xxhash64("customer_mobile"), F.lit(buckets)).cast("int"),
+            "bucket": bucket_of("customer_mobile", buckets),
             "batch_id": F.lit(batch_id)}))
         mine = new.groupBy("customer_mobile").agg(F.min(key).alias("_first"))
-        bal = materialize(balances(batch_id).join(mine, "customer_mobile"))     # this batch's customers
+        own = [r[0] for r in new.select("bucket").distinct().collect()]     # at most ``buckets`` numbers
+        bal = materialize(balances(batch_id, own).join(mine, "customer_mobile"))     # this batch's customers
         late = bal.filter(F.col("_first") <= F.col("_last")).select("customer_mobile")
         has_late = bool(late.take(1))
         fresh = new.join(late, "customer_mobile", "left_anti") if has_late else new
@@ -224,13 +217,12 @@ def stream_ledger(spark: SparkSession, feed: str, like: DataFrame,
             keep = old.join(touched, part, "left_semi").join(late, "customer_mobile", "left_anti")
             # written aside first: the partitions being replaced are also read
             out = materialize(done.unionByName(keep))
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(*part).parquet(ledger_dir))
+        write_partitions(out, ledger_dir, part)
         last = (done.groupBy("customer_mobile")
                 .agg(F.max(F.struct(key.alias("_k"), F.col("balance"))).alias("_m"))
                 .select("customer_mobile", F.col("_m._k").alias("_last"),
                         F.col("_m.balance").alias("opening_balance")))
-        _write_batch(last, batch_id, changes_dir)
+        changes.add(last.withColumn("bucket", bucket_of("customer_mobile", buckets)), batch_id)
 
     _run(src.writeStream.foreachBatch(post), f"{root}/checkpoint")
     try:
@@ -244,31 +236,36 @@ def stream_payment_modes(spark: SparkSession, feed: str, like: DataFrame,
                          max_files: int | None = 8) -> DataFrame:
     """Payment count and amount per mode, maintained continuously (complete mode)."""
     root = new_root(spark, "payment-modes")
-    empty = spark.createDataFrame([], "payment_mode string, payments long, amount decimal(18,2)")
-    state = VersionedState(spark, f"{root}/table", empty)
+    # every batch holds the whole result, one row per mode: the newest counts
+    table = Deltas(spark, f"{root}/table", _newest_rows)
     src = _read_feed(spark, feed, like, max_files)
     agg = src.groupBy("payment_mode").agg(F.count(F.lit(1)).alias("payments"),
                                           F.sum("amount").cast("decimal(18,2)").alias("amount"))
+    _run(agg.writeStream.outputMode("complete").foreachBatch(table.add), f"{root}/checkpoint")
+    rows = table.read()
+    if rows is None:
+        return spark.createDataFrame([], "payment_mode string, payments long, amount decimal(18,2)")
+    return _newest_rows(rows).drop("batch_id")
 
-    def replace(batch: DataFrame, batch_id: int) -> None:
-        state.write(batch, batch_id)
 
-    _run(agg.writeStream.outputMode("complete").foreachBatch(replace), f"{root}/checkpoint")
-    return state.latest()
+def _newest_rows(rows: DataFrame) -> DataFrame:
+    last = rows.agg(F.max("batch_id")).first()[0]
+    return rows.filter(F.col("batch_id") == last)
 
 
 # R-5
 def stream_customers(spark: SparkSession, feed: str, like: DataFrame, existing: DataFrame,
-                     max_files: int | None = 8) -> DataFrame:
+                     max_files: int | None = 8, buckets: int = 64) -> DataFrame:
     """De-duplicated customer feed (M-1 incrementally): trimmed mobile, not
     in the existing table, first row by ``ord`` per mobile across the whole
     stream.
 
-    Output: a Parquet folder partitioned by ``batch_id``.  Batch ``b`` reads
-    the customers posted so far (an anti join, no rewrite) and writes its new
-    mobiles to partition ``b``; only when a batch brings an earlier ``ord``
-    for a mobile already posted are the partitions holding those mobiles
-    rewritten.  Dynamic partition overwrite makes a replayed batch idempotent.
+    Output: a Parquet folder partitioned by (``bucket`` of the mobile,
+    ``batch_id``).  Batch ``b`` reads the customers posted so far to its own
+    buckets (an anti join, no rewrite) and writes its new mobiles to their
+    partitions ``b``; only when a batch brings an earlier ``ord`` for a mobile
+    already posted are the partitions holding those mobiles rewritten.
+    Dynamic partition overwrite makes a replayed batch idempotent.
     """
     root = new_root(spark, "customers")
     out_dir = f"{root}/customers"
@@ -276,9 +273,11 @@ def stream_customers(spark: SparkSession, feed: str, like: DataFrame, existing:
     known = existing.select("mobile")
     src = _read_feed(spark, feed, like, max_files)
 
-    def posted_before(batch_id: int) -> DataFrame | None:
+    part = ["bucket", "batch_id"]
+
+    def posted_before(batch_id: int, own: list[int]) -> DataFrame | None:
         try:
-            return spark.read.parquet(out_dir).filter(F.col("batch_id") < batch_id)
+            return spark.read.parquet(out_dir).filter(F.col("bucket").isin(own) & (F.col("batch_id") < batch_id))
         except AnalysisException:
             return None
 
@@ -286,8 +285,10 @@ def stream_customers(spark: SparkSession, feed: str, like: DataFrame, existing:
         rows = (batch.withColumn("mobile", F.trim("mobile")).join(known, "mobile", "left_anti")
                 .select("mobile", F.col("ord").cast("long").alias("ord"), "name", "address", "mail"))
         mins = rows.groupBy("mobile").agg(F.min("ord").alias("ord"))
-        firsts = rows.join(mins, ["mobile", "ord"]).withColumn("batch_id", F.lit(batch_id))
-        prev = posted_before(batch_id)
+        firsts = materialize(rows.join(mins, ["mobile", "ord"]).withColumns(
+            {"bucket": bucket_of("mobile", buckets), "batch_id": F.lit(batch_id)}))
+        own = [r[0] for r in firsts.select("bucket").distinct().collect()]     # at most ``buckets`` numbers
+        prev, emptied = posted_before(batch_id, own), []
         if prev is None:
             out = firsts
         else:
@@ -298,14 +299,16 @@ def stream_customers(spark: SparkSession, feed: str, like: DataFrame, existing:
             if earlier.take(1):
                 earlier = materialize(earlier)
                 gone = earlier.select("mobile")
-                touched = prev.join(gone, "mobile", "left_semi").select("batch_id").distinct()
-                keep = (prev.join(touched, "batch_id", "left_semi")
-                        .join(gone, "mobile", "left_anti"))
-                out = materialize(fresh.unionByName(earlier).unionByName(keep.select(*cols, "batch_id")))
+                touched = prev.join(gone, "mobile", "left_semi").select(*part).distinct()
+                keep = materialize(prev.join(touched, part, "left_semi")
+                                   .join(gone, "mobile", "left_anti").select(*cols, *part))
+                emptied = touched.join(keep, part, "left_anti").collect()      # some of the touched partitions
+                out = materialize(fresh.unionByName(earlier).unionByName(keep))
             else:
                 out = fresh
-        (out.select(*cols, "batch_id").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out_dir))
+        write_partitions(out.select(*cols, *part), out_dir, part)
+        for p in emptied:      # no row left that would overwrite them
+            delete_folder(spark, f"{out_dir}/bucket={p['bucket']}/batch_id={p['batch_id']}")
 
     _run(src.writeStream.foreachBatch(merge), f"{root}/checkpoint")
     try:
