@@ -285,6 +285,46 @@ def upsert_by_name_inventory(r):
     return inv2.select("product_id", "quantity")
 
 
+# the same stock with what its products say of it
+@register("upsert_by_name_availability", f"""
+WITH {_PRODUCT_FILE_SQL},
+v AS (SELECT * FROM rows WHERE supplier_id IN (SELECT s_suppkey FROM supplier)),
+names AS (SELECT pro_name, min(pro_id) AS pid FROM existing GROUP BY pro_name),
+added AS (SELECT n.pid, SUM(v.quantity) AS q FROM v JOIN names n ON v.pro_name = n.pro_name GROUP BY n.pid),
+ff AS (SELECT pro_name, min(ord) AS ord, SUM(quantity) AS q, arg_min(selling_price, ord) AS price,
+              CAST(arg_min(safety_level, ord) AS INTEGER) AS sl
+       FROM v WHERE pro_name NOT IN (SELECT pro_name FROM names) GROUP BY pro_name),
+n AS (SELECT i.product_id, i.price, CAST(i.quantity + COALESCE(a.q, 0) AS INTEGER) AS quantity, a.pid IS NOT NULL AS hit,
+             i.availability AS old, COALESCE(p.p_size + 1, 1) AS sl, i.safety_level AS old_sl
+      FROM r_inventory i LEFT JOIN added a ON i.product_id = a.pid
+      LEFT JOIN part p ON i.product_id = p.p_partkey AND p.p_size <= 25
+      UNION ALL
+      SELECT CAST((SELECT max(pro_id) FROM existing) + row_number() OVER (ORDER BY ord) AS BIGINT), price,
+             CAST(q AS INTEGER), TRUE, NULL, sl, NULL FROM ff),
+x AS (SELECT *, CAST(quantity AS DOUBLE) / CAST(sl AS DOUBLE) AS ratio FROM n)
+SELECT product_id, price, quantity, CASE WHEN hit THEN sl ELSE old_sl END AS safety_level,
+       CASE WHEN NOT hit THEN old ELSE CAST(CASE WHEN ratio >= 1.0 THEN 5 WHEN ratio >= 0.85 THEN 4 WHEN ratio >= 0.50 THEN 3
+                 WHEN ratio >= 0.25 THEN 2 ELSE 1 END AS INTEGER) END AS availability
+FROM x""")
+def upsert_by_name_availability(r):
+    ok, _bad = ld.coerce_products(product_file(r).withColumn(
+        "cost_price", F.coalesce(F.col("cost_price").try_cast("double").cast("string"), F.lit("0"))))
+    # products whose safety level changed since the inventory stored it
+    raised = existing_products(r).withColumn("safety_level", (F.col("safety_level").cast("int") + 1).cast("string"))
+    _p2, inv2, _rej = ld.upsert_by_name(ok, raised, r.inventory, r.supplier)
+    return inv2.select("product_id", "price", "quantity", "safety_level", "availability")
+
+
+@register("upsert_by_name_rejects", f"""
+WITH {_PRODUCT_FILE_SQL}
+SELECT ord, 'invalid supplier_id' AS reason FROM rows WHERE supplier_id NOT IN (SELECT s_suppkey FROM supplier)""")
+def upsert_by_name_rejects(r):
+    ok, _bad = ld.coerce_products(product_file(r).withColumn(
+        "cost_price", F.coalesce(F.col("cost_price").try_cast("double").cast("string"), F.lit("0"))))
+    _p2, _inv2, rejects = ld.upsert_by_name(ok, existing_products(r), r.inventory, r.supplier)
+    return rejects.select("ord", "reason")
+
+
 @register("ensure_customers_table", f"""
 WITH {_CUSTOMER_FILE_SQL}
 SELECT CAST(id AS BIGINT) AS id, name, mobile FROM existing

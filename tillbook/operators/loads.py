@@ -221,6 +221,8 @@ def upsert_by_name(rows: DataFrame, product: DataFrame, inventory: DataFrame,
     text, a new id, and an inventory row.  Unknown supplier ids and rows
     without a name are rejected.
     Repeated new names in one file: the first row inserts, later ones add.
+    Inventory rows that are inserted or whose quantity is written take their
+    product's safety level and its availability (H-6); others keep theirs.
     Returns ``(product', inventory', rejects)``.
     """
     sup = supplier.select(F.col("id").alias("supplier_id"), F.lit(True).alias("_sup"))
@@ -249,11 +251,12 @@ def upsert_by_name(rows: DataFrame, product: DataFrame, inventory: DataFrame,
     product2 = upd.unionByName(new_p, allowMissingColumns=True)
     inv_upd = (inventory.join(add.withColumnRenamed("pro_id", "product_id"), "product_id", "left")
                .withColumn("quantity", (F.col("quantity") + F.coalesce(F.col("_q"), F.lit(0))).cast("int"))
-               .drop("_q"))
-    inv_new = new_p.select(F.col("pro_id").alias("product_id"), F.col("pro_name").alias("product_name"),
-                           "quantity", "unit", "category", "expiry_date",
-                           F.col("hc_code").alias("hscode"))
-    inventory2 = inv_upd.unionByName(inv_new, allowMissingColumns=True)
+               .withColumn("_hit", F.col("_q").isNotNull()).drop("_q"))
+    inv_new = _conform(new_p.select(F.col("pro_id").alias("product_id"), F.col("pro_name").alias("product_name"),
+                                    F.col("selling_price").alias("price"), "quantity", "unit", "category",
+                                    "expiry_date", F.col("hc_code").alias("hscode")), inventory)
+    written = inv_upd.unionByName(inv_new.withColumn("_hit", F.lit(True)))
+    inventory2 = refresh_availability(written, product2, F.col("_hit")).drop("_hit")
     return product2, inventory2, rejects
 
 
