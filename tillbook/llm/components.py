@@ -4,8 +4,8 @@ Each step replaces a node's edges by edges to its smallest neighbour (first
 for larger neighbours, then for smaller ones); the edges end as stars around
 each component's smallest node after O(log^2 n) rounds.  Every step is a
 grouped minimum and a join, so a node with very many edges is pre-aggregated
-and its join side can be split; rounds are written to the shared checkpoint
-folder.  Only two counts per round reach the driver.
+and, in the join, dealt over several tasks; rounds are written to the shared
+checkpoint folder.  Only counts reach the driver.
 """
 
 from __future__ import annotations
@@ -14,19 +14,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.llm.common import stored
+from tillbook.operators.skew import join_per_key
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return (both.filter("b > a").join(least, "a")
+    return (join_per_key(both.filter("b > a"), least, ["a"], "inner")
             .select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct())
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    joined = down.join(least, "a")
+    joined = join_per_key(down, least, ["a"], "inner")
     return (joined.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
             .union(least.select("a", F.col("m").alias("b"))).distinct())
 

@@ -163,14 +163,18 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 6000, id_col: str
           text_col: str = "text", chars_col: str = "n_chars") -> Model:
     """Fit on at most ``max_train`` labelled, not held-out documents.
 
-    Of several labels of an id the largest counts; null labels and ids do not."""
+    Of several labels of an id the largest counts; null labels and ids do not.
+    Of several documents of an id the one with the smallest hash of its text
+    and character count is read, however the table is partitioned.  A null
+    text counts as empty; without labelled documents every score is 0.5."""
     import numpy as np
     sample = (labels.select("doc_id", "quality").filter("quality is not null").filter(~held_out(F.col("doc_id")))
               .groupBy("doc_id").agg(F.max("quality").alias("quality"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train))
     rows = docs.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"),
                        column(chars_col).cast("long").alias("n_chars"))
-    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("quality", T.LongType()),
+    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("pick", T.LongType()),
+                           T.StructField("quality", T.LongType()),
                            T.StructField("at", T.BinaryType()), T.StructField("x", T.BinaryType()),
                            T.StructField("stats", T.BinaryType())])
 
@@ -179,16 +183,18 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 6000, id_col: str
         from pyspark.sql.pandas.types import to_arrow_schema
         arrow, features = to_arrow_schema(schema), Features()
         for batch in batches:
-            doc_ids, texts, chars, quality = (batch.column(i) for i in range(4))
+            doc_ids, texts, chars, quality, pick = (batch.column(i) for i in range(5))
             made = [features.of(t.as_py(), c.as_py()) for t, c in zip(texts, chars)]
             yield pa.RecordBatch.from_arrays(
-                [doc_ids, quality, *[pa.array([m[i].astype(kind).tobytes() for m in made], pa.binary())
+                [doc_ids, pick, quality, *[pa.array([m[i].astype(kind).tobytes() for m in made], pa.binary())
                                      for i, kind in enumerate(("<i2", "<f4", "<f4"))]], schema=arrow)
 
     # the sample is bounded by max_train ids
     found = (rows.join(F.broadcast(sample.withColumn("quality", F.col("quality").cast("long"))), "doc_id")
-             .select("doc_id", "text", "n_chars", "quality").mapInArrow(run, schema)
-             .dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id"))
+             .select("doc_id", "text", "n_chars", "quality", F.xxhash64("text", "n_chars").alias("pick"))
+             .mapInArrow(run, schema).groupBy("doc_id")
+             .agg(F.min_by(F.struct("quality", "at", "x", "stats"), "pick").alias("r"))
+             .select("doc_id", "r.*").toArrow().sort_by("doc_id"))
     made = [tuple(np.frombuffer(found[c][i].as_py(), kind).astype(to) for c, kind, to in
                   (("at", "<i2", np.int64), ("x", "<f4", np.float64), ("stats", "<f4", np.float64)))
             for i in range(found.num_rows)]

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillbook.llm.common import column, id_text, stored, trim
+from tillbook.operators.skew import join_per_key
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_103_515_245 % 2_147_483_647, 741_103_597)
@@ -169,7 +170,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     collisions with it).
     """
     counted, groups = _grouped(id_text(docs, id_col, text_col), hash_fn)
-    return (counted.join(groups, [*KEY, "variant"])
+    return (join_per_key(counted, groups, [*KEY, "variant"], "inner")
             .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
             .select("doc_id", "keep_id", "group_size",
                     (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
@@ -181,7 +182,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ha
 
     Every task first keeps the largest id of each of its groups, so a text
     with very many copies is shuffled once per task.  Rows are joined to the
-    collided fingerprints only where there are any."""
+    collided fingerprints only where there are any.  Nulls, repeated rows and
+    empty tables as in ``exact_groups``."""
     collided = stored(_collisions(id_text(docs, id_col, text_col), hash_fn), "collisions")
     rows = (docs.select(F.struct(*[column(c).alias(f"d{i}") for i, c in enumerate(docs.columns)]).alias("row"),
                         column(id_col).alias("doc_id"),

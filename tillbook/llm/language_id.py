@@ -14,7 +14,8 @@
 
 The last three are grouped sums, over all pages, of the text posteriors; a
 host with a third of all pages is summed per task first.  Their tables are
-joined back by key; the pages then carry a few numbers only, never a text.
+joined back by key, a hot key's pages dealt over several tasks; the pages then
+carry a few numbers only, never a text.
 """
 
 from __future__ import annotations
@@ -26,24 +27,61 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillbook.llm.common import column, stored
+from tillbook.operators.skew import join_per_key
 
 BINS = 1 << 14
 TEMPER = 0.05
 STRENGTH = 10.0            # pages' worth of the level above in a host's prior
-_DROP = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.DOTALL | re.IGNORECASE)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", re.IGNORECASE)
+_BLOCK = re.compile(r"<(script|style)\b", re.IGNORECASE)
+_BLOCK_END = {name: re.compile(rf"</{name}\s*+>", re.IGNORECASE) for name in ("script", "style")}
+_HTML = re.compile(r"<html\b", re.IGNORECASE)
+_LANG = re.compile(r"\blang\s*+=\s*+[\"']?([A-Za-z]+)", re.IGNORECASE)
+_HUGE_NUMBER = re.compile(r"&#[0-9]{1000,};?")     # more digits than Python reads
 
 
 def visible(html: str | None) -> str:
-    """The page's text without markup, scripts, styles and comments."""
+    """The page's text without markup, scripts, styles and comments.
+
+    One pass by position: what closes a comment, a script or a tag is looked
+    for once, and what was not found before is not looked for again, so a page
+    of unclosed markup takes no longer than another."""
     import html as entities
-    return entities.unescape(_DROP.sub(" ", html)) if html else ""
+    if not html:
+        return ""
+    out, at, comments, blocks = [], 0, True, {"script", "style"}
+    while (lt := html.find("<", at)) >= 0:
+        end = -1
+        if comments and html.startswith("<!--", lt):
+            end = html.find("-->", lt + 4)
+            comments = end >= 0
+            end = end + 3 if comments else -1
+        elif (m := _BLOCK.match(html, lt)) and (name := m[1].lower()) in blocks:
+            closing = _BLOCK_END[name].search(html, m.end())
+            if closing:
+                end = closing.end()
+            else:
+                blocks.discard(name)
+        if end < 0:
+            end = html.find(">", lt + 1) + 1
+        if not end:                     # nothing after this is closed
+            break
+        out += [html[at:lt], " "]
+        at = end
+    out.append(html[at:])
+    return entities.unescape(_HUGE_NUMBER.sub("\ufffd", "".join(out)))
 
 
 def declared(html: str | None) -> str:
     """Primary subtag of the declared language, lower-cased; "" without one."""
-    m = _LANG.search(html) if html else None
-    return m[1].lower() if m else ""
+    at = 0
+    while html and (tag := _HTML.search(html, at)):
+        end = html.find(">", tag.end())
+        end = len(html) if end < 0 else end
+        m = _LANG.search(html, tag.end(), end)
+        if m:
+            return m[1].lower()
+        at = end                        # tags opened within this one hold no more than it
+    return ""
 
 
 def trigram_bins(text: str):
@@ -160,7 +198,7 @@ def identify(pages: DataFrame, documents: DataFrame, max_train: int = 4000, id_c
         by = rows.groupBy(key).agg(sums(f"by_{key}"))
         if key in ("declared", "suffix"):
             kinds[key] = by.count()                # of different values
-        joined = joined.join(by, key)
+        joined = join_per_key(joined, by, [key], "inner")
 
     def likelihood(by: str, kinds: int):
         return lambda x, i: F.log((F.col(by)[i] + 0.5) / (everything[i] + 0.5 * kinds))

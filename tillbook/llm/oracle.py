@@ -85,7 +85,7 @@ units AS (
   WHERE contains(body, chr(10))),
 words AS (SELECT doc_id, unit, number, list_filter(string_split_regex(body, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM units),
 grams AS (SELECT doc_id, unit, number, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
-          FROM words WHERE len(w) BETWEEN 2 AND 1000),
+          FROM words WHERE len(w) >= 2),
 hits AS (SELECT doc_id, unit, number, license, len(list_intersect(g, t.grams)) AS shared, len(g) AS unit_size,
                 len(t.grams) AS template_size
          FROM grams JOIN templates t ON len(g) * 80 <= len(t.grams) * 120 AND len(t.grams) * 80 <= len(g) * 120),

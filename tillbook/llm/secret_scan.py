@@ -3,7 +3,8 @@
 One Aho-Corasick pass over the lower-cased text finds where a keyword of any
 rule begins; the rule's regular expression is matched only there, anchored.
 Hexadecimal runs have no keyword: the text is mapped to "hex digit or not"
-and searched for the keyword of 32 hex digits in a row.  Rules whose tokens
+and searched for the keyword of 32 hex digits in a row.  No rule reads a stretch
+of text again for each of its hits, so a scan is linear in the text.  Rules whose tokens
 carry a checksum (the CRC-32 in base 62 at the end of a token, the JSON
 header of a signed web token, the Luhn digit of a card number) are validated
 before a span is reported.  The span of a private key holds the whole key.
@@ -35,8 +36,10 @@ GITHUB_WORDS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")
 GITHUB = re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 NPM = re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
-CARD = re.compile(r"(?:card|visa|mastercard)[\"']?\x20*(?:number|no\.?)?\x20*[:=#]?\x20*((?:\d[\x20-]?){12,18}\d)(?!\d)",
-                  re.ASCII | re.IGNORECASE)
+# what the first part of a web token runs to, and what must follow it
+JWT_RUN, JWT_REST = re.compile(r"[A-Za-z0-9_-]*+"), re.compile(r"\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]")
+CARD = re.compile(r"(?:card|visa|mastercard)[\"']?\x20*+(?:(?:number|no\.?)\x20*+)?(?:[:=#]\x20*+)?"
+                  r"((?:\d[\x20-]?){12,18}\d)(?!\d)", re.ASCII | re.IGNORECASE)
 # From BEGIN to the matching END line with no other BEGIN or END between; if
 # there is none, to the end of the base64 after it: lines of a text that may be
 # quoted, commented out, escaped or joined, the last one also a short word
@@ -108,9 +111,16 @@ class Scanner:
         low = data.lower()                  # A-Z only, so places stay the same
         found, reach = [], dict.fromkeys(RULES, 0)
         hits = sorted((end - n + 1, kind) for end, (kind, n) in self.words.iter(low.decode("utf-8")))
+        run, token = 0, False               # the end of a run of token characters; is it a web token's first part
         for start, kind in hits:
             if start < reach[kind]:
                 continue
+            if kind == "jwt":               # a run is read once, however many hits it holds
+                if start >= run:
+                    run = JWT_RUN.match(text, start).end()
+                    token = JWT_REST.match(text, run) is not None
+                if not token:
+                    continue
             m = RULES[kind].match(text, start)
             if m:                           # even a match that fails its check takes its place
                 reach[kind] = m.end()
@@ -174,7 +184,9 @@ def masked(text: Column, mark: str = "[SECRET]") -> Column:
 def mask_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]",
                  chars_col: str | None = None) -> DataFrame:
     """``docs`` with ``text_col`` masked; ``chars_col``, if given, becomes the
-    length of the texts that changed.  Other columns and rows stay."""
+    length of the texts that changed.  Other columns and rows stay: a null or
+    empty text as it is, repeated rows each, null ids; an empty table gives no
+    rows."""
     new = masked(column(text_col), mark)
     out = {text_col: new}
     if chars_col:
