@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1 << 18         # a key with fewer rows is never hot
+HOT_ROWS = 1000            # a key with no more rows is never hot
 HOT_KEYS = 1000            # a hot key has more than one row in so many: at most so many hot keys
 SALTS = 16                 # of a table with one key only, per shuffle partition
 
