@@ -34,8 +34,8 @@ def register(name: str, sql: str | None = None, extra_ctes: dict | None = None):
 def _load():
     global _LOADED
     if not _LOADED:
-        from tillbook.catalog import (documents, ledger, loads, quality, references, reports,  # noqa: F401
-                                      rules, sources, stock, streams)
+        from tillbook.catalog import (documents, layouts, ledger, loads, quality, references,  # noqa: F401
+                                      reports, rules, sources, stock, streams)
         _LOADED = True
 
 
