@@ -2,15 +2,19 @@
 
 ``H(s) = sum s[i] * B^(n-1-i) mod p`` over a text's bytes, for two primes.
 Chunk hashes are independent of each other and compose by shifting with the
-length of what follows: ``H(xy) = H(x) * B^len(y) + H(y)``, so the chunks of
-a huge document can be hashed in parallel and combined in any grouping.
-
-Equal fingerprints are only candidates: the texts are then compared chunk by
-chunk.  Chunks of one fingerprint and position meet in a grouped count of
-different chunks (copies collapse before the shuffle, so a text with
-millions of copies sends one row per task); a position with two different
-chunks marks a collision, and rows of such a fingerprint are grouped by the
-whole text's digest as well.
+length of what follows: ``H(xy) = H(x) * B^len(y) + H(y)``.
+
+``exact_groups`` reads each text once and stores its chunks, each with its
+hash and length.  A grouped aggregate composes the hashes of the documents of
+several chunks; equal fingerprints are only candidates, so their lists of
+chunk hashes must be equal as well, and the stored chunks are compared byte by
+byte: chunks of one hash and length meet in a grouped count of different
+chunks (copies collapse before the shuffle, so a text with millions of copies
+sends one row per task).  A hash with two different chunks is a collision, and
+documents that hold such a chunk are grouped by their digest as well.
+
+``keep_one`` carries whole rows, so there hashes are composed beside the text
+and compared by fingerprint and position.
 """
 
 from __future__ import annotations
@@ -141,16 +145,100 @@ def _collisions(rows: DataFrame, hash_fn=fingerprint) -> DataFrame:
     return different.filter("n > 1").select(*KEY).distinct()
 
 
+def _chunk_rows(rows: DataFrame, hash_fn=fingerprint) -> DataFrame:
+    """One row per chunk, one at least per text: the text's ``row_no``,
+    ``doc_id``, ``n_bytes``, ``n_chunks`` and (in its first chunk's row)
+    ``sha256``; ``chunk_no``, both hashes ``a`` and ``b``, the factors that
+    shift what stands before, ``size`` and the ``chunk``.
+
+    ``row_no`` counts the texts of a task: store the result before use."""
+    fields = [("row_no", T.LongType()), ("doc_id", rows.schema["doc_id"].dataType), ("n_bytes", T.LongType()),
+              ("n_chunks", T.IntegerType()), ("sha256", T.StringType()), ("chunk_no", T.IntegerType()),
+              ("a", T.LongType()), ("b", T.LongType()), ("shift_a", T.LongType()), ("shift_b", T.LongType()),
+              ("size", T.IntegerType()), ("chunk", T.BinaryType())]
+    schema = T.StructType([T.StructField(*f) for f in fields])
+    own = hash_fn is fingerprint
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        row_no = TaskContext.get().partitionId() << 33
+        shifts = {n: tuple(pow(b, n, p) for b, p in zip(BASES, PRIMES)) for n in (0, CHUNK_BYTES)}
+        out, size = [], 0
+
+        def flush():
+            nonlocal size
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+            out.clear()
+            size = 0
+            return batch
+
+        for batch in batches:
+            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = normalised(value.as_py())
+                cuts = range(0, len(data), CHUNK_BYTES) or (0,)
+                if own:
+                    parts = chunk_hashes(data) or [(0, 0, 0)]
+                else:
+                    parts = [(h >> 31, h & (1 << 31) - 1, len(data[at:at + CHUNK_BYTES]))
+                             for at in cuts for h in [hash_fn(data[at:at + CHUNK_BYTES])]]
+                sha = hashlib.sha256(data).hexdigest()
+                for no, (at, (a, b, n)) in enumerate(zip(cuts, parts)):
+                    shift = shifts.get(n) or tuple(pow(base, n, p) for base, p in zip(BASES, PRIMES))
+                    out.append((row_no, doc_id, len(data), len(cuts), None if no else sha, no, a, b, *shift, n,
+                                data[at:at + CHUNK_BYTES]))
+                    size += n + 200
+                    if size > OUT_BYTES:
+                        yield flush()
+                row_no += 1
+        if out:
+            yield flush()
+        trim()
+
+    return rows.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def _composed(chunks: DataFrame) -> DataFrame:
+    """``row_no``, ``doc_id``, ``n_bytes``, ``sha256``, the fingerprint ``fp``
+    and, for texts of several chunks, the list of their hashes as text."""
+    both = F.shiftleft(F.col("a"), 31).bitwiseOR(F.col("b"))
+    one = chunks.filter("n_chunks = 1").select("row_no", "doc_id", "n_bytes", "sha256", both.alias("fp"),
+                                               F.lit("").alias("parts"))
+    # a text has at most 2^31 bytes, so a list has at most 2^15 hashes
+    lists = (chunks.filter("n_chunks > 1").groupBy("row_no", "doc_id", "n_bytes")
+             .agg(F.max("sha256").alias("sha256"),
+                  F.sort_array(F.collect_list(F.struct("chunk_no", "a", "b", "shift_a", "shift_b"))).alias("c")))
+    zero = F.lit(0).cast("long")
+    composed = F.aggregate(
+        "c", F.struct(zero.alias("a"), zero.alias("b")),
+        lambda h, c: F.struct(((h["a"] * c["shift_a"] + c["a"]) % F.lit(PRIMES[0]).cast("long")).alias("a"),
+                              ((h["b"] * c["shift_b"] + c["b"]) % F.lit(PRIMES[1]).cast("long")).alias("b")),
+        lambda h: F.shiftleft(h["a"], 31).bitwiseOR(h["b"]))
+    parts = F.array_join(F.transform("c", lambda c: F.concat_ws(".", c["a"].cast("string"), c["b"].cast("string"))), ",")
+    many = lists.select("row_no", "doc_id", "n_bytes", "sha256", composed.alias("fp"), parts.alias("parts"))
+    return one.unionByName(many)
+
+
 def _grouped(rows: DataFrame, hash_fn=fingerprint) -> tuple[DataFrame, DataFrame]:
     """Per distinct (doc_id, text): key, digest and row count; and per text:
     key, group size and the id that stays."""
-    meta = rows.select("doc_id", _fingerprint_udf(hash_fn)("text").alias("f")).select("doc_id", "f.*")
-    collided = _collisions(rows, hash_fn).withColumn("collided", F.lit(True))
-    # the grouping by digest matters for collided fingerprints only
-    counted = stored(meta.groupBy("doc_id", *KEY, "sha256").agg(F.count(F.lit(1)).alias("copies"))
-                     .join(collided, KEY, "left")
-                     .withColumn("variant", F.when(F.col("collided"), F.col("sha256")).otherwise(F.lit("")))
-                     .drop("collided"), "fingerprints")
+    chunks = stored(_chunk_rows(rows, hash_fn), "chunks")
+    texts = _composed(chunks)
+    chunk_key = ["a", "b", "size"]
+    bad = stored(chunks.groupBy(*chunk_key, "chunk").agg(F.lit(1).alias("one"))
+                 .groupBy(*chunk_key).agg(F.count("one").alias("n")).filter("n > 1").select(*chunk_key), "chunk-collisions")
+    if bad.isEmpty():
+        texts = texts.withColumn("variant", F.col("parts"))
+    else:
+        hit = (join_per_key(chunks.select("row_no", *chunk_key), bad.withColumn("collided", F.lit(True)), chunk_key, "inner")
+               .groupBy("row_no").agg(F.first("collided").alias("collided")))
+        texts = (texts.join(hit, "row_no", "left")
+                 .withColumn("variant", F.concat("parts", F.when(F.col("collided"), F.col("sha256")).otherwise(F.lit("")))))
+    counted = stored(texts.groupBy("doc_id", *KEY, "variant", "sha256").agg(F.count(F.lit(1)).alias("copies")),
+                     "fingerprints")
     groups = counted.groupBy(*KEY, "variant").agg(F.sum("copies").alias("group_size"),
                                                   F.max("doc_id").alias("keep_id"))
     return counted, groups
@@ -166,8 +254,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one row of a group is kept: of repeated rows with the largest id, one.
     A null id is never the largest; in a group of null ids only, one row is
     kept and ``keep_id`` is null.  An empty table gives no rows; other
-    columns are ignored.  ``hash_fn`` replaces the fingerprint (tests force
-    collisions with it).
+    columns are ignored.  ``hash_fn`` replaces the hash of a chunk (tests
+    force collisions with it).
     """
     counted, groups = _grouped(id_text(docs, id_col, text_col), hash_fn)
     return (join_per_key(counted, groups, [*KEY, "variant"], "inner")
