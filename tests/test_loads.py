@@ -102,3 +102,29 @@ def test_delete_cascade_and_set_null(spark):
     out2 = ld.delete_set_null(keys, "id", inv, "customer_id")
     assert rows(out2.withColumn("c", F.coalesce("customer_id", F.lit(-1))), "invoice_no", "c") == [
         (10, -1), (11, 2)]
+
+
+def test_rows_are_counted_as_they_are_written(spark, tmp_path):
+    schema = "ord long, pro_id string, pro_name string, cost_price string, selling_price string, quantity string, " \
+             "safety_level string, supplier_id string, expiry_date string, hc_code string, supplier_name string"
+    good = ("5", "Sugar", "1", "2", "3", "4", "1", None, None, "stale")
+    bad = [("x", "a", "1", "2", "3", "4", "1", None, None, None), ("6", "a", "?", "2", "3", "4", "9", None, None, None),
+           ("6", "a", "1", "2", "3", "4", "9", None, None, None), ("6", "a", "1", "2", "3", "4", None, None, None, None)]
+    supplier = spark.createDataFrame([(1, "ABC")], "id int, name string")
+    rows_ = spark.createDataFrame([(i, *v) for i, v in enumerate([good, good, *bad])], schema).repartition(3)
+    tagged = ld.tag_products(rows_, supplier)
+    ok, rejects = ld.coerce_products(rows_)
+    ok, missing = ld.enrich_supplier(ok, supplier)
+    assert rows(tagged.filter("reason is null"), "ord", "supplier_name") == rows(ok, "ord", "supplier_name")
+    assert rows(tagged.filter("reason is not null"), "ord", "reason") == sorted(
+        rows(rejects, "ord", "reason") + rows(missing, "ord", "reason"))
+    path = str(tmp_path / "load")
+    for _ in range(2):                                # a batch that is run again replaces its rows
+        counts = ld.write_tagged(tagged, path, "b1", ld.PRODUCT_REASONS)
+        assert (counts["read"], counts["accepted"], counts["rejected"], counts["missing supplier"]) == (6, 2, 4, 2)
+        assert counts["pro_id is not a whole number"] == counts["cost_price is not a number"] == 1
+        assert spark.read.parquet(path).count() == 6
+    fixed = tagged.filter("reason is null")
+    assert ld.write_tagged(fixed, path, "b1")["rejected"] == 0
+    assert ld.write_tagged(fixed.limit(0), path, "b2") == {"read": 0, "accepted": 0, "rejected": 0}
+    assert spark.read.parquet(path).groupBy("batch_id", "outcome").count().collect() == [("b1", "accepted", 2)]

@@ -87,6 +87,15 @@ def upsert_payments(r):
     return out
 
 
+# every tenth customer is unknown to the invoices
+@register("upsert_payments_rejects", """
+SELECT invoice_no, 'customer is NULL' AS reason FROM r_invoice WHERE customer_id % 10 = 0""")
+def upsert_payments_rejects(r):
+    invoice = r.invoice.withColumn("customer_id", F.when(F.col("customer_id") % 10 != 0, F.col("customer_id")))
+    _out, rejects = ps.upsert_payments(invoice, r.payment, r.customer)
+    return rejects
+
+
 # ---- ledger -------------------------------------------------------------------
 
 @register("post_ledger", "SELECT * FROM r_ledger")

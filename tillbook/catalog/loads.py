@@ -10,11 +10,14 @@ with the scale factor:
 Existing tables are split by a business attribute (market segment, size).
 """
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tillbook.catalog import register
 from tillbook.functions import rules as R
 from tillbook.operators import loads as ld
+from tillbook.session import scratch_path
 from tillbook.sources.fixtures import mobile_of
 
 EXISTING_SEGMENTS = ("AUTOMOBILE", "BUILDING")
@@ -196,6 +199,23 @@ def import_products_rejects(r):
     return rej
 
 
+@register("import_products_counts", f"""
+WITH {_PRODUCT_FILE_SQL},
+t AS (SELECT CASE WHEN cost_price IS NULL THEN 'cost_price is not a number'
+                  WHEN supplier_id NOT IN (SELECT s_suppkey FROM supplier) THEN 'missing supplier'
+                  ELSE 'accepted' END AS outcome FROM rows)
+SELECT outcome, COUNT(*) AS counted, COUNT(*) AS written FROM t GROUP BY outcome""")
+def import_products_counts(r):
+    """Rows by outcome, as counted while they were written and as written."""
+    path = scratch_path(r.spark, f"product-load-{uuid.uuid4().hex}")
+    counts = ld.write_tagged(ld.tag_products(product_file(r), r.supplier), path, "b1", ld.PRODUCT_REASONS)
+    outcome = F.coalesce("reason", F.lit("accepted"))
+    written = r.spark.read.parquet(path).select(outcome.alias("outcome")).groupBy("outcome").agg(F.count(F.lit(1)).alias("written"))
+    counted = r.spark.createDataFrame([(k, n) for k, n in counts.items() if n and k not in ("read", "rejected")],
+                                      "outcome string, counted long")
+    return counted.join(written, "outcome", "full")
+
+
 # the same file with broken cells: ids as "007", prices too large, NaN and
 # huge quantities, unreadable ids, NaN safety levels
 def messy_product_file(r):

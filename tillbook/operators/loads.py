@@ -12,13 +12,14 @@ a key repeated a million times in a file does not land in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tillbook.functions import rules as R
 from tillbook.operators.numbering import assign_ids, next_id_start
 from tillbook.operators.stock import mirror_quantity, refresh_availability
 from tillbook.operators.windows import first_by_order, last_by_order, materialize
+from tillbook.session import delete_folder
 
 CUSTOMER_COLUMNS = ("name", "mobile", "address", "mail")
 SUPPLIER_COLUMNS = ("name", "terms", "mobile", "mail", "company")
@@ -69,16 +70,8 @@ def import_suppliers(rows: DataFrame, existing: DataFrame, order: str = "ord") -
 
 
 # H-21
-def coerce_products(rows: DataFrame):
-    """Type coercion of a product file read as text.
-
-    pro_id to a whole number (so ``5`` and ``05`` are one product); prices
-    via float to NUMERIC(10,2); quantity int (a fraction is truncated, like
-    ``int(float)``); safety level int with blank or not-a-number -> 0;
-    supplier id int or NULL; blank expiry / hc_code -> NULL.  A cell that
-    does not parse, or a value its column cannot hold, rejects its row and
-    no other.  Returns ``(ok, rejects)``.
-    """
+def _coerced(rows: DataFrame) -> DataFrame:
+    """The rows of :func:`coerce_products`, all of them, with the ``reason``."""
     def blank(c):
         return F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
 
@@ -118,9 +111,58 @@ def coerce_products(rows: DataFrame):
            .when(F.col("quantity").isNull(), "quantity is out of range")
            .when(F.col("safety_level").isNull(), "safety_level is out of range")
            .when(F.col("_expiry"), "expiry_date is not a date"))
-    ok, rejects = _reason_split(typed, bad)
-    flags = ("_cost", "_sell", "_qty", "_expiry")
-    return ok.drop(*flags), rejects.drop(*flags)
+    return typed.withColumn("reason", bad).drop("_cost", "_sell", "_qty", "_expiry")
+
+
+def coerce_products(rows: DataFrame):
+    """Type coercion of a product file read as text.
+
+    pro_id to a whole number (so ``5`` and ``05`` are one product); prices
+    via float to NUMERIC(10,2); quantity int (a fraction is truncated, like
+    ``int(float)``); safety level int with blank or not-a-number -> 0;
+    supplier id int or NULL; blank expiry / hc_code -> NULL.  A cell that
+    does not parse, or a value its column cannot hold, rejects its row and
+    no other.  Returns ``(ok, rejects)``.
+    """
+    return _reason_split(_coerced(rows), F.col("reason"))
+
+
+# what can be wrong with a product file's row, by the column or the look-up that refuses it
+PRODUCT_REASONS = ("pro_id is not a whole number", "cost_price is not a number", "cost_price is out of range",
+                   "selling_price is not a number", "selling_price is out of range", "quantity is not a number",
+                   "quantity is out of range", "safety_level is out of range", "expiry_date is not a date",
+                   "missing supplier")
+
+
+def tag_products(rows: DataFrame, supplier: DataFrame) -> DataFrame:
+    """H-21 and J-8 in one pass: every row of the file, coerced, with its
+    supplier's name and the first ``reason`` against it (NULL: accepted)."""
+    names = supplier.select(F.col("id").alias("supplier_id"), F.col("name").alias("supplier_name"))
+    known = _coerced(rows.drop("supplier_name")).join(names, "supplier_id", "left")
+    return known.withColumn("reason", F.coalesce("reason", F.when(F.col("supplier_name").isNull(), F.lit("missing supplier"))))
+
+
+def write_tagged(tagged: DataFrame, path: str, batch_id: str, reasons: tuple[str, ...] = ()) -> dict[str, int]:
+    """Write the accepted and the refused rows of a load, and count them as
+    they are written.
+
+    Rows go to partitions (batch_id, outcome: accepted or rejected) of ``path``; a batch that is
+    run again replaces its own.  The counts (``read``, ``accepted``,
+    ``rejected``, and one per reason of ``reasons``) are observed in the task
+    that writes, after the last exchange, so a stage that is run again counts
+    once and no second pass over the file is needed.
+    """
+    seen = Observation()
+    refused = F.col("reason").isNotNull()
+    counts = {"read": F.count(F.lit(1)), "accepted": F.count_if(~refused), "rejected": F.count_if(refused),
+              **{r: F.count_if(F.col("reason") == r) for r in reasons}}
+    # a batch that has no row of one kind now must not keep an earlier run's
+    delete_folder(tagged.sparkSession, f"{path.rstrip('/')}/batch_id={batch_id}")
+    (tagged.observe(seen, *[c.alias(name) for name, c in counts.items()])
+     .withColumn("batch_id", F.lit(batch_id))
+     .withColumn("outcome", F.when(refused, F.lit("rejected")).otherwise(F.lit("accepted")))
+     .write.mode("append").partitionBy("batch_id", "outcome").parquet(path))
+    return dict(seen.get)
 
 
 # J-8
