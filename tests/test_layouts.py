@@ -234,3 +234,11 @@ def test_a_new_day_adds_one_row_and_late_invoices_merge(spark):
     assert tuple(sk.active_since(stored, "2001-07-02").first()) == (3, 5, 10)
     assert tuple(sk.active_since(stored, "2001-07-01", "today").first()) == (2, 3, 10)
     assert tuple(sk.active_since(stored, "2003-07-01", "week").first()) == (0, 0, 0)
+
+
+def test_index_of_nothing(spark, tmp_path):
+    df = spark.createDataFrame([(1, None), (2, "ab")], "pro_id long, pro_name string")
+    index = sub.TrigramIndex(spark, str(tmp_path / "index"))
+    index.add(df, "pro_id", ["pro_name"])
+    assert rows(sub.search_products(df, index, "ab"), "pro_id") == [(2,)]
+    assert sub.search_products(df, index, "abc").count() == 0
