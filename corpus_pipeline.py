@@ -7,7 +7,8 @@
 4. secret scan: secrets in the texts are masked;
 5. packing: the texts become sequences of token ids.
 
-Stages 1 to 4 return the columns of ``documents``.
+Stages 1 to 4 return the columns of ``documents``.  An empty table gives no
+rows at any stage; other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,23 +23,32 @@ from tillbook.session import scratch_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that pass the rules; a null or empty text has no words and goes, a
+    null id is judged like any other, repeated rows all stay or all go."""
     return rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts, the one with the largest id (of
+    repeated rows, one); null and empty texts are one group."""
     return fingerprints.keep_one(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row with the smallest id of each class; a null id only where there
+    is no other.  Rows without words all stay."""
     return ngram_join.keep_one_per_class(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masked texts; ``n_chars`` follows the text where it changed."""
+    """Masked texts; ``n_chars`` follows the text where it changed.  Every row
+    stays, null and empty texts as they are."""
     return secret_scan.mask_secrets(docs, chars_col="n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of every row's ids; a null or empty text is its end id alone,
+    repeated rows are packed each."""
     return packing.pack(docs, WORD_TOKENIZER)
 
 
