@@ -14,6 +14,11 @@ stratum more than a share ``risk`` of good documents is falsely rejected by
 any level that passes.  Of these the most lenient is used that rejects as
 many labelled bad documents as the strictest.  A stratum with too few
 labels gets no cutoffs.
+
+The guarantee covers what the cutoffs reject among documents that pass the
+base rules (fixed limits on words and repeats, not learnt).  Good documents
+that fail the base rules are rejected beside it, and do not count in the
+holdout.  It holds for labels that the grid of ``LEVELS`` was not set by.
 """
 
 from __future__ import annotations
