@@ -562,7 +562,7 @@ def pieces():
 def test_token_counts(docs, plain, pieces, monkeypatch):
     from tillbook.llm import chunk_table
     monkeypatch.setattr(chunk_table, "BLOCK_CHARS", 20_000)
-    monkeypatch.setattr(chunk_table, "BUCKETS", 13)
+    monkeypatch.setattr(chunk_table, "LEAST_BUCKETS", 13)
     got = token_counts.count_tokens(docs, queries.PIECE_MODEL).collect()
     assert bag(got) == bag((i, len((t or "").encode()), len(pieces.encode(t or ""))) for i, t in plain)
 
@@ -576,6 +576,27 @@ def test_encode_decode(docs, plain, pieces):
     assert Counter((r["doc_id"], bytes(r["ids"]), r["decoded"]) for r in got) == want
 
 
+def test_chunk_buckets_grow_with_the_dictionaries(spark, docs, plain, pieces, monkeypatch):
+    from tillbook.llm import chunk_table
+    monkeypatch.setattr(chunk_table, "LEAST_BUCKETS", 1)
+    block_rows = chunk_table.blocks(docs, "doc_id", "text", frequencies=True)
+    assert chunk_table.spread(block_rows) == (4, 1)
+    total = block_rows.agg(F.sum(F.octet_length("words"))).first()[0]
+    monkeypatch.setattr(chunk_table, "TASK_BYTES", total // 50)
+    buckets, tasks = chunk_table.spread(block_rows)
+    assert tasks in (50, 51) and buckets == 4 * tasks
+    asked = chunk_table.segmented(block_rows, queries.PIECE_MODEL, False, buckets, tasks)
+    assert asked.rdd.getNumPartitions() == tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    read = asked.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.countDistinct("bucket").alias("n"))
+    assert read.agg(F.max("n")).first()[0] <= 16 and read.count() > tasks / 2
+    got = token_counts.count_tokens(docs, queries.PIECE_MODEL).collect()
+    assert bag(got) == bag((i, len((t or "").encode()), len(pieces.encode(t or ""))) for i, t in plain)
+    got = sentencepieces.encode_decode(docs, queries.PIECE_MODEL).select("ids").collect()
+    assert Counter(len(r["ids"]) // 4 - 2 for r in got) == Counter(len(pieces.encode(t or "")) for _, t in plain)
+    none = docs.filter("text is null")
+    assert [r["n_tokens"] for r in token_counts.count_tokens(none, queries.PIECE_MODEL).collect()] == [0] * none.count()
+
+
 def test_chunks_random_texts(pieces):
     from tillbook.llm import chunk_table
     _, bare = chunk_table.processors(queries.PIECE_MODEL)

@@ -10,11 +10,13 @@ distinct chunk segmented once, and the parts put together again.
 1. ``blocks``: each task reads its documents in blocks of a bounded number
    of characters and writes one row per block: the block's distinct chunks
    (its dictionary) and, per document, the places in that dictionary.
-2. ``segmented``: dictionaries are dealt by a hash of the chunk into
-   ``BUCKETS``; one row carries a block's chunks of one bucket.  In a bucket
+2. ``segmented``: dictionaries are dealt by a hash of the chunk into buckets;
+   one row carries a block's chunks of one bucket.  In a bucket
    each distinct chunk is segmented once, for every block that asked.  A
    chunk occurs once per block at most, however frequent it is in the texts,
-   so no chunk is hot.
+   so no chunk is hot.  ``spread`` takes the numbers of buckets and of tasks
+   from the size of all dictionaries, so that a task's share stays bounded
+   while the input grows.
 3. The answers go back to their block (one block's dictionary is bounded by
    the block size) and are put in place there.
 
@@ -36,7 +38,9 @@ from tillbook.llm.common import id_text, stored, trim
 
 BLOCK_CHARS = 32 << 20     # a block is closed at this many characters
 BLOCK_DOCS = 1 << 16       # ... or documents
-BUCKETS = 1024
+TASK_BYTES = 32 << 20      # of packed dictionaries, segmented by one task
+LEAST_BUCKETS = 1024
+BUCKETS_PER_TASK = 4
 KNOWN_CHUNKS = 2_000_000  # of a bucket, remembered at once
 MARK = "▁"
 # letters are word characters but digits, underscores and raised or broken numbers
@@ -127,15 +131,15 @@ def unpacked_words(data: bytes) -> list[str]:
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str, frequencies: bool) -> DataFrame:
-    """One row per block: ``block_id``, ``words``, ``word_buckets``, and per
-    document ``doc_ids``, ``n_bytes``, ``n_places`` with the places in
+    """One row per block: ``block_id``, ``words`` (null for none),
+    ``words_bytes`` (their packed size), and per document ``doc_ids``, ``n_bytes``, ``n_places`` with the places in
     ``words`` one after the other in ``places``; with ``frequencies`` each
     place occurs once per document and ``times`` says how often."""
     rows = id_text(docs, id_col, text_col)
     id_type = rows.schema["doc_id"].dataType
     schema = T.StructType([
         T.StructField("block_id", T.LongType()), T.StructField("words", T.BinaryType()),
-        T.StructField("word_buckets", T.BinaryType()), T.StructField("doc_ids", T.ArrayType(id_type)),
+        T.StructField("words_bytes", T.LongType()), T.StructField("doc_ids", T.ArrayType(id_type)),
         T.StructField("n_bytes", T.ArrayType(T.LongType())), T.StructField("n_places", T.ArrayType(T.LongType())),
         T.StructField("places", T.BinaryType()), T.StructField("times", T.BinaryType())])
 
@@ -157,8 +161,8 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, frequencies: bool) -> Da
             rank = np.empty(len(names), dtype="<u4")
             rank[order] = np.arange(len(names))
             names = [names[i] for i in order.tolist()]
-            by = np.array([zlib.crc32(w.encode("utf-8")) % BUCKETS for w in names], dtype="<u2")
-            row = (block, packed_words(names), packed(by), doc_ids, n_bytes, n_places,
+            held = packed_words(names) if names else None
+            row = (block, held, len(held or b""), doc_ids, n_bytes, n_places,
                    packed_places(rank[at]), packed(np.concatenate(times)) if frequencies else None)
             return pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(row, arrow)], schema=arrow)
 
@@ -191,7 +195,19 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, frequencies: bool) -> Da
     return stored(rows.mapInArrow(run, schema), "chunk-blocks")
 
 
-def segmented(block_rows: DataFrame, model: str, ids: bool) -> DataFrame:
+def spread(block_rows: DataFrame) -> tuple[int, int]:
+    """(buckets, tasks) for the dictionaries of ``block_rows``."""
+    total = block_rows.agg(F.sum("words_bytes")).first()[0] or 0
+    tasks = max(1, -(-total // TASK_BYTES))
+    return max(LEAST_BUCKETS, BUCKETS_PER_TASK * tasks), tasks
+
+
+def buckets_of(words: list[str], buckets: int):
+    import numpy as np
+    return np.fromiter((zlib.crc32(w.encode("utf-8")) % buckets for w in words), dtype="<u4", count=len(words))
+
+
+def segmented(block_rows: DataFrame, model: str, ids: bool, buckets: int, tasks: int) -> DataFrame:
     """``block_id``, ``bucket``, ``sizes`` (pieces per chunk, packed) for every
     block and bucket, in the block's order of words; with ``ids`` also the
     ``ids`` of the chunks one after the other (packed)."""
@@ -203,14 +219,15 @@ def segmented(block_rows: DataFrame, model: str, ids: bool) -> DataFrame:
         import numpy as np
         import pyarrow as pa
         for batch in batches:
-            for block, words, by in zip(*(c.to_pylist() for c in batch.columns)):
-                by, words = unpacked(by, "<u2"), unpacked_words(words) if len(by) else []
+            for block, words in zip(*(c.to_pylist() for c in batch.columns)):
+                words = unpacked_words(words) if words else []
+                by = buckets_of(words, buckets)
                 order = np.argsort(by, kind="stable")
-                buckets, starts = np.unique(by[order], return_index=True)
+                there, starts = np.unique(by[order], return_index=True)
                 parts = [packed_words([words[i] for i in at.tolist()]) for at in np.split(order, starts[1:])] \
-                    if len(by) else []
+                    if words else []
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(buckets.tolist(), pa.int32()), pa.array([block] * len(parts), pa.int64()),
+                    [pa.array(there.tolist(), pa.int32()), pa.array([block] * len(parts), pa.int64()),
                      pa.array(parts, pa.binary())], names=["bucket", "block_id", "words"])
 
     def answer(batches):
@@ -239,24 +256,38 @@ def segmented(block_rows: DataFrame, model: str, ids: bool) -> DataFrame:
         known = {}
         trim()
 
-    asked = block_rows.select("block_id", "words", "word_buckets").mapInArrow(
-        ask, "bucket int, block_id long, words binary")
-    return asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, schema)
+    asked = block_rows.select("block_id", "words").mapInArrow(ask, "bucket int, block_id long, words binary")
+    # the session's number of partitions, which Spark may coalesce, unless more are needed
+    least = int(block_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = asked.repartition(tasks, "bucket") if tasks > least else asked.repartition("bucket")
+    return dealt.sortWithinPartitions("bucket").mapInArrow(answer, schema)
 
 
-def answered(block_rows: DataFrame, answers: DataFrame) -> DataFrame:
-    """Each block with the ``answers`` for its dictionary: an array of structs
-    of ``bucket`` and the packed columns, at most one per bucket."""
+def answered(block_rows: DataFrame, model: str, ids: bool) -> DataFrame:
+    """Each block with ``word_buckets`` (packed, in its order of words) and the
+    ``answers`` for its dictionary: an array of structs of ``bucket`` and the
+    packed columns of ``segmented``, at most one per bucket."""
+    buckets, tasks = spread(block_rows)
+
+    @F.arrow_udf(T.BinaryType())
+    def codes(words):
+        import pyarrow as pa
+        out = [packed(buckets_of(unpacked_words(w.as_py()) if w.is_valid else [], buckets)) for w in words]
+        trim()
+        return pa.array(out, pa.binary())
+
+    answers = segmented(block_rows, model, ids, buckets, tasks)
     values = F.struct(*[c for c in answers.columns if c != "block_id"])
     per_block = answers.groupBy("block_id").agg(F.sort_array(F.collect_list(values)).alias("answers"))
-    return block_rows.drop("words").join(per_block, "block_id", "left")
+    coded = block_rows.withColumn("word_buckets", codes.asNondeterministic()("words")).drop("words", "words_bytes")
+    return coded.join(per_block, "block_id", "left")
 
 
 def by_place(word_buckets: bytes, parts: list[bytes]):
     """Packed per-chunk numbers of each bucket, in bucket order -> one array
     in the block's order of words, and that order."""
     import numpy as np
-    order = np.argsort(unpacked(word_buckets, "<u2"), kind="stable")
+    order = np.argsort(unpacked(word_buckets, "<u4"), kind="stable")
     out = np.zeros(len(order), dtype=np.int64)
     if len(order):
         out[order] = np.concatenate([unpacked(p, "<u4") for p in parts])

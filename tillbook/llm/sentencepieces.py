@@ -27,8 +27,7 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id",
     table gives no rows; other columns are ignored; a document is never cut.
     """
     block_rows = chunk_table.blocks(docs, id_col, text_col, frequencies=False)
-    answers = chunk_table.segmented(block_rows, model, ids=True)
-    joined = chunk_table.answered(block_rows, answers).select(
+    joined = chunk_table.answered(block_rows, model, ids=True).select(
         "doc_ids", "n_places", "places", "word_buckets", "answers")
     schema = T.StructType([
         T.StructField("doc_id", block_rows.schema["doc_ids"].dataType.elementType),

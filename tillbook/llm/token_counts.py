@@ -24,8 +24,7 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id",
     other columns are ignored.
     """
     block_rows = chunk_table.blocks(docs, id_col, text_col, frequencies=True)
-    answers = chunk_table.segmented(block_rows, model, ids=False)
-    joined = chunk_table.answered(block_rows, answers).select(
+    joined = chunk_table.answered(block_rows, model, ids=False).select(
         "doc_ids", "n_bytes", "n_places", "places", "times", "word_buckets", "answers")
     schema = T.StructType([
         T.StructField("doc_id", block_rows.schema["doc_ids"].dataType.elementType),
