@@ -152,39 +152,73 @@ def test_rule_statistics_and_verdict(docs, plain, labels):
         quality[r["doc_id"]] = max(r["quality"], quality.get(r["doc_id"], 0))
     lang = {(r["doc_id"], r["text"]): r["lang"] or "" for r in docs.select("doc_id", "text", "lang").collect()}
 
-    def first(r):
-        shares = (r["n_symbols"] / max(1, r["word_chars"]), r["n_dup_lines"] / max(1, r["n_lines"]),
-                  r["n_repeat_words"] / max(1, r["n_words"]), r["n_upper"] / max(1, r["n_letters"]),
-                  r["n_long_words"] / max(1, r["n_words"]))
-        return next((k for k, cuts in enumerate(rules.LEVELS, 1) if any(s > c for s, c in zip(shares, cuts))),
-                    len(rules.LEVELS) + 1)
-
-    held = defaultdict(lambda: ({}, {}))
+    def shares(r):
+        pairs = (("n_symbols", "word_chars"), ("n_dup_lines", "n_lines"), ("n_repeat_words", "n_words"),
+                 ("n_upper", "n_letters"), ("n_long_words", "n_words"))
+        return [-(-1000 * r[a] // max(1, r[b])) for a, b in pairs]
+
+    lays = {r[0] for r in docs.filter(rules._lays_grid(F.col("doc_id"))).select("doc_id").collect()}
+    top = {}
     for r in rows:
         if r["doc_id"] in quality and not r["base_failed"]:
-            own = held[r["stratum"]][quality[r["doc_id"]]]
-            own[r["doc_id"]] = min(first(r), own.get(r["doc_id"], 99))
+            key = r["doc_id"], r["stratum"]
+            top[key] = list(map(max, top.get(key, [0] * 5), shares(r)))
+    good = [x for (i, _), x in top.items() if i in lays and quality[i]]
+    assert good and len(good) < len([i for i, _ in top if quality[i]])
+    grid = [[min(c for c in {x[k] for x in good} if sum(x[k] > c for x in good) <= step * len(good)) for k in range(5)]
+            for step in rules.STEPS]
+
+    def first(x):
+        return next((k for k, cuts in enumerate(grid, 1) if any(a > c for a, c in zip(x, cuts))), len(grid) + 1)
+
+    held = defaultdict(lambda: ([], []))
+    for (i, stratum), x in top.items():
+        if i not in lays:
+            held[stratum][quality[i]].append(first(x))
     levels = {}
-    for s, (bad, good) in held.items():
-        by = [[sum(x <= k for x in f.values()) for k in range(1, len(rules.LEVELS) + 1)] for f in (bad, good)]
-        levels[s] = rules.useful_level(rules.select_level(len(good), by[1], 0.02, 0.05 / len(held)), by[0])
+    for s, (bad, fine) in held.items():
+        by = [[sum(x <= k for x in f) for k in range(1, len(grid) + 1)] for f in (bad, fine)]
+        strictest = rules.select_level(len(fine), by[1], 0.02, 0.05 / len(held))
+        levels[s] = strictest, rules.useful_level(strictest, by[0])
     assert {r["stratum"] for r in rows} >= set(lang.values())
     for r in rows:
-        assert r["level"] == levels.get(r["stratum"], 0)
-        assert r["kept"] == (not r["base_failed"] and first(r) > r["level"])
+        assert (r["certified"], r["level"]) == levels.get(r["stratum"], (0, 0))
+        assert r["kept"] == (not r["base_failed"] and first(shares(r)) > r["level"])
+
+
+def test_the_bound_stops_the_grid_on_driver_rows(spark):
+    """Every stratum with cutoffs stops before the grid's end, and the good
+    documents that it rejects stay few in the half that did not choose."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    judged = rules.judge(docs, labels).cache()
+    levels = {r[0]: (r[1], r[2]) for r in judged.select("stratum", "certified", "level").distinct().collect()}
+    assert any(0 < c < len(rules.STEPS) for c, _ in levels.values())
+    assert all(k <= c < len(rules.STEPS) for c, k in levels.values())
+    seen = judged.filter("not base_failed").join(labels, "doc_id").groupBy("stratum", "quality").agg(
+        F.count(F.when(F.col("kept"), 1)).alias("kept"), F.count(F.lit(1)).alias("n")).collect()
+    for r in seen:
+        assert r["quality"] != 1 or r["kept"] >= 0.98 * r["n"]
+        assert r["quality"] != 0 or not levels[r["stratum"]][1] or r["kept"] < r["n"]
 
 
 def test_rules_use_a_certified_level(spark):
     clean = " ".join(f"w{i}" for i in range(60))
     junk = " ".join(f"w{i}%%%%" for i in range(60))
-    rows = [(i, clean, "en") for i in range(200)] + [(i, junk, "en") for i in range(200, 230)] + [(300, junk, "fr"), (301, junk, None)]
+    rows = [(i, clean, "en") for i in range(1000)] + [(i, junk, "en") for i in range(2000, 2060)] + [(3000, junk, "fr"), (3001, junk, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, 1) for i in range(200)] + [(i, 0) for i in range(200, 230)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(i, 1) for i in range(1000)] + [(i, 0) for i in range(2000, 2060)], "doc_id long, quality int")
     kept = {r["doc_id"] for r in rules.judge(docs, labels).filter("kept").collect()}
-    assert kept == {*range(200), 300, 301}          # no labels in fr or null: no cutoffs there
+    assert kept == {*range(1000), 3000, 3001}          # no labels in fr or null: no cutoffs there
     assert {r["doc_id"] for r in rules.keep_good(docs, labels).collect()} == kept
-    few = rules.judge(docs, labels.filter("doc_id < 40 or doc_id >= 200"))
-    assert few.filter("doc_id between 200 and 229 and kept").count() == 30
+    few = rules.judge(docs, labels.filter("doc_id < 40 or doc_id >= 2000"))
+    assert few.filter("doc_id between 2000 and 2059 and kept").count() == 60
+
+
+def test_grid_of_cutoffs(monkeypatch):
+    monkeypatch.setattr(rules, "STEPS", (0.0, 0.1, 0.5, 1.0))
+    assert rules.lay_grid([{0: 5, 3: 4, 9: 1}]) == [[9], [3], [0], [0]]
+    assert rules.lay_grid([{0: 1}, {}]) == [] and rules.lay_grid([{0: 7}, {2: 7}]) == [[0, 2]] * 4
 
 
 def test_exact_binomial_bound():

@@ -1,24 +1,31 @@
 """Quality rules whose cutoffs carry a risk guarantee.
 
-Each rule measures one kind of junk as a share (higher is worse).  ``LEVELS``
-lists cutoffs for all rules from lenient to strict.  In every stratum the
-labelled good documents are the holdout: the share of them that a level
-would reject is a binomial proportion, and its exact (Clopper-Pearson) upper
-bound must not exceed ``risk`` for the level to be used.
+Each rule measures one kind of junk as a share (higher is worse), kept as an
+integer: thousandths, rounded up.  Labelled documents are split in two by a
+hash of their id.
+
+* One half lays the grid: level by level, from lenient to strict, a rule's
+  cutoff is the least one that at most a share ``STEPS[level]`` of the good
+  documents exceeds.  Its shares are counted by value (at most 1001 a rule),
+  so the grid is exact and the same at any partitioning.
+* The other half, the holdout, certifies: in every stratum the share of its
+  good documents that a level would reject is a binomial proportion, and its
+  exact (Clopper-Pearson) upper bound must not exceed ``risk`` for the level
+  to be used.  The grid ends far beyond the risk, so the bound stops it.
 
 Multiple testing: the strata share the error probability ``delta`` equally
 (Bonferroni); within a stratum the levels are tested from lenient to strict
 and testing stops at the first failure, which needs no further correction
-(fixed-sequence testing).  So with probability ``1 - delta`` at least, in no
-stratum more than a share ``risk`` of good documents is falsely rejected by
-any level that passes.  Of these the most lenient is used that rejects as
-many labelled bad documents as the strictest.  A stratum with too few
-labels gets no cutoffs.
+(fixed-sequence testing; the sequence is fixed by the other half).  So with
+probability ``1 - delta`` at least, in no stratum more than a share ``risk``
+of good documents is falsely rejected by any level that passes.  Of these the
+most lenient is used that rejects as many bad documents of the holdout as the
+strictest.  A stratum with too few labels gets no cutoffs.
 
 The guarantee covers what the cutoffs reject among documents that pass the
 base rules (fixed limits on words and repeats, not learnt).  Good documents
-that fail the base rules are rejected beside it, and do not count in the
-holdout.  It holds for labels that the grid of ``LEVELS`` was not set by.
+that fail the base rules are rejected beside it, and do not count in either
+half.
 """
 
 from __future__ import annotations
@@ -35,10 +42,8 @@ SPACE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 RULES = ("symbols", "dup_lines", "repeats", "shouting", "long_words")
-# Cutoffs per level, in the order of RULES (share above: rejected)
-STEPS = 10
-_FROM, _TO = (0.50, 0.95, 0.48, 0.95, 0.50), (0.06, 0.50, 0.30, 0.50, 0.10)
-LEVELS = tuple(tuple(round(a + (b - a) * k / (STEPS - 1), 4) for a, b in zip(_FROM, _TO)) for k in range(STEPS))
+# Per level, the share of the grid's good documents that may exceed a cutoff
+STEPS = (0.0, 0.001, 0.0025, 0.005, 0.01, 0.02, 0.04, 0.08)
 LONG_WORD = 40             # bytes
 
 _STATS = T.StructType([T.StructField(c, T.LongType()) for c in (
@@ -92,25 +97,46 @@ def stats(text):
 stats = stats.asNondeterministic()
 
 
-def _share(part: str, whole: str) -> Column:
-    return F.col(f"s.{part}") / F.greatest(F.col(f"s.{whole}"), F.lit(1))
+def _shares() -> Column:
+    """The shares of the statistics ``s`` in thousandths, rounded up (0 to
+    1000), in the order of RULES."""
+    pairs = [("n_symbols", "word_chars"), ("n_dup_lines", "n_lines"), ("n_repeat_words", "n_words"),
+             ("n_upper", "n_letters"), ("n_long_words", "n_words")]
+    return F.array(*[F.expr(f"(1000 * s.{part} + greatest(s.{whole}, 1) - 1) div greatest(s.{whole}, 1)")
+                     for part, whole in pairs])
 
 
-def _first_level() -> Column:
-    """The first level (from 1) that rejects the statistics ``s``; one past
-    the last if none does."""
-    shares = [_share("n_symbols", "word_chars"), _share("n_dup_lines", "n_lines"),
-              _share("n_repeat_words", "n_words"), _share("n_upper", "n_letters"),
-              _share("n_long_words", "n_words")]
-    out = F.lit(len(LEVELS) + 1)
-    for level in range(len(LEVELS), 0, -1):
+def _first_level(grid: list[list[int]]) -> Column:
+    """The first level (from 1) that rejects ``shares``; one past the last if
+    none does."""
+    out = F.lit(len(grid) + 1)
+    for level in range(len(grid), 0, -1):
         hit = F.lit(False)
-        for share, cut in zip(shares, LEVELS[level - 1]):
-            hit = hit | (share > cut)
+        for i, cut in enumerate(grid[level - 1]):
+            hit = hit | (F.col("shares")[i] > cut)
         out = F.when(hit, level).otherwise(out)
     return out
 
 
+def lay_grid(counts: list[dict[int, int]]) -> list[list[int]]:
+    """Cutoffs per level and rule from the number of good documents per share
+    (thousandths) of each rule; no levels without documents."""
+    if not all(counts):
+        return []
+    grid = []
+    for step in STEPS:
+        cuts = []
+        for by in counts:
+            spare = int(step * sum(by.values()) + 1e-9)
+            for cut in sorted(by, reverse=True):
+                if by[cut] > spare:             # a cutoff below would reject these as well
+                    break
+                spare -= by[cut]
+            cuts.append(cut)
+        grid.append(cuts)
+    return grid
+
+
 def _base_failed() -> Column:
     return ((F.col("s.n_words") < MIN_WORDS)
             | (100 * F.col("s.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("s.n_words")))
@@ -155,17 +181,32 @@ def useful_level(level: int, bad: list[int]) -> int:
     return next((k for k, n in enumerate(bad[:level], 1) if n == most and n), 0)
 
 
-def _chosen(measured: DataFrame, labels: DataFrame, risk: float, delta: float) -> DataFrame:
-    """``stratum``, ``level`` for the strata with labelled documents.
+def _lays_grid(id_col: Column) -> Column:
+    """Whether a labelled document is of the half that lays the grid."""
+    return F.xxhash64(id_col.cast("string")) % 2 == 0
+
+
+def _chosen(measured: DataFrame, labels: DataFrame, risk: float, delta: float) -> tuple[list[list[int]], DataFrame]:
+    """The grid, and ``stratum``, ``certified``, ``level`` for the strata with
+    documents in the holdout.
 
-    ``measured``: ``doc_id``, ``stratum``, ``base_failed``, ``first_level``."""
+    ``measured``: ``doc_id``, ``stratum``, ``base_failed``, ``shares``."""
     labelled = labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).filter("quality in (0, 1)")
-    held = (measured.filter("not base_failed").select("doc_id", "stratum", "first_level").join(labelled, "doc_id")
-            .groupBy("doc_id", "stratum", "quality").agg(F.min("first_level").alias("first_level")))
+    every = range(len(RULES))
+    held = stored(measured.filter("not base_failed").select("doc_id", "stratum", "shares").join(labelled, "doc_id")
+                  .groupBy("doc_id", "stratum", "quality")
+                  .agg(F.array(*[F.max(F.col("shares")[i]) for i in every]).alias("shares")), "rule-labelled")
+    by: list[dict[int, int]] = [{} for _ in every]
+    laying = held.filter(_lays_grid(F.col("doc_id")) & (F.col("quality") == 1))
+    # at most 1001 rows a rule
+    for rule, share, n in laying.select(F.posexplode("shares")).groupBy("pos", "col").count().collect():
+        by[rule][share] = n
+    grid = lay_grid(by)
+    held = held.filter(~_lays_grid(F.col("doc_id"))).withColumn("first_level", _first_level(grid))
 
     def rejected(quality: int):
-        hit = [(F.col("quality") == quality) & (F.col("first_level") <= k) for k in range(1, len(LEVELS) + 1)]
-        return F.array(*[F.count(F.when(h, 1)) for h in hit])
+        hit = [(F.col("quality") == quality) & (F.col("first_level") <= k) for k in range(1, len(grid) + 1)]
+        return F.array(*[F.count(F.when(h, 1)) for h in hit]).cast("array<long>")
 
     counts = stored(held.groupBy("stratum").agg(
         F.count(F.when(F.col("quality") == 1, 1)).alias("n"), rejected(1).alias("good"), rejected(0).alias("bad")),
@@ -173,40 +214,47 @@ def _chosen(measured: DataFrame, labels: DataFrame, risk: float, delta: float) -
     error = delta / max(1, counts.count())
 
     @F.arrow_udf(T.IntegerType())
-    def level(n, good, bad):
+    def certified(n, good):
+        import pyarrow as pa
+        return pa.array([select_level(a.as_py(), g.as_py(), risk, error) for a, g in zip(n, good)], pa.int32())
+
+    @F.arrow_udf(T.IntegerType())
+    def level(strictest, bad):
         import pyarrow as pa
-        return pa.array([useful_level(select_level(a.as_py(), g.as_py(), risk, error), b.as_py())
-                         for a, g, b in zip(n, good, bad)], pa.int32())
+        return pa.array([useful_level(k.as_py(), b.as_py()) for k, b in zip(strictest, bad)], pa.int32())
 
-    return counts.select("stratum", level("n", "good", "bad").alias("level"))
+    return grid, (counts.select("stratum", "bad", certified("n", "good").alias("certified"))
+                  .select("stratum", "certified", level("certified", "bad").alias("level")))
 
 
 def _measure(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
     return (docs.select(column(id_col).alias("doc_id"),
                         F.coalesce(column(stratum_col).cast("string"), F.lit("")).alias("stratum"),
                         stats(column(text_col).cast("string")).alias("s"))
-            .select("doc_id", "stratum", "s", _base_failed().alias("base_failed"),
-                    _first_level().alias("first_level")))
+            .select("doc_id", "stratum", "s", _base_failed().alias("base_failed"), _shares().alias("shares")))
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05,
           id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """Statistics and verdict of every row of ``docs``.
 
-    ``doc_id``, the statistics, ``base_failed``, ``stratum``, ``level`` (the
-    stratum's cutoffs; 0: none) and ``kept``.  ``labels`` holds ``doc_id`` and
+    ``doc_id``, the statistics, ``base_failed``, ``stratum``, ``certified``
+    (the strictest level the bound allows the stratum; 0: none), ``level``
+    (the one used; 0: none) and ``kept``.  ``labels`` holds ``doc_id`` and
     ``quality`` (1 good, 0 bad); of several labels the best counts, others and
     nulls do not.  A null stratum is the stratum "".  A null text has no words and
     fails the base rules; a null id is judged like any other; repeated rows
-    are all judged, and count once per id and stratum as holdout; empty
+    are all judged, and count once per id and stratum, each rule by its
+    highest share; empty
     tables give no rows or no cutoffs; other columns are ignored.
     """
     measured = stored(_measure(docs, id_col, text_col, stratum_col), "rule-stats")
-    levels = _chosen(measured, labels.select("doc_id", "quality"), risk, delta)
+    grid, levels = _chosen(measured, labels.select("doc_id", "quality"), risk, delta)
     level = F.coalesce("level", F.lit(0))
     return (measured.join(levels, "stratum", "left")
-            .select("doc_id", "s.*", "base_failed", "stratum", level.alias("level"),
-                    (~F.col("base_failed") & (F.col("first_level") > level)).alias("kept")))
+            .select("doc_id", "s.*", "base_failed", "stratum",
+                    F.coalesce("certified", F.lit(0)).alias("certified"), level.alias("level"),
+                    (~F.col("base_failed") & (_first_level(grid) > level)).alias("kept")))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05,
@@ -215,12 +263,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: flo
 
     Two passes measure the rows where they are read; only statistics are
     shuffled (to their labels), never texts."""
-    levels = stored(_chosen(_measure(docs, id_col, text_col, stratum_col), labels.select("doc_id", "quality"),
-                            risk, delta), "rule-levels")
+    grid, levels = _chosen(_measure(docs, id_col, text_col, stratum_col), labels.select("doc_id", "quality"), risk, delta)
+    levels = stored(levels.select("stratum", "level"), "rule-levels")
     names = docs.columns
     rows = docs.select(*[column(c).alias(f"d_{c}") for c in names],
                        F.coalesce(column(stratum_col).cast("string"), F.lit("")).alias("stratum"),
                        stats(column(text_col).cast("string")).alias("s"))
-    return (rows.filter(~_base_failed()).join(levels, "stratum", "left")
-            .filter(_first_level() > F.coalesce("level", F.lit(0)))
+    return (rows.filter(~_base_failed()).withColumn("shares", _shares()).join(levels, "stratum", "left")
+            .filter(_first_level(grid) > F.coalesce("level", F.lit(0)))
             .select(*[column(f"d_{c}").alias(c) for c in names]))
