@@ -195,10 +195,11 @@ def identify(pages: DataFrame, documents: DataFrame, max_train: int = 4000, id_c
     everything = F.array(*map(F.lit, total))
     joined, kinds = rows, {}
     for key in ("declared", "suffix", "domain", "host"):
-        by = rows.groupBy(key).agg(sums(f"by_{key}"))
+        # written once: the plan of the four joins holds each of them once, however often it is read
+        by = stored(rows.groupBy(key).agg(sums(f"by_{key}"), F.count(F.lit(1)).alias("_n")), f"language-by-{key}")
         if key in ("declared", "suffix"):
             kinds[key] = by.count()                # of different values
-        joined = join_per_key(joined, by, [key], "inner")
+        joined = join_per_key(joined, by.drop("_n"), [key], "inner", counts=by.select(key, "_n"))
 
     def likelihood(by: str, kinds: int):
         return lambda x, i: F.log((F.col(by)[i] + 0.5) / (everything[i] + 0.5 * kinds))

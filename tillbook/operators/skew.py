@@ -18,7 +18,7 @@ SALTS = 16                 # of a table with one key only, per shuffle partition
 
 
 def join_per_key(facts: DataFrame, per_key: DataFrame, on: list[str], how: str = "left",
-                 salts: int | None = None) -> DataFrame:
+                 salts: int | None = None, counts: DataFrame | None = None) -> DataFrame:
     """``facts`` joined (``how``: left or inner) with ``per_key``, which has
     at most one row for each value of ``on``.
 
@@ -29,11 +29,16 @@ def join_per_key(facts: DataFrame, per_key: DataFrame, on: list[str], how: str =
     deals them alike; rows equal in every column stay together), and its row
     of ``per_key`` is repeated for each.  The list of hot keys, bounded by
     ``HOT_KEYS``, is broadcast.  NULL keys match nothing, but are dealt too.
+
+    ``counts`` (``on`` and ``_n``, the facts' rows of each key) spares the
+    count where the caller has it: of facts that are joins themselves it would
+    hold their whole plan once more.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"unknown join {how!r}")
     others = [c for c in per_key.columns if c not in on]
-    counts = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    if counts is None:
+        counts = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     rows, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
     limit = max(HOT_ROWS, (rows or 0) // HOT_KEYS)
     if not rows or largest <= limit:
