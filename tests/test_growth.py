@@ -42,3 +42,13 @@ def test_language_plan_holds_each_join_once(spark):
     found = language_id.identify(pages, docs)
     assert len(re.findall(r"Exchange", plan(found))) < 60
     assert found.count() == 1300 and found.filter("lang <> 'en'").count() == 0
+
+
+def test_buckets_follow_the_rows(spark, tmp_path):
+    r = Retail(spark, SF001)
+    store = ByInvoice(spark, f"grown_{uuid.uuid4().hex}", str(tmp_path), buckets=2, heavy_rows=6, bucket_rows=1000)
+    store.create({"invoice": r.invoice, "lines": r.lines})
+    assert store.buckets == -(-r.lines.count() // 1000) > 2
+    want = ps.recompute_invoice_total(r.invoice, r.lines)
+    got = store.apply(ps.recompute_invoice_total, "invoice", "lines").select(*want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

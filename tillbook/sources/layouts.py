@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from tillbook.functions import rules as R
 
 HEAVY_ROWS = 1 << 20
+BUCKET_ROWS = 1 << 18       # rows of the largest table that a bucket holds, about
 MONTH = "_month"
 
 
@@ -33,9 +34,11 @@ class ByInvoice:
     folder of their files, both shared by all sessions that read them."""
 
     def __init__(self, spark: SparkSession, name: str, path: str, key: str = "invoice_no",
-                 buckets: int = 64, heavy_rows: int = HEAVY_ROWS):
+                 buckets: int = 64, heavy_rows: int = HEAVY_ROWS, bucket_rows: int = BUCKET_ROWS):
+        """``buckets``: at least so many; ``create`` takes more where the
+        largest table has more than ``bucket_rows`` rows for each."""
         self.spark, self.name, self.path = spark, name, path.rstrip("/")
-        self.key, self.buckets, self.heavy_rows = key, buckets, heavy_rows
+        self.key, self.buckets, self.heavy_rows, self.bucket_rows = key, buckets, heavy_rows, bucket_rows
 
     def create(self, tables: dict[str, DataFrame]) -> None:
         """Write all tables.  The heavy keys, at most rows / ``heavy_rows`` of
@@ -43,7 +46,10 @@ class ByInvoice:
         many = [df.groupBy(F.col(self.key).cast("long").alias("_heavy")).agg(F.count(F.lit(1)).alias("_n"))
                 .filter((F.col("_n") > self.heavy_rows) & F.col("_heavy").isNotNull()).select("_heavy")
                 for df in tables.values()]
-        reduce(DataFrame.unionByName, many).distinct().coalesce(1).write.parquet(f"{self.path}/heavy_keys")
+        # no coalesce here: it would draw the counting of all keys into its few tasks
+        reduce(DataFrame.unionByName, many).distinct().write.parquet(f"{self.path}/heavy_keys")
+        rows = max([df.count() for df in tables.values()], default=0)
+        self.buckets = max(self.buckets, -(-rows // self.bucket_rows))
         heavy = self.spark.read.schema("_heavy long").parquet(f"{self.path}/heavy_keys")
         for table, df in tables.items():
             key = F.col(self.key)
