@@ -52,3 +52,33 @@ def test_buckets_follow_the_rows(spark, tmp_path):
     want = ps.recompute_invoice_total(r.invoice, r.lines)
     got = store.apply(ps.recompute_invoice_total, "invoice", "lines").select(*want.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_feed_files_follow_the_rows(spark, tmp_path, monkeypatch):
+    df = spark.range(400, numPartitions=40).select("id", (F.col("id") % 2).alias("p"))
+    path = sm.write_feed(df, str(tmp_path / "feed"), "p")
+    assert len(glob.glob(f"{path}/part-*")) == 2
+    monkeypatch.setattr(sm, "FEED_ROWS", 50)
+    path = sm.write_feed(df, str(tmp_path / "more"), "p")
+    assert len(glob.glob(f"{path}/part-*")) == 8 and rows(spark.read.parquet(path)) == [(i,) for i in range(400)]
+
+
+def test_late_entry_leaves_earlier_partitions_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sm, "new_root", lambda *_: str(tmp_path / "root"))
+    invoice = Retail(spark, SF001).invoice
+    days = [r[0] for r in invoice.select("date").distinct().orderBy("date").collect()]
+    first, second = days[len(days) // 3], days[2 * len(days) // 3]
+    feed = str(tmp_path / "feed")
+    for part in (F.col("date") < first, F.col("date") >= second, (F.col("date") >= first) & (F.col("date") < second)):
+        invoice.filter(part).coalesce(1).write.mode("append").parquet(feed)
+    got = sm.stream_ledger(spark, feed, invoice, max_files=1, buckets=2)
+    want = lg.post_ledger(invoice)
+    assert rows(got, *want.columns) == rows(want)
+
+    def jobs(batch):
+        return {re.search(r"part-\d+-([0-9a-f-]{36})", f)[1] for f in
+                glob.glob(f"{tmp_path}/root/entries/bucket=*/batch_id={batch}/part-*")}
+
+    assert jobs(0) and not jobs(0) & jobs(2)      # written by the first batch, not again by the third
+    assert jobs(1) == jobs(2)
+    assert isinstance(first, dt.date)

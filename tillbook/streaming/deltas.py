@@ -25,8 +25,10 @@ from tillbook.session import delete_folder
 
 
 def write_partitions(df: DataFrame, path: str, parts: list[str]) -> None:
-    """Replace the partitions of ``path`` that ``df`` has rows for."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path))
+    """Replace the partitions of ``path`` that ``df`` has rows for.  A
+    partition's rows are brought together first (a large one's to several
+    tasks), so its files follow its rows, not the tasks that made them."""
+    (df.hint("rebalance", *[F.col(p) for p in parts]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path))
 
 
 class Deltas:

@@ -44,13 +44,19 @@ def new_root(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
+FEED_ROWS = 1 << 20        # of a feed's file, at most about
+
+
 def write_feed(df: DataFrame, path: str, part_col: str) -> str:
     """Write ``df`` as a file feed: one append per value of ``part_col`` (a
     small set such as the year), in ascending order, so later parts arrive
-    later.  Used to replay a table as a stream."""
-    parts = [r[0] for r in df.select(part_col).distinct().orderBy(part_col).collect()]
-    for v in parts:
-        df.filter(F.col(part_col) == v).drop(part_col).write.mode("append").parquet(path)
+    later.  Used to replay a table as a stream.  The files of a part follow
+    its rows, not the tasks that derived them: a micro-batch takes files, and
+    many small ones would make as many batches."""
+    parts = df.groupBy(part_col).count().orderBy(part_col).collect()
+    for v, rows in parts:
+        files = max(1, -(-rows // FEED_ROWS))
+        df.filter(F.col(part_col) == v).drop(part_col).repartition(files).write.mode("append").parquet(path)
     return path
 
 
@@ -171,9 +177,9 @@ def stream_ledger(spark: SparkSession, feed: str, like: DataFrame,
       (the normal, in-order case) are posted from their carried balance with
       the skew-safe running total and written to their buckets' partition
       ``b`` only;
-    * customers receiving an entry older than one already posted get their
-      history re-posted in date order; only the partitions of their own
-      buckets that hold their rows are rewritten.
+    * customers receiving an entry older than one already posted get what
+      follows it re-posted in date order, from the balance before it; only
+      the partitions of their own buckets that hold such rows are rewritten.
 
     Writes use dynamic partition overwrite, so replaying batch ``b`` after a
     failure rewrites the same partitions with the same rows.
@@ -201,7 +207,7 @@ def stream_ledger(spark: SparkSession, feed: str, like: DataFrame,
         mine = new.groupBy("customer_mobile").agg(F.min(key).alias("_first"))
         own = [r[0] for r in new.select("bucket").distinct().collect()]     # at most ``buckets`` numbers
         bal = materialize(balances(batch_id, own).join(mine, "customer_mobile"))     # this batch's customers
-        late = bal.filter(F.col("_first") <= F.col("_last")).select("customer_mobile")
+        late = bal.filter(F.col("_first") <= F.col("_last")).select("customer_mobile", "_first")
         has_late = bool(late.take(1))
         fresh = new.join(late, "customer_mobile", "left_anti") if has_late else new
         out = running_balance(fresh, opening=bal.select("customer_mobile", "opening_balance"))
@@ -210,11 +216,17 @@ def stream_ledger(spark: SparkSession, feed: str, like: DataFrame,
             hit = new.join(late, "customer_mobile", "left_semi").select("bucket")
             old = spark.read.parquet(ledger_dir).filter(F.col("batch_id") < batch_id)
             old = old.join(hit, "bucket", "left_semi")        # pruned to the late customers' buckets
-            history = old.join(late, "customer_mobile", "left_semi").drop("balance")
-            redo = running_balance(history.unionByName(new.join(late, "customer_mobile", "left_semi")))
+            # a late customer's entries from the first new one on; the earlier ones stay as they are
+            marked = old.join(late, "customer_mobile", "left")
+            after = F.coalesce(key >= F.col("_first"), F.lit(False))
+            history = materialize(marked.filter(F.col("_first").isNotNull()).withColumn("_after", after))
+            before = (history.filter("not _after").groupBy("customer_mobile")
+                      .agg(F.max_by("balance", key).alias("opening_balance")))
+            redo = running_balance(history.filter("_after").drop("balance", "_first", "_after")
+                                   .unionByName(new.join(late, "customer_mobile", "left_semi")), opening=before)
             done = materialize(out.unionByName(redo))
-            touched = redo.select(*part)
-            keep = old.join(touched, part, "left_semi").join(late, "customer_mobile", "left_anti")
+            touched = done.filter(F.col("batch_id") < batch_id).select(*part).distinct()
+            keep = marked.filter(~after).drop("_first").join(touched, part, "left_semi")
             # written aside first: the partitions being replaced are also read
             out = materialize(done.unionByName(keep))
         write_partitions(out, ledger_dir, part)
