@@ -54,6 +54,20 @@ def test_buckets_follow_the_rows(spark, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_product_cells_are_parsed_once(spark):
+    cells = spark.createDataFrame(
+        [("1", " 2.5 ", "3", "4", "", "7", "2001-01-01", " "), ("x", "1", "1", "1", "1", "1", "", "h"),
+         ("2", "NaN", "1", "1", "1", "1", "", "h")],
+        "pro_id string, cost_price string, selling_price string, quantity string, safety_level string, "
+        "supplier_id string, expiry_date string, hc_code string")
+    ok, rejects = ld.coerce_products(cells)
+    for df in (ok, rejects):
+        assert "Scan parquet" in plan(df) and "trim(" not in plan(df)
+    assert [(r["pro_id"], str(r["cost_price"]), r["safety_level"], r["hc_code"]) for r in ok.collect()] == \
+        [(1, "2.50", "0", None)]
+    assert rows(rejects, "reason") == [("cost_price is not a number",), ("pro_id is not a whole number",)]
+
+
 def test_feed_files_follow_the_rows(spark, tmp_path, monkeypatch):
     df = spark.range(400, numPartitions=40).select("id", (F.col("id") % 2).alias("p"))
     path = sm.write_feed(df, str(tmp_path / "feed"), "p")

@@ -72,24 +72,29 @@ def import_suppliers(rows: DataFrame, existing: DataFrame, order: str = "ord") -
 # H-21
 def _coerced(rows: DataFrame) -> DataFrame:
     """The rows of :func:`coerce_products`, all of them, with the ``reason``."""
+    replaced = ("pro_id", "cost_price", "selling_price", "quantity", "safety_level", "supplier_id",
+                "expiry_date", "hc_code")
+    has_id = "pro_id" in rows.columns
+    kept = [c for c in rows.columns if c not in replaced]
+    # step by step, so that a cell is trimmed and parsed once however often it is asked for
+    rows = rows.withColumns({f"_text_{c}": F.trim(F.col(c).cast("string")) for c in replaced if c in rows.columns})
+    rows = rows.withColumns({f"_number_{c}": F.nanvl(F.col(f"_text_{c}").try_cast("double"), F.lit(None).cast("double"))
+                             for c in replaced[:-2] if c in rows.columns})
+
     def blank(c):
-        return F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+        return F.nullif(F.col(f"_text_{c}"), F.lit(""))
 
     def number(c):
-        n = blank(c).try_cast("double")
-        return F.when(~F.isnan(n), n)
+        return F.col(f"_number_{c}")
 
     def whole(c, kind="int"):
         return number(c).try_cast(kind)
 
-    replaced = ("pro_id", "cost_price", "selling_price", "quantity", "safety_level", "supplier_id",
-                "expiry_date", "hc_code")
-    has_id = "pro_id" in rows.columns
     exact_id = F.coalesce(blank("pro_id").try_cast("bigint"),
                           F.when(number("pro_id") == F.floor(number("pro_id")), whole("pro_id", "bigint"))) \
         if has_id else None
     typed = rows.select(
-        *[c for c in rows.columns if c not in replaced],
+        *kept,
         *([exact_id.alias("pro_id")] if has_id else []),
         number("cost_price").try_cast(R.MONEY).alias("cost_price"),
         number("selling_price").try_cast(R.MONEY).alias("selling_price"),
@@ -122,9 +127,10 @@ def coerce_products(rows: DataFrame):
     ``int(float)``); safety level int with blank or not-a-number -> 0;
     supplier id int or NULL; blank expiry / hc_code -> NULL.  A cell that
     does not parse, or a value its column cannot hold, rejects its row and
-    no other.  Returns ``(ok, rejects)``.
+    no other.  Returns ``(ok, rejects)``; the coerced rows are written once,
+    so the parsing is not done again by whatever reads them.
     """
-    return _reason_split(_coerced(rows), F.col("reason"))
+    return _reason_split(materialize(_coerced(rows)), F.col("reason"))
 
 
 # what can be wrong with a product file's row, by the column or the look-up that refuses it
