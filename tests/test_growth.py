@@ -68,6 +68,17 @@ def test_product_cells_are_parsed_once(spark):
     assert rows(rejects, "reason") == [("cost_price is not a number",), ("pro_id is not a whole number",)]
 
 
+def test_trigrams_are_made_once(spark, tmp_path, monkeypatch):
+    made = []
+    whole = sub.materialize
+    monkeypatch.setattr(sub, "materialize", lambda df: made.append(df.rdd.getNumPartitions()) or whole(df))
+    names = spark.createDataFrame([(i, f"name {i}") for i in range(50)], "id long, name string").coalesce(1)
+    index = sub.TrigramIndex(spark, str(tmp_path / "index"), buckets=4)
+    index.add(names, "id", ["name"])
+    assert made == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
+    assert rows(index.narrow(names, "id", "name", "e 7"), "id") == [(7,)]
+
+
 def test_feed_files_follow_the_rows(spark, tmp_path, monkeypatch):
     df = spark.range(400, numPartitions=40).select("id", (F.col("id") % 2).alias("p"))
     path = sm.write_feed(df, str(tmp_path / "feed"), "p")

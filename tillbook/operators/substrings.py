@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tillbook.functions import rules as R
 from tillbook.operators import ledger as lg
 from tillbook.operators import reports as rp
+from tillbook.operators.windows import materialize
 
 GRAM = 3
 LISTS = 6                  # of a needle's trigrams, so many of the rarest are asked for
@@ -52,9 +53,11 @@ class TrigramIndex:
         there twice, costs a verification and changes no result."""
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         named = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields]))
-        rows = df.select(F.col(key).cast("string").alias("key"), named.alias("f")) \
-            .select("key", "f.field", F.explode(trigrams(F.col("f.text"))).alias("gram")) \
-            .withColumn("bucket", self._bucket(F.col("gram")))
+        # names lie in few bytes, their trigrams are many: dealt over tasks first, and made once
+        rows = materialize(
+            df.select(F.col(key).cast("string").alias("key"), named.alias("f")).repartition(n)
+            .select("key", "f.field", F.explode(trigrams(F.col("f.text"))).alias("gram"))
+            .withColumn("bucket", self._bucket(F.col("gram"))))
         (rows.repartitionByRange(n, "bucket", "gram", "key").sortWithinPartitions("bucket", "gram", "key")
          .write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings"))
         (rows.groupBy("bucket", "field", "gram").agg(F.count(F.lit(1)).alias("n"))
