@@ -68,6 +68,13 @@ def test_product_cells_are_parsed_once(spark):
     assert rows(rejects, "reason") == [("cost_price is not a number",), ("pro_id is not a whole number",)]
 
 
+def test_numbered_restock_rows_are_made_once(spark):
+    r = Retail(spark, SF001)
+    for df in st.restock(r.add_item, r.inventory, r.product, None,
+                         ["added_date", "ref_order", "ref_line", "product_id", "quantity_added"])[:2]:
+        assert "Window" not in plan(df) and "Join" not in plan(df)
+
+
 def test_trigrams_are_made_once(spark, tmp_path, monkeypatch):
     made = []
     whole = sub.materialize

@@ -167,7 +167,8 @@ def restock(items: DataFrame, inventory: DataFrame, product: DataFrame,
     Each accepted item gets a supplier invoice number ``YYYY#####`` in its
     year (W-5) and a supplier invoice for cost_price x quantity (H-13).
     Rejected: quantity <= 0 / NULL, product without inventory+product row.
-    A ``comments`` column is kept on the restock rows.
+    A ``comments`` column is kept on the restock rows.  The numbered rows are
+    written once; both tables are projections of them.
     Returns ``(add_item, supplier_invoice, rejects)``.
     """
     from tillbook.operators.numbering import assign_doc_numbers
@@ -181,7 +182,7 @@ def restock(items: DataFrame, inventory: DataFrame, product: DataFrame,
     x = x.withColumn("reason", reason)
     rejects = x.filter(F.col("reason").isNotNull()).drop("_known", "supplier_id", "cost_price")
     ok = x.filter(F.col("reason").isNull()).withColumn("_year", F.year("added_date"))
-    numbered = assign_doc_numbers(ok, existing_numbers, "_year", order)
+    numbered = materialize(assign_doc_numbers(ok, existing_numbers, "_year", order))
     own = ["product_id", "quantity_added", "supplier_id", "invoice_no", "added_date"]
     add_item = numbered.select(*own, *[c for c in [*order, "comments"]
                                        if c in numbered.columns and c not in own])
@@ -197,11 +198,9 @@ def restock_job(items: DataFrame, inventory: DataFrame, product: DataFrame,
                 existing_numbers: DataFrame | None, order: list[str]) -> dict[str, DataFrame]:
     """Restocking as one job: restock rows, supplier invoices, the inventory
     with the added quantities and availabilities, and the product quantities
-    mirrored from it.  The numbered rows are written once, so every output
-    agrees with them."""
+    mirrored from it.  The numbered rows are written once (by :func:`restock`),
+    so every output agrees with them."""
     add_item, supplier_invoice, rejects = restock(items, inventory, product, existing_numbers, order)
-    add_item = materialize(add_item)
     inventory2, _ = apply_restock(inventory, add_item, product)
-    supplier_invoice = materialize(supplier_invoice)
     return {"add_item": add_item, "supplier_invoice": supplier_invoice, "inventory": inventory2,
             "product": mirror_quantity(inventory2, product, add_item), "rejects": rejects}
