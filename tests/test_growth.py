@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF001, rows
 from tillbook.llm import language_id
+from tillbook.operators import greedy
 from tillbook.operators import ledger as lg
 from tillbook.operators import loads as ld
 from tillbook.operators import posting as ps
@@ -114,3 +115,23 @@ def test_late_entry_leaves_earlier_partitions_alone(spark, tmp_path, monkeypatch
     assert jobs(0) and not jobs(0) & jobs(2)      # written by the first batch, not again by the third
     assert jobs(1) == jobs(2)
     assert isinstance(first, dt.date)
+
+
+def test_claims_that_do_not_compete_need_no_loop(spark, monkeypatch):
+    folds = []
+    fold = greedy._in_order
+    monkeypatch.setattr(greedy, "_in_order", lambda *a: folds.append(1) or fold(*a))
+    data = [(c, r, 1, 1) for c in range(500) for r in (2 * c, 2 * c + 1)]
+    df = spark.createDataFrame(data, "claim long, res long, need long, room long")
+    out = greedy.accept_in_order(df, ["claim"], "res", "need", "room", 100).collect()
+    assert sorted(r["claim"] for r in out if r["accepted"]) == list(range(500))
+    assert not folds
+
+
+def test_a_claim_without_a_number_takes_its_resource(spark):
+    # NULL is served first; the last claim asks for the same resource
+    data = [(c, r, 1, 1) for c in range(100) for r in (2 * c, 2 * c + 1)]
+    data += [(None, 198, 1, 1), (None, 1000, 1, 1)]
+    df = spark.createDataFrame(data, "claim long, res long, need long, room long")
+    out = {r["claim"]: r["accepted"] for r in greedy.accept_in_order(df, ["claim"], "res", "need", "room", 40).collect()}
+    assert out == {c: True for c in [None, *range(99)]} | {99: False}

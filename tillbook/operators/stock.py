@@ -120,7 +120,8 @@ def _line_checks(items: DataFrame, inventory: DataFrame, mode: str, order: list[
             F.when(F.count("quantity") == F.count(F.lit(1)), F.sum("quantity")).alias("need"),
             F.first("stock").cast("long").alias("stock"))
         fits = accept_in_order(claims, ["invoice_no"], "product_id", "need", "stock")
-        return join_per_key(x, fits.withColumnRenamed("accepted", "line_ok"), ["invoice_no"], "inner")
+        return join_per_key(x, fits.withColumnRenamed("accepted", "line_ok"), ["invoice_no"], "inner",
+                            counts=items.groupBy("invoice_no").agg(F.count(F.lit(1)).alias("_n")))
     else:
         raise ValueError(f"unknown mode {mode!r}")
     # a NULL quantity never fits, also where the demand before it is known

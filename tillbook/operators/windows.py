@@ -71,7 +71,7 @@ def _same_keys(keys: list[str]) -> Column:
 
 def running_totals(df: DataFrame, keys: list[str], order: list, values: dict,
                    blocks: int | None = None, exclusive: bool = False,
-                   base: DataFrame | None = None) -> DataFrame:
+                   base: DataFrame | None = None, largest: int | None = None) -> DataFrame:
     """Add a running sum per ``keys`` in ``order`` for each of ``values``
     (output name -> column), all in one pass.
 
@@ -86,13 +86,16 @@ def running_totals(df: DataFrame, keys: list[str], order: list, values: dict,
     Where no key has more than ``KEY_ROWS`` rows (one count of the keys), a
     window per key does; else, or with ``blocks`` given, keys of every size
     are cut into blocks, and ``base`` meets the few rows per (key, block)
-    rather than the facts.
+    rather than the facts.  ``largest``, no fewer rows than any key has, spares
+    the count where the caller knows it.
     """
     order_cols = [_col(o) for o in order]
     upper = Window.currentRow - 1 if exclusive else Window.currentRow
     start = None if base is None else base.select(*[F.col(k).alias(f"_tb_k{i}") for i, k in enumerate(keys)],
                                                   *[F.col(out).alias(f"_tb_base{j}") for j, out in enumerate(values)])
-    if not blocks and (df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= KEY_ROWS:
+    if not blocks and largest is None:
+        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if not blocks and largest <= KEY_ROWS:
         w = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, upper)
         sums = df.select("*", *[F.sum(_col(v)).over(w).alias(f"{_RUN}{j}") for j, v in enumerate(values.values())])
         if start is not None:
