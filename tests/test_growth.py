@@ -4,6 +4,7 @@ import datetime as dt
 import glob
 import re
 import uuid
+from decimal import Decimal as Dec
 
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from tillbook.operators import posting as ps
 from tillbook.operators import stock as st
 from tillbook.operators import substrings as sub
 from tillbook.operators.skew import join_per_key
+from tillbook.plans.invoice_posting import post_invoices
 from tillbook.sources.fixtures import Retail
 from tillbook.sources.layouts import ByInvoice
 from tillbook.streaming import streams as sm
@@ -135,3 +137,26 @@ def test_a_claim_without_a_number_takes_its_resource(spark):
     df = spark.createDataFrame(data, "claim long, res long, need long, room long")
     out = {r["claim"]: r["accepted"] for r in greedy.accept_in_order(df, ["claim"], "res", "need", "room", 40).collect()}
     assert out == {c: True for c in [None, *range(99)]} | {99: False}
+
+
+def test_posted_invoices_are_checked_once(spark, tmp_path):
+    header = (dt.date(2024, 1, 1), "5", "Bob", "0001", "Ann", Dec("10.00"), 0, Dec("0.00"), Dec("10.00"), "cash")
+    spark.createDataFrame([(1, *header, Dec("10.00")), (2, *header, Dec("10.00")), (3, *header, Dec("0.00"))],
+                          "invoice_no long, date date, terms string, sale_by string, customer_mobile string, "
+                          "customer_name string, total_amount decimal(10,2), discount_percent int, discount decimal(10,2), "
+                          "final_amount decimal(10,2), payment_method string, total_paid decimal(10,2)") \
+        .write.parquet(f"{tmp_path}/headers")
+    spark.createDataFrame([(i, 1, 1, 6, Dec("1.00"), Dec("0.00")) for i in (1, 2, 3)],
+                          "invoice_no long, line_no int, product_id long, quantity int, price decimal(10,2), discount decimal(10,2)") \
+        .write.parquet(f"{tmp_path}/items")
+    customer = spark.createDataFrame([(1, "Ann", "0001")], "id long, name string, mobile string")
+    inventory = spark.createDataFrame([(1, 10, "pcs", 5, 5)],
+                                      "product_id long, quantity int, unit string, safety_level int, availability int")
+    product = spark.createDataFrame([(1, 10, "5")], "pro_id long, quantity int, safety_level string")
+    out = post_invoices(spark.read.parquet(f"{tmp_path}/headers"), spark.read.parquet(f"{tmp_path}/items"),
+                        customer, inventory, product)
+    assert rows(out["lines"], "invoice_no", "quantity") == [(1, 6)]
+    assert rows(out["rejects"]) == [(2, "insufficient stock"), (3, "paid method needs total_paid > 0")]
+    # whatever is derived reads what was written, not the submitted tables
+    for name in ("invoice", "lines", "inventory", "rejects"):
+        assert not [f for f in out[name].inputFiles() if f"{tmp_path}/" in f]

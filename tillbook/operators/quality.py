@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.functions import rules as R
+from tillbook.operators.windows import materialize
 
 PAID_METHODS = R.PAID_METHODS
 
@@ -103,14 +104,15 @@ def reconcile_totals(invoice: DataFrame, lines: DataFrame, tolerance: float = 0.
 
 
 # P-1
-def validate_invoices(headers: DataFrame, lines: DataFrame | None = None):
+def validate_invoices(headers: DataFrame, lines: DataFrame | None = None, once: bool = False):
     """Invoice form checks, batch form.  Returns ``(ok, rejects)``.
 
     Rejected (first failing rule is the reason): a required field blank
     (date, terms, sale_by, customer_mobile, customer_name) or no line;
     |total x pct / 100 - discount| > 0.01; |total - discount - final| >
     0.01; a paid method with final > 0 but paid <= 0.  Method 'unpaid'
-    forces paid to 0 on accepted rows.
+    forces paid to 0 on accepted rows.  ``once`` writes the checked rows, so
+    that whatever reads the two frames does not check them again.
     """
     h = headers
     if lines is not None:
@@ -129,6 +131,7 @@ def validate_invoices(headers: DataFrame, lines: DataFrame | None = None):
               .when(F.col("payment_method").isin(*PAID_METHODS) & (F.col("final_amount") > 0)
                     & (F.col("total_paid") <= 0), "paid method needs total_paid > 0"))
     tagged = h.withColumn("reason", reason).drop("_has_lines")
+    tagged = materialize(tagged) if once else tagged
     ok = (tagged.filter(F.col("reason").isNull()).drop("reason")
           .withColumn("total_paid", F.when(F.col("payment_method") == "unpaid", F.lit(0).cast(R.MONEY))
                       .otherwise(F.col("total_paid"))))

@@ -1,10 +1,10 @@
 """Invoice posting as one batch job (P-1, M-14, P-3, P-5, P-2, P-6, P-7, P-4).
 
 The reference posts one invoice per request in several separately committed
-statements and triggers.  Here a whole batch is validated once, the
-accepted batch is written once (a lineage cut under the shared checkpoint
-folder) and every output -- invoices, lines, payments, ledger, the new
-inventory, customers and rejects -- is derived from that one copy, so the
+statements and triggers.  Here the checked headers, the valid invoices' lines
+and the decided invoices are each written once (lineage cuts under the shared
+checkpoint folder) and every output -- invoices, lines, payments, ledger, the
+new inventory, customers and rejects -- is derived from those copies, so the
 outputs agree with each other and a rerun gives the same result.  The new
 inventory quantities are mirrored to the products, as the trigger does.
 """
@@ -30,22 +30,22 @@ def post_invoices(headers: DataFrame, items: DataFrame, customer: DataFrame,
     line_no, product_id, quantity, price, discount.  With ``batch_id`` every
     row produced for the batch carries it, so a rerun can replace exactly
     the rows of an earlier attempt."""
-    ok, rejects = quality.validate_invoices(headers, items)                      # P-1
+    ok, rejects = quality.validate_invoices(headers, items, once=True)           # P-1
     rows = ok.select(F.col("customer_mobile").alias("mobile"),
                      F.col("customer_name").alias("name"), F.col("invoice_no").alias("ord"))
     customer2, with_ids = loads.ensure_customers(rows, customer)                 # M-14
     ids = with_ids.select(F.col("ord").alias("invoice_no"), "customer_id")
-    ok_items = items.join(ok.select("invoice_no"), "invoice_no", "left_semi")
+    ok_items = materialize(items.join(ok.select("invoice_no"), "invoice_no", "left_semi"))
     verdict = materialize(stock.stock_verdicts(ok_items, inventory, stock_mode, LINE_ORDER))  # P-3
-    accepted = (ok.drop("customer_id") if "customer_id" in ok.columns else ok) \
-        .join(ids, "invoice_no", "left") \
-        .join(verdict.select("invoice_no", "invoice_ok"), "invoice_no", "left")
+    accepted = materialize((ok.drop("customer_id") if "customer_id" in ok.columns else ok)
+                           .join(ids, "invoice_no", "left")
+                           .join(verdict.select("invoice_no", "invoice_ok"), "invoice_no", "left"))
     short = (accepted.filter(~F.coalesce(F.col("invoice_ok"), F.lit(False)))
              .select("invoice_no", F.lit("insufficient stock").alias("reason")))
-    batch = materialize(posting.apply_payment_status(                            # P-5
-        accepted.filter(F.coalesce(F.col("invoice_ok"), F.lit(False))).drop("invoice_ok")))
+    batch = posting.apply_payment_status(                                        # P-5
+        accepted.filter(F.coalesce(F.col("invoice_ok"), F.lit(False))).drop("invoice_ok"))
     lines = posting.build_lines(                                                  # P-2
-        items.join(batch.select("invoice_no"), "invoice_no", "left_semi"), inventory)
+        ok_items.join(batch.select("invoice_no"), "invoice_no", "left_semi"), inventory)
     inventory2 = materialize(stock.apply_sales(inventory, lines, product))       # P-4
     out = {
         "invoice": batch,
