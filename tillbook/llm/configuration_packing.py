@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillbook.llm.common import id_text, sliced, stored, trim
+from tillbook.llm.common import bound_batches, id_text, loaded_tokenizer, sliced, stored, trim
 
 ROUNDS = 500               # of pricing, at most
 PRICED = 8                 # configurations made from one dynamic program
@@ -214,10 +214,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        import os
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.whole = Tokenizer.from_file(path)
+        self.whole = loaded_tokenizer(path)
         with open(path, encoding="utf-8") as f:
             self.fast, self.added = self._ranked(json.load(f))
 
@@ -289,6 +286,7 @@ def cuts(n: int, capacity: int) -> Iterator[tuple[int, int]]:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """One row per piece, with the task that made it (``part``) and how many
     pieces of its length that task made before it (``nth``)."""
+    bound_batches(docs.sparkSession)
     rows = id_text(docs, id_col, text_col)
     schema = T.StructType([
         T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("piece", T.IntegerType()),

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillbook.llm.common import column, id_text, stored, trim
+from tillbook.llm.common import bound_batches, column, id_text, stored, trim
 from tillbook.operators.skew import join_per_key
 
 PRIMES = (2_147_483_647, 2_147_483_629)
@@ -225,6 +225,7 @@ def _composed(chunks: DataFrame) -> DataFrame:
 def _grouped(rows: DataFrame, hash_fn=fingerprint) -> tuple[DataFrame, DataFrame]:
     """Per distinct (doc_id, text): key, digest and row count; and per text:
     key, group size and the id that stays."""
+    bound_batches(rows.sparkSession)
     chunks = stored(_chunk_rows(rows, hash_fn), "chunks")
     texts = _composed(chunks)
     chunk_key = ["a", "b", "size"]
@@ -272,6 +273,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ha
     with very many copies is shuffled once per task.  Rows are joined to the
     collided fingerprints only where there are any.  Nulls, repeated rows and
     empty tables as in ``exact_groups``."""
+    bound_batches(docs.sparkSession)
     collided = stored(_collisions(id_text(docs, id_col, text_col), hash_fn), "collisions")
     rows = (docs.select(F.struct(*[column(c).alias(f"d{i}") for i, c in enumerate(docs.columns)]).alias("row"),
                         column(id_col).alias("doc_id"),

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillbook.llm.common import column, id_text, sliced, stored, trim
+from tillbook.llm.common import bound_batches, column, id_text, sliced, stored, trim
 from tillbook.llm.components import connected_components
 
 BLOCK_NODES = 192         # expected nodes, and n-grams, of a block at most
@@ -245,6 +245,7 @@ def _verify(threshold: float):
 def _classes(docs: DataFrame, threshold: float, recall: float, n: int) -> tuple[DataFrame, DataFrame]:
     """``members``: ``doc_id``, ``node`` per row; ``nodes``: ``node``,
     ``copies``, ``links`` (rows linked to other nodes), ``component``."""
+    bound_batches(docs.sparkSession)
     made = stored(_signed(docs, n, *banding(threshold, recall)), "ngram-bands")
     members = made.select("doc_id", "node")
     nodes = (made.filter("node is not null").groupBy("node")

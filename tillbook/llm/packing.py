@@ -17,7 +17,6 @@ last, partial run is cut into power-of-two sequences, which need no padding.
 
 from __future__ import annotations
 
-import os
 import re
 import struct
 from collections.abc import Iterator
@@ -25,9 +24,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tillbook.llm.common import id_text, sliced, trim
+from tillbook.llm.common import bound_batches, id_text, loaded_tokenizer, sliced, trim
 
-CACHE_WORDS = 200_000      # words whose ids a worker remembers
+CACHE_WORDS = 50_000       # words whose ids a worker remembers
 LONG_WORD = 64             # bytes; longer words are not remembered
 OUT_ROWS, OUT_BYTES = 4096, 4 << 20    # pieces, and bytes of their ids, per output batch
 
@@ -37,7 +36,7 @@ OUT_ROWS, OUT_BYTES = 4096, 4 << 20    # pieces, and bytes of their ids, per out
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LATIN_WORD = re.compile("[a-zß-öø-ÿ]+")
 SPECIAL, MARKS = "<|", "[\u0300-\u036f]"
-SLICE_BYTES = 2 << 20      # of text whose words are numbered at once
+SLICE_BYTES = 1 << 20      # of text whose words are numbered at once
 
 
 class WordEncoder:
@@ -58,10 +57,8 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = loaded_tokenizer(path)
         self.known: dict[str, bytes] = {}
         self.word_bytes = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         # how the byte-level step writes the letters beyond ASCII
@@ -200,6 +197,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     columns of ``docs`` are ignored.  Texts of any length are cut over as
     many sequences as they need.
     """
+    bound_batches(docs.sparkSession)
     rows = id_text(docs, id_col, text_col)
     id_type = rows.schema["doc_id"].dataType
     schema = T.StructType([

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillbook.llm.common import column, stored, trim
+from tillbook.llm.common import bound_batches, column, stored, trim
 
 SPACE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -228,6 +228,7 @@ def _chosen(measured: DataFrame, labels: DataFrame, risk: float, delta: float) -
 
 
 def _measure(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
+    bound_batches(docs.sparkSession)
     return (docs.select(column(id_col).alias("doc_id"),
                         F.coalesce(column(stratum_col).cast("string"), F.lit("")).alias("stratum"),
                         stats(column(text_col).cast("string")).alias("s"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillbook.llm.common import column, id_text, trim
+from tillbook.llm.common import bound_batches, column, id_text, trim
 
 # Base rules (kind, keywords, pattern at a keyword, shortest)
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -172,6 +172,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     as they are; an empty table gives no rows; other columns are ignored;
     whole texts are read, whatever their length.
     """
+    bound_batches(docs.sparkSession)
     return id_text(docs, id_col, text_col).select("doc_id", _spans("text").alias("spans"))
 
 
@@ -187,6 +188,7 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]"
     length of the texts that changed.  Other columns and rows stay: a null or
     empty text as it is, repeated rows each, null ids; an empty table gives no
     rows."""
+    bound_batches(docs.sparkSession)
     new = masked(column(text_col), mark)
     out = {text_col: new}
     if chars_col:
